@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.catalogue.registry import query
-from eventloom.catalogue.shapes import READ_AT, enriched_events
+from eventloom.catalogue.shapes import READ_AT, enriched_events, with_objects
 from eventloom.catalogue.tables import DOC, ENR, EV, canonical_events, raw_documents, table
 from eventloom.operators import batching, export
 from eventloom.operators.encode import Identity, cloudevents, gelf, json_lines, kafka_records, template, to_canonical_json
@@ -298,8 +298,9 @@ _OTLP = f"""{ENR}, rec AS (
 
 def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = F.lit("2024-06-01 00:00:00").cast("timestamp")
-    records = otlp_records(enriched_events(spark, sf_dir), observed, IDENTITY, carry=("watch", "seq", "uid"))
-    return counted_batches(records)
+    # Batches by count do not depend on the objects, so the rows are numbered before the join.
+    batches = counted_batches(canonical_events(spark, sf_dir))
+    return otlp_records(with_objects(batches, spark, sf_dir), observed, IDENTITY, carry=("batch_id", "seq"))
 
 
 @query(f"WITH {_OTLP} SELECT uid, md5(resource) AS resource, record FROM rec")

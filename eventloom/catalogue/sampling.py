@@ -25,7 +25,7 @@ def sample_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM c WHERE admitted"""
 )
 def sample_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted = sampling.on_change(failures(spark, sf_dir))
+    admitted = sampling.on_change(failures(spark, sf_dir), keep_segment=True)
     return sampling.with_suppressed(admitted).select("gate", "seq", "suppressed")
 
 

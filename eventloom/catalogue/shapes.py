@@ -38,11 +38,13 @@ def _longest_prefix(text: str, limit: int) -> str:
     )
 
 
-def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_objects(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     projected = enrichment.project_objects(objects(spark, sf_dir), KINDS)
-    return enrichment.enrich(
-        canonical_events(spark, sf_dir), projected, enrichment.declared_kinds(KINDS, DECLARED)
-    )
+    return enrichment.enrich(events, projected, enrichment.declared_kinds(KINDS, DECLARED))
+
+
+def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_objects(canonical_events(spark, sf_dir), spark, sf_dir)
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.chains import last_openings, openings_from, walk_segments
-from eventloom.operators.segments import SEGMENT, SPAN, with_position, with_segment
+from eventloom.operators.segments import SEGMENT, SPAN, whole_quotient, with_position, with_segment
 
 # Queue limit in bytes when none is given (fixed value).
 QUEUE_BYTES = 32 * 1024 * 1024
@@ -147,7 +147,7 @@ def pack_batches(
     keys = list(keys)
     if not limits.max_bytes and limits.timeout is None:
         numbered = with_position(frames, keys, "batch_no", span, seq)
-        return numbered.withColumn("batch_no", F.floor(F.col("batch_no") / F.lit(limits.max_events)))
+        return numbered.withColumn("batch_no", whole_quotient(F.col("batch_no"), limits.max_events))
 
     times = F.col(arrival) if limits.timeout is not None else F.lit(0).cast("bigint")
     narrow = with_segment(

@@ -232,8 +232,9 @@ def _seconds_to_millis(time: Column) -> Column:
     the rounding sees the very double that the format carries.
     """
     micros = F.unix_micros(time)
-    whole = F.floor(micros / F.lit(1_000_000)).cast("double")
-    double = whole + F.pmod(micros, F.lit(1_000_000)) * 1000 / F.lit(1e9)
+    part = F.pmod(micros, F.lit(1_000_000))
+    whole = (micros - part) / F.lit(1_000_000)
+    double = whole + part * 1000 / F.lit(1e9)
     millis = whole * 1000 + F.rint((double - whole) * 1000)
     return (millis.cast("decimal(20,0)") * F.lit(Decimal("0.001"))).cast("decimal(20,3)").cast("string")
 

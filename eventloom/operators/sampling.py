@@ -19,8 +19,12 @@ from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join
 _GATE = ["gate"]
 
 
-def on_change(rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """Add ``admitted``: whether the key differs from the gate's previous one."""
+def on_change(rows: DataFrame, span: int = SPAN, keep_segment: bool = False) -> DataFrame:
+    """Add ``admitted``: whether the key differs from the gate's previous one.
+
+    With ``keep_segment`` the rows stay cut as they are, so that
+    :func:`with_suppressed` on top needs no shuffle of its own.
+    """
     segmented = with_segment(rows, span)
     carry = (
         segmented.groupBy("gate", SEGMENT)
@@ -29,11 +33,8 @@ def on_change(rows: DataFrame, span: int = SPAN) -> DataFrame:
     )
     numbered = segmented.withColumn("_previous", F.lag("key").over(in_segment(_GATE)))
     previous = F.coalesce("_previous", "_carried")
-    return (
-        join_carry(numbered, carry, _GATE)
-        .withColumn("admitted", ~F.col("key").eqNullSafe(previous))
-        .drop("_previous", "_carried", SEGMENT)
-    )
+    flagged = join_carry(numbered, carry, _GATE).withColumn("admitted", ~F.col("key").eqNullSafe(previous))
+    return flagged.drop("_previous", "_carried", *([] if keep_segment else [SEGMENT]))
 
 
 def first_seen(rows: DataFrame, limit: int) -> DataFrame:

@@ -20,8 +20,15 @@ SEGMENT = "_segment"
 
 
 def with_segment(rows: DataFrame, span: int = SPAN, seq: str = "seq") -> DataFrame:
-    """Add the number of the segment a row falls into."""
-    return rows.withColumn(SEGMENT, F.floor(F.col(seq) / F.lit(span)))
+    """Add the number of the segment a row falls into, unless an earlier scan left it there."""
+    if SEGMENT in rows.columns:
+        return rows
+    return rows.withColumn(SEGMENT, whole_quotient(F.col(seq).cast("bigint"), span))
+
+
+def whole_quotient(number: Column, divisor: int) -> Column:
+    """Return an integer division rounded down, exact for every bigint."""
+    return F.call_function("div", number - F.pmod(number, F.lit(divisor)), F.lit(divisor).cast("bigint"))
 
 
 def in_segment(keys: Sequence[str], seq: str = "seq"):

@@ -60,8 +60,8 @@ def check_watches(watches: Sequence[Watch]) -> None:
     for watch in watches:
         if watch.namespace and not re.fullmatch(r"[a-z0-9]([-a-z0-9]{0,61}[a-z0-9])?", watch.namespace):
             raise ValueError(f"invalid namespace {watch.namespace!r}")
-        field_selector(watch.field_selector)
-        label_selector(watch.label_selector)
+        _field_requirements(watch.field_selector)
+        _label_requirements(watch.label_selector)
 
 
 def read_events(
@@ -110,27 +110,23 @@ def field_selector(spec: str | Iterable[tuple[str, str, str]]) -> Column:
     """
     condition = F.lit(True)
     for name, operator, value in _field_requirements(spec):
-        if name not in SELECTABLE_FIELDS:
-            raise SelectorError(f"{name!r} cannot be selected on")
         column = F.col(name.removeprefix("metadata."))
-        if operator in ("=", "=="):
-            condition = condition & (column == value)
-        elif operator == "!=":
-            condition = condition & (column != value)
-        else:
-            raise SelectorError(f"unknown operator {operator!r}")
+        condition = condition & (column != value if operator == "!=" else column == value)
     return condition
 
 
 def _field_requirements(spec: str | Iterable[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    if not isinstance(spec, str):
-        return list(spec)
-    found = []
-    for term in filter(None, spec.split(",")):
-        parsed = re.fullmatch(r"\s*([\w.]+)\s*(!=|==|=)(.*)", term)
-        if not parsed:
-            raise SelectorError(f"cannot read selector term {term!r}")
-        found.append((parsed[1], parsed[2], parsed[3]))
+    if isinstance(spec, str):
+        terms = [re.fullmatch(r"\s*([\w.]+)\s*(!=|==|=)(.*)", term) for term in filter(None, spec.split(","))]
+        if None in terms:
+            raise SelectorError(f"cannot read field selector {spec!r}")
+        spec = [(term[1], term[2], term[3]) for term in terms]
+    found = list(spec)
+    for name, operator, _ in found:
+        if name not in SELECTABLE_FIELDS:
+            raise SelectorError(f"{name!r} cannot be selected on")
+        if operator not in ("=", "==", "!="):
+            raise SelectorError(f"unknown operator {operator!r}")
     return found
 
 

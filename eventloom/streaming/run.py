@@ -20,6 +20,7 @@ from eventloom.operators.metrics import Metric, series
 from eventloom.operators.routing import route, route_write
 from eventloom.plans.flow import EventPath
 from eventloom.plans.spec import Flow, swap_filters
+from eventloom.session import shared_folder
 from eventloom.sources.replay import changed_positions, positions
 
 Writer = Callable[[DataFrame, int], None]
@@ -29,7 +30,7 @@ def run_stream(
     frames: DataFrame,
     path: EventPath,
     writers: Mapping[str, Writer],
-    checkpoint: str,
+    checkpoint: str | None = None,
     trigger: Mapping[str, object] | None = None,
     objects: Callable[[], DataFrame] | None = None,
     flows: Callable[[], Sequence[Flow]] | None = None,
@@ -40,8 +41,12 @@ def run_stream(
     ``objects`` and ``flows`` are read at the start of every micro-batch, so a
     batch sees one snapshot of the objects and one set of rules. Watch
     positions are written after the sinks, only when some position moved.
+    Offsets go to ``checkpoint``, by default a folder of the cluster's shared
+    one named after the sinks, so that a restart finds it again.
     """
     spark = frames.sparkSession
+    if checkpoint is None:
+        checkpoint = f"{shared_folder(spark)}/events-{'-'.join(sorted(writers))}"
 
     def deliver(batch: DataFrame, epoch: int) -> None:
         current = swap_filters(path.flows, flows()) if flows else path.flows
