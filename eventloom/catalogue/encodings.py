@@ -348,6 +348,6 @@ def routed_frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         Flow("warnings", sinks=("archive", "alerts"), filters=("type = 'Warning'",)),
     ]
     framed = match(canonical_events(spark, sf_dir), flows).select(
-        "verdicts", batching.frame_bytes(to_canonical_json(), "jsonl").alias("size")
+        "sinks", batching.frame_bytes(to_canonical_json(), "jsonl").alias("size")
     )
     return route(framed).groupBy("sink").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"))

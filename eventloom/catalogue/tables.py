@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.enrich import Kind
 from eventloom.schema import EVENT, FRAME, OBJECT, RAW_EVENT
+from eventloom.session import spread
 
 GROUP = "shop.example.com"
 KINDS = [
@@ -39,7 +40,7 @@ _REGARDING = """named_struct(
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return ``events`` as canonical events, with ``watch`` and ``seq``."""
-    rows = table(spark, sf_dir, "events").selectExpr(
+    rows = spread(table(spark, sf_dir, "events")).selectExpr(
         "concat('team-', user_id % 5) AS watch",
         "event_id AS seq",
         "concat('ev-', event_id) AS uid",
@@ -154,7 +155,7 @@ pos AS (
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return ``documents`` as raw events written through the deprecated fields, the whole text as note."""
-    rows = table(spark, sf_dir, "documents").selectExpr(
+    rows = spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id AS seq",
         "concat('doc-', doc_id) AS uid",
         "concat('lang-', lang) AS namespace",

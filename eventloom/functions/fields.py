@@ -114,7 +114,7 @@ def same_object(left: Column, right: Column) -> Column:
     """Compare two enriched objects by content, maps included."""
 
     def entries(value: Column) -> Column:
-        return F.array_sort(F.map_entries(value))
+        return F.sort_array(F.map_entries(value))
 
     both = (
         left["terminating"].eqNullSafe(right["terminating"])

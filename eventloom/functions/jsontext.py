@@ -6,22 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The helpers below evaluate their JSON text once: trimming and anchored
+# replacement instead of a substring of a measured length.
+
+
 def json_quote(text: Column) -> Column:
     """Return ``text`` as a quoted JSON string, NULL for NULL."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+    return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
 def json_escape(text: Column) -> Column:
     """Return ``text`` escaped for the inside of a JSON string, without quotes."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(listed, F.lit(3), F.length(listed) - 4))
+    return F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.array(text)), r'^\["|"\]\z', ""))
 
 
 def sorted_map(entries: Column) -> Column:
     """Return the map with its keys in byte order."""
     return F.when(F.size(entries) <= 1, entries).otherwise(
-        F.map_from_entries(F.array_sort(F.map_entries(entries)))
+        F.map_from_entries(F.sort_array(F.map_entries(entries)))
     )
 
 
@@ -35,10 +37,14 @@ def text_or_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def unclosed(json: Column) -> Column:
+    """Return a JSON object without its closing brace."""
+    return F.regexp_replace(json, r"\}\z", "")
+
+
 def members(struct_column: Column) -> Column:
     """Return the members of a struct's JSON object without braces, NULL when there are none."""
-    text = F.to_json(struct_column)
-    return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+    return F.nullif(F.regexp_replace(F.to_json(struct_column), r"^\{|\}\z", ""), F.lit(""))
 
 
 def json_object(*fragments: Column) -> Column:

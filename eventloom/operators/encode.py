@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -18,6 +18,7 @@ from eventloom.functions.jsontext import (
     object_or_null,
     sorted_map,
     text_or_null,
+    unclosed,
 )
 from eventloom.functions.times import occurrence_time, rfc3339_micro, rfc3339_trimmed
 from eventloom.schema import REFERENCE_FIELDS
@@ -44,16 +45,17 @@ def _quoted(text: str) -> str:
 # --- canonical JSON ----------------------------------------------------------
 
 
-def _reference_members(reference: Column) -> Column:
-    return F.struct(*[text_or_null(reference[name]).alias(name) for name in REFERENCE_FIELDS])
+def _texts_or_null(names: Iterable[str], parent: str = "") -> Column:
+    """Return a struct of the named strings in which empty ones are NULL, so that a writer omits them."""
+    return F.expr(f"named_struct({', '.join(f"'{name}', nullif({parent}{name}, '')" for name in names)})")
 
 
-def _optional_reference(reference: Column) -> Column:
-    return F.when(reference.isNotNull(), _reference_members(reference))
+def _reference_members(path: str) -> Column:
+    return _texts_or_null(REFERENCE_FIELDS, f"{path}.")
 
 
-def _time_or_null(time: Column) -> Column:
-    return F.coalesce(F.concat(F.lit('"'), rfc3339_micro(time), F.lit('"')), F.lit("null"))
+def _optional_reference(path: str) -> Column:
+    return F.when(F.col(path).isNotNull(), _reference_members(path))
 
 
 def to_canonical_json() -> Column:
@@ -61,47 +63,58 @@ def to_canonical_json() -> Column:
 
     Empty strings, maps and false flags are left out; ``eventTime`` and
     ``regarding`` are always written, and an unset observation time as null.
+    Only events with an unset time are put together from parts, since a JSON
+    writer leaves nulls out.
     """
-    head = F.struct(
+    head = [
         text_or_null(F.col("uid")).alias("uid"),
         text_or_null(F.col("resourceVersion")).alias("resourceVersion"),
         text_or_null(F.col("namespace")).alias("namespace"),
         text_or_null(F.col("name")).alias("name"),
         object_or_null(F.col("labels")).alias("labels"),
         object_or_null(F.col("annotations")).alias("annotations"),
-    )
-    series = F.when(
-        F.col("series").isNotNull(),
-        F.concat(
-            F.lit('"series":{"count":'),
-            F.coalesce(F.col("series.count"), F.lit(0)).cast("string"),
-            F.lit(',"lastObservedTime":'),
-            _time_or_null(F.col("series.lastObservedTime")),
-            F.lit("}"),
-        ),
-    )
+    ]
     enriched = F.when(
         F.col("regardingObject").isNotNull(),
         F.struct(
             object_or_null(F.col("regardingObject.labels")).alias("labels"),
             object_or_null(F.col("regardingObject.annotations")).alias("annotations"),
-            _optional_reference(F.col("regardingObject.owner")).alias("owner"),
+            _optional_reference("regardingObject.owner").alias("owner"),
             F.nullif(F.col("regardingObject.terminating"), F.lit(False)).alias("terminating"),
         ),
     )
-    tail = F.struct(
+    tail = [
         text_or_null(F.col("reportingController")).alias("reportingController"),
         text_or_null(F.col("reportingInstance")).alias("reportingInstance"),
         text_or_null(F.col("action")).alias("action"),
         text_or_null(F.col("reason")).alias("reason"),
-        _reference_members(F.col("regarding")).alias("regarding"),
-        _optional_reference(F.col("related")).alias("related"),
+        _reference_members("regarding").alias("regarding"),
+        _optional_reference("related").alias("related"),
         text_or_null(F.col("note")).alias("note"),
         text_or_null(F.col("type")).alias("type"),
         enriched.alias("regardingObject"),
+    ]
+    count = F.coalesce(F.col("series.count"), F.lit(0))
+    observed = rfc3339_micro(F.col("series.lastObservedTime"))
+    event_time = rfc3339_micro(F.col("eventTime"))
+    series = F.when(F.col("series").isNotNull(), F.struct(count.alias("count"), observed.alias("lastObservedTime")))
+    whole = F.to_json(F.struct(*head, event_time.alias("eventTime"), series.alias("series"), *tail))
+
+    series_text = F.concat(
+        F.lit('"series":{"count":'), count.cast("string"), F.lit(',"lastObservedTime":'), _text_or_nil(observed), F.lit("}")
+    )
+    parts = json_object(
+        members(F.struct(*head)),
+        F.concat(F.lit('"eventTime":'), _text_or_nil(event_time)),
+        F.when(F.col("series").isNotNull(), series_text),
+        members(F.struct(*tail)),
     )
-    event_time = F.concat(F.lit('"eventTime":'), _time_or_null(F.col("eventTime")))
-    return json_object(members(head), event_time, series, members(tail))
+    unset = F.col("eventTime").isNull() | (F.col("series").isNotNull() & F.col("series.lastObservedTime").isNull())
+    return F.when(unset, parts).otherwise(whole)
+
+
+def _text_or_nil(text: Column) -> Column:
+    return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
 
 
 def json_lines(events: DataFrame) -> DataFrame:
@@ -225,7 +238,7 @@ def _gelf_map(prefix: str, entries: Column) -> Column:
     return F.nullif(F.array_join(renamed, ","), F.lit(""))
 
 
-def _seconds_to_millis(time: Column) -> Column:
+def _seconds_with_millis(time: Column) -> Column:
     """Return a time as seconds with three decimals, rounded from its double value.
 
     The seconds are taken off before scaling, which keeps every step exact, so
@@ -236,7 +249,7 @@ def _seconds_to_millis(time: Column) -> Column:
     whole = (micros - part) / F.lit(1_000_000)
     double = whole + part * 1000 / F.lit(1e9)
     millis = whole * 1000 + F.rint((double - whole) * 1000)
-    return (millis.cast("decimal(20,0)") * F.lit(Decimal("0.001"))).cast("decimal(20,3)").cast("string")
+    return (millis.cast("decimal(20,0)") * F.lit(Decimal("0.001"))).cast("decimal(20,3)")
 
 
 def gelf(
@@ -246,32 +259,39 @@ def gelf(
     prefix: str = "agent_",
 ) -> Column:
     """Return the event as one GELF 1.1 document, without the NUL terminator."""
-    seconds = _seconds_to_millis(occurrence_time())
     count = F.when(F.col("series").isNotNull(), F.col("series.count")).otherwise(F.lit(1))
 
     def optional(name: str, value: Column) -> Column:
         return text_or_null(value).alias(name)
 
-    fields = F.struct(
-        optional("_event_reason", F.col("reason")),
-        optional("_event_action", F.col("action")),
-        optional("_event_type", F.col("type")),
-        count.alias("_event_count"),
-        F.when(F.col("series").isNotNull(), rfc3339_trimmed(F.col("eventTime"))).alias("_event_start_time"),
-        optional("_event_name", F.col("name")),
-        optional("_event_uid", F.col("uid")),
-        optional("_event_reporting_controller", F.col("reportingController")),
-        optional("_event_reporting_instance", F.col("reportingInstance")),
-        optional("_namespace_name", F.col("namespace")),
-        optional("_object_kind", F.col("regarding.kind")),
-        optional("_object_name", F.col("regarding.name")),
-        optional("_object_namespace", F.col("regarding.namespace")),
-        optional("_object_uid", F.col("regarding.uid")),
-        optional("_object_api_version", F.col("regarding.apiVersion")),
-        optional("_object_resource_version", F.col("regarding.resourceVersion")),
-        optional("_object_owner_kind", F.col("regardingObject.owner.kind")),
-        optional("_object_owner_name", F.col("regardingObject.owner.name")),
-        F.col("regardingObject.terminating").alias("_object_terminating"),
+    document = F.to_json(
+        F.struct(
+            F.lit("1.1").alias("version"),
+            F.lit(host or identity.pod).alias("host"),
+            F.coalesce(text_or_null(F.col("reason")), F.lit("-")).alias("short_message"),
+            optional("full_message", F.col("note")),
+            _seconds_with_millis(occurrence_time()).alias("timestamp"),
+            F.when(F.col("type") == "Warning", F.lit(4)).otherwise(F.lit(6)).alias("level"),
+            optional("_event_reason", F.col("reason")),
+            optional("_event_action", F.col("action")),
+            optional("_event_type", F.col("type")),
+            count.alias("_event_count"),
+            F.when(F.col("series").isNotNull(), rfc3339_trimmed(F.col("eventTime"))).alias("_event_start_time"),
+            optional("_event_name", F.col("name")),
+            optional("_event_uid", F.col("uid")),
+            optional("_event_reporting_controller", F.col("reportingController")),
+            optional("_event_reporting_instance", F.col("reportingInstance")),
+            optional("_namespace_name", F.col("namespace")),
+            optional("_object_kind", F.col("regarding.kind")),
+            optional("_object_name", F.col("regarding.name")),
+            optional("_object_namespace", F.col("regarding.namespace")),
+            optional("_object_uid", F.col("regarding.uid")),
+            optional("_object_api_version", F.col("regarding.apiVersion")),
+            optional("_object_resource_version", F.col("regarding.resourceVersion")),
+            optional("_object_owner_kind", F.col("regardingObject.owner.kind")),
+            optional("_object_owner_name", F.col("regardingObject.owner.name")),
+            F.col("regardingObject.terminating").alias("_object_terminating"),
+        )
     )
     constants = [
         (f"_{prefix}{name}", getattr(identity, name)) for name in ("cluster", "node", "namespace", "pod", "version")
@@ -279,19 +299,14 @@ def gelf(
     constants = [(name, value) for name, value in constants if value]
     constants += [(f"_{_gelf_name(name, prefix)}", value) for name, value in sorted((additional or {}).items())]
     static = ",".join(f'"{name}":{_quoted(value)}' for name, value in constants)
-    level = F.when(F.col("type") == "Warning", F.lit('"level":4')).otherwise(F.lit('"level":6'))
-    return json_object(
-        F.lit(f'"version":"1.1","host":{_quoted(host or identity.pod)}'),
-        members(
-            F.struct(
-                F.coalesce(text_or_null(F.col("reason")), F.lit("-")).alias("short_message"),
-                optional("full_message", F.col("note")),
-            )
+    # Labels and annotations have keys of their own, so they follow as members.
+    return F.concat(
+        F.concat_ws(
+            ",",
+            unclosed(document),
+            _gelf_map("_object_label_", F.col("regardingObject.labels")),
+            _gelf_map("_object_annotation_", F.col("regardingObject.annotations")),
+            F.lit(static or None).cast("string"),
         ),
-        F.concat(F.lit('"timestamp":'), seconds),
-        level,
-        members(fields),
-        _gelf_map("_object_label_", F.col("regardingObject.labels")),
-        _gelf_map("_object_annotation_", F.col("regardingObject.annotations")),
-        F.lit(static or None).cast("string"),
+        F.lit("}"),
     )

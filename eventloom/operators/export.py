@@ -34,7 +34,7 @@ def request_bodies(
         raise ValueError("a content type can only be set for templates")
     joiner = {"ndjson": "\n", "template": separator}.get(fmt, ",")
     opening, closing = {"ndjson": ("", "\n"), "template": ("", "")}.get(fmt, ("[", "]"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "frame")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "frame")))
     joined = F.array_join(F.transform(ordered, lambda entry: entry["frame"]), joiner)
     return frames.groupBy("batch_id").agg(
         F.count("*").alias("frames"),

@@ -39,13 +39,23 @@ def promote_source(modern: str, deprecated: str) -> Column:
 
 def clean_reference(reference: str) -> Column:
     """Rebuild a reference with valid text and no NULL strings."""
-    return F.struct(*[valid_utf8(_text(F.col(f"{reference}.{name}"))).alias(name) for name in REFERENCE_FIELDS])
+    strings = F.array(*[_text(F.col(f"{reference}.{name}")) for name in REFERENCE_FIELDS])
+    plain = F.struct(*[strings[i].alias(name) for i, name in enumerate(REFERENCE_FIELDS)])
+    repaired = F.transform(strings, valid_utf8)
+    rebuilt = F.struct(*[repaired[i].alias(name) for i, name in enumerate(REFERENCE_FIELDS)])
+    return F.when(_all_valid(strings), plain).otherwise(rebuilt)
+
+
+def _all_valid(strings: Column) -> Column:
+    """Return whether every string is valid; the joint keeps broken ends from completing each other."""
+    return F.is_valid_utf8(F.concat_ws(" ", strings))
 
 
 def clean_values(entries: Column) -> Column:
     """Repair the values of a map that holds an invalid one."""
-    valid = F.forall(F.map_values(entries), lambda value: F.is_valid_utf8(value))
-    return F.when(valid, entries).otherwise(F.transform_values(entries, lambda _, value: valid_utf8(value)))
+    return F.when(_all_valid(F.map_values(entries)), entries).otherwise(
+        F.transform_values(entries, lambda _, value: valid_utf8(value))
+    )
 
 
 def lift(raw: DataFrame, ingest_ts: Column | str, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.jsontext import json_object, json_quote, sorted_map, text_or_null
+from eventloom.functions.jsontext import sorted_map, text_or_null
 from eventloom.functions.times import occurrence_time, rfc3339_trimmed
 from eventloom.operators.encode import Identity, _quoted
 
@@ -67,81 +67,81 @@ def _severity_name(event_type: Column) -> Column:
     return name
 
 
-def _string_attribute(key: str, value: Column) -> Column:
-    """Return one attribute, NULL for an empty value."""
-    return F.concat(F.lit(f'{{"key":{_quoted(key)},"value":{{"stringValue":'), json_quote(text_or_null(value)), F.lit("}}"))
+def _value(text: Column | None = None, flag: Column | None = None, number: Column | None = None) -> Column:
+    """Return an attribute value; the members that are NULL are not written."""
+    return F.struct(
+        (F.lit(None) if text is None else text).cast("string").alias("stringValue"),
+        (F.lit(None) if flag is None else flag).cast("boolean").alias("boolValue"),
+        (F.lit(None) if number is None else number).cast("string").alias("intValue"),
+    )
+
 
+def _attribute(key: str, present: Column, value: Column) -> Column:
+    """Return one attribute, NULL when it is absent."""
+    return F.when(present, F.struct(F.lit(key).alias("key"), value.alias("value")))
 
-def _attributes(pairs: tuple[tuple[str, str], ...]) -> list[Column]:
-    return [
-        F.when(F.col(path) != "", _string_attribute(key, F.col(path))) for key, path in pairs
-    ]
+
+def _texts(pairs: tuple[tuple[str, str], ...]) -> list[Column]:
+    return [_attribute(key, F.col(path) != "", _value(F.col(path))) for key, path in pairs]
 
 
 def _map_attributes(prefix: str, entries: Column) -> Column:
+    """Return the non-empty entries of a map as attributes in key order, none for a NULL map."""
     listed = F.transform(
         F.filter(F.map_entries(sorted_map(entries)), lambda entry: entry["value"] != ""),
-        lambda entry: F.concat(
-            F.lit('{"key":'),
-            json_quote(F.concat(F.lit(prefix), entry["key"])),
-            F.lit(',"value":{"stringValue":'),
-            json_quote(entry["value"]),
-            F.lit("}}"),
-        ),
+        lambda entry: F.struct(F.concat(F.lit(prefix), entry["key"]).alias("key"), _value(entry["value"]).alias("value")),
     )
-    return F.nullif(F.array_join(listed, ","), F.lit(""))
-
-
-def _list(*items: Column) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+    return F.coalesce(listed, F.array())
 
 
 def otlp_resource(identity: Identity, service_name: str = "event-agent") -> Column:
     """Return the resource: the exporter, and the object the event regards."""
-    constant = [("service.name", service_name)] + [(key, getattr(identity, name)) for key, name in AGENT_ATTRIBUTES]
-    agent = ",".join(
-        f'{{"key":"{key}","value":{{"stringValue":{_quoted(value)}}}}}' for key, value in constant if value
-    )
-    terminating = F.when(
-        F.col("regardingObject.terminating"), F.lit('{"key":"k8s.object.terminating","value":{"boolValue":true}}')
-    )
-    attributes = _list(
-        F.lit(agent),
-        *_attributes(OBJECT_ATTRIBUTES),
+    agent = [("service.name", service_name)] + [(key, getattr(identity, name)) for key, name in AGENT_ATTRIBUTES]
+    terminating = F.coalesce(F.col("regardingObject.terminating"), F.lit(False))
+    attributes = F.concat(
+        F.array_compact(
+            F.array(
+                *[_attribute(key, F.lit(True), _value(F.lit(value))) for key, value in agent if value],
+                *_texts(OBJECT_ATTRIBUTES),
+            )
+        ),
         _map_attributes("k8s.object.label.", F.col("regardingObject.labels")),
         _map_attributes("k8s.object.annotation.", F.col("regardingObject.annotations")),
-        terminating,
-        *_attributes(OWNER_ATTRIBUTES),
+        F.array_compact(
+            F.array(
+                _attribute("k8s.object.terminating", terminating, _value(flag=F.lit(True))),
+                *_texts(OWNER_ATTRIBUTES),
+            )
+        ),
     )
-    return F.concat(F.lit('{"attributes":'), attributes, F.lit("}"))
+    return F.to_json(F.struct(attributes.alias("attributes")))
 
 
 def _nanos(time: Column) -> Column:
-    return F.concat(F.lit('"'), F.unix_micros(time).cast("string"), F.lit('000"'))
+    return F.concat(F.unix_micros(time).cast("string"), F.lit("000"))
 
 
 def otlp_record(observed: Column) -> Column:
     """Return the log record of an event."""
-    start = F.when(
-        F.col("series").isNotNull(), _string_attribute("k8s.event.start_time", rfc3339_trimmed(F.col("eventTime")))
-    )
-    count = F.when(
-        F.col("series.count") > 0,
-        F.concat(
-            F.lit('{"key":"k8s.event.count","value":{"intValue":"'),
-            F.col("series.count").cast("string"),
-            F.lit('"}}'),
-        ),
+    attributes = F.array_compact(
+        F.array(
+            *_texts(RECORD_ATTRIBUTES),
+            _attribute(
+                "k8s.event.start_time", F.col("series").isNotNull(), _value(rfc3339_trimmed(F.col("eventTime")))
+            ),
+            _attribute("k8s.event.count", F.col("series.count") > 0, _value(number=F.col("series.count"))),
+        )
     )
-    return json_object(
-        F.concat(F.lit('"timeUnixNano":'), _nanos(occurrence_time())),
-        F.concat(F.lit('"observedTimeUnixNano":'), _nanos(observed)),
-        F.concat(F.lit('"severityNumber":"'), _severity_name(F.col("type")), F.lit('"')),
-        F.concat(F.lit('"severityText":'), json_quote(text_or_null(F.col("type")))),
-        F.concat(F.lit('"body":{"stringValue":'), json_quote(F.col("note")), F.lit("}")),
-        F.concat(
-            F.lit('"attributes":'), F.nullif(_list(*_attributes(RECORD_ATTRIBUTES), start, count), F.lit("[]"))
-        ),
+    any_text = F.concat_ws("", *[F.col(path) for _, path in RECORD_ATTRIBUTES]) != ""
+    return F.to_json(
+        F.struct(
+            _nanos(occurrence_time()).alias("timeUnixNano"),
+            _nanos(observed).alias("observedTimeUnixNano"),
+            _severity_name(F.col("type")).alias("severityNumber"),
+            text_or_null(F.col("type")).alias("severityText"),
+            F.struct(F.col("note").alias("stringValue")).alias("body"),
+            F.when(any_text | F.col("series").isNotNull(), attributes).alias("attributes"),
+        )
     )
 
 
@@ -167,7 +167,7 @@ def otlp_groups(records: DataFrame) -> DataFrame:
     Records keep their order in a group. A group holds at most one batch, which
     the batch limits bound.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "record")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "record")))
     return records.groupBy("batch_id", "resource").agg(
         F.min("seq").alias("first_seq"),
         F.count("*").alias("records"),
@@ -186,7 +186,7 @@ def otlp_compact(records: DataFrame, scope_name: str = "eventloom.otlp", scope_v
         F.array_join("log_records", ","),
         F.lit("]}]}"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("first_seq", group.alias("body"))))
+    ordered = F.sort_array(F.collect_list(F.struct("first_seq", group.alias("body"))))
     return (
         otlp_groups(records)
         .groupBy("batch_id")

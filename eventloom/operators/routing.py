@@ -23,27 +23,25 @@ def flow_verdict(flow: Flow) -> Column:
 
 
 def match(events: DataFrame, flows: Sequence[Flow]) -> DataFrame:
-    """Add ``verdicts``: one (flow, verdict, sinks) entry per flow, in name order, in one pass."""
-    entries = [
-        F.struct(
-            F.lit(flow.name).alias("flow"),
-            flow_verdict(flow).alias("verdict"),
-            F.array(*[F.lit(sink) for sink in flow.sinks]).alias("sinks"),
-        )
-        for flow in sorted(flows, key=lambda flow: flow.name)
-    ]
-    return events.withColumn("verdicts", F.array(*entries))
-
+    """Evaluate every flow in name order, in one pass.
 
-def reached_sinks(verdicts: Column) -> Column:
-    """Return the distinct sinks of the matching flows, in first-reached order."""
-    matching = F.filter(verdicts, lambda entry: entry["verdict"] == MATCHED)
-    return F.array_distinct(F.flatten(F.transform(matching, lambda entry: entry["sinks"])))
+    ``verdicts`` holds one (flow, verdict) entry per flow, and ``sinks`` the
+    distinct sinks of the matching ones, in the order they are reached.
+    """
+    flows = sorted(flows, key=lambda flow: flow.name)
+    found = [flow_verdict(flow) for flow in flows]
+    entries = [F.struct(F.lit(flow.name).alias("flow"), verdict.alias("verdict")) for flow, verdict in zip(flows, found)]
+    none = F.array().cast("array<string>")
+    reached = [
+        F.when(verdict == MATCHED, F.array(*[F.lit(sink) for sink in flow.sinks])).otherwise(none)
+        for flow, verdict in zip(flows, found)
+    ]
+    return events.withColumns({"verdicts": F.array(*entries), "sinks": F.array_distinct(F.concat(*reached))})
 
 
 def route(matched: DataFrame) -> DataFrame:
     """Return one row per event and reached sink; the sinks are deduplicated in the row, without a shuffle."""
-    return matched.withColumn("sink", F.explode(reached_sinks(F.col("verdicts")))).drop("verdicts")
+    return matched.withColumn("sink", F.explode("sinks")).drop("verdicts", "sinks")
 
 
 def verdict_counts(matched: DataFrame) -> DataFrame:

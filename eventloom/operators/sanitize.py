@@ -62,28 +62,26 @@ def allowed_value(name: str, values: Sequence[str]) -> Column:
 
 def limit_reference(reference: Column) -> Column:
     """Limit every string of a reference; one that fits is passed through whole."""
-    fits = F.lit(True)
-    for name in REFERENCE_FIELDS:
-        fits = fits & (F.octet_length(reference[name]) <= REFERENCE_FIELD_LIMIT)
-    cut = F.struct(
-        *[truncate_bytes(reference[name], REFERENCE_FIELD_LIMIT).alias(name) for name in REFERENCE_FIELDS]
-    )
-    return F.when(reference.isNull() | fits, reference).otherwise(cut)
+    strings = F.array(*[reference[name] for name in REFERENCE_FIELDS])
+    fit_together = F.octet_length(F.concat_ws("", strings)) <= REFERENCE_FIELD_LIMIT
+    cut = F.transform(strings, lambda value: truncate_bytes(value, REFERENCE_FIELD_LIMIT))
+    rebuilt = F.struct(*[cut[i].alias(name) for i, name in enumerate(REFERENCE_FIELDS)])
+    return F.when(reference.isNull() | fit_together, reference).otherwise(rebuilt)
 
 
 def drop_last_applied(annotations: Column) -> Column:
     """Remove the annotation that mirrors the object as it was applied."""
-    return F.when(
-        F.map_contains_key(annotations, F.lit(LAST_APPLIED)),
-        F.map_filter(annotations, lambda key, _: key != LAST_APPLIED),
-    ).otherwise(annotations)
+    key = F.lit(LAST_APPLIED)
+    entry = F.struct(key.alias("key"), annotations[key].alias("value"))
+    others = F.map_from_entries(F.array_remove(F.map_entries(annotations), entry))
+    return F.when(F.map_contains_key(annotations, key), others).otherwise(annotations)
 
 
 def cap_map(entries: Column, limit: int) -> Column:
     """Keep the first ``limit`` entries in key order; zero keeps all."""
     if limit <= 0:
         return entries
-    kept = F.map_from_entries(F.slice(F.array_sort(F.map_entries(entries)), 1, limit))
+    kept = F.map_from_entries(F.slice(F.sort_array(F.map_entries(entries)), 1, limit))
     return F.when(F.size(entries) <= limit, entries).otherwise(kept)
 
 
@@ -91,8 +89,9 @@ def limit_values(entries: Column, limit: int) -> Column:
     """Truncate every value of a map to ``limit`` bytes; zero keeps all."""
     if limit <= 0:
         return entries
-    fits = F.forall(F.map_values(entries), lambda value: F.octet_length(value) <= limit)
-    return F.when(fits, entries).otherwise(
+    # Values that fit together fit one by one; only larger maps are looked at value by value.
+    fit_together = F.octet_length(F.concat_ws("", F.map_values(entries))) <= limit
+    return F.when(fit_together, entries).otherwise(
         F.transform_values(entries, lambda _, value: truncate_bytes(value, limit))
     )
 
