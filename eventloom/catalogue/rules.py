@@ -197,12 +197,12 @@ _NETS = """nets AS (
 
 @query(
     f"""WITH {EV},{_NETS} SELECT uid, cidr, tag FROM ev
-    JOIN nets ON 10 * 16777216 + user_id * 65536 + CAST(k AS INT) * 256 + seq % 256 BETWEEN lo AND lo + n - 1"""
+    JOIN nets ON 10 * 16777216 + user_id % 150 * 65536 + CAST(k AS INT) * 256 + seq % 256 BETWEEN lo AND lo + n - 1"""
 )
 def cidr_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr(
         "concat('ev-', event_id) AS uid",
-        "concat('10.', user_id, '.', get_json_object(props, '$.k'), '.', event_id % 256) AS ip",
+        "concat('10.', user_id % 150, '.', get_json_object(props, '$.k'), '.', event_id % 256) AS ip",
     )
     nations = table(spark, sf_dir, "nation").selectExpr(
         "concat('10.', n_nationkey, '.0.0/16') AS cidr", "n_name AS tag"
@@ -267,16 +267,16 @@ def rule_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {EV} SELECT CAST(CASE WHEN user_id % 2 = 0 THEN 4 ELSE 6 END AS INT) AS family,
-      CASE WHEN user_id % 2 = 0 THEN user_id = 126 ELSE CAST(k AS INT) < 10 END AS loopback,
-      CASE WHEN user_id % 2 = 0 THEN user_id <> 126 ELSE CAST(k AS INT) BETWEEN 10 AND 89 END AS global_unicast,
+      CASE WHEN user_id % 2 = 0 THEN user_id % 150 = 126 ELSE CAST(k AS INT) < 10 END AS loopback,
+      CASE WHEN user_id % 2 = 0 THEN user_id % 150 <> 126 ELSE CAST(k AS INT) BETWEEN 10 AND 89 END AS global_unicast,
       count(*) AS events FROM ev GROUP BY 1, 2, 3"""
 )
 def ip_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.expr(
-        """CASE WHEN user_id % 2 = 0 THEN concat(user_id + 1, '.', get_json_object(props, '$.k'), '.0.1')
+        """CASE WHEN user_id % 2 = 0 THEN concat(user_id % 150 + 1, '.', get_json_object(props, '$.k'), '.0.1')
              WHEN int(get_json_object(props, '$.k')) < 10 THEN '::1'
              WHEN int(get_json_object(props, '$.k')) > 89 THEN concat('fe80::', get_json_object(props, '$.k'))
-             ELSE concat('2001:db8::', user_id, ':', get_json_object(props, '$.k')) END"""
+             ELSE concat('2001:db8::', user_id % 10000, ':', get_json_object(props, '$.k')) END"""
     )
     facts = table(spark, sf_dir, "events").select(fn.ip_facts(address).alias("ip"))
     return facts.groupBy("ip.family", "ip.loopback", "ip.global_unicast").agg(F.count("*").alias("events"))

@@ -38,8 +38,8 @@ def sample_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.first_seen(failures(spark, sf_dir), 3).filter("admitted").select("gate", "seq", "key")
 
 
-@query(
-    f"""WITH RECURSIVE {FAIL}, n AS (
+# At most two records of a kind per hour and gate, one by one.
+INTERVAL_SQL = f"""WITH RECURSIVE {FAIL}, n AS (
       SELECT *, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY gate ORDER BY seq) AS rn FROM fail),
     w AS (
       SELECT gate, rn, seq, key, moment AS since, 1 AS count, true AS admitted FROM n WHERE rn = 1
@@ -48,9 +48,10 @@ def sample_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN n.key <> w.key OR n.moment - since >= 3600000000 THEN n.moment ELSE since END,
         CASE WHEN n.key <> w.key OR n.moment - since >= 3600000000 THEN 1 ELSE least(count + 1, 3) END,
         n.key <> w.key OR n.moment - since >= 3600000000 OR count < 2
-      FROM w JOIN n USING (gate) WHERE n.rn = w.rn + 1)
-    SELECT gate, seq, admitted FROM w"""
-)
+      FROM w JOIN n USING (gate) WHERE n.rn = w.rn + 1)"""
+
+
+@query(f"{INTERVAL_SQL} SELECT gate, seq, admitted FROM w")
 def sample_per_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two records of a kind per hour and gate."""
     thinned = sampling.per_interval(failures(spark, sf_dir), dt.timedelta(hours=1), 2)

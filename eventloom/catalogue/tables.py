@@ -98,7 +98,18 @@ ev AS (
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return ``events`` as watch frames."""
-    rows = table(spark, sf_dir, "events").selectExpr(
+    return frames_of(table(spark, sf_dir, "events"))
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Return a table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def frames_of(events: DataFrame) -> DataFrame:
+    """Return rows of ``events`` as watch frames."""
+    rows = events.selectExpr(
         "concat('team-', user_id % 5) AS watch",
         "event_id AS seq",
         """CASE WHEN event_type = 'signup' THEN 'BOOKMARK' WHEN event_type = 'view' THEN 'MODIFIED'
@@ -287,7 +298,12 @@ outc AS (
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return ``events`` as failure records, a gate per controller."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return failures_of(table(spark, sf_dir, "events"))
+
+
+def failures_of(events: DataFrame) -> DataFrame:
+    """Return rows of ``events`` as failure records."""
+    return events.selectExpr(
         "concat('controller-', event_id % 3) AS gate",
         "event_id AS seq",
         "CAST(ts AS TIMESTAMP) AS ts",

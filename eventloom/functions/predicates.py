@@ -288,6 +288,63 @@ def is_canonical_ip(text: Column) -> Column:
     return text == ip_facts(text)["canonical"]
 
 
+CIDR_FACTS = T.StructType(
+    [
+        T.StructField("lo", T.BinaryType()),
+        T.StructField("hi", T.BinaryType()),
+        T.StructField("prefix", T.IntegerType()),
+        T.StructField("masked", T.StringType()),
+    ]
+)
+
+
+def _address_key(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bytes:
+    return bytes([ip.version]) + ip.packed
+
+
+def _ip_key(text: str | None) -> bytes | None:
+    try:
+        ip = ipaddress.ip_address(text or "")
+    except ValueError:
+        return None
+    return None if ip.version == 6 and (ip.scope_id or ip.ipv4_mapped) else _address_key(ip)
+
+
+def _cidr_facts(text: str | None) -> tuple:
+    address, slash, _ = (text or "").partition("/")
+    if not slash or _ip_key(address) is None:
+        return (None,) * len(CIDR_FACTS)
+    try:
+        network = ipaddress.ip_network(text, strict=False)
+    except ValueError:
+        return (None,) * len(CIDR_FACTS)
+    low, high = network.network_address, network.broadcast_address
+    return _address_key(low), _address_key(high), network.prefixlen, str(network)
+
+
+@F.pandas_udf(T.BinaryType())
+def ip_key(text: pd.Series) -> pd.Series:
+    """Return a byte key that orders addresses of both families, NULL for anything else."""
+    return text.map(_ip_key)
+
+
+@F.pandas_udf(CIDR_FACTS)
+def cidr_facts(text: pd.Series) -> pd.DataFrame:
+    """Return the first and last address key, prefix length and masked form of an IPv4 or IPv6 CIDR."""
+    return pd.DataFrame([_cidr_facts(value) for value in text], columns=CIDR_FACTS.names)
+
+
+def network_contains_ip(cidr: Column, ip: Column) -> Column:
+    """Return whether a network of either family holds an address; IPv4 alone is faster with the plain form."""
+    network, key = cidr_facts(cidr), ip_key(ip)
+    return (key >= network["lo"]) & (key <= network["hi"])
+
+
+def network_contains_network(outer: Column, inner: Column) -> Column:
+    a, b = cidr_facts(outer), cidr_facts(inner)
+    return (b["lo"] >= a["lo"]) & (b["hi"] <= a["hi"])
+
+
 def tag_cidr(rows: DataFrame, ip: str, networks: DataFrame, prefixes: Sequence[int] = range(33)) -> DataFrame:
     """Tag each row with every IPv4 network ``cidr, tag`` that holds its address.
 

@@ -24,7 +24,9 @@ def request_bodies(
 ) -> DataFrame:
     """Compose one body per batch from the rows ``batch_id, seq, frame``.
 
-    A group is one batch, which the batch limits bound.
+    A group is one batch, which the batch limits bound. Frames of a batch cannot
+    be combined before they meet, so the rows are placed by batch first and no
+    lists are built ahead of the shuffle.
     """
     if fmt not in (*CONTENT_TYPES, "template"):
         raise ValueError(f"unknown body format {fmt!r}")
@@ -36,7 +38,7 @@ def request_bodies(
     opening, closing = {"ndjson": ("", "\n"), "template": ("", "")}.get(fmt, ("[", "]"))
     ordered = F.sort_array(F.collect_list(F.struct("seq", "frame")))
     joined = F.array_join(F.transform(ordered, lambda entry: entry["frame"]), joiner)
-    return frames.groupBy("batch_id").agg(
+    return frames.repartition("batch_id").groupBy("batch_id").agg(
         F.count("*").alias("frames"),
         F.concat(F.lit(opening), joined, F.lit(closing)).alias("body"),
         F.lit(content_type or CONTENT_TYPES[fmt]).alias("content_type"),

@@ -165,10 +165,11 @@ def otlp_groups(records: DataFrame) -> DataFrame:
     """Group the records ``batch_id, seq, resource, record`` of each batch by resource.
 
     Records keep their order in a group. A group holds at most one batch, which
-    the batch limits bound.
+    the batch limits bound. The rows are placed by batch once, which serves this
+    grouping and the one in :func:`otlp_compact` without another shuffle.
     """
     ordered = F.sort_array(F.collect_list(F.struct("seq", "record")))
-    return records.groupBy("batch_id", "resource").agg(
+    return records.repartition("batch_id").groupBy("batch_id", "resource").agg(
         F.min("seq").alias("first_seq"),
         F.count("*").alias("records"),
         F.transform(ordered, lambda entry: entry["record"]).alias("log_records"),

@@ -79,6 +79,15 @@ def read_events(
     return bind_watch(events, watches)
 
 
+def parse_events(values: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Read raw events from JSON values, such as those of a Kafka topic; what is no object is left out.
+
+    A binary value is read as it is, so that invalid bytes reach the repair of the lift.
+    """
+    parsed = F.from_json(F.col(column).cast("string"), RAW_EVENT)
+    return values.select(*keep, parsed.alias("_event")).filter(F.col("_event").isNotNull()).select(*keep, "_event.*")
+
+
 def read_frames(spark: SparkSession, path: str, fmt: str = "json", streaming: bool = False, **options: str) -> DataFrame:
     """Read a log of watch frames: ``watch, seq, frame_type, object``."""
     reader = spark.readStream if streaming else spark.read

@@ -226,6 +226,20 @@ def test_ip_facts(spark):
     assert {row[0]: tuple(row[1:]) for row in got.collect()} == cases
 
 
+def test_networks_of_both_families(spark):
+    cases = [
+        ("2001:db8::/32", "2001:DB8::7", True), ("2001:db8::/32", "2001:db9::1", False), ("10.0.0.0/8", "10.9.9.9", True),
+        ("::/0", "10.9.9.9", False), ("fe80::1/64", "fe80::2", True), ("::ffff:1.2.3.0/120", "1.2.3.4", None),
+        ("10.0.0.0/33", "10.0.0.1", None), ("10.0.0.1", "10.0.0.1", None), ("10.0.0.0/8", "x", None),
+    ]
+    rows = spark.createDataFrame([(c, i) for c, i, _ in cases], "c string, i string")
+    got = rows.select(fn.network_contains_ip(F.col("c"), F.col("i")).alias("h"), fn.cidr_facts(F.col("c"))["masked"].alias("m")).collect()
+    assert [row["h"] for row in got] == [held for *_, held in cases]
+    assert (got[0]["m"], got[4]["m"]) == ("2001:db8::/32", "fe80::/64")
+    nested = spark.createDataFrame([("2001:db8::/32", "2001:db8:1::/48"), ("2001:db8:1::/48", "2001:db8::/32")], "a string, b string")
+    assert [r[0] for r in nested.select(fn.network_contains_network(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
 def test_tag_cidr(spark):
     rows = spark.createDataFrame([("a", "10.1.2.3"), ("b", "11.0.0.1"), ("c", "bad")], "id string, ip string")
     nets = spark.createDataFrame([("10.0.0.0/8", "ten"), ("10.1.0.0/16", "one"), ("0.0.0.0/0", "all"), ("x", "bad")], "cidr string, tag string")

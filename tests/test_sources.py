@@ -77,6 +77,12 @@ def test_read_and_bind(spark, tmp_path):
     assert everything.drop("watch").schema.simpleString() == RAW_EVENT.simpleString()
 
 
+def test_parse_events(spark):
+    rows = spark.createDataFrame([(1, bytearray(b'{"uid":"1","deprecatedCount":3}'))], "offset long, value binary")
+    row = source.parse_events(rows, keep=["offset"]).collect()[0]
+    assert (row["offset"], row["uid"], row["deprecatedCount"], row["regarding"]) == (1, "1", 3, None)
+
+
 def frame(watch, seq, kind, version, ends=False):
     raw = {name: None for name in RAW_EVENT.names}
     raw |= {"resourceVersion": version, "uid": f"{watch}-{seq}"}
