@@ -22,7 +22,7 @@ from eventloom.plans.spec import Flow
 from eventloom.session import shared_folder
 from eventloom.sinks.writers import counters_writer, lines_writer
 from eventloom.sources.events import Watch
-from eventloom.streaming.run import load_positions, per_interval_stream, run_stream
+from eventloom.streaming.run import load_positions, load_totals, per_interval_stream, run_stream
 
 _DELIVERED = f"""{FR}, ev AS (
   SELECT watch, seq, uid, event_type, user_id, event_id FROM fr JOIN events ON event_id = seq
@@ -72,7 +72,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DELIVERED} SELECT watch AS namespace, count(*) AS value FROM ev WHERE event_type = 'error' GROUP BY 1")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = spark.read.parquet(f"{_run(spark, sf_dir)}/counters")
+    totals = load_totals(spark, f"{_run(spark, sf_dir)}/counters")
     return totals.select(F.col("label_values")[0].alias("namespace"), "value")
 
 
@@ -85,17 +85,21 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_positions(spark, f"{_run(spark, sf_dir)}/positions")
 
 
-@query(f"{INTERVAL_SQL} SELECT gate, seq, key FROM w WHERE admitted")
+@query(f"""{INTERVAL_SQL} SELECT gate, seq, key,
+      rn - coalesce(lag(rn) OVER (PARTITION BY gate ORDER BY seq), 0) - 1 AS suppressed FROM w WHERE admitted""")
 def stream_per_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    thinned = per_interval_stream(failures_of(streamed(spark, sf_dir, "events")), dt.timedelta(hours=1), 2)
-    (
-        thinned.select("gate", "seq", "key")
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/admitted")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{folder}/admitted")
+
+    def write(admitted: DataFrame, epoch: int) -> None:
+        admitted.write.mode("overwrite").parquet(f"{folder}/admitted/epoch={epoch}")
+
+    per_interval_stream(
+        failures_of(streamed(spark, sf_dir, "events")),
+        dt.timedelta(hours=1),
+        2,
+        write,
+        folder=f"{folder}/gates",
+        checkpoint=f"{folder}/checkpoint",
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/admitted").select("gate", "seq", "key", "suppressed")

@@ -10,7 +10,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.chains import last_openings, openings_from, walk_segments
@@ -57,8 +57,11 @@ def first_seen(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def with_suppressed(rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """Return the admitted rows with ``suppressed``: the rows withheld since the gate's previous admitted one."""
+def with_suppressed(rows: DataFrame, span: int = SPAN, pending: DataFrame | None = None) -> DataFrame:
+    """Return the admitted rows with ``suppressed``: the rows withheld since the gate's previous admitted one.
+
+    ``pending`` holds ``gate, pending``: rows withheld before these and not reported yet.
+    """
     segmented = with_segment(rows, span).withColumn("_withheld", F.when(F.col("admitted"), 0).otherwise(1))
     running = F.sum("_withheld").over(in_segment(_GATE).rowsBetween(Window.unboundedPreceding, 0))
     counted = segmented.withColumn("_running", running)
@@ -68,8 +71,13 @@ def with_suppressed(rows: DataFrame, span: int = SPAN) -> DataFrame:
     )
     offsets = summary.withColumn("_offset", F.coalesce(F.sum("_total").over(before(_GATE)), F.lit(0)))
     reported = F.max(F.col("_offset") + F.col("_seen")).over(before(_GATE))
+    if pending is None:
+        unreported = F.lit(0)
+    else:
+        offsets = offsets.join(pending.select("gate", F.col("pending").alias("_earlier")), "gate", "left")
+        unreported = F.coalesce("_earlier", F.lit(0))
     carry = offsets.select(
-        "gate", SEGMENT, (F.col("_offset") - F.coalesce(reported, F.lit(0))).alias("_pending")
+        "gate", SEGMENT, (F.col("_offset") - F.coalesce(reported, -unreported)).alias("_pending")
     )
     previous = F.lag("_running").over(in_segment(_GATE))
     admitted = counted.filter("admitted").withColumn("_before", previous)
@@ -80,33 +88,83 @@ def with_suppressed(rows: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
-def per_interval(rows: DataFrame, interval: dt.timedelta, threshold: int, span: int = SPAN) -> DataFrame:
+_SUMMARY = (
+    f"`{SEGMENT}` bigint, rows bigint, first_key string, reset bigint, "
+    "until array<bigint>, end_key array<string>, end_at array<bigint>, end_count array<bigint>"
+)
+_STATE = "open boolean, key string, since bigint, count bigint"
+
+# Segment numbers before and after every real one.
+_FIRST, _LAST = -(1 << 62), 1 << 62
+
+
+def per_interval(
+    rows: DataFrame, interval: dt.timedelta, threshold: int, span: int = SPAN, states: DataFrame | None = None
+) -> DataFrame:
     """Add ``admitted``: up to ``threshold`` rows of a key per interval.
 
     A different key is admitted at once and opens a fresh interval. An interval
     starts at the row that opened it and re-opens at the first row at least
     ``interval`` later; an interval of zero never expires. ``ts`` must not
-    decrease with ``seq``.
+    decrease with ``seq``. ``states`` from :func:`interval_states` carries the
+    gates on from earlier rows.
     """
     width = interval // dt.timedelta(microseconds=1)
-    gate_type = rows.schema["gate"].dataType.simpleString()
-    narrow = with_segment(rows.select("gate", "seq", F.unix_micros("ts").alias("at"), "key"), span)
-    summaries = narrow.groupBy("gate", SEGMENT).applyInPandas(
-        _summarise(width),
-        f"gate {gate_type}, `{SEGMENT}` bigint, rows bigint, first_key string, reset bigint, "
-        "until array<bigint>, end_key array<string>, end_at array<bigint>, end_count array<bigint>",
-    )
-    states = walk_segments(
-        summaries, _GATE, _closed, _advance(width), "open boolean, key string, since bigint, count bigint"
-    )
+    narrow = _narrow(rows, span)
     admitted = (
         narrow.groupBy("gate", SEGMENT)
-        .cogroup(states.groupBy("gate", SEGMENT))
-        .applyInPandas(_admit(width, threshold), f"gate {gate_type}, seq bigint, admitted boolean")
+        .cogroup(_walk(narrow, width, states).groupBy("gate", SEGMENT))
+        .applyInPandas(_admit(width, threshold), f"{_gate_field(rows)}, seq bigint, admitted boolean")
     )
     return rows.join(admitted, ["gate", "seq"])
 
 
+def interval_states(
+    rows: DataFrame, interval: dt.timedelta, span: int = SPAN, states: DataFrame | None = None
+) -> DataFrame:
+    """Return the interval open at each gate after the rows: ``gate, key, since, count``."""
+    width = interval // dt.timedelta(microseconds=1)
+    narrow = _narrow(rows, span)
+    gates = narrow.select("gate").distinct()
+    if states is not None:
+        gates = gates.union(states.select("gate")).distinct()
+    after = _walk(narrow, width, states, _constant(gates, F.lit(_LAST), F.lit(""), F.lit(0), F.lit(0)))
+    return after.filter(F.col(SEGMENT) == _LAST).select("gate", "key", "since", "count")
+
+
+def _narrow(rows: DataFrame, span: int) -> DataFrame:
+    return with_segment(rows.select("gate", "seq", F.unix_micros("ts").alias("at"), "key"), span)
+
+
+def _gate_field(rows: DataFrame) -> str:
+    return f"gate {rows.schema['gate'].dataType.simpleString()}"
+
+
+def _walk(narrow: DataFrame, width: int, states: DataFrame | None, *more: DataFrame) -> DataFrame:
+    """Return the interval open at the start of each segment."""
+    summaries = narrow.groupBy("gate", SEGMENT).applyInPandas(_summarise(width), f"{_gate_field(narrow)}, {_SUMMARY}")
+    if states is not None:
+        summaries = summaries.union(_constant(states, F.lit(_FIRST), F.col("key"), F.col("since"), F.col("count")))
+    for extra in more:
+        summaries = summaries.union(extra)
+    return walk_segments(summaries, _GATE, _closed, _advance(width), _STATE)
+
+
+def _constant(gates: DataFrame, segment: Column, key: Column, since: Column, count: Column) -> DataFrame:
+    """Return summaries of segments without rows that leave a fixed interval open."""
+    return gates.select(
+        "gate",
+        segment.cast("bigint").alias(SEGMENT),
+        F.lit(0).cast("bigint").alias("rows"),
+        F.lit(None).cast("string").alias("first_key"),
+        F.lit(0).cast("bigint").alias("reset"),
+        F.array(since.cast("bigint")).alias("until"),
+        F.array(key).alias("end_key"),
+        F.array(since.cast("bigint")).alias("end_at"),
+        F.array(count.cast("bigint")).alias("end_count"),
+    )
+
+
 def _closed() -> dict:
     return {"open": False, "key": "", "since": 0, "count": 0}
 

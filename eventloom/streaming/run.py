@@ -7,17 +7,17 @@ hands the same rows, with the same epoch, to the writers.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventloom.operators.metrics import Metric, series
 from eventloom.operators.routing import route, route_write
+from eventloom.operators.sampling import interval_states, per_interval, with_suppressed
 from eventloom.plans.flow import EventPath
 from eventloom.plans.spec import Flow, swap_filters
 from eventloom.session import shared_folder
@@ -135,12 +135,12 @@ def count_limited(
     the order they occur. The totals hold at most ``max_series`` rows. A batch
     run again starts from the same earlier version.
     """
-    version = _latest_version(spark, folder, below=epoch)
+    earlier = load_totals(spark, folder, below=epoch)
     batch = series(events, metrics, seq).select(
         "metric_index", "label_values", "value", F.lit(epoch).cast("bigint").alias("first_epoch"), "first_seq"
     )
-    if version:
-        batch = spark.read.schema(_TOTALS).parquet(version).unionByName(batch)
+    if earlier is not None:
+        batch = earlier.unionByName(batch)
     totals = (
         batch.groupBy("metric_index", "label_values")
         .agg(F.sum("value").alias("value"), F.min(F.struct("first_epoch", "first_seq")).alias("first"))
@@ -148,60 +148,60 @@ def count_limited(
     )
     if max_series:
         totals = totals.orderBy("first_epoch", "first_seq", "metric_index").limit(max_series)
-    target = f"{folder}/epoch={epoch}"
-    totals.write.mode("overwrite").parquet(target)
-    return spark.read.schema(_TOTALS).parquet(target)
+    totals.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    return load_totals(spark, folder, epoch + 1)
+
+
+def load_totals(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """Return the newest totals of :func:`count_limited`, or None when there are none yet."""
+    version = _latest_version(spark, folder, below)
+    return spark.read.schema(_TOTALS).parquet(version) if version else None
 
 
 # --- rate-limited records ----------------------------------------------------
 
+_INTERVALS = "gate string, key string, since bigint, count bigint, pending bigint"
 
-def per_interval_stream(rows: DataFrame, interval: dt.timedelta, threshold: int) -> DataFrame:
-    """Admit records ``gate, seq, ts, key`` of a stream, up to ``threshold`` of a key per interval.
 
-    The state is one (key, since, count) per gate. Rows of a micro-batch are
-    taken in ``seq`` order.
+def per_interval_stream(
+    rows: DataFrame,
+    interval: dt.timedelta,
+    threshold: int,
+    write: Writer,
+    folder: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] | None = None,
+) -> StreamingQuery:
+    """Thin a stream of records ``gate, seq, ts, key`` and hand on the admitted ones with ``suppressed``.
+
+    Each micro-batch runs the batch operators, so that a hot gate is spread
+    over tasks here too. What a gate carries on is one row of a state table in
+    ``folder``, with a version per epoch; an epoch run again starts from the
+    same earlier version.
     """
-    gate_type = rows.schema["gate"].dataType
-    out = T.StructType(
-        [
-            T.StructField("gate", gate_type),
-            T.StructField("seq", T.LongType()),
-            T.StructField("at", T.LongType()),
-            T.StructField("key", T.StringType()),
-            T.StructField("suppressed", T.LongType()),
-        ]
-    )
-    width = interval // dt.timedelta(microseconds=1)
-
-    def admit(gate: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        key, since, count, withheld = state.get if state.exists else (None, 0, 0, 0)
-        # A group is what one trigger brought in, which the source's rate limit bounds.
-        rows = pd.concat(list(batches)).sort_values("seq")
-        admitted = []
-        for row in rows.itertuples(index=False):
-            if row.key != key or (width > 0 and row.at - since >= width):
-                key, since, count = row.key, row.at, 1
-            elif count < threshold:
-                count += 1
-            else:
-                withheld += 1
-                continue
-            admitted.append((*gate, row.seq, row.at, row.key, withheld))
-            withheld = 0
-        state.update((key, int(since), int(count), int(withheld)))
-        yield pd.DataFrame(admitted, columns=out.names)
+    spark = rows.sparkSession
+
+    def thin(batch: DataFrame, epoch: int) -> None:
+        version = _latest_version(spark, folder, below=epoch)
+        states = spark.read.schema(_INTERVALS).parquet(version) if version else None
+        flagged = per_interval(batch, interval, threshold, states=states).persist(StorageLevel.DISK_ONLY)
+        try:
+            reported = with_suppressed(flagged, pending=states)
+            write(reported.drop("admitted"), epoch)
+            tallied = [flagged.select("gate", F.when(F.col("admitted"), 0).otherwise(1).alias("pending"))]
+            tallied.append(reported.select("gate", -F.col("suppressed")))
+            if states is not None:
+                tallied.append(states.select("gate", "pending"))
+            pending = reduce(DataFrame.union, tallied).groupBy("gate").agg(F.sum("pending").alias("pending"))
+            after = interval_states(batch, interval, states=states).join(pending, "gate")
+            after.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+        finally:
+            flagged.unpersist()
 
     return (
-        rows.select("gate", "seq", F.unix_micros("ts").alias("at"), "key")
-        .groupBy("gate")
-        .applyInPandasWithState(
-            admit,
-            out,
-            "key string, since bigint, count bigint, withheld bigint",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-        .withColumn("ts", F.timestamp_micros("at"))
-        .drop("at")
+        rows.withColumn("gate", F.col("gate").cast("string"))
+        .writeStream.foreachBatch(thin)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"}))
+        .start()
     )

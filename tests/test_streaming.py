@@ -150,17 +150,23 @@ def test_limited_counts_add_up_over_batches(spark, folder, tmp_path, limit):
 def test_interval_stream_equals_the_batch(spark, tmp_path):
     source = str(tmp_path / "records")
     start = utc(2024, 1, 1)
-    rows = [("g" + str(i % 2), i, start + dt.timedelta(minutes=7 * i), "ab"[i % 6 == 0]) for i in range(120)]
+    # Gate g2 stays silent for whole batches, g0 and g1 carry intervals over.
+    rows = [("g" + str(i % 2 if i % 40 else 2), i, start + dt.timedelta(minutes=7 * i), "ab"[i % 6 == 0]) for i in range(160)]
     schema = "gate string, seq long, ts timestamp, key string"
-    for part in range(3):
+    for part in range(4):
         spark.createDataFrame(rows[part * 40 : part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(source)
     records = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    thinned = per_interval_stream(records, dt.timedelta(hours=1), 2)
-    query = thinned.writeStream.format("memory").queryName("thinned").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    batch = sampling.with_suppressed(sampling.per_interval(spark.read.parquet(source), dt.timedelta(hours=1), 2))
     columns = ["gate", "seq", "key", "suppressed"]
-    assert sorted(map(tuple, spark.table("thinned").select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    hour = dt.timedelta(hours=1)
+    found = {}
+
+    def write(admitted, epoch):
+        found[epoch] = [tuple(row) for row in admitted.select(columns).collect()]
+
+    per_interval_stream(records, hour, 2, write, str(tmp_path / "gates"), str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    batch = sampling.with_suppressed(sampling.per_interval(spark.read.parquet(source), hour, 2))
+    assert len(found) == 4
+    assert sorted(row for rows in found.values() for row in rows) == sorted(map(tuple, batch.select(columns).collect()))
 
 
 def test_json_lines_round_trip(spark, tmp_path):
