@@ -6,11 +6,12 @@ expression, so that the operators on top of it can be compared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.operators.enrich import Kind
-from eventloom.schema import EVENT, FRAME, OBJECT, RAW_EVENT
+from eventloom.schema import EVENT, OBJECT, RAW_EVENT
 from eventloom.session import spread
 
 GROUP = "shop.example.com"
@@ -26,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _as(rows: DataFrame, schema: StructType) -> list[Column]:
+    """Return the columns of a schema; those a table lacks are NULL, and equal types are not cast."""
+    columns = []
+    for field in schema.fields:
+        column = F.col(field.name) if field.name in rows.columns else F.lit(None)
+        if field.name not in rows.columns or rows.schema[field.name].dataType.simpleString() != field.dataType.simpleString():
+            column = column.cast(field.dataType)
+        columns.append(column.alias(field.name))
+    return columns
+
+
 _K = "get_json_object(props, '$.k')"
 
 _REGARDING = """named_struct(
@@ -65,12 +77,7 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "props AS note",
         "CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type",
     )
-    return rows.select(
-        "watch",
-        "seq",
-        *[F.col(name).cast(EVENT[name].dataType).alias(name) for name in EVENT.names if name != "regardingObject"],
-        F.lit(None).cast(EVENT["regardingObject"].dataType).alias("regardingObject"),
-    )
+    return rows.select("watch", "seq", *_as(rows, EVENT))
 
 
 EV = """
@@ -127,12 +134,7 @@ def frames_of(events: DataFrame) -> DataFrame:
         "CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type",
         f"{_REGARDING} AS regarding",
     )
-    fields = []
-    for field in RAW_EVENT.fields:
-        source = F.col(field.name) if field.name in rows.columns else F.lit(None)
-        fields.append(source.cast(field.dataType).alias(field.name))
-    framed = rows.select("watch", "seq", "frame_type", F.struct(*fields).alias("object"))
-    return framed.select(*[F.col(name).cast(FRAME[name].dataType).alias(name) for name in FRAME.names])
+    return rows.select("watch", "seq", "frame_type", F.struct(*_as(rows, RAW_EVENT)).alias("object"))
 
 
 FR = """
@@ -184,11 +186,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                'band', CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END) AS labels""",
         """map('text', text, 'kubectl.kubernetes.io/last-applied-configuration', text, 'lang', lang) AS annotations""",
     )
-    fields = []
-    for field in RAW_EVENT.fields:
-        source = F.col(field.name) if field.name in rows.columns else F.lit(None)
-        fields.append(source.cast(field.dataType).alias(field.name))
-    return rows.select("seq", *fields)
+    return rows.select("seq", *_as(rows, RAW_EVENT))
 
 
 DOC = """
@@ -225,7 +223,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ) AS ownerReferences""",
         )
     )
-    return rows.select(*[F.col(name).cast(OBJECT[name].dataType).alias(name) for name in OBJECT.names])
+    return rows.select(*_as(rows, OBJECT))
 
 
 OBJ = """

@@ -168,7 +168,8 @@ def enrich(
 ) -> DataFrame:
     """Attach ``regardingObject`` and ``enrich_result`` to each event.
 
-    ``objects`` comes from :func:`project_objects`. The join is an equi left
+    ``objects`` comes from :func:`project_objects` and holds one row per object
+    (see :func:`latest_objects`). The join is an equi left
     join: Spark broadcasts the objects when their measured size allows, and
     shuffles both sides otherwise. Events that look nothing up never share a
     key with an object and are spread over salts of their own. With

@@ -13,27 +13,22 @@ CONTENT_TYPES = {
     "json-list": "application/json",
     "ndjson": "application/x-ndjson",
     "cloudevents": "application/cloudevents-batch+json",
+    "template": "application/json",
 }
 
 _SECRET_PREFIX = "whsec_"
 _BLOCK_BYTES = 64
 
 
-def request_bodies(
-    frames: DataFrame, fmt: str = "json-list", separator: str = "\n", content_type: str | None = None
-) -> DataFrame:
+def request_bodies(frames: DataFrame, fmt: str = "json-list", separator: str = "\n") -> DataFrame:
     """Compose one body per batch from the rows ``batch_id, seq, frame``.
 
     A group is one batch, which the batch limits bound. Frames of a batch cannot
     be combined before they meet, so the rows are placed by batch first and no
     lists are built ahead of the shuffle.
     """
-    if fmt not in (*CONTENT_TYPES, "template"):
+    if fmt not in CONTENT_TYPES:
         raise ValueError(f"unknown body format {fmt!r}")
-    if fmt == "template":
-        content_type = content_type or "application/json"
-    elif content_type:
-        raise ValueError("a content type can only be set for templates")
     joiner = {"ndjson": "\n", "template": separator}.get(fmt, ",")
     opening, closing = {"ndjson": ("", "\n"), "template": ("", "")}.get(fmt, ("[", "]"))
     ordered = F.sort_array(F.collect_list(F.struct("seq", "frame")))
@@ -41,7 +36,7 @@ def request_bodies(
     return frames.repartition("batch_id").groupBy("batch_id").agg(
         F.count("*").alias("frames"),
         F.concat(F.lit(opening), joined, F.lit(closing)).alias("body"),
-        F.lit(content_type or CONTENT_TYPES[fmt]).alias("content_type"),
+        F.lit(CONTENT_TYPES[fmt]).alias("content_type"),
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +87,16 @@ def check_metrics(
             raise MetricError(f"metrics {clash!r} and {name!r} are exposed under one name")
 
 
+def check_metric_sinks(sinks: Mapping[str, Sequence[Metric]], default_namespace: str = DEFAULT_NAMESPACE) -> None:
+    """Refuse a metric name that two sinks expose."""
+    owner: dict[str, str] = {}
+    for sink in sorted(sinks):
+        for metric in sinks[sink]:
+            name = escape_name(metric.full_name(default_namespace))
+            if owner.setdefault(name, sink) != sink:
+                raise MetricError(f"sink {sink!r}: metric {name!r} is already exposed by sink {owner[name]!r}")
+
+
 def _valid(name: str, scheme: str, legacy: re.Pattern[str]) -> bool:
     return bool(name) if scheme == "utf8" else bool(legacy.fullmatch(name))
 
@@ -130,14 +142,23 @@ def series(events: DataFrame, metrics: Sequence[Metric], seq: str | None = None)
     return rows.groupBy("metric_index", "label_values").agg(*totals)
 
 
-def admitted_series(events: DataFrame, metrics: Sequence[Metric], max_series: int, seq: str) -> DataFrame:
+def admitted_series(
+    events: DataFrame, metrics: Sequence[Metric], max_series: int, seq: str | None
+) -> DataFrame:
     """Return the series counted under the limit: the first ``max_series`` to occur, over all metrics.
 
     Within an event the metrics are tried in their order. A series keeps
     counting once admitted, so its total is the plain one. Zero is no limit.
+    A series with a value that is no valid text takes its place and is not counted.
     """
     counted = series(events, metrics, seq)
-    return counted.orderBy("first_seq", "metric_index").limit(max_series) if max_series else counted
+    if max_series:
+        counted = counted.orderBy("first_seq", "metric_index").limit(max_series)
+    return counted.filter(_valid_values(F.col("label_values")))
+
+
+def _valid_values(values: Column) -> Column:
+    return F.is_valid_utf8(F.concat_ws(" ", values))
 
 
 def count_metrics(
@@ -150,7 +171,7 @@ def count_metrics(
     """Return ``metric, labels, value`` per series; constant labels are added at the end."""
     if max_series and seq is None:
         raise ValueError("a series limit needs the column that orders the events")
-    counted = admitted_series(events, metrics, max_series, seq) if max_series else series(events, metrics)
+    counted = admitted_series(events, metrics, max_series, seq if max_series else None)
     name = F.lit(None).cast("string")
     labels = F.lit(None).cast("map<string,string>")
     for index, metric in enumerate(metrics):
@@ -172,7 +193,8 @@ def metric_delivery(events: DataFrame, metrics: Sequence[Metric], max_series: in
     bounds; up to BROADCAST_SERIES they are broadcast.
     """
     if not max_series:
-        return events.withColumn("delivered", F.lit(True))
+        recorded = [_valid_values(label_values(metric)) for metric in metrics]
+        return events.withColumn("delivered", reduce(operator.or_, recorded))
     admitted = admitted_series(events, metrics, max_series, seq).select("metric_index", "label_values")
     delivered = F.lit(False)
     for index, metric in enumerate(metrics):

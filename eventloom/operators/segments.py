@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 100_000
+SPAN = 500_000
 SEGMENT = "_segment"
 
 

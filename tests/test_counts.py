@@ -96,6 +96,20 @@ def test_metrics_refused(spark, definition):
         check_metrics(definition)
 
 
+def test_values_that_are_no_text_are_not_counted(events):
+    rows = made(events, "a", "b").withColumn("namespace", F.when(F.col("seq") == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("b"))
+    for limit, expected in ((0, {("events_a", (("namespace", "b"),)): 1}), (1, {})):
+        assert values(count_metrics(rows, [BY_NAMESPACE], limit, "seq")) == expected
+        flags = [row["delivered"] for row in metric_delivery(rows, [BY_NAMESPACE], limit, "seq").orderBy("seq").collect()]
+        assert flags == [False, limit == 0]
+
+
+def test_a_metric_name_belongs_to_one_sink():
+    metrics.check_metric_sinks({"x": [Metric("a")], "y": [Metric("b")]})
+    with pytest.raises(MetricError):
+        metrics.check_metric_sinks({"x": [Metric("a.b")], "y": [Metric("a_b")]})
+
+
 def test_utf8_names(spark):
     check_metrics([Metric("a.b", labels={"x.y": "type"})], scheme="utf8")
     for refused in ([Metric("a.b"), Metric("a_b")], [Metric("a", labels={"x.y": "type", "x_y": "type"})], [Metric("x", namespace="go.a")]):

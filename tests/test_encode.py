@@ -170,10 +170,9 @@ def test_request_bodies(spark):
     assert bodies("json-list")["c"] == ("[{9},{10}]", "application/json", 2)
     assert bodies("ndjson")["b"] == ("{1}\n{2}\n", "application/x-ndjson", 2)
     assert bodies("cloudevents")["b"][:2] == ("[{1},{2}]", "application/cloudevents-batch+json")
-    assert bodies("template", "; ")["b"][0] == "{1}; {2}"
-    for refused in (("xml",), ("ndjson", "\n", "text/plain")):
-        with pytest.raises(ValueError):
-            export.request_bodies(frames, *refused)
+    assert bodies("template", "; ")["b"][:2] == ("{1}; {2}", "application/json")
+    with pytest.raises(ValueError):
+        export.request_bodies(frames, "xml")
 
 
 @pytest.mark.parametrize("size", [24, 32, 64])
