@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.chains import last_openings, openings_from, walk_segments
+from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments
 from eventloom.operators.segments import SEGMENT, SPAN, whole_quotient, with_position, with_segment
 
 # Queue limit in bytes when none is given (fixed value).
@@ -158,7 +158,7 @@ def pack_batches(
     )
     key_fields = ", ".join(f"`{name}` {narrow.schema[name].dataType.simpleString()}" for name in keys)
     states = walk_segments(
-        narrow.groupBy(*keys, SEGMENT).applyInPandas(_summarise(keys, limits), f"{key_fields}, {_SUMMARY}"),
+        narrow.groupBy(*keys, SEGMENT).applyInArrow(_summarise(keys, limits), f"{key_fields}, {_SUMMARY}"),
         keys,
         _no_batch,
         _advance(limits),
@@ -167,7 +167,7 @@ def pack_batches(
     numbered = (
         narrow.groupBy(*keys, SEGMENT)
         .cogroup(states.groupBy(*keys, SEGMENT))
-        .applyInPandas(_number(keys, limits), f"{key_fields}, seq bigint, batch_no bigint")
+        .applyInArrow(_number(keys, limits), f"{key_fields}, seq bigint, batch_no bigint")
     )
     return frames.join(numbered.withColumnRenamed("seq", seq), [*keys, seq])
 
@@ -184,28 +184,28 @@ def _no_batch() -> dict:
 
 
 def _summarise(keys: list[str], limits: BatchLimits):
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        sizes = pdf["size"].to_numpy(np.int64)
-        times = pdf["arrival_us"].to_numpy(np.int64)
-        count = len(sizes)
-        following, payload = _next_openings(sizes, times, limits)
+    def summarise(segment: pa.Table) -> pa.Table:
+        segment = in_order(segment)
+        times = segment["arrival_us"].to_numpy()
+        count = len(times)
+        following, payload = _next_openings(segment["size"].to_numpy(), times, limits)
         last, opened = last_openings(following, count)
         # The batch open at the start holds a frame already and opened no later
         # than now, so it takes this many rows at most.
         reach = _first_unfit(1, 0, int(times[0]), payload, times, limits)
         entries = last[: reach + 1]
-        row = {name: pdf[name].iloc[0] for name in (*keys, SEGMENT)}
-        row |= {
-            "frames": count,
-            "payload": np.append(payload[1 : reach + 2], payload[count]),
-            "times": times[: reach + 1],
-            "end_events": count - entries,
-            "end_payload": payload[count] - payload[entries] - limits.separator_bytes,
-            "end_time": times[entries],
-            "opened": opened[: reach + 1],
-        }
-        return pd.DataFrame([row])
+        return pa.table(
+            {name: segment[name].slice(0, 1) for name in (*keys, SEGMENT)}
+            | {
+                "frames": [count],
+                "payload": [np.append(payload[1 : reach + 2], payload[count])],
+                "times": [times[: reach + 1]],
+                "end_events": [count - entries],
+                "end_payload": [payload[count] - payload[entries] - limits.separator_bytes],
+                "end_time": [times[entries]],
+                "opened": [opened[: reach + 1]],
+            }
+        )
 
     return summarise
 
@@ -234,21 +234,18 @@ def _advance(limits: BatchLimits):
 
 
 def _number(keys: list[str], limits: BatchLimits):
-    def number(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        times = pdf["arrival_us"].to_numpy(np.int64)
-        following, payload = _next_openings(pdf["size"].to_numpy(np.int64), times, limits)
-        state = states.iloc[0]
-        batches = int(state["batches"])
+    def number(segment: pa.Table, states: pa.Table) -> pa.Table:
+        segment = in_order(segment)
+        times = segment["arrival_us"].to_numpy()
+        following, payload = _next_openings(segment["size"].to_numpy(), times, limits)
+        state = states.to_pylist()[0]
         first = 0
-        if batches:
-            first = _first_unfit(
-                int(state["events"]), int(state["taken"]), int(state["opened_at"]), payload, times, limits
-            )
+        if state["batches"]:
+            first = _first_unfit(state["events"], state["taken"], state["opened_at"], payload, times, limits)
         opens = np.zeros(len(times), dtype=np.int64)
         opens[openings_from(following, first)] = 1
-        out = pdf[[*keys, "seq"]].copy()
-        out["batch_no"] = batches - 1 + np.cumsum(opens)
-        return out
+        return segment.select([*keys, "seq"]).append_column(
+            "batch_no", pa.array(state["batches"] - 1 + np.cumsum(opens))
+        )
 
     return number

@@ -19,12 +19,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.segments import SEGMENT
 
 
+def in_order(segment: pa.Table) -> pa.Table:
+    """Return the rows of a segment in sequence order."""
+    seq = segment["seq"].to_numpy()
+    return segment if np.all(seq[1:] > seq[:-1]) else segment.take(np.argsort(seq))
+
+
 def last_openings(following: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Follow next-opening indices to the end of a segment.
 

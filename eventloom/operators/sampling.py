@@ -9,11 +9,12 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.chains import last_openings, openings_from, walk_segments
+from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments
 from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, with_segment
 
 _GATE = ["gate"]
@@ -114,7 +115,7 @@ def per_interval(
     admitted = (
         narrow.groupBy("gate", SEGMENT)
         .cogroup(_walk(narrow, width, states).groupBy("gate", SEGMENT))
-        .applyInPandas(_admit(width, threshold), f"{_gate_field(rows)}, seq bigint, admitted boolean")
+        .applyInArrow(_admit(width, threshold), f"{_gate_field(rows)}, seq bigint, admitted boolean")
     )
     return rows.join(admitted, ["gate", "seq"])
 
@@ -142,7 +143,7 @@ def _gate_field(rows: DataFrame) -> str:
 
 def _walk(narrow: DataFrame, width: int, states: DataFrame | None, *more: DataFrame) -> DataFrame:
     """Return the interval open at the start of each segment."""
-    summaries = narrow.groupBy("gate", SEGMENT).applyInPandas(_summarise(width), f"{_gate_field(narrow)}, {_SUMMARY}")
+    summaries = narrow.groupBy("gate", SEGMENT).applyInArrow(_summarise(width), f"{_gate_field(narrow)}, {_SUMMARY}")
     if states is not None:
         summaries = summaries.union(_constant(states, F.lit(_FIRST), F.col("key"), F.col("since"), F.col("count")))
     for extra in more:
@@ -169,10 +170,11 @@ def _closed() -> dict:
     return {"open": False, "key": "", "since": 0, "count": 0}
 
 
-def _next_openings(keys: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+def _next_openings(keys: pa.Array, at: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     """Return, per row that opens an interval, the row that opens the next, and the first change of key."""
     count = len(at)
-    changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    differs = pc.not_equal(keys.slice(1), keys.slice(0, count - 1)).to_numpy(zero_copy_only=False)
+    changes = np.flatnonzero(differs) + 1
     position = np.searchsorted(changes, np.arange(count), side="right")
     following = np.append(changes, count)[position]
     if width > 0:
@@ -180,32 +182,38 @@ def _next_openings(keys: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nda
     return following, int(changes[0]) if len(changes) else count
 
 
+def _ordered(segment: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
+    segment = in_order(segment).combine_chunks()
+    return segment, segment["key"].combine_chunks(), segment["at"].to_numpy()
+
+
 def _summarise(width: int):
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        keys = pdf["key"].to_numpy(dtype=object)
-        at = pdf["at"].to_numpy(np.int64)
+    def summarise(segment: pa.Table) -> pa.Table:
+        segment, keys, at = _ordered(segment)
         count = len(at)
         following, reset = _next_openings(keys, at, width)
         last, _ = last_openings(following, count)
         # The segment's first opening is at most the first change of key. Rows
         # in a row that lead to the same last opening share one entry.
         entries = last[: reset + 1]
-        ends = np.flatnonzero(np.append(entries[1:] != entries[:-1], True)) if width > 0 else np.array([len(entries) - 1])
-        ends = np.unique(np.append(ends, 0)) if len(entries) else ends
+        ends = np.array([len(entries) - 1])
+        if width > 0:
+            ends = np.flatnonzero(np.append(entries[1:] != entries[:-1], True))
+        ends = np.unique(np.append(ends, 0))
         chosen = entries[ends]
-        row = {
-            "gate": pdf["gate"].iloc[0],
-            SEGMENT: pdf[SEGMENT].iloc[0],
-            "rows": count,
-            "first_key": keys[0],
-            "reset": reset,
-            "until": at[ends],
-            "end_key": list(keys[chosen]),
-            "end_at": at[chosen],
-            "end_count": count - chosen,
-        }
-        return pd.DataFrame([row])
+        return pa.table(
+            {
+                "gate": segment["gate"].slice(0, 1),
+                SEGMENT: segment[SEGMENT].slice(0, 1),
+                "rows": [count],
+                "first_key": keys.slice(0, 1),
+                "reset": [reset],
+                "until": [at[ends]],
+                "end_key": [keys.take(pa.array(chosen)).to_pylist()],
+                "end_at": [at[chosen]],
+                "end_count": [count - chosen],
+            }
+        )
 
     return summarise
 
@@ -232,25 +240,24 @@ def _advance(width: int):
 
 
 def _admit(width: int, threshold: int):
-    def admit(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        keys = pdf["key"].to_numpy(dtype=object)
-        at = pdf["at"].to_numpy(np.int64)
+    def admit(segment: pa.Table, states: pa.Table) -> pa.Table:
+        if not len(segment):
+            return pa.table({"gate": segment["gate"], "seq": segment["seq"], "admitted": pa.array([], pa.bool_())})
+        segment, keys, at = _ordered(segment)
         count = len(at)
         following, reset = _next_openings(keys, at, width)
-        state = states.iloc[0]
+        state = states.to_pylist()[0]
         first, carried = 0, 0
-        if state["open"] and state["key"] == keys[0]:
-            first, carried = reset, int(state["count"])
+        if state["open"] and state["key"] == keys[0].as_py():
+            first, carried = reset, state["count"]
             if width > 0:
-                first = min(first, int(np.searchsorted(at, int(state["since"]) + width, side="left")))
+                first = min(first, int(np.searchsorted(at, state["since"] + width, side="left")))
         opened = openings_from(following, first)
         rows = np.arange(count)
         # Rank of each row within its interval, counting what came before the segment.
         starts = np.append(-carried, opened)[np.searchsorted(opened, rows, side="right")]
-        rank = rows - starts
-        out = pdf[["gate", "seq"]].copy()
-        out["admitted"] = (rank < threshold) | np.isin(rows, opened)
-        return out
+        admitted = rows - starts < threshold
+        admitted[opened] = True
+        return segment.select(["gate", "seq"]).append_column("admitted", pa.array(admitted))
 
     return admit
