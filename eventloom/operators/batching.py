@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments
+from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments, with_marks
 from eventloom.operators.segments import SEGMENT, SPAN, whole_quotient, with_position, with_segment
 
 # Queue limit in bytes when none is given (fixed value).
@@ -164,12 +164,14 @@ def pack_batches(
         _advance(limits),
         _STATE,
     )
-    numbered = (
+    marks = (
         narrow.groupBy(*keys, SEGMENT)
         .cogroup(states.groupBy(*keys, SEGMENT))
-        .applyInArrow(_number(keys, limits), f"{key_fields}, seq bigint, batch_no bigint")
+        .applyInArrow(_mark(keys, limits), f"{key_fields}, `{SEGMENT}` bigint, seq bigint, batch_no bigint")
     )
-    return frames.join(numbered.withColumnRenamed("seq", seq), [*keys, seq])
+    mixed, so_far = with_marks(with_segment(frames, span, seq), marks.withColumnRenamed("seq", seq), keys, seq)
+    numbered = mixed.withColumn("batch_no", F.last("batch_no", ignorenulls=True).over(so_far))
+    return numbered.filter("_row = 1").drop("_row", SEGMENT)
 
 
 _SUMMARY = (
@@ -233,19 +235,22 @@ def _advance(limits: BatchLimits):
     return advance
 
 
-def _number(keys: list[str], limits: BatchLimits):
-    def number(segment: pa.Table, states: pa.Table) -> pa.Table:
+def _mark(keys: list[str], limits: BatchLimits):
+    def mark(segment: pa.Table, states: pa.Table) -> pa.Table:
         segment = in_order(segment)
         times = segment["arrival_us"].to_numpy()
         following, payload = _next_openings(segment["size"].to_numpy(), times, limits)
         state = states.to_pylist()[0]
-        first = 0
-        if state["batches"]:
+        batches, first = state["batches"], 0
+        if batches:
             first = _first_unfit(state["events"], state["taken"], state["opened_at"], payload, times, limits)
-        opens = np.zeros(len(times), dtype=np.int64)
-        opens[openings_from(following, first)] = 1
-        return segment.select([*keys, "seq"]).append_column(
-            "batch_no", pa.array(state["batches"] - 1 + np.cumsum(opens))
+        opened = openings_from(following, first)
+        opening = segment.take(opened).select([*keys, SEGMENT, "seq"])
+        numbers = pa.array(batches + np.arange(len(opened)))
+        # The batch that is open at the start has a mark of its own, before any row.
+        start = segment.slice(0, 1).select([*keys, SEGMENT]).append_column("seq", pa.array([None], pa.int64()))
+        return pa.concat_tables(
+            [start.append_column("batch_no", pa.array([batches - 1])), opening.append_column("batch_no", numbers)]
         )
 
-    return number
+    return mark

@@ -8,8 +8,11 @@ on earlier rows only through the block open at its start. So:
 1. each segment, in parallel, works out for every row that could be its first
    opening which block is then open at its end;
 2. the segments of a group are walked in order on those summaries alone;
-3. each segment, in parallel, marks its rows given the block it starts with.
+3. each segment, in parallel, names the rows that open its blocks, given the
+   block it starts with.
 
+Python sees the few narrow columns that decide, and gives back these marks
+only. The rows themselves meet the marks in a window over their segment.
 Segments are bounded (see :mod:`segments`), and the walk keeps one state.
 """
 
@@ -20,7 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.segments import SEGMENT
@@ -94,3 +97,16 @@ def walk_segments(
         .sortWithinPartitions(*keys, "segment")
     )
     return ordered.mapInPandas(scan, f"{key_fields}, `{SEGMENT}` bigint, {state_schema}")
+
+
+def with_marks(rows: DataFrame, marks: DataFrame, keys: Sequence[str], seq: str = "seq") -> tuple[DataFrame, Window]:
+    """Put the marks of each segment among its rows, and return both with the window up to each of them.
+
+    A mark without a ``seq`` comes first in its segment, any other right before
+    the row it names. ``_row`` is 1 for rows and 0 for marks.
+    """
+    mixed = rows.withColumn("_row", F.lit(1)).unionByName(
+        marks.withColumn("_row", F.lit(0)), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*keys, SEGMENT).orderBy(F.col(seq).asc_nulls_first(), "_row")
+    return mixed, order.rowsBetween(Window.unboundedPreceding, 0)

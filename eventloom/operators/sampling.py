@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments
+from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments, with_marks
 from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, with_segment
 
 _GATE = ["gate"]
@@ -112,12 +112,19 @@ def per_interval(
     """
     width = interval // dt.timedelta(microseconds=1)
     narrow = _narrow(rows, span)
-    admitted = (
+    marks = (
         narrow.groupBy("gate", SEGMENT)
         .cogroup(_walk(narrow, width, states).groupBy("gate", SEGMENT))
-        .applyInArrow(_admit(width, threshold), f"{_gate_field(rows)}, seq bigint, admitted boolean")
+        .applyInArrow(_mark(width), f"{_gate_field(rows)}, `{SEGMENT}` bigint, seq bigint, _carried bigint")
     )
-    return rows.join(admitted, ["gate", "seq"])
+    mixed, so_far = with_marks(with_segment(rows, span), marks, _GATE)
+    # The rank of a row in its interval: rows up to it, less those before the opening.
+    counted = mixed.withColumn("_rows", F.sum("_row").over(so_far))
+    before_opening = F.when(F.col("_row") == 0, F.coalesce(-F.col("_carried"), F.col("_rows")))
+    rank = F.col("_rows") - 1 - F.last(before_opening, ignorenulls=True).over(so_far)
+    # The row that opens an interval is admitted under any threshold.
+    ranked = counted.withColumn("admitted", rank < max(threshold, 1)).filter("_row = 1")
+    return ranked.drop("_row", "_rows", "_carried", SEGMENT)
 
 
 def interval_states(
@@ -239,25 +246,28 @@ def _advance(width: int):
     return advance
 
 
-def _admit(width: int, threshold: int):
-    def admit(segment: pa.Table, states: pa.Table) -> pa.Table:
-        if not len(segment):
-            return pa.table({"gate": segment["gate"], "seq": segment["seq"], "admitted": pa.array([], pa.bool_())})
+def _mark(width: int):
+    def mark(segment: pa.Table, states: pa.Table) -> pa.Table:
         segment, keys, at = _ordered(segment)
-        count = len(at)
-        following, reset = _next_openings(keys, at, width)
         state = states.to_pylist()[0]
         first, carried = 0, 0
-        if state["open"] and state["key"] == keys[0].as_py():
-            first, carried = reset, state["count"]
-            if width > 0:
-                first = min(first, int(np.searchsorted(at, state["since"] + width, side="left")))
-        opened = openings_from(following, first)
-        rows = np.arange(count)
-        # Rank of each row within its interval, counting what came before the segment.
-        starts = np.append(-carried, opened)[np.searchsorted(opened, rows, side="right")]
-        admitted = rows - starts < threshold
-        admitted[opened] = True
-        return segment.select(["gate", "seq"]).append_column("admitted", pa.array(admitted))
-
-    return admit
+        if len(at):
+            following, reset = _next_openings(keys, at, width)
+            if state["open"] and state["key"] == keys[0].as_py():
+                first, carried = reset, state["count"]
+                if width > 0:
+                    first = min(first, int(np.searchsorted(at, state["since"] + width, side="left")))
+            opening = segment.take(openings_from(following, first)).select(["gate", SEGMENT, "seq"])
+        else:
+            opening = segment.select(["gate", SEGMENT, "seq"])
+        # The rows before the first opening go on with the interval that came in.
+        start = segment.slice(0, 1).select(["gate", SEGMENT])
+        start = start.append_column("seq", pa.nulls(len(start), pa.int64()))
+        return pa.concat_tables(
+            [
+                start.append_column("_carried", pa.array([carried] * len(start), pa.int64())),
+                opening.append_column("_carried", pa.nulls(len(opening), pa.int64())),
+            ]
+        )
+
+    return mark
