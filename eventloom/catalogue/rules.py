@@ -236,7 +236,7 @@ def semver_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {EV} SELECT uid, instr(note, ':') - 1 AS colon, length(note) - instr(reverse(note), ' ') AS space,
-      substring(note, 3, 1) AS at_two, CASE WHEN length(note) >= 9 THEN substring(note, 2, 8) END AS part,
+      substring(note, 3, 1) AS at_two, CASE WHEN length(note) >= 9 THEN substring(note, 2, 8) ELSE 'outside' END AS part,
       upper(reason) AS shout, reverse(reason) AS mirror, k AS digits,
       CAST(month(event_time) - 1 AS INT) AS month, CAST(dayofweek(event_time) AS INT) AS weekday,
       CAST(dayofyear(event_time) - 1 AS INT) AS yearday, CAST(hour(event_time) AS INT) AS hour,
@@ -252,7 +252,7 @@ def rule_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         fn.index_of(note, F.lit(":")).cast("bigint").alias("colon"),
         fn.last_index_of(note, F.lit(" ")).cast("bigint").alias("space"),
         fn.char_at(note, 2).alias("at_two"),
-        fn.sub_string(note, 1, 9).alias("part"),
+        F.coalesce(fn.sub_string(note, 1, 9), F.lit("outside")).alias("part"),
         fn.ascii_upper(F.col("reason")).alias("shout"),
         F.reverse("reason").alias("mirror"),
         fn.find(note, "[0-9]+").alias("digits"),

@@ -50,8 +50,8 @@ def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {DOC} SELECT uid,
       strftime(coalesce(event_time, first_ts, TIMESTAMP '{READ_AT}'), {MICROS}) AS event_time,
-      CASE WHEN dep_count > 1 THEN CAST(dep_count AS INT) END AS series_count,
-      CASE WHEN dep_count > 1 THEN strftime(last_ts, {MICROS}) END AS series_last,
+      CASE WHEN dep_count > 1 THEN CAST(dep_count AS INT) ELSE 0 END AS series_count,
+      CASE WHEN dep_count > 1 THEN coalesce(strftime(last_ts, {MICROS}), 'unset') ELSE '' END AS series_last,
       CASE WHEN controller = '' THEN lang ELSE controller END AS controller, source AS instance,
       md5(text) AS note FROM doc"""
 )
@@ -59,8 +59,10 @@ def lift_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift(raw_documents(spark, sf_dir), READ_AT).select(
         "uid",
         rfc3339_micro(F.col("eventTime")).alias("event_time"),
-        F.col("series.count").alias("series_count"),
-        rfc3339_micro(F.col("series.lastObservedTime")).alias("series_last"),
+        F.coalesce("series.count", F.lit(0)).alias("series_count"),
+        F.when(F.col("series").isNull(), "")
+        .otherwise(F.coalesce(rfc3339_micro(F.col("series.lastObservedTime")), F.lit("unset")))
+        .alias("series_last"),
         F.col("reportingController").alias("controller"),
         F.col("reportingInstance").alias("instance"),
         F.md5("note").alias("note"),
@@ -166,7 +168,7 @@ def field_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {EV} SELECT uid, label_k IS NOT NULL AS has_k, has_series AS has_series,
-      CASE WHEN has_series THEN series_count <> 0 END AS has_count, action <> '' AS has_action,
+      CASE WHEN NOT has_series THEN 'error' WHEN series_count <> 0 THEN 'true' ELSE 'false' END AS has_count, action <> '' AS has_action,
       coalesce(label_k, 'none') AS k_or_none FROM ev"""
 )
 def has_and_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +176,7 @@ def has_and_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
         "uid",
         has("labels.k").alias("has_k"),
         has("series").alias("has_series"),
-        has("series.count").alias("has_count"),
+        F.coalesce(has("series.count").cast("string"), F.lit("error")).alias("has_count"),
         has("action").alias("has_action"),
         get_or("labels.k", "none").alias("k_or_none"),
     )

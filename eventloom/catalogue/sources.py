@@ -126,13 +126,14 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {FR},{POS}, new AS (
       SELECT watch, arg_max(rv, seq) AS new_version FROM fr WHERE rv <> '' GROUP BY watch)
-    SELECT watch, nullif(resource_version, '') AS old_version, new_version
+    SELECT watch, coalesce(resource_version, 'none') AS old_version, coalesce(new_version, 'none') AS new_version
     FROM (SELECT * FROM pos WHERE resource_version <> '') FULL JOIN new USING (watch)
     WHERE nullif(resource_version, '') IS DISTINCT FROM new_version"""
 )
 def changed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = stored_positions(spark, sf_dir).filter("resource_version <> ''")
-    return replay.changed_positions(stored, replay.positions(frames(spark, sf_dir), stored))
+    changed = replay.changed_positions(stored, replay.positions(frames(spark, sf_dir), stored))
+    return changed.fillna("none")
 
 
 @query(
