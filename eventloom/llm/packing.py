@@ -255,7 +255,8 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     bases = sizes.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("n", F.row_number().over(within)).join(bases, ["length", "salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("base") + F.col("n") - 1).alias("rank"))
+    names = pieces.columns
+    ranked = ranked.select(*names, (F.col("base") + F.col("n") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,9 +269,9 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
                 past = ranks[rows] - first[run]
                 sequence[rows] = base[run] + past // many[run]
                 offset[rows] = start[run] + past % many[run] * n
-            columns = [batch.column(name) for name in pieces.columns]
+            columns = [batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sequence), pa.array(offset)], names=[*pieces.columns, "sequence_id", "offset"]
+                [*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes)
