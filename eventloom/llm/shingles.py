@@ -12,7 +12,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed together.
 TOGETHER = 1 << 21
 
-_LOWER = np.arange(256, dtype=np.uint64)
+_AS_IS = np.arange(256, dtype=np.uint64)
+_LOWER = _AS_IS.copy()
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -38,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hash_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(data: np.ndarray, first: np.ndarray, letters: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hash the words of ``data``; return hashes and where each begins. No word goes across a position in ``first``."""
     in_word = _IS_WORD[data]
     starts = in_word.copy()
@@ -52,26 +53,35 @@ def _hash_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     powers, inverses = _power_tables(max(len(data) + 1, TOGETHER + 1))
     sums = np.zeros(len(data) + 1, np.uint64)
     # A byte counts one more than it is, so that no word is a longer one with zeros at its end.
-    np.cumsum((_LOWER[data] + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    np.cumsum((letters[data] + np.uint64(1)) * powers[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverses[start]), start
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Hash the lower-cased words of a column of texts without nulls.
-
-    Yields, for some texts at a time, the index of the first text, the hashes
-    of all their words in order, and how many words each text has. A long text
-    is hashed in parts, cut at white space.
-    """
+def groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield the index of the first of some texts, their bytes, and where each begins and the last ends."""
+    if not len(column):
+        return
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TOGETHER, side="right")) - 1)
-        part = data[offsets[i] : offsets[j]]
+        yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
+def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Hash the words of a column of texts without nulls, lower-cased (A-Z) or as they are.
+
+    Yields, for some texts at a time, the index of the first text, the hashes
+    of all their words in order, and how many words each text has. A long text
+    is hashed in parts, cut at white space.
+    """
+    letters = _LOWER if lower else _AS_IS
+    for i, part, offsets in groups(column):
         if len(part) <= TOGETHER:
-            hashes, start = _hash_words(part, offsets[i:j] - offsets[i])
-            counts = np.bincount(np.searchsorted(offsets[i : j + 1] - offsets[i], start, side="right") - 1, minlength=j - i)
+            hashes, start = _hash_words(part, offsets[:-1], letters)
+            counts = np.bincount(np.searchsorted(offsets, start, side="right") - 1, minlength=len(offsets) - 1)
             yield i, hashes, counts
         else:  # one long text
             found, at = [], 0
@@ -84,11 +94,10 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
                     else:
                         later = np.flatnonzero(~_IS_WORD[part[stop:]])
                         stop = stop + int(later[0]) if len(later) else len(part)
-                found.append(_hash_words(part[at:stop], np.zeros(0, np.int64))[0])
+                found.append(_hash_words(part[at:stop], np.zeros(0, np.int64), letters)[0])
                 at = stop
             hashes = np.concatenate(found)
             yield i, hashes, np.array([len(hashes)])
-        i = j
 
 
 def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
