@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import by_id, keep, query, smallest_labels, table
-from eventloom.llm.shingles import shingle_hashes, word_hashes
+from eventloom.llm.shingles import mix, shingle_hashes, word_hashes
 
 #: The n-gram frequencies are estimated by 2**SKETCH_BITS counters, 4 MB at any size of the corpus.
 SKETCH_BITS = 22
 BLOCK_BITS = 16
+#: Bits of the filter that says which documents' whole sets are wanted.
+FILTER_BITS = 24
 #: The largest number of shared prefix elements that a document may demand.
 MOST = 5
 #: What verifying a pair costs, in looked-at postings.
@@ -77,7 +79,7 @@ def frequency_sketch(rows: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = rows.select("text").mapInArrow(count, schema).repartition(size // block, "block").mapInArrow(add, schema)
+    parts = rows.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     sketch = np.zeros(size, np.uint8)
     for b, levels in parts.collect():  # ``size`` bytes
         sketch[b * block : (b + 1) * block] = np.frombuffer(levels, np.uint8)
@@ -121,11 +123,50 @@ def prefixes(rows: DataFrame, words: int, num: int, den: int, sketch: np.ndarray
     return rows.select("doc_id", "text").mapInArrow(made, "doc_id long, n long, print binary, prefix array<long>")
 
 
-def _elements(rows: DataFrame, words: int) -> DataFrame:
-    """The whole sets, ``(doc_id, elements)``."""
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _id_filter(postings: DataFrame) -> np.ndarray:
+    """A bit for each hashed id that has a posting; 2 MB at any number of ids."""
+    size = 1 << FILTER_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[_place(batch.column("id").to_numpy())] = True
+        packed = np.packbits(bits).reshape(1 << 6, -1)
+        some = np.flatnonzero(packed.any(axis=1))
+        data = [zlib.compress(packed[k].tobytes(), 1) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["block", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                blocks[k] = blocks.get(k, 0) | np.frombuffer(zlib.decompress(data), np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"]
+        )
+
+    schema = "block int, bits binary"
+    out = np.zeros((1 << 6, size >> 9), np.uint8)
+    for k, data in postings.select("id").mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():
+        out[k] = np.frombuffer(data, np.uint8)
+    return out.reshape(-1)
+
+
+def _elements(rows: DataFrame, words: int, ids: np.ndarray) -> DataFrame:
+    """The whole sets of the documents that the filter lets through, ``(doc_id, elements)``.
+
+    The filter may let others through, which is of no harm; so the texts need no shuffle.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(ids)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, grams, many in _sets(batches, words):
+        bits = np.unpackbits(shared.value).view(bool)
+        wanted = (b.filter(pa.array(bits[_place(b.column("doc_id").to_numpy())])) for b in batches)
+        for batch, i, grams, many in _sets(wanted, words):
             parts = np.split(grams, np.cumsum(many)[:-1])
             found = [np.unique(part).view(np.int64) for part in parts]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found])))
@@ -196,8 +237,7 @@ def _open(labelled: DataFrame) -> DataFrame:
 def links(rows: DataFrame, index: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Return links ``(a, b)`` between classes, enough of them to connect all that are linked."""
     postings = _postings(index, num, den)
-    ids = postings.select(F.col("id").alias("doc_id")).distinct()
-    sets = keep(_elements(rows.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "jaccard-sets")
+    sets = keep(_elements(rows, words, _id_filter(postings)), "jaccard-sets").dropDuplicates(["doc_id"])
     edges = None
     for turn in range(ROUNDS + 1):
         now = keep(_open(_with_labels(postings, edges)), "jaccard-round")
