@@ -15,8 +15,10 @@ TOGETHER = 1 << 21
 _AS_IS = np.arange(256, dtype=np.uint64)
 _LOWER = _AS_IS.copy()
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of words between white space, and of words that ASCII punctuation parts too.
+BETWEEN_SPACE = np.ones(256, bool)
+BETWEEN_SPACE[[9, 10, 11, 12, 13, 32]] = False
+LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -39,9 +41,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hash_words(data: np.ndarray, first: np.ndarray, letters: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(data: np.ndarray, first: np.ndarray, letters: np.ndarray = _LOWER, word: np.ndarray = BETWEEN_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash the words of ``data``; return hashes and where each begins. No word goes across a position in ``first``."""
-    in_word = _IS_WORD[data]
+    in_word = word[data]
     starts = in_word.copy()
     starts[1:] &= ~in_word[:-1]
     cuts = first[(first > 0) & (first < len(data))]
@@ -70,7 +72,7 @@ def groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, lower: bool = True, word: np.ndarray = BETWEEN_SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Hash the words of a column of texts without nulls, lower-cased (A-Z) or as they are.
 
     Yields, for some texts at a time, the index of the first text, the hashes
@@ -80,21 +82,21 @@ def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.
     letters = _LOWER if lower else _AS_IS
     for i, part, offsets in groups(column):
         if len(part) <= TOGETHER:
-            hashes, start = _hash_words(part, offsets[:-1], letters)
+            hashes, start = _hash_words(part, offsets[:-1], letters, word)
             counts = np.bincount(np.searchsorted(offsets, start, side="right") - 1, minlength=len(offsets) - 1)
             yield i, hashes, counts
         else:  # one long text
             found, at = [], 0
             while at < len(part):
                 stop = min(len(part), at + TOGETHER)
-                space = np.flatnonzero(~_IS_WORD[part[at:stop]])
+                space = np.flatnonzero(~word[part[at:stop]])
                 if stop < len(part):
                     if len(space):
                         stop = at + int(space[-1]) + 1
                     else:
-                        later = np.flatnonzero(~_IS_WORD[part[stop:]])
+                        later = np.flatnonzero(~word[part[stop:]])
                         stop = stop + int(later[0]) if len(later) else len(part)
-                found.append(_hash_words(part[at:stop], np.zeros(0, np.int64), letters)[0])
+                found.append(_hash_words(part[at:stop], np.zeros(0, np.int64), letters, word)[0])
                 at = stop
             hashes = np.concatenate(found)
             yield i, hashes, np.array([len(hashes)])
