@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from eventloom.llm import chat_format, decontamination, jaccard_join, line_dedup, packing, quality_rules, token_counts, warc  # noqa: F401
+from eventloom.llm import chat_format, decontamination, html_extraction, jaccard_join, line_dedup, packing, quality_rules, token_counts, warc  # noqa: F401
 from eventloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
