@@ -11,23 +11,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import keep, table
+from eventloom.llm.decontamination import decontaminate
+from eventloom.llm.jaccard_join import near_duplicates
 from eventloom.llm.line_dedup import dedup_lines
+from eventloom.llm.packing import pack_documents
+from eventloom.llm.quality_rules import keep_good
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality rules reject."""
+    return keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the lines that many documents share."""
     kept = dedup_lines(docs, carry=["lang", "source"])
-    return kept.select(
-        "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars")
-    )
+    n_chars = F.char_length("kept_text").cast("long").alias("n_chars")
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of every component of near duplicates."""
+    found = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.select(*COLUMNS).join(keep(found, "copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    return pack_documents(docs)
 
 
 STAGES = [
-    ("line_dedup", drop_common_lines),
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", packing),
 ]
 
+#: Three of the stages are no SQL; the tests hold the rows against a version by brute force.
 ORACLE_SQL = None
 
 
