@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 
 from eventloom.operators.enrich import Kind
 from eventloom.schema import EVENT, OBJECT, RAW_EVENT
-from eventloom.session import spread
 
 GROUP = "shop.example.com"
 KINDS = [
@@ -52,7 +51,7 @@ _REGARDING = """named_struct(
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return ``events`` as canonical events, with ``watch`` and ``seq``."""
-    rows = spread(table(spark, sf_dir, "events")).selectExpr(
+    rows = table(spark, sf_dir, "events").selectExpr(
         "concat('team-', user_id % 5) AS watch",
         "event_id AS seq",
         "concat('ev-', event_id) AS uid",
@@ -168,7 +167,7 @@ pos AS (
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return ``documents`` as raw events written through the deprecated fields, the whole text as note."""
-    rows = spread(table(spark, sf_dir, "documents")).selectExpr(
+    rows = table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS seq",
         "concat('doc-', doc_id) AS uid",
         "concat('lang-', lang) AS namespace",
@@ -202,15 +201,14 @@ doc AS (
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Return the customers in credit as live objects owned by their nation."""
+    """Return the customers as live objects owned by their nation; those in debt go by a name that no event regards."""
     rows = (
         table(spark, sf_dir, "customer")
-        .filter("c_acctbal >= 0")
         .selectExpr(
             f"'{GROUP}' AS group",
             "'Customer' AS kind",
             "concat('team-', c_custkey % 5) AS namespace",
-            "concat('customer-', c_custkey) AS name",
+            "concat(CASE WHEN c_acctbal < 0 THEN 'debtor-' ELSE 'customer-' END, c_custkey) AS name",
             "concat('c-', c_custkey) AS uid",
             "map('segment', c_mktsegment, 'nation', concat('nation-', c_nationkey)) AS labels",
             "map('title', c_name) AS annotations",
@@ -228,10 +226,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBJ = """
 obj AS (
-  SELECT 'team-' || (c_custkey % 5) AS o_namespace, 'customer-' || c_custkey AS o_name, 'c-' || c_custkey AS o_uid,
+  SELECT 'team-' || (c_custkey % 5) AS o_namespace,
+    CASE WHEN c_acctbal < 0 THEN 'debtor-' ELSE 'customer-' END || c_custkey AS o_name, 'c-' || c_custkey AS o_uid,
     c_mktsegment AS segment, 'nation-' || c_nationkey AS nation, c_name AS title, c_acctbal > 9000 AS terminating,
     CASE WHEN c_mktsegment = 'BUILDING' THEN 'Order' ELSE 'Nation' END AS owner_kind
-  FROM customer WHERE c_acctbal >= 0
+  FROM customer
 )"""
 
 # Events joined to their objects, as the enrichment rules say.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,9 +17,6 @@ from eventloom.operators.filters import EVAL_ERROR
 
 DEFAULT_NAMESPACE = "events"
 
-# Admitted series are broadcast up to this many; beyond it they are joined by shuffle.
-BROADCAST_SERIES = 100_000
-
 # Drop reasons per stage (fixed values).
 DROP_REASONS = {
     "filter": ("eval_error",),
@@ -60,63 +58,63 @@ def escape_name(name: str) -> str:
     return "_" + plain[1:] if plain[:1].isdigit() else plain
 
 
+def exposed_names(metrics: Sequence[Metric], default_namespace: str = DEFAULT_NAMESPACE) -> list[tuple[str, str, str, str]]:
+    """Return every name that metrics show: ``(kind, owner, name, name as a legacy reader gets it)``."""
+    rows = []
+    for metric in metrics:
+        full = metric.full_name(default_namespace) if metric.name else ""
+        rows.append(("metric", "", full, escape_name(full)))
+        rows += [("label", full, label, escape_name(label)) for label in (*metric.labels, *metric.const_labels)]
+    return rows
+
+
 def check_metrics(
     metrics: Sequence[Metric],
     default_namespace: str = DEFAULT_NAMESPACE,
     scheme: str = "legacy",
     reserved_prefixes: Sequence[str] = ("go_", "process_"),
 ) -> None:
-    """Refuse invalid, reserved or clashing names, and labels that read no event field."""
-    if scheme not in ("legacy", "utf8"):
-        raise MetricError(f"unknown name scheme {scheme!r}")
+    """Refuse names that a reader could not take or tell apart, and labels of fields that events lack.
+
+    All names are put in one table first; each rule is then one condition on it.
+    """
+    allowed = {"legacy": {"metric": _LEGACY_METRIC, "label": _LEGACY_LABEL}, "utf8": dict.fromkeys(("metric", "label"), re.compile(".+", re.S))}
+    if scheme not in allowed:
+        raise MetricError(f"there is no name scheme {scheme!r}")
+    rows = exposed_names(metrics, default_namespace)
+    kept_back = {"metric": tuple(reserved_prefixes), "label": ("__",)}
+    seen = Counter((kind, owner, plain) for kind, owner, _, plain in rows)
+    faults = [
+        f"{kind} {name!r}: {fault}"
+        for kind, owner, name, plain in rows
+        for fault, found in (
+            ("not a name under this scheme", not allowed[scheme][kind].fullmatch(name)),
+            ("a colon belongs to recording rules", kind == "metric" and ":" in name),
+            ("its beginning is kept for others", name.startswith(kept_back[kind]) or plain.startswith(kept_back[kind])),
+            ("not the only one a reader gets under this name", seen[kind, owner, plain] > 1),
+        )
+        if found
+    ]
+    for path in {path for metric in metrics for path in metric.labels.values()}:
+        try:
+            event_field(path)
+        except ValueError as error:
+            faults.append(str(error))
     if not metrics:
-        raise MetricError("at least one metric has to be defined")
-    exposed: dict[str, str] = {}
-    for metric in metrics:
-        name = metric.full_name(default_namespace)
-        if not metric.name or not _valid(name, scheme, _LEGACY_METRIC):
-            raise MetricError(f"invalid metric name {name!r}")
-        if ":" in name:
-            raise MetricError(f"invalid metric name {name!r}, colons are reserved")
-        for prefix in reserved_prefixes:
-            if name.startswith(prefix) or escape_name(name).startswith(prefix):
-                raise MetricError(f"metric {name!r} uses the reserved prefix {prefix!r}")
-        _check_labels(metric, scheme)
-        clash = exposed.setdefault(escape_name(name), name)
-        if clash != name or sum(other.full_name(default_namespace) == name for other in metrics) > 1:
-            raise MetricError(f"metrics {clash!r} and {name!r} are exposed under one name")
+        faults.append("there is nothing to count")
+    if faults:
+        raise MetricError("; ".join(sorted(set(faults))))
 
 
 def check_metric_sinks(sinks: Mapping[str, Sequence[Metric]], default_namespace: str = DEFAULT_NAMESPACE) -> None:
     """Refuse a metric name that two sinks expose."""
-    owner: dict[str, str] = {}
-    for sink in sorted(sinks):
-        for metric in sinks[sink]:
-            name = escape_name(metric.full_name(default_namespace))
-            if owner.setdefault(name, sink) != sink:
-                raise MetricError(f"sink {sink!r}: metric {name!r} is already exposed by sink {owner[name]!r}")
-
-
-def _valid(name: str, scheme: str, legacy: re.Pattern[str]) -> bool:
-    return bool(name) if scheme == "utf8" else bool(legacy.fullmatch(name))
-
-
-def _check_labels(metric: Metric, scheme: str) -> None:
-    exposed: dict[str, str] = {}
-    for label in [*sorted(metric.labels), *sorted(metric.const_labels)]:
-        if not _valid(label, scheme, _LEGACY_LABEL):
-            raise MetricError(f"invalid label name {label!r}")
-        if label.startswith("__") or escape_name(label).startswith("__"):
-            raise MetricError(f"label {label!r} uses a reserved prefix")
-        if exposed.setdefault(escape_name(label), label) != label:
-            raise MetricError(f"labels {exposed[escape_name(label)]!r} and {label!r} are exposed under one name")
-    if both := sorted(set(metric.labels) & set(metric.const_labels)):
-        raise MetricError(f"label {both[0]!r} is defined in both labels and const_labels")
-    for path in metric.labels.values():
-        try:
-            event_field(path)
-        except ValueError as error:
-            raise MetricError(str(error)) from error
+    owners: dict[str, set[str]] = {}
+    for sink, metrics in sinks.items():
+        for kind, _, _, plain in exposed_names(metrics, default_namespace):
+            if kind == "metric":
+                owners.setdefault(plain, set()).add(sink)
+    if shared := sorted(f"{name} ({', '.join(sorted(of))})" for name, of in owners.items() if len(of) > 1):
+        raise MetricError(f"metrics of more than one sink: {'; '.join(shared)}")
 
 
 def label_values(metric: Metric) -> Column:
@@ -154,10 +152,10 @@ def admitted_series(
     counted = series(events, metrics, seq)
     if max_series:
         counted = counted.orderBy("first_seq", "metric_index").limit(max_series)
-    return counted.filter(_valid_values(F.col("label_values")))
+    return counted.filter(valid_values(F.col("label_values")))
 
 
-def _valid_values(values: Column) -> Column:
+def valid_values(values: Column) -> Column:
     return F.is_valid_utf8(F.concat_ws(" ", values))
 
 
@@ -169,6 +167,7 @@ def count_metrics(
     default_namespace: str = DEFAULT_NAMESPACE,
 ) -> DataFrame:
     """Return ``metric, labels, value`` per series; constant labels are added at the end."""
+    check_metrics(metrics, default_namespace)
     if max_series and seq is None:
         raise ValueError("a series limit needs the column that orders the events")
     counted = admitted_series(events, metrics, max_series, seq if max_series else None)
@@ -189,11 +188,11 @@ def count_metrics(
 def metric_delivery(events: DataFrame, metrics: Sequence[Metric], max_series: int, seq: str) -> DataFrame:
     """Add ``delivered``: whether at least one metric recorded the event.
 
-    Each metric looks its series up among the admitted ones, which the limit
-    bounds; up to BROADCAST_SERIES they are broadcast.
+    Each metric looks its series up among the admitted ones; Spark broadcasts
+    those when they measure small enough.
     """
     if not max_series:
-        recorded = [_valid_values(label_values(metric)) for metric in metrics]
+        recorded = [valid_values(label_values(metric)) for metric in metrics]
         return events.withColumn("delivered", reduce(operator.or_, recorded))
     admitted = admitted_series(events, metrics, max_series, seq).select("metric_index", "label_values")
     delivered = F.lit(False)
@@ -201,8 +200,6 @@ def metric_delivery(events: DataFrame, metrics: Sequence[Metric], max_series: in
         own = admitted.filter(F.col("metric_index") == index).select(
             F.col("label_values").alias(f"_series_{index}"), F.lit(True).alias(f"_admitted_{index}")
         )
-        if max_series <= BROADCAST_SERIES:
-            own = F.broadcast(own)
         events = events.join(own, label_values(metric) == F.col(f"_series_{index}"), "left")
         delivered = delivered | F.coalesce(F.col(f"_admitted_{index}"), F.lit(False))
     helpers = [f"{name}_{index}" for index in range(len(metrics)) for name in ("_series", "_admitted")]

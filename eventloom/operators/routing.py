@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.filters import EVAL_ERROR, MATCHED, verdict
+from eventloom.operators.filters import EVAL_ERROR, MATCHED, check_rules, verdict
 from eventloom.plans.spec import Flow
 
 UNBOUND = "unbound"
@@ -26,9 +25,12 @@ def match(events: DataFrame, flows: Sequence[Flow]) -> DataFrame:
     """Evaluate every flow in name order, in one pass.
 
     ``verdicts`` holds one (flow, verdict) entry per flow, and ``sinks`` the
-    distinct sinks of the matching ones, in the order they are reached.
+    distinct sinks of the matching ones, in the order they are reached. A rule
+    that does not analyse or is not boolean is refused here.
     """
     flows = sorted(flows, key=lambda flow: flow.name)
+    for flow in flows:
+        check_rules(events.sparkSession, flow.filters, events.schema)
     found = [flow_verdict(flow) for flow in flows]
     entries = [F.struct(F.lit(flow.name).alias("flow"), verdict.alias("verdict")) for flow, verdict in zip(flows, found)]
     none = F.array().cast("array<string>")
@@ -58,15 +60,9 @@ def verdict_counts(matched: DataFrame) -> DataFrame:
 def route_write(routed: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]]) -> None:
     """Hand each sink its own rows.
 
-    With two or more sinks the routed rows are kept on disk for the duration,
-    so that the flow above them is evaluated once.
+    Every writer reads the routed rows anew. Where the plan above them is
+    dear, hand in rows read from a written table, such as one partitioned by
+    ``sink``, of which each writer then reads its part only.
     """
-    keep = len(writers) > 1
-    if keep:
-        routed = routed.persist(StorageLevel.DISK_ONLY)
-    try:
-        for sink, write in writers.items():
-            write(routed.filter(F.col("sink") == sink).drop("sink"))
-    finally:
-        if keep:
-            routed.unpersist()
+    for sink, write in writers.items():
+        write(routed.filter(F.col("sink") == sink).drop("sink"))

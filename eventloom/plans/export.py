@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.batching import QUEUE_BYTES, BatchLimits, batch_id, frame_bytes, pack_batches, split_too_large
 from eventloom.operators.export import request_bodies, sign_requests
+from eventloom.operators.metrics import frame_drops
 
 
 def export_requests(
@@ -26,9 +27,8 @@ def export_requests(
     """Return one request per batch of frames.
 
     ``keys`` names the packer columns of ``events``, ``seq`` orders them. Empty
-    frames and frames larger than a queue are left out; see
-    :func:`~eventloom.operators.batching.split_too_large` to count them. The
-    frames are encoded once for their sizes and once for the bodies; checkpoint
+    frames and frames larger than a queue are left out; :func:`export_drops`
+    returns those. The frames are encoded once for their sizes and once for the bodies; checkpoint
     ``events`` first when what is above them is expensive.
     """
     framed = events.select(
@@ -38,3 +38,10 @@ def export_requests(
     packed = pack_batches(kept, keys, limits).withColumn("batch_id", batch_id(keys, epoch))
     requests = request_bodies(packed, fmt, separator)
     return requests if secret is None else sign_requests(requests, secret, sent_at)
+
+
+def export_drops(events: DataFrame, frame: Column, fmt: str, sink: Column | str, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
+    """Return a drop row for every frame that :func:`export_requests` leaves out."""
+    named = F.lit(sink) if isinstance(sink, str) else sink
+    framed = events.select(named.alias("sink"), frame_bytes(frame, fmt).alias("size"))
+    return frame_drops(split_too_large(framed, "size", queue_bytes)[1])

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from eventloom.operators.filters import Rule
+from pyspark.sql import SparkSession
+
+from eventloom.operators.filters import Rule, RuleError, check_rules
 from eventloom.sources.events import ALL_NAMESPACES
 
 _NAME = re.compile(r"[A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9])?")
@@ -40,31 +43,44 @@ class Flow:
                 raise BindingError(f"{self.name}: a filter must not be empty")
 
 
+def binding_faults(flows: Sequence[Flow], watches: Iterable[str], sinks: Iterable[str]) -> dict[str, set[str]]:
+    """Return what keeps flows, watches and sinks from fitting together: the names at fault, by the kind of fault."""
+    offered = {"watch": set(watches), "sink": set(sinks)}
+    asked = {
+        "watch": {watch for flow in flows for watch in flow.watches or ()},
+        "sink": {sink for flow in flows for sink in flow.sinks},
+    }
+    # A flow that asks for no watch gets them all.
+    served = asked | ({"watch": offered["watch"]} if any(flow.watches is None for flow in flows) else {})
+    times = Counter(flow.name for flow in flows)
+    faults = {
+        "flow given more than once": {name for name, count in times.items() if count > 1},
+        "malformed sink name": {name for name in offered["sink"] if not _NAME.fullmatch(name)},
+        "flow that narrows a watch of everything": {
+            flow.name for flow in flows if flow.watches and ALL_NAMESPACES in offered["watch"]
+        },
+    }
+    for kind in offered:
+        faults[f"{kind} asked for but not there"] = asked[kind] - offered[kind]
+        faults[f"{kind} that serves no flow"] = offered[kind] - served[kind]
+    return {kind: names for kind, names in faults.items() if names}
+
+
 def check_bindings(flows: Sequence[Flow], watches: Iterable[str], sinks: Iterable[str]) -> None:
-    """Check that flows name declared watches and sinks, and that each of those is used."""
-    watches, sinks = set(watches), set(sinks)
-    used_watches: set[str] = set()
-    used_sinks: set[str] = set()
-    if len({flow.name for flow in flows}) != len(flows):
-        raise BindingError("a flow name is used twice")
-    for name in sorted(sinks):
-        if not _NAME.fullmatch(name):
-            raise BindingError(f"sink name {name!r} is invalid")
-    for flow in sorted(flows, key=lambda flow: flow.name):
-        if ALL_NAMESPACES in watches and flow.watches:
-            raise BindingError(f"{flow.name}: watches cannot be narrowed, every namespace is covered")
-        for watch in flow.watches or ():
-            if watch not in watches:
-                raise BindingError(f"{flow.name}: namespace {watch!r} is not watched")
-        for sink in flow.sinks:
-            if sink not in sinks:
-                raise BindingError(f"{flow.name}: sink {sink!r} is not declared")
-        used_watches |= set(flow.watches or watches)
-        used_sinks |= set(flow.sinks)
-    if unused := sorted(watches - used_watches):
-        raise BindingError(f"namespace {unused[0]!r} is referenced by no flow")
-    if unused := sorted(sinks - used_sinks):
-        raise BindingError(f"sink {unused[0]!r} is referenced by no flow")
+    """Refuse flows, watches and sinks that do not fit together, naming every fault."""
+    if faults := binding_faults(flows, watches, sinks):
+        raise BindingError("; ".join(f"{kind}: {', '.join(sorted(names))}" for kind, names in faults.items()))
+
+
+def accepted_flows(spark: SparkSession, flows: Sequence[Flow], next_flows: Sequence[Flow]) -> tuple[list[Flow], bool]:
+    """Return the flows with the next filters, or, where one of those is refused, as they are; and which of the two."""
+    swapped = swap_filters(flows, next_flows)
+    try:
+        for flow in swapped:
+            check_rules(spark, flow.filters)
+    except RuleError:
+        return list(flows), False
+    return swapped, True
 
 
 def swap_filters(flows: Sequence[Flow], next_flows: Sequence[Flow]) -> list[Flow]:

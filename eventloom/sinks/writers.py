@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.operators.batching import BatchLimits
 from eventloom.operators.encode import Identity, json_lines, kafka_records
-from eventloom.operators.metrics import Metric
-from eventloom.plans.export import export_requests
+from eventloom.operators.metrics import Metric, drop_counts
+from eventloom.plans.export import export_drops, export_requests
 from eventloom.streaming.run import count_limited
 
 Writer = Callable[[DataFrame, int], None]
@@ -55,13 +54,15 @@ def kafka_writer(options: Mapping[str, str], key: str = "uid", identity: Identit
 
 
 def requests_writer(
-    folder: str, frame: Callable[[], Column], fmt: str, keys: Sequence[str], limits: BatchLimits, **signing
+    folder: str, frame: Callable[[], Column], fmt: str, keys: Sequence[str], limits: BatchLimits, sink: str = "", **signing
 ) -> Writer:
-    """Write the composed, optionally signed request bodies as a table."""
+    """Write the composed, optionally signed request bodies as a table, and in ``drops`` the frames that no queue takes."""
 
     def write(events: DataFrame, epoch: int = 0) -> None:
         requests = export_requests(events, frame(), fmt, keys, limits, epoch=str(epoch), **signing)
         requests.write.mode("overwrite").parquet(_epoch_folder(folder, epoch))
+        drops = drop_counts(export_drops(events, frame(), fmt, sink))
+        drops.write.mode("overwrite").parquet(_epoch_folder(f"{folder}/drops", epoch))
 
     return write
 
@@ -75,10 +76,11 @@ def counters_writer(folder: str, metrics: Sequence[Metric], max_series: int = 0,
     return write
 
 
-def console_writer(rows: int = 20) -> Writer:
-    """Show the first lines of each epoch on the driver's standard output."""
+def console_writer() -> Writer:
+    """Print the line of every event on the driver's standard output, a partition at a time."""
 
     def write(events: DataFrame, epoch: int = 0) -> None:
-        json_lines(events).select(F.lit(epoch).alias("epoch"), "value").show(rows, truncate=False)
+        for row in json_lines(events).toLocalIterator(prefetchPartitions=True):
+            print(row["value"])
 
     return write

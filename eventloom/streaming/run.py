@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators.metrics import Metric, series
+from eventloom.operators.filters import check_rules
+from eventloom.operators.metrics import Metric, check_metrics, series, valid_values
 from eventloom.operators.routing import route, route_write
 from eventloom.operators.sampling import interval_states, per_interval, with_suppressed
 from eventloom.plans.flow import EventPath
-from eventloom.plans.spec import Flow, swap_filters
+from eventloom.plans.spec import Flow, accepted_flows
 from eventloom.session import shared_folder
 from eventloom.sources.replay import changed_positions, positions
 
@@ -39,18 +40,29 @@ def run_stream(
     """Start the event path on a stream of frames.
 
     ``objects`` and ``flows`` are read at the start of every micro-batch, so a
-    batch sees one snapshot of the objects and one set of rules. Watch
+    batch sees one snapshot of the objects and one set of rules; where a new
+    rule is refused, the rules before it stay. Watch
     positions are written after the sinks, only when some position moved.
     Offsets go to ``checkpoint``, by default a folder of the cluster's shared
     one named after the sinks, so that a restart finds it again.
     """
     spark = frames.sparkSession
+    if unserved := set(path.sinks) ^ set(writers):
+        raise ValueError(f"sinks and writers differ: {', '.join(sorted(unserved))}")
+    for flow in path.flows:
+        check_rules(spark, flow.filters)
     if checkpoint is None:
         checkpoint = f"{shared_folder(spark)}/events-{'-'.join(sorted(writers))}"
 
+    rules = {"current": list(path.flows), "refused": 0}
+
     def deliver(batch: DataFrame, epoch: int) -> None:
-        current = swap_filters(path.flows, flows()) if flows else path.flows
-        events = path.events(batch, F.lit(dt.datetime.now(dt.timezone.utc)), objects() if objects else None)
+        current = path.flows
+        if flows:
+            current, accepted = accepted_flows(spark, rules["current"], flows())
+            rules["current"] = current
+            rules["refused"] += not accepted
+        events = path.events(batch, F.lit(read_time(spark, f"{checkpoint}-read-times", epoch)), objects() if objects else None)
         routed = route(path.matched(events, current))
         route_write(routed, {sink: _bound(write, epoch) for sink, write in writers.items()})
         if positions_folder:
@@ -87,6 +99,26 @@ def _latest_version(spark: SparkSession, folder: str, below: int | None = None)
     return f"{folder}/epoch={max(versions)}" if versions else None
 
 
+def _prune(spark: SparkSession, folder: str, epoch: int, kept: int = 2) -> None:
+    """Delete the versions of a state table that no epoch can start from any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    versions = sorted(int(name.removeprefix("epoch=")) for name in names if name.startswith("epoch="))
+    for version in [v for v in versions if v <= epoch][:-kept]:
+        files.delete(hadoop(f"{folder}/epoch={version}"), True)
+
+
+def read_time(spark: SparkSession, folder: str, epoch: int) -> dt.datetime:
+    """Return when an epoch was first read; run again, it has the time of its first run."""
+    version = f"{folder}/epoch={epoch}"
+    now = spark.createDataFrame([(dt.datetime.now(dt.timezone.utc),)], "at timestamp")
+    now.coalesce(1).write.mode("ignore").parquet(version)
+    _prune(spark, folder, epoch)
+    return spark.read.schema("at timestamp").parquet(version).first()["at"]
+
+
 def load_positions(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
     """Return the stored positions, or None when there are none yet."""
     version = _latest_version(spark, folder, below)
@@ -106,6 +138,7 @@ def save_positions(spark: SparkSession, frames: DataFrame, folder: str, epoch: i
     elif changed_positions(stored, moved).isEmpty():
         return False
     moved.coalesce(1).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    _prune(spark, folder, epoch)
     return True
 
 
@@ -132,12 +165,17 @@ def count_limited(
     """Add a micro-batch to the totals of the admitted series, and return the totals.
 
     Series admitted earlier stay; new ones take what is left of the limit in
-    the order they occur. The totals hold at most ``max_series`` rows. A batch
-    run again starts from the same earlier version.
+    the order they occur. The totals hold at most ``max_series`` rows; a series
+    with a value that is no valid text takes its place and is not reported. A
+    batch run again starts from the same earlier version.
     """
-    earlier = load_totals(spark, folder, below=epoch)
+    check_metrics(metrics)
+    earlier = _stored_totals(spark, folder, below=epoch)
     batch = series(events, metrics, seq).select(
-        "metric_index", "label_values", "value", F.lit(epoch).cast("bigint").alias("first_epoch"), "first_seq"
+        "metric_index",
+        "label_values",
+        "value",
+        F.lit(epoch).cast("bigint").alias("first_epoch"), "first_seq"
     )
     if earlier is not None:
         batch = earlier.unionByName(batch)
@@ -149,15 +187,21 @@ def count_limited(
     if max_series:
         totals = totals.orderBy("first_epoch", "first_seq", "metric_index").limit(max_series)
     totals.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    _prune(spark, folder, epoch)
     return load_totals(spark, folder, epoch + 1)
 
 
-def load_totals(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """Return the newest totals of :func:`count_limited`, or None when there are none yet."""
+def _stored_totals(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
     version = _latest_version(spark, folder, below)
     return spark.read.schema(_TOTALS).parquet(version) if version else None
 
 
+def load_totals(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """Return the newest totals of :func:`count_limited`, or None when there are none yet."""
+    totals = _stored_totals(spark, folder, below)
+    return None if totals is None else totals.filter(valid_values(F.col("label_values")))
+
+
 # --- rate-limited records ----------------------------------------------------
 
 _INTERVALS = "gate string, key string, since bigint, count bigint, pending bigint"
@@ -195,6 +239,7 @@ def per_interval_stream(
             pending = reduce(DataFrame.union, tallied).groupBy("gate").agg(F.sum("pending").alias("pending"))
             after = interval_states(batch, interval, states=states).join(pending, "gate")
             after.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+            _prune(spark, folder, epoch)
         finally:
             flagged.unpersist()
 

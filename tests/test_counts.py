@@ -47,9 +47,7 @@ def test_series_limit(events):
 
 
 @pytest.mark.parametrize("limit", [0, 1, 4, 9, 50])
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_limited_sink_equals_a_sequential_one(events, monkeypatch, limit, broadcast):
-    monkeypatch.setattr(metrics, "BROADCAST_SERIES", broadcast)
+def test_limited_sink_equals_a_sequential_one(events, limit):
     choose = random.Random(limit)
     rows = [(choose.choice("abcdef"), choose.choice("xyz")) for _ in range(80)]
     table = events(*[event(namespace=n, reason=r) | {"seq": i} for i, (n, r) in enumerate(rows)], seq="long").repartition(4)
@@ -79,9 +77,9 @@ def test_counting_is_one_exchange(events):
     "definition",
     [
         [],
-        [Metric("1:x")],
-        [Metric("a:b")],
-        [Metric("a b")],
+        [Metric("x", namespace="9lives")],
+        [Metric("bad:name")],
+        [Metric("two words")],
         [Metric("")],
         [Metric("x", namespace="go")],
         [Metric("a"), Metric("a")],
@@ -96,6 +94,11 @@ def test_metrics_refused(spark, definition):
         check_metrics(definition)
 
 
+def test_refused_metrics_never_reach_a_plan(events):
+    with pytest.raises(MetricError):
+        count_metrics(made(events, "a"), [Metric("bad:name"), Metric("good")])
+
+
 def test_values_that_are_no_text_are_not_counted(events):
     rows = made(events, "a", "b").withColumn("namespace", F.when(F.col("seq") == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("b"))
     for limit, expected in ((0, {("events_a", (("namespace", "b"),)): 1}), (1, {})):

@@ -10,7 +10,7 @@ from eventloom.functions import predicates as fn
 from eventloom.operators.filters import RuleError, check_rules, choose, exists_one, matches, verdict
 from eventloom.operators.metrics import drop_counts, filter_drops
 from eventloom.operators.routing import match, route, route_write, verdict_counts
-from eventloom.plans.spec import BindingError, Flow, check_bindings, swap_filters
+from eventloom.plans.spec import BindingError, Flow, accepted_flows, check_bindings, swap_filters
 
 
 @pytest.mark.parametrize(
@@ -113,6 +113,26 @@ def test_bindings_refused(flows, watches, sinks):
         check_bindings(flows, watches, sinks)
 
 
+def test_all_binding_faults_are_named():
+    with pytest.raises(BindingError) as refused:
+        check_bindings([Flow("a", ("x", "q"), watches=("n",)), Flow("a", ("x",), watches=("m",))], ["n", "o"], ["x", "y"])
+    for name in ("watch asked for but not there: m", "watch that serves no flow: o", "sink that serves no flow: y", "more than once: a"):
+        assert name in str(refused.value)
+
+
+@pytest.mark.parametrize("rule", ["reason", "nope = 1", "note + ("])
+def test_refused_rules_never_reach_a_plan(events, rule):
+    with pytest.raises(RuleError):
+        match(events(event()), [Flow("a", ("x",), filters=(rule,))])
+
+
+def test_a_refused_swap_keeps_the_rules(spark):
+    now = [Flow("a", ("x",), filters=("type = 'Warning'",))]
+    assert accepted_flows(spark, now, [Flow("a", ("x",), filters=("reason",))]) == (now, False)
+    flows, accepted = accepted_flows(spark, now, [Flow("a", ("x",), filters=("reason = 'r'",))])
+    assert accepted and flows[0].filters == ("reason = 'r'",)
+
+
 @pytest.mark.parametrize("fields", [{"sinks": ()}, {"sinks": ("x", "x")}, {"watches": ()}, {"filters": (" ",)}, {"name": "-a"}])
 def test_flow_refused(fields):
     with pytest.raises(BindingError):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.batching import BatchLimits
 from eventloom.operators.encode import gelf, template, to_canonical_json
-from eventloom.operators.metrics import Metric
+from eventloom.operators.metrics import Metric, drop_counts
 from eventloom.operators.routing import match, route, route_write
-from eventloom.plans.export import export_requests
+from eventloom.plans.export import export_drops, export_requests
 from eventloom.plans.spec import Flow
 from eventloom.sinks import writers
 from eventloom.streaming.run import load_totals
@@ -59,4 +59,17 @@ def test_writers_replace_their_epoch(spark, events, tmp_path):
     assert sorted(row["frames"] for row in requests.collect()) == [3, 4]
     totals = load_totals(spark, f"{folder}/counts")
     assert {row["label_values"][0]: row["value"] for row in totals.collect()} == {"Normal": 4, "Warning": 3}
-    writers.console_writer()(rows(events, 1), 1)
+
+
+def test_the_console_gets_every_event(events, capsys):
+    writers.console_writer()(events(*[event(uid=str(i)) for i in range(1000)]), 1)
+    printed = capsys.readouterr().out.splitlines()
+    assert sorted(json.loads(line)["uid"] for line in printed if line.startswith("{")) == sorted(map(str, range(1000)))
+
+
+def test_frames_that_no_queue_takes_are_counted(events):
+    table = events(event(uid="a", note="x" * 200), event(uid="b", note="short"), event(uid="c", note=""))
+    drops = drop_counts(export_drops(table, F.col("note"), "webhook", "hook", queue_bytes=100))
+    assert {(r["stage"], r["reason"], r["sink"]): r["events"] for r in drops.collect()} == {
+        ("queue", "too_large", "hook"): 1, ("sink", "rejected", "hook"): 1,
+    }
