@@ -33,9 +33,11 @@ PASSAGE, RANK, MORE = 64, 256, 16
 #: How much the items weigh against the corpus.
 ITEM_WEIGHT = 8.0
 #: A term in a larger share of the passages says nothing about one.
-COMMON = 0.05
-#: Sizes of the windows that are compared, in words, and the unit their sums are made of.
-WINDOWS, UNIT = (16, 32, 64), 8
+COMMON = 0.02
+#: Sizes of the windows that are compared, in words, and the unit their sums are made of; windows begin half a size
+#: apart. Units of no words after each document, so that no window holds two documents.
+WINDOWS, UNIT = (32, 64), 16
+BETWEEN = WINDOWS[-1] // UNIT - 1
 #: The least cosine of a candidate; the least share of an item's words in order that decides alone, and with the answer.
 NEAR, SURE, LIKELY, ANSWER = 0.35, 0.8, 0.6, 0.8
 #: Words that pass through a matrix at a time, and rows of one that travel together.
@@ -107,9 +109,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nda
             at = stop
 
 
-def _parts(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number the parts of ``size`` words of each document; return the part of each word, and each document's first part."""
-    parts = -(-counts // size)
+def _parts(counts: np.ndarray, size: int, between: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Number the parts of ``size`` words of each document, leaving some out between two documents.
+
+    Returns the part of each word, and the first part of each document and of one after the last.
+    """
+    parts = -(-counts // size) + between
     first = np.concatenate(([0], np.cumsum(parts)))
     begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
     at = np.arange(int(counts.sum())) - np.repeat(begin, counts)
@@ -127,6 +132,24 @@ def _runs(places: np.ndarray, parts: np.ndarray) -> Iterator[np.ndarray]:
         at = stop
 
 
+def _add_rows(out: np.ndarray, where: np.ndarray, source: np.ndarray, rows: np.ndarray) -> None:
+    """Add ``source[rows]`` to ``out[where]``, also where a place comes up more than once.
+
+    First the first row of every place, then the second, and so on. That is an
+    order of magnitude faster than the library's own ways over wide rows.
+    """
+    order = np.argsort(where, kind="stable")
+    sorted_ = where[order]
+    heads = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    turn = np.arange(len(where)) - np.repeat(heads, np.diff(heads, append=len(where)))
+    by_turn = order[np.argsort(turn, kind="stable")]
+    at = 0
+    for size in np.bincount(turn).tolist():
+        some = by_turn[at : at + size]
+        out[where[some]] += source[rows[some]]
+        at += size
+
+
 def _summed(numbered: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
     """Add up the matrices that ``work`` makes of the partitions; rows of zeros do not travel."""
     columns = shape[1]
@@ -180,18 +203,15 @@ def _gram_times(numbered: DataFrame, weights: np.ndarray, block: np.ndarray) ->
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         weight, weighted = shared.value
-        out = np.zeros(weighted.shape)
+        out = np.zeros(weighted.shape, np.float32)
         for _, words, counts in _read(batches):
             passage, _ = _parts(counts, PASSAGE)
             useful = np.flatnonzero((words != NO_WORD) & (weight[words] > 0))
             for some in _runs(useful, passage[useful]):
                 term, where = words[some], passage[some]
-                heads = np.flatnonzero(np.diff(where, prepend=-1))
-                projected = np.add.reduceat(weighted[term], heads)
-                row = np.cumsum(np.diff(where, prepend=where[0]) != 0)
-                order = np.argsort(term, kind="stable")
-                starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-                out[term[order][starts]] += np.add.reduceat(projected[row[order]], starts)
+                projected = np.zeros((where[-1] - where[0] + 1, weighted.shape[1]), np.float32)
+                _add_rows(projected, where - where[0], weighted, term)
+                _add_rows(out, term, projected, where - where[0])
         return out * weight[:, None]
 
     return _summed(numbered, multiply, block.shape)
@@ -208,6 +228,9 @@ def latent_space(numbered: DataFrame, items: Items, rank: int = RANK) -> tuple[n
     weights = np.where(df <= max(1.0, COMMON * passages), np.log((1.0 + passages) / (1.0 + df)), 0.0)
     width = min(rank + MORE, terms)
     own = np.zeros((len(items.passages), terms))
+    for q, (_, passage) in enumerate(items.passages):
+        if not weights[passage].any():  # nothing but common terms, which then have to do
+            weights[passage] = np.log((1.0 + passages) / (1.0 + df[passage]))
     for q, (_, passage) in enumerate(items.passages):
         np.add.at(own[q], passage, weights[passage])
     if not own.any():
@@ -243,34 +266,33 @@ def _matches(
     ids: list[int], words: np.ndarray, counts: np.ndarray, weights: np.ndarray, space: np.ndarray, items: Items, queries: list
 ) -> Iterator[tuple[int, int, float, float]]:
     """Candidates by cosine in the latent space, then those that the words bear out."""
-    unit, first = _parts(counts, UNIT)
+    unit, first = _parts(counts, UNIT, BETWEEN)
     useful = np.flatnonzero((words != NO_WORD) & (weights[words] > 0))
     if not len(useful):
         return
     begin = np.concatenate(([0], np.cumsum(counts)))
-    sums = np.zeros((first[-1] + 1, space.shape[1]), np.float32)
+    units = int(first[-1])
+    sums = np.zeros((units + BETWEEN, space.shape[1]), np.float32)
     for some in _runs(useful, unit[useful]):
-        heads = np.flatnonzero(np.diff(unit[some], prepend=-1))
-        sums[unit[some][heads] + 1] = np.add.reduceat(space[words[some]], heads)
+        _add_rows(sums, unit[some], space, words[some])
     # The length of a window's whole vector, not only of its shadow in the space: a single shared term is not near.
-    energy = np.concatenate(([0.0], np.cumsum(np.bincount(unit[useful], weights[words[useful]] ** 2, first[-1]))))
-    owner = np.repeat(np.arange(len(counts)), np.diff(first))
-    sums = np.cumsum(sums, axis=0, dtype=np.float64)
+    energy = np.bincount(unit[useful], weights[words[useful]] ** 2, units + BETWEEN)
     best: dict[tuple[int, int], tuple[float, float]] = {}
     for size, (numbers, vectors) in queries:
         if not len(numbers):
             continue
-        step = max(1, size // UNIT // 2)
-        starts = np.concatenate([np.arange(a, b, step) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
-        for at in range(0, len(starts), TOGETHER):
-            some = starts[at : at + TOGETHER]
-            stops = np.minimum(some + size // UNIT, first[1:][owner[some]])
-            window = (sums[stops] - sums[some]).astype(np.float32)
-            length = np.sqrt(np.maximum(energy[stops] - energy[some], 1e-12)).astype(np.float32)
-            near = window @ vectors.T >= NEAR * length[:, None]
+        wide, step = size // UNIT, size // UNIT // 2
+        for at in range(0, units, TOGETHER):
+            stop = min(units, at + TOGETHER)
+            window = sum(sums[at + k : stop + k : step] for k in range(wide))
+            length = np.sqrt(sum(energy[at + k : stop + k : step] for k in range(wide)))
+            near = window @ vectors.T >= (NEAR * np.maximum(length, 1e-6))[:, None].astype(np.float32)
             for w, q in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                doc = int(owner[some[w]])
-                begins = int(begin[doc]) + (int(some[w]) - int(first[doc])) * UNIT
+                start = at + step * w
+                doc = int(np.searchsorted(first, start, side="right")) - 1
+                if start >= first[doc + 1] - BETWEEN:  # begins behind a document and reaches into the next
+                    doc += 1
+                begins = int(begin[doc]) + (start - int(first[doc])) * UNIT
                 region = words[max(int(begin[doc]), begins - size // 2) : min(int(begin[doc + 1]), begins + size + size // 2)]
                 k, passage = items.passages[numbers[q]]
                 share = common_subsequence(passage, region) / len(passage)
