@@ -211,7 +211,7 @@ def cidr_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('10.', s_suppkey % 150, '.', s_nationkey, '.0/24') AS cidr", "s_name AS tag"
     )
     networks = nations.unionByName(suppliers)
-    return fn.tag_cidr(events, "ip", networks, prefixes=(16, 24)).select("uid", "cidr", "tag")
+    return fn.tag_cidr(events, "ip", networks).select("uid", "cidr", "tag")
 
 
 @query(

@@ -5,13 +5,10 @@ Each returns NULL where the operation fails, which a rule reads as an error.
 
 from __future__ import annotations
 
-import ipaddress
-from collections.abc import Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventloom.functions.jsontext import json_quote
 from eventloom.functions.text import ascii_lower, ascii_upper  # noqa: F401
@@ -240,98 +237,127 @@ def cidr_masked(cidr: Column) -> Column:
     return F.concat(ipv4_text(bounds["lo"]), F.lit("/"), bounds["prefix"].cast("string"))
 
 
-IP_FACTS = T.StructType(
-    [
-        T.StructField("family", T.IntegerType()),
-        T.StructField("canonical", T.StringType()),
-        T.StructField("unspecified", T.BooleanType()),
-        T.StructField("loopback", T.BooleanType()),
-        T.StructField("link_local_multicast", T.BooleanType()),
-        T.StructField("link_local_unicast", T.BooleanType()),
-        T.StructField("global_unicast", T.BooleanType()),
-    ]
-)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _ip_facts(text: str | None) -> tuple:
-    try:
-        ip = ipaddress.ip_address(text or "")
-    except ValueError:
-        return (None,) * len(IP_FACTS)
-    if ip.version == 6 and (ip.scope_id or ip.ipv4_mapped):
-        return (None,) * len(IP_FACTS)
-    if ip.version == 4:
-        link_local_multicast = ip in ipaddress.ip_network("224.0.0.0/24")
-        broadcast = int(ip) == 0xFFFFFFFF
-    else:
-        link_local_multicast = ip.packed[0] == 0xFF and ip.packed[1] & 0x0F == 2
-        broadcast = False
-    plain = not (ip.is_unspecified or ip.is_loopback or ip.is_multicast or ip.is_link_local or broadcast)
-    return (
-        ip.version,
-        str(ip),
-        ip.is_unspecified,
-        ip.is_loopback,
-        link_local_multicast,
-        ip.is_link_local,
-        plain,
-    )
+def _hex_address(text: Column) -> Column:
+    """Return the hex digits of an address, 8 of IPv4 or 32 of IPv6; NULL for anything else.
 
+    An IPv6 address with a zone, or one that maps an IPv4 address, is none here.
+    """
+    four = F.lower(F.lpad(F.hex(ipv4_number(text)), 8, "0"))
+    # A dotted end counts as two groups.
+    dotted = r"^(.*:)(\d+\.\d+\.\d+\.\d+)$"
+    end = F.lpad(F.hex(ipv4_number(F.regexp_extract(text, dotted, 2))), 8, "0")
+    grouped = F.concat(F.regexp_extract(text, dotted, 1), F.substring(end, 1, 4), F.lit(":"), F.substring(end, 5, 4))
+    plain = F.lower(F.when(text.rlike(dotted), grouped).otherwise(text))
+    none = F.array().cast("array<string>")
 
-@F.pandas_udf(IP_FACTS)
-def ip_facts(text: pd.Series) -> pd.DataFrame:
-    """Return family, canonical form and class of an IPv4 or IPv6 address, NULLs for anything else."""
-    return pd.DataFrame([_ip_facts(value) for value in text], columns=IP_FACTS.names)
+    def groups(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", none).otherwise(F.split(half, ":", -1))
 
+    def filled(halves: Column) -> Column:
+        left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        gap = F.when(missing >= 1, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+        return F.when(F.size(halves) == 2, gap).when((F.size(halves) == 1) & (missing == 0), left)
 
-def is_canonical_ip(text: Column) -> Column:
-    return text == ip_facts(text)["canonical"]
+    def joined(whole: Column) -> Column:
+        digits = F.array_join(F.transform(whole, lambda group: F.lpad(group, 4, "0")), "")
+        return F.when(F.forall(whole, lambda group: group.rlike("^[0-9a-f]{1,4}$")), digits)
 
+    six = _let(_let(F.split(plain, "::", -1), filled), joined)
+    return F.when(is_ipv4(text), four).otherwise(_let(six, lambda x: F.when(~x.startswith("0" * 20 + "ffff"), x)))
 
-CIDR_FACTS = T.StructType(
-    [
-        T.StructField("lo", T.BinaryType()),
-        T.StructField("hi", T.BinaryType()),
-        T.StructField("prefix", T.IntegerType()),
-        T.StructField("masked", T.StringType()),
-    ]
-)
+
+def _bits(digits: Column) -> Column:
+    """Return the bits of an address as text, 64 converted at a time."""
+    half = lambda at: F.lpad(F.conv(F.substring(digits, at, 16), 16, 2), 64, "0")
+    return F.when(F.length(digits) == 8, F.lpad(F.conv(digits, 16, 2), 32, "0")).otherwise(F.concat(half(1), half(17)))
+
+
+def _masked_hex(digits: Column, prefix: Column, fill: str) -> Column:
+    """Set the bits behind a prefix to ``fill``."""
+
+    def digits_of(bits: Column) -> Column:
+        half = lambda at: F.lpad(F.conv(F.substring(bits, at, 64), 2, 16), 16, "0")
+        four = F.lpad(F.conv(bits, 2, 16), 8, "0")
+        return F.lower(F.when(F.length(bits) == 32, four).otherwise(F.concat(half(1), half(65))))
+
+    return _let(F.rpad(F.substr(_bits(digits), F.lit(1), prefix), F.length(digits) * 4, F.lit(fill)), digits_of)
 
 
-def _address_key(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bytes:
-    return bytes([ip.version]) + ip.packed
+def _key(digits: Column) -> Column:
+    return F.unhex(F.concat(F.when(F.length(digits) == 8, F.lit("04")).otherwise(F.lit("06")), digits))
 
 
-def _ip_key(text: str | None) -> bytes | None:
-    try:
-        ip = ipaddress.ip_address(text or "")
-    except ValueError:
-        return None
-    return None if ip.version == 6 and (ip.scope_id or ip.ipv4_mapped) else _address_key(ip)
+def _address_text(digits: Column) -> Column:
+    """Write an address in its canonical form; the longest run of zero groups of IPv6 is left out."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda k: F.regexp_replace(F.substr(digits, k * 4 + 1, F.lit(4)), "^0{1,3}", ""),
+    )
+
+    def shortened(six: Column) -> Column:
+        short = six
+        for run in range(2, 9):  # the longest that is there wins
+            found = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
+            short = F.when(six.rlike(found), F.regexp_replace(six, found, "$1::$2")).otherwise(short)
+        return short
+
+    four = ipv4_text(F.conv(digits, 16, 10).cast("bigint"))
+    six = _let(F.array_join(groups, ":"), shortened)
+    return F.when(F.length(digits) == 8, four).when(digits.isNotNull(), six)
+
+
+def ip_facts(text: Column) -> Column:
+    """Return family, canonical form and class of an IPv4 or IPv6 address, NULLs for anything else."""
 
+    def facts(digits: Column) -> Column:
+        four = F.length(digits) == 8
+        unspecified = digits.rlike("^0+$")
+        loopback = F.when(four, digits.startswith("7f")).otherwise(digits == "0" * 31 + "1")
+        local_multicast = F.when(four, digits.startswith("e00000")).otherwise(digits.rlike("^ff.2"))
+        local_unicast = F.when(four, digits.startswith("a9fe")).otherwise(digits.rlike("^fe[89ab]"))
+        multicast = F.when(four, digits.startswith("e")).otherwise(digits.startswith("ff"))
+        broadcast = four & (digits == "ffffffff")
+        return F.struct(
+            F.when(digits.isNotNull(), F.when(four, 4).otherwise(6)).cast("int").alias("family"),
+            _address_text(digits).alias("canonical"),
+            unspecified.alias("unspecified"),
+            loopback.alias("loopback"),
+            local_multicast.alias("link_local_multicast"),
+            local_unicast.alias("link_local_unicast"),
+            (~(unspecified | loopback | multicast | local_unicast | broadcast)).alias("global_unicast"),
+        )
+
+    return _let(_hex_address(text), facts)
 
-def _cidr_facts(text: str | None) -> tuple:
-    address, slash, _ = (text or "").partition("/")
-    if not slash or _ip_key(address) is None:
-        return (None,) * len(CIDR_FACTS)
-    try:
-        network = ipaddress.ip_network(text, strict=False)
-    except ValueError:
-        return (None,) * len(CIDR_FACTS)
-    low, high = network.network_address, network.broadcast_address
-    return _address_key(low), _address_key(high), network.prefixlen, str(network)
+
+def is_canonical_ip(text: Column) -> Column:
+    return text == ip_facts(text)["canonical"]
 
 
-@F.pandas_udf(T.BinaryType())
-def ip_key(text: pd.Series) -> pd.Series:
+def ip_key(text: Column) -> Column:
     """Return a byte key that orders addresses of both families, NULL for anything else."""
-    return text.map(_ip_key)
+    return _let(_hex_address(text), _key)
 
 
-@F.pandas_udf(CIDR_FACTS)
-def cidr_facts(text: pd.Series) -> pd.DataFrame:
-    """Return the first and last address key, prefix length and masked form of an IPv4 or IPv6 CIDR."""
-    return pd.DataFrame([_cidr_facts(value) for value in text], columns=CIDR_FACTS.names)
+def cidr_facts(cidr: Column) -> Column:
+    """Return the first and last address key, prefix length and masked form of an IPv4 or IPv6 CIDR, NULLs for anything else."""
+    given = F.regexp_extract(cidr, r"^[^/]*/(0|[1-9]\d{0,2})$", 1)
+
+    def facts(digits: Column) -> Column:
+        prefix = F.when(given != "", given.cast("int"))
+        prefix = F.when(prefix <= F.length(digits) * 4, prefix)
+        low = F.when(prefix.isNotNull(), _masked_hex(digits, prefix, "0"))
+        high = F.when(prefix.isNotNull(), _masked_hex(digits, prefix, "1"))
+        masked = F.concat(_let(low, _address_text), F.lit("/"), prefix.cast("string"))
+        return F.struct(_let(low, _key).alias("lo"), _let(high, _key).alias("hi"), prefix.alias("prefix"), masked.alias("masked"))
+
+    return _let(_hex_address(F.substring_index(cidr, "/", 1)), facts)
 
 
 def network_contains_ip(cidr: Column, ip: Column) -> Column:
@@ -345,27 +371,24 @@ def network_contains_network(outer: Column, inner: Column) -> Column:
     return (b["lo"] >= a["lo"]) & (b["hi"] <= a["hi"])
 
 
-def tag_cidr(rows: DataFrame, ip: str, networks: DataFrame, prefixes: Sequence[int] = range(33)) -> DataFrame:
-    """Tag each row with every IPv4 network ``cidr, tag`` that holds its address.
+def tag_cidr(rows: DataFrame, ip: str, networks: DataFrame) -> DataFrame:
+    """Tag each row with every network ``cidr, tag`` of either family that holds its address.
 
     The range test becomes an equi-join on (prefix length, first address), with
-    one probe per row and prefix length. Name the prefix lengths that occur in
-    ``networks`` to spare the others; networks of other lengths are not looked at.
+    one probe per row and prefix length that occurs in ``networks``; of those
+    there are at most 162, and they are read first.
     """
-    lengths = sorted(set(prefixes))
-    ranges = networks.select(cidr_range(F.col("cidr")).alias("r"), "cidr", "tag")
-    keyed = ranges.filter(F.col("r.prefix").isin(lengths)).select(
-        F.col("r.prefix").alias("_prefix"), F.col("r.lo").alias("_lo"), "cidr", "tag"
-    )
-    number = ipv4_number(F.col(ip))
-    probes = F.array(
-        *[
-            F.struct(
-                F.lit(length).alias("_prefix"),
-                (number - F.pmod(number, F.lit(1 << (32 - length)).cast("bigint"))).alias("_lo"),
-            )
-            for length in lengths
-        ]
+    address = _hex_address(F.substring_index("cidr", "/", 1))
+    known = networks.select("cidr", "tag", cidr_facts(F.col("cidr"))["prefix"].alias("_prefix"), address.alias("_digits"))
+    keyed = known.filter("_prefix is not null").select(
+        F.length("_digits").alias("_family"), "_prefix", F.substr(_bits(F.col("_digits")), F.lit(1), F.col("_prefix")).alias("_net"), "cidr", "tag"
     )
-    probed = rows.filter(number.isNotNull()).select("*", F.inline(probes))
-    return probed.join(keyed, ["_prefix", "_lo"]).drop("_prefix", "_lo")
+    lengths: dict[int, list[int]] = {8: [], 32: []}
+    for row in keyed.select("_family", "_prefix").distinct().collect():
+        lengths[row["_family"]].append(row["_prefix"])
+    tried = [F.array(*map(F.lit, sorted(lengths[family]))).cast("array<int>") for family in (8, 32)]
+    located = rows.withColumn("_digits", _hex_address(F.col(ip))).filter("_digits is not null")
+    located = located.withColumns({"_family": F.length("_digits"), "_bits": _bits(F.col("_digits"))})
+    probes = F.explode(F.when(F.col("_family") == 8, tried[0]).otherwise(tried[1]))
+    probed = located.withColumn("_prefix", probes).withColumn("_net", F.substr("_bits", F.lit(1), F.col("_prefix")))
+    return probed.join(keyed, ["_family", "_prefix", "_net"]).select(*rows.columns, "cidr", "tag")

@@ -15,9 +15,6 @@ from eventloom.schema import REGARDING_OBJECT, STRING_MAP, reference
 
 OUTCOMES = ("hit", "miss", "undeclared", "cross_namespace", "skipped")
 
-# A cluster's discovery lists a few hundred kinds; more than this is a wrong table.
-MAX_KINDS = 10_000
-
 _OFF_JOIN_SALTS = 1024
 
 
@@ -47,12 +44,21 @@ class Allowlist:
             raise ValueError("keys have no effect unless the list is enabled")
 
 
-def load_kinds(kinds: DataFrame) -> list[Kind]:
-    """Read a discovery table ``resource, group, kind, namespaced``, refusing an oversized one."""
-    rows = kinds.select("resource", "group", "kind", "namespaced").limit(MAX_KINDS + 1).collect()
-    if len(rows) > MAX_KINDS:
-        raise ValueError(f"a kinds table holds at most {MAX_KINDS} rows")
-    return [Kind(*row) for row in rows]
+def load_kinds(kinds: DataFrame, resources: Sequence[str]) -> list[Kind]:
+    """Read the kinds that resource names stand for from a discovery table ``resource, group, kind, namespaced``.
+
+    A name that stands for several is refused. At most one row a name is read.
+    """
+    name = F.when(F.col("group") == "", F.col("resource")).otherwise(F.concat_ws(".", "resource", "group"))
+    columns = ("resource", "group", "kind", "namespaced")
+    named = kinds.select(*columns, name.alias("name")).filter(F.col("name").isin(list(resources)))
+    one = named.groupBy("name").agg(
+        F.min(F.struct(*columns)).alias("kind"), F.max(F.struct(*columns)).alias("other")
+    )
+    rows = one.collect()
+    if unclear := sorted(row["name"] for row in rows if row["kind"] != row["other"]):
+        raise ValueError(f"names of several kinds: {', '.join(unclear)}")
+    return [Kind(*row["kind"]) for row in rows]
 
 
 def declared_kinds(kinds: Iterable[Kind], resources: Sequence[str]) -> list[Kind]:

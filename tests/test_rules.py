@@ -1,6 +1,7 @@
 """Filter verdicts, rule helpers, routing and flow definitions."""
 
 import ipaddress
+import random
 
 import pytest
 from conftest import event, ref
@@ -264,6 +265,19 @@ def test_tag_cidr(spark):
     rows = spark.createDataFrame([("a", "10.1.2.3"), ("b", "11.0.0.1"), ("c", "bad")], "id string, ip string")
     nets = spark.createDataFrame([("10.0.0.0/8", "ten"), ("10.1.0.0/16", "one"), ("0.0.0.0/0", "all"), ("x", "bad")], "cidr string, tag string")
     expected = [("a", "all"), ("a", "one"), ("a", "ten"), ("b", "all")]
-    for prefixes in (range(33), (0, 8, 16)):
-        got = fn.tag_cidr(rows, "ip", nets, prefixes)
-        assert sorted((row["id"], row["tag"]) for row in got.collect()) == expected
+    assert sorted((row["id"], row["tag"]) for row in fn.tag_cidr(rows, "ip", nets).collect()) == expected
+
+
+def test_networks_of_every_length_equal_the_library(spark):
+    choose = random.Random(21)
+    number = {4: lambda: choose.getrandbits(32), 6: lambda: choose.getrandbits(128) & ~(choose.getrandbits(96) << 16)}
+    build = {4: ipaddress.IPv4Address, 6: ipaddress.IPv6Address}
+    ips = [build[f](number[f]()) for f in (4, 6) for _ in range(40)] + [ipaddress.ip_address(t) for t in ("::", "::1", "1::", "64:ff9b::7f00:1", "255.255.255.255")]
+    nets = [ipaddress.ip_network((choose.choice([i for i in ips if i.max_prefixlen == bits]), n), strict=False) for bits in (32, 128) for n in range(bits + 1)]
+    rows = spark.createDataFrame([(str(i) if k % 2 else i.exploded.upper(),) for k, i in enumerate(ips)], "ip string")
+    got = rows.select("ip", fn.ip_facts(F.col("ip"))["canonical"].alias("c")).collect()
+    assert [r["c"] for r in got] == [str(ipaddress.ip_address(r["ip"])) for r in got]
+    table = spark.createDataFrame([(str(n), str(k)) for k, n in enumerate(nets)], "cidr string, tag string")
+    tagged = {(r["ip"], r["tag"]) for r in fn.tag_cidr(rows, "ip", table).collect()}
+    assert tagged == {(r["ip"], str(k)) for r in got for k, n in enumerate(nets) if ipaddress.ip_address(r["ip"]) in n}
+    assert "Python" not in fn.tag_cidr(rows, "ip", table)._jdf.queryExecution().executedPlan().toString()

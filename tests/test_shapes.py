@@ -299,7 +299,9 @@ def test_declared_kinds(spark):
     with pytest.raises(ValueError):
         enrichment.declared_kinds([*KINDS, enrichment.Kind("po", "", "Pod", True)], ["pods", "po"])
     table = spark.createDataFrame([(k.resource, k.group, k.kind, k.namespaced) for k in KINDS], "resource string, `group` string, kind string, namespaced boolean")
-    assert sorted(enrichment.load_kinds(table), key=str) == sorted(KINDS, key=str)
+    assert enrichment.declared_kinds(enrichment.load_kinds(table.union(table), DECLARED), DECLARED) == enrichment.declared_kinds(KINDS, DECLARED)
+    with pytest.raises(ValueError):
+        enrichment.load_kinds(table.union(table.withColumn("kind", F.lit("Other"))), DECLARED)
 
 
 @pytest.mark.parametrize(
