@@ -82,7 +82,8 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE seq >= end_seq AND rv <> '' GROUP BY watch"""
 )
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_positions(spark, f"{_run(spark, sf_dir)}/positions")
+    stored = load_positions(spark, f"{_run(spark, sf_dir)}/positions")
+    return stored.filter("resource_version <> ''").select("watch", "resource_version")
 
 
 @query(f"""{INTERVAL_SQL} SELECT gate, seq, key,

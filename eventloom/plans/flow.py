@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +33,17 @@ class EventPath:
         check_watches(self.watches)
         check_bindings(self.flows, [watch.name for watch in self.watches], self.sinks)
 
-    def events(self, frames: DataFrame, ingest_ts: Column | str, objects: DataFrame | None = None) -> DataFrame:
-        """Return the sanitised, enriched events of the deliverable frames."""
+    def events(
+        self,
+        frames: DataFrame,
+        ingest_ts: Column | str,
+        objects: DataFrame | None = None,
+        replay: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
+        """Return the sanitised, enriched events of the deliverable frames; ``replay`` drops lifted ones delivered before."""
         raw = frame_events(deliverable_frames(frames))
-        events = sanitize(lift(raw, ingest_ts, carry=("watch", "seq")), self.sanitizers)
+        lifted = lift(raw, ingest_ts, carry=("watch", "seq"))
+        events = sanitize(lifted if replay is None else replay(lifted), self.sanitizers)
         if objects is None or not self.declared:
             return events
         projected = project_objects(objects, self.kinds, self.labels, self.annotations, self.sanitizers)

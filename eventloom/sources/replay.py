@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,25 +95,82 @@ def replay_counts(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def positions(frames: DataFrame, previous: DataFrame | None = None, replaying: Iterable[str] = ()) -> DataFrame:
+def ends_replay() -> Column:
+    """Return whether a frame is the bookmark that ends a replay."""
+    marked = F.coalesce(F.col("object.annotations")[F.lit(INITIAL_EVENTS_END)], F.lit("")) == "true"
+    return (F.col("frame_type") == "BOOKMARK") & marked
+
+
+@dataclass(frozen=True)
+class ReplayStates:
+    """Which watches replay: before some frames, within them, and after; and where a new replay begins."""
+
+    before: frozenset[str]
+    within: frozenset[str]
+    after: frozenset[str]
+    begins: Mapping[str, int]
+
+
+def replay_states(frames: DataFrame, stored: DataFrame | None, relisted: Iterable[str] = ()) -> ReplayStates:
+    """Follow the replays of the watches through some frames.
+
+    A watch replays from its first frame on when no state of it is stored, when
+    it is named in ``relisted``, and after an ERROR frame; until the bookmark
+    that ends the replay. At most one row a watch is read.
+    """
+    kept = {} if stored is None else {row["watch"]: row["replaying"] for row in stored.select("watch", "replaying").collect()}
+    ends = F.when(ends_replay(), F.col("seq"))
+    fails = F.when(F.col("frame_type") == "ERROR", F.col("seq"))
+    seen = frames.groupBy("watch").agg(F.max(ends).alias("ended"), F.max(fails).alias("failed")).collect()
+    before = {w for w in {*kept, *(row["watch"] for row in seen)} if kept.get(w, True)} | set(relisted)
+    within, after, begins = set(before), set(before), {}
+    for row in seen:
+        watch, ended, failed = row["watch"], row["ended"], row["failed"]
+        if failed is not None:
+            within.add(watch)
+        if failed is not None and (ended is None or ended < failed):
+            after.add(watch)
+            begins[watch] = failed
+        elif ended is not None:
+            after.discard(watch)
+    return ReplayStates(frozenset(before), frozenset(within), frozenset(after), begins)
+
+
+def positions_after(frames: DataFrame, stored: DataFrame | None, states: ReplayStates) -> DataFrame:
+    """Return ``watch, resource_version, replaying`` after some frames; a position stays as it is during a replay."""
+    spark = frames.sparkSession
+    for watch, seq in states.begins.items():  # what follows is a replay that has not ended
+        frames = frames.filter((F.col("watch") != watch) | (F.col("seq") < seq))
+    waiting = {w for w in states.within if w in states.before or w not in states.begins}
+    known = stored if stored is None else stored.select("watch", "resource_version")
+    live = (set() if stored is None else {row["watch"] for row in stored.select("watch").collect()}) - waiting
+    moved = positions(frames, known, waiting, live)
+    flags = spark.createDataFrame(
+        [(w, w in states.after) for w in sorted({*states.before, *states.within, *states.after, *live})], "watch string, replaying boolean"
+    )
+    return flags.join(moved, "watch", "full_outer").select(
+        "watch", F.coalesce("resource_version", F.lit("")).alias("resource_version"), F.coalesce("replaying", F.lit(False)).alias("replaying")
+    )
+
+
+def positions(
+    frames: DataFrame, previous: DataFrame | None = None, replaying: Iterable[str] = (), live: Iterable[str] = ()
+) -> DataFrame:
     """Return the position of each watch after the given frames.
 
-    A watch without a previous position, or one named in ``replaying``, moves
-    only from the bookmark that ends its replay on. The last version overall
+    A watch without a previous position that is not named in ``live``, or one
+    named in ``replaying``, moves only from the bookmark that ends its replay on. The last version overall
     counts exactly when it is not before that bookmark, so one partial
     aggregation per watch is enough.
     """
     version = F.col("object.resourceVersion")
-    ends_replay = (F.col("frame_type") == "BOOKMARK") & (
-        F.coalesce(F.col("object.annotations")[F.lit(INITIAL_EVENTS_END)], F.lit("")) == "true"
-    )
     last = (
         frames.filter(F.col("frame_type").isin("ADDED", "MODIFIED", "DELETED", "BOOKMARK"))
         .groupBy("watch")
         .agg(
             F.max_by(F.when(version != "", version), F.when(version != "", F.col("seq"))).alias("last_version"),
             F.max(F.when(version != "", F.col("seq"))).alias("last_seq"),
-            F.min(F.when(ends_replay, F.col("seq"))).alias("end_seq"),
+            F.min(F.when(ends_replay(), F.col("seq"))).alias("end_seq"),
         )
     )
     ended = F.col("last_seq") >= F.col("end_seq")
@@ -120,10 +178,10 @@ def positions(frames: DataFrame, previous: DataFrame | None = None, replaying: I
         return last.filter(ended).select("watch", F.col("last_version").alias("resource_version"))
     known = previous.select("watch", F.nullif("resource_version", F.lit("")).alias("known"))
     replaying = list(replaying)
-    live = F.col("known").isNotNull()
+    going = F.col("known").isNotNull() | F.col("watch").isin(list(live))
     if replaying:
-        live = live & ~F.col("watch").isin(replaying)
-    moved = F.when(live | F.coalesce(ended, F.lit(False)), F.col("last_version"))
+        going = going & ~F.col("watch").isin(replaying)
+    moved = F.when(going | F.coalesce(ended, F.lit(False)), F.col("last_version"))
     return (
         last.join(known, "watch", "full_outer")
         .select("watch", F.coalesce(moved, F.col("known")).alias("resource_version"))

@@ -22,7 +22,7 @@ from eventloom.operators.sampling import interval_states, per_interval, with_sup
 from eventloom.plans.flow import EventPath
 from eventloom.plans.spec import Flow, accepted_flows
 from eventloom.session import shared_folder
-from eventloom.sources.replay import changed_positions, positions
+from eventloom.sources.replay import ReplayStates, positions_after, replay_states, replay_verdicts
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -36,6 +36,8 @@ def run_stream(
     objects: Callable[[], DataFrame] | None = None,
     flows: Callable[[], Sequence[Flow]] | None = None,
     positions_folder: str | None = None,
+    max_age: dt.timedelta | None = None,
+    relisted: Sequence[str] = (),
 ) -> StreamingQuery:
     """Start the event path on a stream of frames.
 
@@ -43,7 +45,9 @@ def run_stream(
     batch sees one snapshot of the objects and one set of rules; where a new
     rule is refused, the rules before it stay. Watch
     positions are written after the sinks, only when some position moved.
-    Offsets go to ``checkpoint``, by default a folder of the cluster's shared
+    With a ``positions_folder``, a watch that replays delivers only what is newer than its position, or, where it
+    never had one, no older than ``max_age``; ``relisted`` names watches whose input starts with a replay although
+    they have a position. Offsets go to ``checkpoint``, by default a folder of the cluster's shared
     one named after the sinks, so that a restart finds it again.
     """
     spark = frames.sparkSession
@@ -62,11 +66,15 @@ def run_stream(
             current, accepted = accepted_flows(spark, rules["current"], flows())
             rules["current"] = current
             rules["refused"] += not accepted
-        events = path.events(batch, F.lit(read_time(spark, f"{checkpoint}-read-times", epoch)), objects() if objects else None)
+        started = read_time(spark, f"{checkpoint}-read-times", epoch)
+        stored = load_positions(spark, positions_folder, below=epoch) if positions_folder else None
+        states = replay_states(batch, stored, relisted if epoch == 0 else ()) if positions_folder else None
+        keep = (lambda lifted: _newer(lifted, stored, states, started, max_age)) if states else None
+        events = path.events(batch, F.lit(started), objects() if objects else None, keep)
         routed = route(path.matched(events, current))
         route_write(routed, {sink: _bound(write, epoch) for sink, write in writers.items()})
         if positions_folder:
-            save_positions(spark, batch, positions_folder, epoch)
+            save_positions(spark, batch, positions_folder, epoch, states)
 
     return (
         frames.writeStream.foreachBatch(deliver)
@@ -76,6 +84,17 @@ def run_stream(
     )
 
 
+def _newer(
+    lifted: DataFrame, stored: DataFrame | None, states: ReplayStates, started: dt.datetime, max_age: dt.timedelta | None
+) -> DataFrame:
+    """Drop what replaying watches have delivered before; live watches deliver everything."""
+    if not states.within:
+        return lifted
+    known = stored or lifted.sparkSession.createDataFrame([], "watch string, resource_version string")
+    judged = replay_verdicts(lifted, known, started.strftime("%Y-%m-%d %H:%M:%S.%f"), max_age)
+    return judged.filter(F.col("kept") | ~F.col("watch").isin(sorted(states.within))).drop("kept")
+
+
 def _bound(write: Writer, epoch: int) -> Callable[[DataFrame], None]:
     return lambda rows: write(rows, epoch)
 
@@ -122,21 +141,23 @@ def read_time(spark: SparkSession, folder: str, epoch: int) -> dt.datetime:
 def load_positions(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
     """Return the stored positions, or None when there are none yet."""
     version = _latest_version(spark, folder, below)
-    return spark.read.schema("watch string, resource_version string").parquet(version) if version else None
+    return spark.read.schema("watch string, resource_version string, replaying boolean").parquet(version) if version else None
 
 
-def save_positions(spark: SparkSession, frames: DataFrame, folder: str, epoch: int) -> bool:
-    """Write the positions after a batch of frames, and return whether they moved.
+def save_positions(
+    spark: SparkSession, frames: DataFrame, folder: str, epoch: int, states: ReplayStates | None = None
+) -> bool:
+    """Write the positions after a batch of frames, and return whether they or the replays changed.
 
-    A new state replaces the old one as a whole, in a version of its own.
+    During a replay the old position stays. A new state replaces the old one
+    as a whole, in a version of its own; it has a row for each watch.
     """
     stored = load_positions(spark, folder, below=epoch)
-    moved = positions(frames, stored)
-    if stored is None:
-        if moved.isEmpty():
-            return False
-    elif changed_positions(stored, moved).isEmpty():
+    states = states or replay_states(frames, stored)
+    rows = sorted(map(tuple, positions_after(frames, stored, states).collect()))
+    if rows == ([] if stored is None else sorted(map(tuple, stored.collect()))):
         return False
+    moved = spark.createDataFrame(rows, "watch string, resource_version string, replaying boolean")
     moved.coalesce(1).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
     _prune(spark, folder, epoch)
     return True

@@ -7,6 +7,7 @@ import uuid
 import pytest
 from conftest import utc
 from pyspark.sql import functions as F
+from test_sources import FRAME, frame
 
 from eventloom.catalogue.tables import KINDS, frames, objects
 from eventloom.functions.fields import field
@@ -78,7 +79,8 @@ def test_stream_delivers_what_the_batch_does(spark, folder, tmp_path):
         assert sorted(value for _, value in rows) == sorted(row["value"] for row in batch)
         assert len({epoch for epoch, _ in rows}) > 1
     stored = load_positions(spark, str(tmp_path / "positions"))
-    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, positions(frames(spark, SF_DIR)).collect()))
+    reached = stored.filter("resource_version <> ''").select("watch", "resource_version")
+    assert sorted(map(tuple, reached.collect())) == sorted(map(tuple, positions(frames(spark, SF_DIR)).collect()))
 
     # A restart from the checkpoint delivers nothing a second time.
     before = {sink: len(rows) for sink, rows in written.items()}
@@ -117,6 +119,49 @@ def test_positions_are_written_only_when_they_move(spark, tmp_path):
     assert save_positions(spark, rows, folder, 1) is True
 
 
+def test_positions_stay_during_a_replay(spark, tmp_path):
+    folder = str(tmp_path / "positions")
+
+    def state(epoch, *rows):
+        save_positions(spark, spark.createDataFrame(list(rows), FRAME), folder, epoch)
+        return {row["watch"]: (row["resource_version"], row["replaying"]) for row in load_positions(spark, folder).collect()}
+
+    assert state(0, frame("w", 1, "ADDED", "90"), frame("w", 2, "BOOKMARK", "100", ends=True)) == {"w": ("100", False)}
+    # The watch fails and is listed anew; its replay goes on over two epochs.
+    assert state(1, frame("w", 3, "ADDED", "101"), frame("w", 4, "ERROR", ""), frame("w", 5, "ADDED", "150")) == {"w": ("101", True)}
+    assert state(2, frame("w", 6, "ADDED", "90"), frame("v", 7, "BOOKMARK", "", ends=True)) == {"w": ("101", True), "v": ("", False)}
+    # The other watch is live without ever having had a position.
+    assert state(3, frame("w", 8, "BOOKMARK", "160", ends=True), frame("v", 9, "ADDED", "5")) == {"w": ("160", False), "v": ("5", False)}
+    assert len(list((tmp_path / "positions").glob("epoch=*"))) == 2
+
+
+def test_a_replay_delivers_only_what_is_new(spark, tmp_path):
+    path = EventPath([Watch("w")], [Flow("a", ("x",))], ["x"])
+    source, seen = tmp_path / "frames", []
+    epochs = [
+        [frame("w", 1, "ADDED", "90"), frame("w", 2, "BOOKMARK", "100", ends=True), frame("w", 3, "ADDED", "101")],
+        [frame("w", 4, "ERROR", ""), frame("w", 5, "ADDED", "90"), frame("w", 6, "ADDED", "101")],
+        [frame("w", 7, "ADDED", "102"), frame("w", 8, "BOOKMARK", "110", ends=True)],
+        [frame("w", 9, "MODIFIED", "95")],
+    ]
+    for rows in epochs:
+        spark.createDataFrame(rows, FRAME).coalesce(1).write.mode("append").parquet(str(source))
+        run_stream(
+            spark.readStream.schema(FRAME).parquet(str(source)),
+            path,
+            {"x": lambda rows, epoch: seen.append([r["resourceVersion"] for r in rows.orderBy("seq").collect()])},
+            str(tmp_path / "checkpoint"),
+            {"availableNow": True},
+            positions_folder=str(tmp_path / "positions"),
+        ).awaitTermination()
+    assert seen == [["90", "101"], [], ["102"], ["95"]]
+
+
+def test_sinks_need_writers(spark, folder, tmp_path):
+    with pytest.raises(ValueError):
+        run_stream(stream(spark, folder), PATH, {}, str(tmp_path / "checkpoint"))
+
+
 METRICS = [Metric("n", labels={"ns": "namespace"}), Metric("r", labels={"reason": "reason", "k": "labels.k"})]
 
 
