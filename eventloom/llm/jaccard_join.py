@@ -37,7 +37,7 @@ MOST = 5
 #: What verifying a pair costs, in looked-at postings.
 VERIFY = 8
 #: Classes at an n-gram from which on it gets a central one, and rounds of that at most.
-CROWD, ROUNDS = 32, 4
+CROWD, ROUNDS = 32, 2
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
@@ -127,8 +127,8 @@ def _place(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _id_filter(postings: DataFrame) -> np.ndarray:
-    """A bit for each hashed id that has a posting; 2 MB at any number of ids."""
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hashed id; 2 MB at any number of ids."""
     size = 1 << FILTER_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def _id_filter(postings: DataFrame) -> np.ndarray:
 
     schema = "block int, bits binary"
     out = np.zeros((1 << 6, size >> 9), np.uint8)
-    for k, data in postings.select("id").mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():
+    for k, data in ids.select("id").mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():
         out[k] = np.frombuffer(data, np.uint8)
     return out.reshape(-1)
 
@@ -207,13 +207,17 @@ def _similar_sizes(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Keep the pairs ``(a, b)`` whose whole sets are similar."""
+def _verified(rows: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Keep the pairs ``(a, b)`` whose whole sets are similar; only the sets of documents in pairs are made."""
+    pairs = keep(pairs, "jaccard-pairs")
+    ids = _id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+    sets = keep(_elements(rows, words, ids), "jaccard-sets")
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
     both = F.size(F.array_intersect("ea", "eb")).cast("long")
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("both"), (F.size("ea") + F.size("eb")).cast("long").alias("sum"))
-    return joined.where(F.col("both") * den >= (F.col("sum") - F.col("both")) * num).select("a", "b")
+    similar = joined.where(F.col("both") * den >= (F.col("sum") - F.col("both")) * num)
+    return keep(similar.select("a", "b"), "jaccard-links")
 
 
 def _with_labels(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -234,10 +238,26 @@ def _open(labelled: DataFrame) -> DataFrame:
     return labelled.join(keep(grams.where("open > 0"), "jaccard-open"), "gram")
 
 
+def _multi_match(pairs: DataFrame, postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Keep the pairs that share as many elements of their longer prefixes as the lesser l of the two demands."""
+    own = keep(
+        postings.groupBy("id", "n", "l").agg(F.collect_list(F.struct("at", "gram")).alias("prefix")),  # at most its own prefix
+        "jaccard-own",
+    )
+    a = own.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("prefix").alias("ap"))
+    b = own.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("prefix").alias("bp"))
+    least, need = F.least("al", "bl"), _overlap(F.col("an"), F.col("bn"), num, den)
+
+    def first(prefix: str, n: str) -> Column:
+        return F.transform(F.filter(prefix, lambda e: e["at"] < F.col(n) - need + least), lambda e: e["gram"])
+
+    both = F.size(F.array_intersect(first("ap", "an"), first("bp", "bn")))
+    return pairs.join(a, "a").join(b, "b").where(both >= least).select("a", "b").distinct()
+
+
 def links(rows: DataFrame, index: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Return links ``(a, b)`` between classes, enough of them to connect all that are linked."""
     postings = _postings(index, num, den)
-    sets = keep(_elements(rows, words, _id_filter(postings)), "jaccard-sets").dropDuplicates(["doc_id"])
     edges = None
     for turn in range(ROUNDS + 1):
         now = keep(_open(_with_labels(postings, edges)), "jaccard-round")
@@ -254,31 +274,26 @@ def links(rows: DataFrame, index: DataFrame, words: int, num: int, den: int) ->
             .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
             .distinct()
         )
-        found = keep(_verified(pairs, sets, num, den), "jaccard-links")
+        found = _verified(rows, pairs, words, num, den)
         if not found.limit(1).count():
             break
         edges = found if edges is None else edges.union(found)
-    # All pairs of components that are still apart: one side is not of the n-gram's largest component.
+    # All pairs of components that are still apart: one side is not of the n-gram's largest component. The first
+    # element that a similar pair shares is within the prefixes for l = 1, so only those are joined.
     x, y = now.where("label <> main").alias("x"), now.alias("y")
     need = _overlap(F.col("x.n"), F.col("y.n"), num, den)
-    least = F.least("x.l", "y.l")
-    candidates = (
-        x.join(
-            y,
-            (F.col("x.gram") == F.col("y.gram"))
-            & (F.col("x.label") != F.col("y.label"))
-            & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-            & _similar_sizes(F.col("x.n"), F.col("y.n"), num, den)
-            & (F.col("x.at") < F.col("x.n") - need + least)
-            & (F.col("y.at") < F.col("y.n") - need + least),
-        )
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), least.alias("least"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("both"), F.first("least").alias("least"))
-        .where("both >= least")
-        .select("a", "b")
+    met = x.join(
+        y,
+        (F.col("x.gram") == F.col("y.gram"))
+        & (F.col("x.label") != F.col("y.label"))
+        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+        & _similar_sizes(F.col("x.n"), F.col("y.n"), num, den)
+        & (F.col("x.at") <= F.col("x.n") - need)
+        & (F.col("y.at") <= F.col("y.n") - need),
     )
-    last = keep(_verified(candidates, sets, num, den), "jaccard-links")
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    candidates = _multi_match(pairs, postings, num, den)
+    last = _verified(rows, candidates, words, num, den)
     return last if edges is None else edges.union(last)
 
 
