@@ -152,6 +152,13 @@ def project_objects(
     )
 
 
+def unique_objects(objects: DataFrame) -> DataFrame:
+    """Keep one projected row per object, that with the least uid, so that an event never becomes two."""
+    keys = ["group", "kind", "namespace", "name"]
+    one = objects.groupBy(*keys).agg(F.min_by(F.struct("uid", "regardingObject"), "uid").alias("one"))
+    return one.select(*keys, "one.*")
+
+
 def latest_objects(changes: DataFrame) -> DataFrame:
     """Return the newest live state per object from a change log ``seq, change, object columns``.
 
@@ -174,8 +181,8 @@ def enrich(
 ) -> DataFrame:
     """Attach ``regardingObject`` and ``enrich_result`` to each event.
 
-    ``objects`` comes from :func:`project_objects`; of several rows with the
-    keys of one object the one with the least uid counts. The join is an equi left
+    ``objects`` comes from :func:`project_objects` and holds one row per object
+    (see :func:`unique_objects` and :func:`latest_objects`). The join is an equi left
     join: Spark broadcasts the objects when their measured size allows, and
     shuffles both sides otherwise. Events that look nothing up never share a
     key with an object and are spread over salts of their own. With
@@ -212,9 +219,6 @@ def enrich(
         F.col("regardingObject").alias("_found"),
         F.explode(F.sequence(F.lit(0), F.lit(hot_object_salts - 1))).alias("_salt"),
     )
-    # One row for each key, whatever is handed in: an event never becomes two. The exchange also serves the join.
-    keys = ["_salt", "_group", "_kind", "_namespace", "_name"]
-    found = found.groupBy(*keys).agg(F.min_by(F.struct("_uid", "_found"), "_uid").alias("_one")).select(*keys, "_one.*")
     joined = keyed.join(
         found,
         (keyed["_salt"] == found["_salt"])

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.enrich import Allowlist, Kind, enrich, project_objects
+from eventloom.operators.enrich import Allowlist, Kind, enrich, project_objects, unique_objects
 from eventloom.operators.lift import lift
 from eventloom.operators.routing import match, route
 from eventloom.operators.sanitize import SanitizeSpec, sanitize
@@ -47,7 +47,7 @@ class EventPath:
         if objects is None or not self.declared:
             return events
         projected = project_objects(objects, self.kinds, self.labels, self.annotations, self.sanitizers)
-        return enrich(events, projected, self.declared)
+        return enrich(events, unique_objects(projected), self.declared)
 
     def matched(self, events: DataFrame, flows: Sequence[Flow] | None = None) -> DataFrame:
         """Return the events with every flow's verdict."""

@@ -157,6 +157,13 @@ def test_a_replay_delivers_only_what_is_new(spark, tmp_path):
     assert seen == [["90", "101"], [], ["102"], ["95"]]
 
 
+def test_objects_given_twice_match_once(spark):
+    rows, known = frames(spark, SF_DIR), objects(spark, SF_DIR)
+    once, twice = (PATH.events(rows, READ, given) for given in (known, known.union(known)))
+    assert twice.count() == once.count() == PATH.events(rows, READ).count()
+    assert twice.filter("regardingObject is not null").count() == once.filter("regardingObject is not null").count() > 0
+
+
 def test_sinks_need_writers(spark, folder, tmp_path):
     with pytest.raises(ValueError):
         run_stream(stream(spark, folder), PATH, {}, str(tmp_path / "checkpoint"))
