@@ -199,6 +199,65 @@ def test_a_long_text_scores_as_in_one_piece(monkeypatch):
     assert quality_rules._scores(data, offsets, bits) == pytest.approx(whole)
 
 
+def test_word_salad_is_rejected(spark):
+    r = random.Random(21)
+    after = {w: r.sample(WORDS, 8) for w in WORDS}
+
+    def text(n: int) -> list[str]:
+        out = [r.choice(WORDS)]
+        while len(out) < n:
+            out.append(r.choice(after[out[-1]]))
+        return out
+
+    rows = [(k, " ".join(text(150)), "xx", 1) for k in range(200)]
+    for k in range(60):  # the same words, in no order
+        salad = text(150)
+        r.shuffle(salad)
+        rows.append((1000 + k, " ".join(salad), "xx", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good int").repartition(3)
+    got = quality_rules.judge(docs, docs.where("doc_id % 2 = 0").selectExpr("doc_id", "good AS quality")).collect()
+    assert not any(row.base_failed for row in got) and len(got) == len(rows)
+    held_out = [row for row in got if row.doc_id % 2]
+    good, salad = [row.kept for row in held_out if row.doc_id < 1000], [row.kept for row in held_out if row.doc_id >= 1000]
+    assert sum(good) / len(good) > 0.9 and sum(salad) == 0, (sum(good), len(good), sum(salad))
+
+
+def test_word_scores_leave_a_text_out(spark):
+    """Every score against counts made anew from the other texts."""
+    r = random.Random(22)
+    texts = sorted({" ".join(r.choices(WORDS[:7], k=r.randint(1, 30))) for _ in range(14)})
+    rows = spark.createDataFrame([(k, t, "xx") for k, t in enumerate([*texts, texts[3]])], "doc_id long, text string, lang string")
+    rows = rows.withColumn("key", F.xxhash64("lang", "text"))
+    by_text = {row.key: row.text for row in rows.collect()}
+    grams = quality_rules.word_ngrams(rows, quality_rules.fit_models(rows)).cache()
+
+    def counts(some: list[str]) -> list[Counter]:
+        three: Counter = Counter()
+        for t in some:
+            w = ["", "", *t.split()]
+            three.update(zip(w, w[1:], w[2:], strict=False))
+        two = Counter(g[1:] for g in three)
+        return [Counter(g[1:] for g in two), two, three]
+
+    every = counts(texts)
+    rules = [quality_rules._discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]) for c in every]
+    got = quality_rules.word_scores(grams).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        found = counts([t for t in texts if t != by_text[row.key]])
+        w, bits = ["", "", *by_text[row.key].split()], 0.0
+        for at in range(2, len(w)):
+            p = 1 / (len(every[0]) + 1)
+            for k in (1, 2, 3):
+                gram = tuple(w[at - k + 1 : at + 1])
+                inside = {g: n for g, n in found[k - 1].items() if g[:-1] == gram[:-1]}
+                if inside:
+                    cut = {g: rules[k - 1][min(n, 3)] for g, n in inside.items()}
+                    p = (inside.get(gram, 0) - cut.get(gram, 0) + sum(cut.values()) * p) / sum(inside.values())
+            bits -= math.log2(p)
+        assert row.word_score == pytest.approx(bits / (len(w) - 2))
+
+
 # --- decontamination -------------------------------------------------------------
 
 
