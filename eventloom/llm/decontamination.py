@@ -9,7 +9,8 @@ The items together weigh a few times as much in the decomposition as the whole
 corpus. Else its leading directions would be those of the frequent terms, and
 an item of rare terms would have next to no place in the space.
 
-Items are taken in blocks of a fixed number, so that the vocabulary, which is
+Items are the different texts and answers of the benchmark, whatever their ids.
+They are taken in blocks of a fixed number, so that the vocabulary, which is
 that of the items, and all matrices over it are bounded at any size of the
 benchmark. The corpus is read once as text for each block; the passes after
 that read the written word numbers. No document is ever shuffled.
@@ -351,23 +352,27 @@ def contaminated(
 
     Words are lower-cased and parted by white space and ASCII
     punctuation. Null or empty text, of documents or items: no words, no rows.
-    Rows without an id are left out, as nothing can refer to them. Rows that
-    share an id are one document; repeated items are found once. An empty
-    table gives no rows. Other columns are ignored.
+    Documents without an id are left out, as nothing can refer to them; rows
+    that share one are one document. Every different text and answer of the
+    benchmark is searched, also several under one id, which make one row, and
+    those without an id, whose ``item_id`` is null. An empty table gives no
+    rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = by_id(docs, id_col, text_col).where("doc_id is not null").withColumn("text", F.lower("text"))
     answer = F.lit(None).cast("string") if answer_col is None else F.col(answer_col)
-    known = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"))
-    known = known.agg(F.min(F.struct(F.lower("text").alias("text"), F.lower(answer).alias("answer"))).alias("item")).select("item_id", "item.*")
+    known = benchmark.where("text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"), F.lower(answer).alias("answer")
+    )
+    known = keep(known.distinct().withColumn("key", F.sha2(F.to_json(F.struct("item_id", "text", "answer")), 256)), "decontamination-items")
     schema = "doc_id long, item_id long, share double, answer_share double"
     out, after = spark.createDataFrame([], schema), None
-    while True:  # blocks of items, by id
-        rest = known if after is None else known.where(F.col("item_id") > after)
-        block = rest.orderBy("item_id").limit(block_items).collect()
+    while True:  # blocks of items, by key
+        rest = known if after is None else known.where(F.col("key") > after)
+        block = rest.orderBy("key").limit(block_items).collect()
         if not block:
             break
-        after = block[-1]["item_id"]
+        after = block[-1]["key"]
         items = Items([r["item_id"] for r in block], [r["text"] for r in block], [r["answer"] for r in block])
         if len(items.hashes):
             numbered = keep(number_words(rows, items), "decontamination-words")
@@ -378,7 +383,7 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return the rows of ``docs``, all columns, without those that hold an item. Rows without an id stay."""
+    """Return the rows of ``docs``, all columns, without those that hold an item, with or without an id. Rows without an id stay."""
     found = keep(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_held")).distinct(), "contaminated")
     return docs.join(found, F.col(id_col).cast("long") == F.col("_held"), "left_anti")
 

@@ -294,6 +294,25 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table_, spark.createDataFrame([], bench.schema)).count() == 0
 
 
+def test_every_text_of_the_benchmark_is_searched(spark):
+    """Benchmark sets that each number from 0, and texts without an id."""
+    r = random.Random(23)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    items = [(k % 4 if k < 12 else None, " ".join(r.choices(vocabulary, k=30))) for k in range(15)]
+    docs = []
+    for k in range(120):
+        body = r.choices(vocabulary, k=120)
+        if k < 15:
+            body[40:40] = items[k][1].split()
+        docs.append((k, " ".join(body)))
+    table_ = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, items[5], items[13]], "item_id long, text string")
+    for block in (250, 4):
+        got = [(row.doc_id, row.item_id) for row in decontamination.contaminated(table_, bench, block_items=block).collect()]
+        assert Counter(got) == Counter((k, items[k][0]) for k in range(15))
+    assert sorted(row.doc_id for row in decontamination.decontaminate(table_, bench).collect()) == list(range(15, 120))
+
+
 def test_common_subsequence():
     r = random.Random(15)
     for _ in range(200):
