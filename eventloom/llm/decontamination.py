@@ -10,9 +10,10 @@ corpus. Else its leading directions would be those of the frequent terms, and
 an item of rare terms would have next to no place in the space.
 
 Items are the different texts and answers of the benchmark, whatever their ids.
-They are taken in blocks of a fixed number, so that the vocabulary, which is
-that of the items, and all matrices over it are bounded at any size of the
-benchmark. The corpus is read once as text for each block; the passes after
+They are cut into passages and taken in blocks of no more passages than the
+space has dimensions, so that each finds its place in it; a long item may be in
+several blocks. So the vocabulary, which is that of the passages, and all
+matrices over it are bounded at any size of the benchmark. The corpus is read once as text for each block; the passes after
 that read the written word numbers. No document is ever shuffled.
 """
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import by_id, keep, query, table
 from eventloom.llm.shingles import LETTERS, word_hashes
 
-BLOCK_ITEMS = 250
+#: Items that are read at a time, and passages in a block: fewer than the rank.
+BLOCK_ITEMS, BLOCK_PASSAGES = 250, 250
 #: Words in a passage of the decomposition, its rank, and the additional random directions.
 PASSAGE, RANK, MORE = 64, 256, 16
 #: How much the items weigh against the corpus.
@@ -47,22 +49,35 @@ NO_WORD = -1
 
 
 class Items:
-    """A block of benchmark items: their words by number, and each cut into passages of at most the largest window."""
+    """A block of passages of at most the largest window, their words by number, and the answers of their items."""
 
-    def __init__(self, ids: list[int], texts: list[str], answers: list[str | None]) -> None:
+    def __init__(self, ids: list[int], passages: list[tuple[int, np.ndarray]], answers: list[np.ndarray]) -> None:
+        """``passages`` are those of the item in a place of ``ids``, as hashes of words."""
         self.ids = ids
-        words = self._words(texts)
-        self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
-        self.words = [self.number(w) for w in words]
-        self.answers = []
-        for text, answer, own in zip(texts, answers, self._words([a or "" for a in answers]), strict=True):
+        self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w in passages), *answers]))
+        self.passages = [(k, self.number(w)) for k, w in passages]
+        self.answers = [self.number(w) for w in answers]
+
+    @classmethod
+    def blocks(cls, rows: Iterator[tuple[int, str, str | None]]) -> Iterator[Items]:
+        """Fill blocks with the passages of ``(id, text, answer)``; those of a long item go on in the next block."""
+        ids: list[int] = []
+        passages: list[tuple[int, np.ndarray]] = []
+        answers: list[np.ndarray] = []
+        for item, text, answer in rows:
             if answer is None:  # without one, the last sentence stands for it
-                sentence = max((s for s in text.replace("\n", ". ").split(". ") if s.strip()), key=lambda s: text.rfind(s), default="")
-                own = self._words([sentence])[0]
-            self.answers.append(self.number(own))
-        self.passages = [
-            (k, w[at : at + WINDOWS[-1]]) for k, w in enumerate(self.words) for at in range(0, len(w), WINDOWS[-1])
-        ]
+                answer = max((s for s in text.replace("\n", ". ").split(". ") if s.strip()), key=lambda s: text.rfind(s), default="")
+            words, own = cls._words([text])[0], cls._words([answer])[0]
+            for at in range(0, len(words), WINDOWS[-1]):
+                if len(passages) == BLOCK_PASSAGES:
+                    yield cls(ids, passages, answers)
+                    ids, passages, answers = [], [], []
+                if not at or not ids:
+                    ids.append(item)
+                    answers.append(own)
+                passages.append((len(ids) - 1, words[at : at + WINDOWS[-1]]))
+        if passages:
+            yield cls(ids, passages, answers)
 
     @staticmethod
     def _words(texts: list[str]) -> list[np.ndarray]:
@@ -335,6 +350,19 @@ def search(numbered: DataFrame, items: Items, weights: np.ndarray, space: np.nda
     return numbered.mapInArrow(find, "doc_id long, item_id long, share double, answer_share double")
 
 
+def _by_key(known: DataFrame, at_a_time: int) -> Iterator[tuple[int, str, str | None]]:
+    """Read ``known(key, item_id, text, answer)`` in the order of the keys, some rows at a time."""
+    after = None
+    while True:
+        rest = known if after is None else known.where(F.col("key") > after)
+        rows = rest.orderBy("key").limit(at_a_time).collect()
+        for r in rows:
+            yield r["item_id"], r["text"], r["answer"]
+        if len(rows) < at_a_time:
+            return
+        after = rows[-1]["key"]
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -366,19 +394,10 @@ def contaminated(
     )
     known = keep(known.distinct().withColumn("key", F.sha2(F.to_json(F.struct("item_id", "text", "answer")), 256)), "decontamination-items")
     schema = "doc_id long, item_id long, share double, answer_share double"
-    out, after = spark.createDataFrame([], schema), None
-    while True:  # blocks of items, by key
-        rest = known if after is None else known.where(F.col("key") > after)
-        block = rest.orderBy("key").limit(block_items).collect()
-        if not block:
-            break
-        after = block[-1]["key"]
-        items = Items([r["item_id"] for r in block], [r["text"] for r in block], [r["answer"] for r in block])
-        if len(items.hashes):
-            numbered = keep(number_words(rows, items), "decontamination-words")
-            out = out.union(search(numbered, items, *latent_space(numbered, items)))
-        if len(block) < block_items:
-            break
+    out = spark.createDataFrame([], schema)
+    for items in Items.blocks(_by_key(known, block_items)):
+        numbered = keep(number_words(rows, items), "decontamination-words")
+        out = out.union(search(numbered, items, *latent_space(numbered, items)))
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("answer_share").alias("answer_share"))
 
 

@@ -313,6 +313,30 @@ def test_every_text_of_the_benchmark_is_searched(spark):
     assert sorted(row.doc_id for row in decontamination.decontaminate(table_, bench).collect()) == list(range(15, 120))
 
 
+def test_passages_of_long_items_are_found(spark, monkeypatch):
+    """Every document that quotes a passage of an item of 200 to 1000 words; a space of an eighth of the dimensions."""
+    monkeypatch.setattr(decontamination.latent_space, "__defaults__", (32,))
+    monkeypatch.setattr(decontamination, "BLOCK_PASSAGES", 31, raising=False)
+    r = random.Random(24)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    often = [1 / (k + 20) for k in range(len(vocabulary))]
+    items = [(k, r.choices(vocabulary, often, k=r.choice([200, 500, 1000, 1000]))) for k in range(20)]
+    docs, quoted = [], set()
+    for k in range(400):
+        body = r.choices(vocabulary, often, k=r.randint(100, 300))
+        if k % 2:
+            item, text = r.choice(items)
+            at = 64 * r.randrange(len(text) // 64)
+            place = r.randint(0, len(body))
+            body[place:place] = text[at : at + 64]
+            quoted.add((k, item))
+        docs.append((k, " ".join(body)))
+    table_ = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(text)) for k, text in items], "item_id long, text string")
+    found = {(row.doc_id, row.item_id) for row in decontamination.contaminated(table_, bench).collect()}
+    assert quoted - found == set()
+
+
 def test_common_subsequence():
     r = random.Random(15)
     for _ in range(200):
