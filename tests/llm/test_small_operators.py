@@ -254,3 +254,21 @@ def test_unescape_undoes_escape(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat_format.escape(F.col("t")).alias("e")).collect()
     assert all(chat_format.unescape(row.e) == row.t for row in rows)
     assert not any("###" in row.e or "</turn>" in row.e for row in rows)
+
+
+def test_embedded_elements_keep_their_text():
+    """Formulas are text, and an element without an end tag costs nothing."""
+    sentence = "The area of the circle grows with the square of its radius, as every reader of this page will know."
+    formula = "<math><mi>A</mi><mo>=</mo><mi>r</mi></math>"
+    page = f"<html><body><article><h1>Circles</h1><p>{sentence} {formula} holds.</p>{{}}<p>{sentence}</p></article></body></html>"
+    texts = [sentence + " A=r holds.", sentence]
+    for tag in ("", "<video src=x>", "<object data=x>", "<svg>", "<math>", "<canvas>", "<audio>", "<noscript>", "<template>", "<svg/>"):
+        blocks = [b.text for b in html_extraction.leaf_blocks(page.format(tag))]
+        assert blocks == ["Circles", *texts], tag
+    field = html_extraction.trained()
+    for tag in ("", "<video src=x>", "<svg>"):
+        blocks = html_extraction.leaf_blocks(page.format(tag))
+        kept = [b.text for b, label in zip(blocks, field.label(blocks), strict=True) if label]
+        assert kept[-2:] == texts, tag
+    hidden = html_extraction.leaf_blocks("<p>one<script>var a = '<p>';</script><style>p {}</style><textarea><p>x</textarea> two</p>")
+    assert [b.text for b in hidden] == ["one two"]
