@@ -1,9 +1,9 @@
 """Count tokens with a tokenizer compiled to a finite-state transducer.
 
 Method: a byte-pair vocabulary becomes a deterministic transducer whose
-transitions carry the number of tokens they add. A text is cut into chunks;
-each chunk's state map (where a state leads, and the tokens on the way) is
-computed for all chunks at once, and the maps are composed by a prefix scan.
+transitions carry the number of tokens they add. A text is cut into chunks.
+All chunks are run at once, each from the state that the characters before it
+foretell; those entered in another state are run again until all agree.
 
 Why this is exact. Let T(p) be the last token of the encoding of a prefix p.
 In byte-pair encoding, tokens that are each their own encoding make up the
@@ -216,7 +216,7 @@ class Transducer:
         grid = np.full((int(chunks.sum()), CHUNK), PAD, np.int32)
         place = np.arange(len(codes)) + np.repeat(first * CHUNK - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
         grid.reshape(-1)[place] = self.char_class[codes]
-        # The state map of a chunk is tabulated at the state that its last characters before it lead to.
+        # A chunk is first run from the state that the last characters before it lead to.
         ahead, _ = self._run(np.zeros(len(grid), np.int64), np.ascontiguousarray(grid[:, -LOOK_BACK:].T))
         starts = np.concatenate(([0], ahead[:-1]))
         starts[first] = entry
@@ -224,7 +224,7 @@ class Transducer:
         inner[first] = False
         columns = np.ascontiguousarray(grid.T)
         ends, counts = self._run(starts, columns)
-        # Maps compose where one ends in the state the next is tabulated at; the others get that point added.
+        # A chunk stands where the one before ends in the state it was run from; the others are run again.
         while True:
             reach = np.concatenate(([0], ends[:-1]))
             broken = np.flatnonzero(inner & (reach != starts))
