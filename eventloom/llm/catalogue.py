@@ -1,6 +1,18 @@
 """The registered queries of this subpackage."""
 
-from eventloom.llm import chat_format, decontamination, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_rules, token_counts, warc  # noqa: F401
+from eventloom.llm import (  # noqa: F401
+    chat_format,
+    decontamination,
+    html_extraction,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    packing,
+    prefix_trie,
+    quality_rules,
+    token_counts,
+    warc,
+)
 from eventloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.session import shared_folder
@@ -85,6 +85,59 @@ def smallest_labels(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def ordered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Write a table in order over all its partitions, with the place of each row.
+
+    Adds ``_part``, the number of the partition, and ``_at``, the row's place
+    in it from 0; both follow the order. Rows that are equal in ``order`` may
+    stand in any order, also in two partitions, so no group of them has to fit
+    in one task.
+    """
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    number = F.monotonically_increasing_id()
+    low = F.lit((1 << 33) - 1)
+    return keep(
+        placed.withColumn("_tie", number)
+        .withColumn("_part", F.shiftright("_tie", 33).cast("int"))
+        .withColumn("_at", F.col("_tie").bitwiseAND(low))
+        .drop("_tie"),
+        name,
+    )
+
+
+def ranked(rows: DataFrame, order: Sequence[Column | str], name: str, rank: str = "rank") -> DataFrame:
+    """Number all rows from 1 in order.
+
+    The rows are sorted over all partitions; besides them only one number for
+    each partition is summed up.
+    """
+    placed = ordered(rows, order, name)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(bases), "_part")  # one row a partition of the sort
+    return numbered.withColumn(rank, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def numbered(rows: DataFrame, group: str, order: Sequence[Column | str], name: str, number: str = "position") -> DataFrame:
+    """Number the rows of each group from 1 in order; a group may be larger than a task.
+
+    The groups' rows lie in ranges of the sorted table. A group that several
+    partitions share, at most one at each of their borders, is carried on from
+    what the partitions before hold of it.
+    """
+    placed = ordered(rows, [group, *order], name)
+    parts = placed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        F.col(group).alias("_group"), F.col("_part").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_first"
+    )
+    same = (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_in"))
+    joined = placed.join(starts, same).withColumn(number, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return joined.drop("_group", "_in", "_part", "_at", "_before", "_first")
+
+
 def registry() -> tuple[dict, dict, Callable]:
     """Return the queries, their SQL and the decorator that registers a query under its function name."""
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
