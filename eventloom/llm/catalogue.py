@@ -4,6 +4,7 @@ from eventloom.llm import (  # noqa: F401
     chat_format,
     decontamination,
     html_extraction,
+    importance_resampling,
     jaccard_join,
     license_scan,
     line_dedup,
