@@ -11,6 +11,7 @@ from eventloom.llm import (  # noqa: F401
     packing,
     prefix_trie,
     quality_rules,
+    record_files,
     token_counts,
     warc,
 )
