@@ -36,6 +36,8 @@ from eventloom.llm.common import by_id, keep, new_folder, query, table
 
 FILE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+#: Bytes of text that are encoded together, or one document.
+TOGETHER = 8 << 20
 #: Tasks of one read at most; each takes several files then.
 READERS = 20_000
 END_ID = 1
@@ -267,8 +269,10 @@ def write_records(
         files = _Files(folder, file_bytes, TaskContext.get().partitionId())
         kind = f"<u{words.width}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes, dtype=np.int64) + 1) // TOGETHER)) + 1
+            for at, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                some = batch.slice(at, stop - at)
                 ids, starts = words.encode(some.column("text").cast(pa.large_string()), end_id)
                 raw, doc_ids = ids.astype(kind).tobytes(), some.column("doc_id").to_pylist()
                 bodies = [
