@@ -2,7 +2,8 @@
 
 A rule is a Spark SQL text or a Column over the canonical event. A rule that
 evaluates to NULL stands for an error (a missing map key, a field of an absent
-object, a failed ``try_`` function).
+object), and so does one whose evaluation fails (a bad cast, a division by
+zero, an overflow, an index beyond the end): see :mod:`eventloom.operators.guard`.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.operators.guard import Rule, as_column, guarded
 from eventloom.schema import EVENT
 
-Rule = str | Column
-
 MATCHED = "matched"
 UNMATCHED = "unmatched"
 EVAL_ERROR = "eval_error"
@@ -27,11 +27,6 @@ class RuleError(ValueError):
     """A rule does not analyse, or does not yield a boolean."""
 
 
-def as_column(rule: Rule) -> Column:
-    """Return the rule as a Column."""
-    return F.expr(rule) if isinstance(rule, str) else rule
-
-
 def check_rules(spark: SparkSession, rules: Sequence[Rule], schema: T.StructType = EVENT) -> None:
     """Refuse rules that name unknown fields, mix types, or are not boolean."""
     empty = spark.createDataFrame([], schema)
@@ -46,24 +41,26 @@ def check_rules(spark: SparkSession, rules: Sequence[Rule], schema: T.StructType
             raise RuleError(f"rule {rule!s} has to yield a boolean, not {found.simpleString()}")
 
 
-def verdict(rules: Sequence[Rule]) -> Column:
-    """Return ``matched``, ``unmatched`` or ``eval_error``; the first rule that does not hold decides."""
+def verdict(rules: Sequence[Rule], schema: T.StructType = EVENT) -> Column:
+    """Return ``matched``, ``unmatched`` or ``eval_error``; the first rule that does not hold decides.
+
+    A rule that fails does so for its event only and never ends the job.
+    """
     decided = F.lit(MATCHED)
-    for rule in reversed(rules):
-        held = as_column(rule)
+    for held in reversed(guarded(rules, schema)):
         decided = F.when(held.isNull(), F.lit(EVAL_ERROR)).when(~held, F.lit(UNMATCHED)).otherwise(decided)
     return decided
 
 
-def matches(rules: Sequence[Rule]) -> Column:
+def matches(rules: Sequence[Rule], schema: T.StructType = EVENT) -> Column:
     """Return whether every rule holds, so that plain predicates reach the scan.
 
     Where only matched events are wanted, an error and a non-match are both
     left out, and a conjunction keeps the predicates visible to pushdown.
     """
     held = F.lit(True)
-    for rule in rules:
-        held = held & as_column(rule)
+    for rule in guarded(rules, schema):
+        held = held & rule
     return held
 
 

@@ -6,16 +6,18 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.operators.filters import EVAL_ERROR, MATCHED, check_rules, verdict
 from eventloom.plans.spec import Flow
+from eventloom.schema import EVENT
 
 UNBOUND = "unbound"
 
 
-def flow_verdict(flow: Flow) -> Column:
+def flow_verdict(flow: Flow, schema: StructType = EVENT) -> Column:
     """Return a flow's verdict on an event, ``unbound`` for the watches it does not take."""
-    decided = verdict(flow.filters)
+    decided = verdict(flow.filters, schema)
     if flow.watches is None:
         return decided
     return F.when(F.col("watch").isin(list(flow.watches)), decided).otherwise(F.lit(UNBOUND))
@@ -31,7 +33,7 @@ def match(events: DataFrame, flows: Sequence[Flow]) -> DataFrame:
     flows = sorted(flows, key=lambda flow: flow.name)
     for flow in flows:
         check_rules(events.sparkSession, flow.filters, events.schema)
-    found = [flow_verdict(flow) for flow in flows]
+    found = [flow_verdict(flow, events.schema) for flow in flows]
     entries = [F.struct(F.lit(flow.name).alias("flow"), verdict.alias("verdict")) for flow, verdict in zip(flows, found)]
     none = F.array().cast("array<string>")
     reached = [
