@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.catalogue.registry import query
 from eventloom.catalogue.shapes import enriched_events
 from eventloom.catalogue.tables import ENR, EV, canonical_events, table
 from eventloom.functions import predicates as fn
-from eventloom.functions.fields import same_reference
+from eventloom.functions.fields import same_object, same_reference
 from eventloom.operators.filters import choose, exists_one, matches, verdict
+from eventloom.operators.guard import guarded
 from eventloom.operators.metrics import Metric, count_metrics, drop_counts, filter_drops
 from eventloom.operators.routing import match, route
 from eventloom.operators.routing import verdict_counts as count_verdicts
@@ -86,15 +87,86 @@ def filter_error_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Rules that fail on some rows, each with the SQL of its verdict: NULL is an error.
+_FAILING = {
+    "by_zero": ("1 / (series.count - series.count) > 0", "CASE WHEN has_series THEN NULL END::BOOLEAN"),
+    "remainder": ("100 % series.count = 0", "CASE WHEN series_count > 0 THEN 100 % series_count = 0 END"),
+    "bad_cast": ("int(labels['kind']) > 3", "NULL::BOOLEAN"),
+    "number": ("int(labels['k']) > 30", "CAST(label_k AS INT) > 30"),
+    "mixed": ("resourceVersion > 2000", "TRY_CAST(rv AS BIGINT) > 2000"),
+    "overflow": ("int(labels['k']) + 2147483600 > 0", "CASE WHEN CAST(label_k AS INT) <= 47 THEN true END"),
+    "product": ("bigint(labels['k']) * 200000000000000000 > 0", "CASE WHEN CAST(label_k AS INT) = 0 THEN false WHEN CAST(label_k AS INT) <= 46 THEN true END"),
+    "beyond": ("element_at(split(note, ','), 9) = 'x'", "NULL::BOOLEAN"),
+    "index": ("split(resourceVersion, 'x')[1] = '7'", "CASE WHEN rv LIKE 'x%' THEN rv[2:] = '7' END"),
+    "date": ("date(concat('2024-', labels['k'], '-01')) > date'2024-06-01'", "TRY_CAST('2024-' || (CASE WHEN label_k::INT BETWEEN 1 AND 12 THEN label_k END) || '-1' AS DATE) > DATE '2024-06-01'"),
+    "absorbed": ("type = 'Warning' OR int(labels['kind']) > 3", "CASE WHEN type = 'Warning' THEN true END"),
+    "absorbed_after": ("int(labels['kind']) > 3 AND type = 'Warning'", "CASE WHEN type <> 'Warning' THEN false END"),
+    "any_value": ("exists(map_values(labels), v -> int(v) > 30)", "CASE WHEN CAST(label_k AS INT) > 30 THEN true END"),
+    "every_value": ("forall(map_values(labels), v -> int(v) > 30)", "CASE WHEN CAST(label_k AS INT) <= 30 THEN false END"),
+}
+
+
+def _verdict_sql(held: str) -> str:
+    return f"CASE WHEN ({held}) IS NULL THEN 'eval_error' WHEN {held} THEN 'matched' ELSE 'unmatched' END"
+
+
+@query(f"WITH {EV} SELECT uid, {', '.join(f'{_verdict_sql(sql)} AS {name}' for name, (_, sql) in _FAILING.items())} FROM ev")
+def filter_runtime_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose evaluation fails on some events: an error of those events, and of no other."""
+    found = [verdict([rule]).alias(name) for name, (rule, _) in _FAILING.items()]
+    return canonical_events(spark, sf_dir).select("uid", *found)
+
+
+@query(
+    f"""WITH {EV} SELECT uid, CAST(label_k AS INT) AS as_int, CAST(label_k AS DOUBLE) / 4 AS quarter,
+      CAST(label_k AS INT) % 7 AS modulo, -CAST(label_k AS INT) AS negative, CAST(series_count AS VARCHAR) AS as_text,
+      TRY_CAST(rv AS BIGINT) - 1000 AS version, epoch_us(event_time) // 1000000 AS seconds,
+      CASE WHEN series_count > 0 THEN 1000 // series_count END AS per_count
+    FROM ev"""
+)
+def rule_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Casts and arithmetic of rules, NULL where they fail."""
+    values = {
+        "as_int": "int(labels['k'])",
+        "quarter": "double(labels['k']) / 4",
+        "modulo": "int(labels['k']) % 7",
+        "negative": "-int(labels['k'])",
+        "as_text": "string(series.count)",
+        "version": "bigint(resourceVersion) - 1000",
+        "seconds": "unix_seconds(eventTime)",
+        "per_count": "1000 div series.count",
+    }
+    events = canonical_events(spark, sf_dir)
+    found = [column.alias(name) for name, column in zip(values, guarded(list(values.values()), events.schema), strict=True)]
+    return events.select("uid", *found)
+
+
 @query(
-    f"""WITH {EV} SELECT uid, reason = 'purchase' AND false AS same_ref,
+    f"""WITH {EV} SELECT uid, r_kind = 'Order' AND r_namespace = namespace AND seq % 13 = 0 AS same_ref,
+      NOT has_series OR series_last IS NULL AS same_series,
+      label_k IS NOT DISTINCT FROM nullif(k, '7') AS same_object,
       (label_k IS NOT NULL AND label_k = '3')::BOOLEAN AS one_is_three,
       CASE WHEN label_k IS NULL THEN 1 ELSE 2 END AS label_count FROM ev"""
 )
 def content_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, series and objects compared by what they hold; maps in whatever order of their entries."""
+    other = F.expr(
+        """named_struct('kind', 'Order', 'namespace', namespace, 'name', regarding.name, 'uid', 'stale',
+             'apiVersion', 'shop.example.com/v1', 'resourceVersion', '', 'fieldPath', '')"""
+    )
+    first_only = F.when(F.col("series").isNotNull(), F.struct(F.col("series.count").alias("count"), F.lit(None).cast("timestamp").alias("lastObservedTime")))
+    k = F.get_json_object("note", "$.k")
+    turned = F.map_filter(F.create_map(F.lit("k"), k, F.lit("kind"), F.col("reason")), lambda name, value: (name != "k") | (value != "7"))
+
+    def held(labels: Column) -> Column:
+        owner = F.col("regarding").alias("owner")
+        return F.struct(labels.alias("labels"), F.col("annotations"), owner, F.lit(False).alias("terminating"))
+
     return canonical_events(spark, sf_dir).select(
         "uid",
-        same_reference(F.col("regarding"), F.col("related")).alias("same_ref"),
+        same_reference(F.col("regarding"), other).alias("same_ref"),
+        same_reference(F.col("series"), first_only).alias("same_series"),
+        same_object(held(F.col("labels")), held(turned)).alias("same_object"),
         exists_one(F.map_values("labels"), lambda value: value == "3").alias("one_is_three"),
         F.size("labels").alias("label_count"),
     )
