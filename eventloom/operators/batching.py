@@ -150,11 +150,9 @@ def pack_batches(
         return numbered.withColumn("batch_no", whole_quotient(F.col("batch_no"), limits.max_events))
 
     times = F.col(arrival) if limits.timeout is not None else F.lit(0).cast("bigint")
-    narrow = with_segment(
-        frames.select(
-            *keys, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("size"), times.alias("arrival_us")
-        ),
-        span,
+    segmented = with_segment(frames, keys, span, seq)
+    narrow = segmented.select(
+        *keys, SEGMENT, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("size"), times.alias("arrival_us")
     )
     key_fields = ", ".join(f"`{name}` {narrow.schema[name].dataType.simpleString()}" for name in keys)
     states = walk_segments(
@@ -162,6 +160,7 @@ def pack_batches(
         keys,
         _no_batch,
         _advance(limits),
+        _compose(limits),
         _STATE,
     )
     marks = (
@@ -169,7 +168,7 @@ def pack_batches(
         .cogroup(states.groupBy(*keys, SEGMENT))
         .applyInArrow(_mark(keys, limits), f"{key_fields}, `{SEGMENT}` bigint, seq bigint, batch_no bigint")
     )
-    mixed, so_far = with_marks(with_segment(frames, span, seq), marks.withColumnRenamed("seq", seq), keys, seq)
+    mixed, so_far = with_marks(segmented, marks.withColumnRenamed("seq", seq), keys, seq)
     numbered = mixed.withColumn("batch_no", F.last("batch_no", ignorenulls=True).over(so_far))
     return numbered.filter("_row = 1").drop("_row", SEGMENT)
 
@@ -235,6 +234,37 @@ def _advance(limits: BatchLimits):
     return advance
 
 
+def _compose(limits: BatchLimits):
+    def compose(first: dict, summary) -> dict:
+        """Return the summary of two neighbouring runs of rows; where the first's batch may go on, the second's entries follow."""
+        payload, total = np.asarray(first["payload"])[:-1], int(first["payload"][-1])
+        times, next_times = np.asarray(first["times"]), np.asarray(summary.times)
+        next_payload, next_total = np.asarray(summary.payload)[:-1], int(summary.payload[-1])
+        events, taken, at, opened = (np.asarray(first[name]) for name in ("end_events", "end_payload", "end_time", "opened"))
+        # What each of the first's last batches does in the second.
+        unfit = np.full(len(events), len(next_times))
+        if limits.max_events:
+            unfit = np.minimum(unfit, limits.max_events - events)
+        if limits.max_bytes:
+            unfit = np.minimum(unfit, np.searchsorted(next_payload, limits.max_bytes - limits.fixed_bytes - taken, side="right"))
+        if limits.timeout is not None:
+            unfit = np.minimum(unfit, np.searchsorted(next_times, at + _micros(limits.timeout), side="right"))
+        goes_on = unfit >= summary.frames
+        entry = np.minimum(unfit, len(next_times) - 1)
+        after = {
+            "end_events": np.where(goes_on, events + summary.frames, np.asarray(summary.end_events)[entry]),
+            "end_payload": np.where(goes_on, taken + next_total, np.asarray(summary.end_payload)[entry]),
+            "end_time": np.where(goes_on, at, np.asarray(summary.end_time)[entry]),
+            "opened": opened + np.where(goes_on, 0, np.asarray(summary.opened)[entry]),
+        }
+        if len(times) == first["frames"]:
+            payload, times = np.append(payload, total + next_payload), np.append(times, next_times)
+            after = {name: np.append(values, getattr(summary, name)) for name, values in after.items()}
+        return first | {"frames": first["frames"] + summary.frames, "payload": np.append(payload, total + next_total), "times": times} | after
+
+    return compose
+
+
 def _mark(keys: list[str], limits: BatchLimits):
     def mark(segment: pa.Table, states: pa.Table) -> pa.Table:
         segment = in_order(segment)

@@ -7,17 +7,23 @@ on earlier rows only through the block open at its start. So:
 
 1. each segment, in parallel, works out for every row that could be its first
    opening which block is then open at its end;
-2. the segments of a group are walked in order on those summaries alone;
-3. each segment, in parallel, names the rows that open its blocks, given the
+2. such summaries compose: what a block does to one segment and what comes out
+   of that does to the next is again a summary, of both. Each range composes
+   its segments into one, in parallel;
+3. the ranges of a group are walked in order on those summaries alone, and
+   then, in parallel, the segments within each range;
+4. each segment, in parallel, names the rows that open its blocks, given the
    block it starts with.
 
 Python sees the few narrow columns that decide, and gives back these marks
 only. The rows themselves meet the marks in a window over their segment.
-Segments are bounded (see :mod:`segments`), and the walk keeps one state.
+Segments are bounded (see :mod:`segments`), and a walk keeps one state.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.segments import SEGMENT
+from eventloom.operators.segments import SEGMENT, in_range
+from eventloom.scratch import keep
 
 
 def in_order(segment: pa.Table) -> pa.Table:
@@ -39,17 +46,18 @@ def last_openings(following: np.ndarray, count: int) -> tuple[np.ndarray, np.nda
     """Follow next-opening indices to the end of a segment.
 
     Returns, per row that opens a block, the last row to open one and how many
-    blocks open on the way.
+    blocks open on the way. Each round doubles the steps that all rows have
+    taken.
     """
-    last = list(range(count))
-    opened = [1] * count
-    steps = following.tolist()
-    for index in range(count - 1, -1, -1):
-        step = steps[index]
-        if step < count:
-            last[index] = last[step]
-            opened[index] = opened[step] + 1
-    return np.array(last, dtype=np.int64), np.array(opened, dtype=np.int64)
+    rows = np.arange(count, dtype=np.int64)
+    ended = following >= count
+    last, opened = np.where(ended, rows, following), np.where(ended, 0, 1).astype(np.int64)
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            return last, opened + 1
+        opened = opened + opened[last]
+        last = further
 
 
 def openings_from(following: np.ndarray, first: int) -> np.ndarray:
@@ -68,35 +76,65 @@ def walk_segments(
     keys: Sequence[str],
     start: Callable[[], dict],
     advance: Callable[[dict, object], dict],
+    compose: Callable[[object, object], dict],
     state_schema: str,
 ) -> DataFrame:
-    """Return the state each segment starts with, walking the summaries in order.
+    """Return the state each segment starts with.
 
-    One state per group is kept while the sorted summaries stream through; a
-    change of group resets it.
+    The segments of each range are composed into one summary, the ranges of a
+    group walked in order, and then the segments of each range from the state
+    that its range starts with. Every walk keeps one state while sorted
+    summaries stream through.
     """
     keys = list(keys)
+    names = [name for name in summaries.columns if name not in keys]
     key_fields = ", ".join(f"`{name}` {summaries.schema[name].dataType.simpleString()}" for name in keys)
+    fields = ", ".join(f"`{name}` {summaries.schema[name].dataType.simpleString()}" for name in names)
+    numbered = keep(summaries.withColumn("_range", in_range()), "summaries")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = None
-        state = start()
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, None
         for batch in batches:
             rows = []
-            for summary in batch.itertuples(index=False):
-                key = tuple(summary[: len(keys)])
+            for summary in batch.rename(columns={SEGMENT: "segment"}).itertuples(index=False):
+                key = (*summary[: len(keys)], summary[-1])
                 if key != group:
-                    group, state = key, start()
-                rows.append((*key, summary.segment, *state.values()))
-                state = advance(state, summary)
-            yield pd.DataFrame(rows, columns=[*keys, SEGMENT, *start().keys()])
-
-    ordered = (
-        summaries.withColumnRenamed(SEGMENT, "segment")
-        .repartition(*[F.col(name) for name in keys])
-        .sortWithinPartitions(*keys, "segment")
-    )
-    return ordered.mapInPandas(scan, f"{key_fields}, `{SEGMENT}` bigint, {state_schema}")
+                    if held is not None:
+                        rows.append((*group[:-1], *held.values()))
+                    group, held = key, {name: getattr(summary, "segment" if name == SEGMENT else name) for name in names}
+                else:
+                    held = compose(held, summary)
+            yield pd.DataFrame(rows, columns=[*keys, *names])
+        if held is not None:
+            yield pd.DataFrame([(*group[:-1], *held.values())], columns=[*keys, *names])
+
+    def walk(initial: bool) -> Callable:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            group, state = None, start()
+            for batch in batches:
+                rows = []
+                for summary in batch.rename(columns={SEGMENT: "segment"}).itertuples(index=False):
+                    key = tuple(summary[: len(keys)]) if initial else (*summary[: len(keys)], summary.range_start)
+                    if key != group:
+                        group = key
+                        state = start() if initial else {name: getattr(summary, f"start_{name}") for name in start()}
+                    rows.append((*summary[: len(keys)], summary.segment, *state.values()))
+                    state = advance(state, summary)
+                yield pd.DataFrame(rows, columns=[*keys, SEGMENT, *start().keys()])
+
+        return scan
+
+    by_key = [F.col(name) for name in keys]
+    in_ranges = numbered.repartition(*by_key, "_range").sortWithinPartitions(*keys, SEGMENT)
+    composed = in_ranges.mapInPandas(fold, f"{key_fields}, {fields}")
+    whole = composed.repartition(*by_key).sortWithinPartitions(*keys, SEGMENT)
+    states_schema = f"{key_fields}, `{SEGMENT}` bigint, {state_schema}"
+    starts = whole.mapInPandas(walk(True), states_schema)
+    renamed = starts.withColumnsRenamed({name: f"start_{name}" for name in start()} | {SEGMENT: "range_start"} | {name: f"_of_{name}" for name in keys})
+    same = functools.reduce(operator.and_, (F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in keys), F.col("_range") == in_range("range_start"))
+    begun = numbered.join(renamed, same).drop("_range", *(f"_of_{name}" for name in keys))
+    again = begun.repartition(*by_key, "range_start").sortWithinPartitions(*keys, SEGMENT)
+    return again.mapInPandas(walk(False), states_schema)
 
 
 def with_marks(rows: DataFrame, marks: DataFrame, keys: Sequence[str], seq: str = "seq") -> tuple[DataFrame, Window]:

@@ -26,16 +26,15 @@ def on_change(rows: DataFrame, span: int = SPAN, keep_segment: bool = False) ->
     With ``keep_segment`` the rows stay cut as they are, so that
     :func:`with_suppressed` on top needs no shuffle of its own.
     """
-    segmented = with_segment(rows, span)
-    carry = (
-        segmented.groupBy("gate", SEGMENT)
-        .agg(F.max_by("key", "seq").alias("_last"))
-        .select("gate", SEGMENT, F.last("_last").over(before(_GATE)).alias("_carried"))
-    )
-    numbered = segmented.withColumn("_previous", F.lag("key").over(in_segment(_GATE)))
-    previous = F.coalesce("_previous", "_carried")
-    flagged = join_carry(numbered, carry, _GATE).withColumn("admitted", ~F.col("key").eqNullSafe(previous))
-    return flagged.drop("_previous", "_carried", *([] if keep_segment else [SEGMENT]))
+    segmented = with_segment(rows, _GATE, span)
+    window = in_segment(_GATE)
+    numbered = segmented.withColumn("_previous", F.lag("key").over(window))
+    last = segmented.select("gate", SEGMENT, "key", F.lead("seq").over(window).alias("_next")).where("_next is null")
+    carry = last.select("gate", SEGMENT, F.last("key").over(before(_GATE)).alias("_carried"), F.lit(True).alias("_any"))
+    joined = join_carry(numbered.withColumn("_first", F.row_number().over(window) == 1), carry, _GATE)
+    previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_previous"))
+    flagged = joined.withColumn("admitted", ~F.col("key").eqNullSafe(previous))
+    return flagged.drop("_previous", "_carried", "_any", "_first", *([] if keep_segment else [SEGMENT]))
 
 
 def first_seen(rows: DataFrame, limit: int) -> DataFrame:
@@ -63,7 +62,7 @@ def with_suppressed(rows: DataFrame, span: int = SPAN, pending: DataFrame | None
 
     ``pending`` holds ``gate, pending``: rows withheld before these and not reported yet.
     """
-    segmented = with_segment(rows, span).withColumn("_withheld", F.when(F.col("admitted"), 0).otherwise(1))
+    segmented = with_segment(rows, _GATE, span).withColumn("_withheld", F.when(F.col("admitted"), 0).otherwise(1))
     running = F.sum("_withheld").over(in_segment(_GATE).rowsBetween(Window.unboundedPreceding, 0))
     counted = segmented.withColumn("_running", running)
     # Withheld rows before each segment, and how many of them the last admission had seen.
@@ -111,13 +110,14 @@ def per_interval(
     gates on from earlier rows.
     """
     width = interval // dt.timedelta(microseconds=1)
-    narrow = _narrow(rows, span)
+    segmented = with_segment(rows, _GATE, span)
+    narrow = _narrow(segmented)
     marks = (
         narrow.groupBy("gate", SEGMENT)
         .cogroup(_walk(narrow, width, states).groupBy("gate", SEGMENT))
         .applyInArrow(_mark(width), f"{_gate_field(rows)}, `{SEGMENT}` bigint, seq bigint, _carried bigint")
     )
-    mixed, so_far = with_marks(with_segment(rows, span), marks, _GATE)
+    mixed, so_far = with_marks(segmented, marks, _GATE)
     # The rank of a row in its interval: rows up to it, less those before the opening.
     counted = mixed.withColumn("_rows", F.sum("_row").over(so_far))
     before_opening = F.when(F.col("_row") == 0, F.coalesce(-F.col("_carried"), F.col("_rows")))
@@ -132,7 +132,7 @@ def interval_states(
 ) -> DataFrame:
     """Return the interval open at each gate after the rows: ``gate, key, since, count``."""
     width = interval // dt.timedelta(microseconds=1)
-    narrow = _narrow(rows, span)
+    narrow = _narrow(with_segment(rows, _GATE, span))
     gates = narrow.select("gate").distinct()
     if states is not None:
         gates = gates.union(states.select("gate")).distinct()
@@ -140,8 +140,8 @@ def interval_states(
     return after.filter(F.col(SEGMENT) == _LAST).select("gate", "key", "since", "count")
 
 
-def _narrow(rows: DataFrame, span: int) -> DataFrame:
-    return with_segment(rows.select("gate", "seq", F.unix_micros("ts").alias("at"), "key"), span)
+def _narrow(segmented: DataFrame) -> DataFrame:
+    return segmented.select("gate", SEGMENT, "seq", F.unix_micros("ts").alias("at"), "key")
 
 
 def _gate_field(rows: DataFrame) -> str:
@@ -155,7 +155,7 @@ def _walk(narrow: DataFrame, width: int, states: DataFrame | None, *more: DataFr
         summaries = summaries.union(_constant(states, F.lit(_FIRST), F.col("key"), F.col("since"), F.col("count")))
     for extra in more:
         summaries = summaries.union(extra)
-    return walk_segments(summaries, _GATE, _closed, _advance(width), _STATE)
+    return walk_segments(summaries, _GATE, _closed, _advance(width), _compose(width), _STATE)
 
 
 def _constant(gates: DataFrame, segment: Column, key: Column, since: Column, count: Column) -> DataFrame:
@@ -246,6 +246,37 @@ def _advance(width: int):
     return advance
 
 
+def _compose(width: int):
+    advance = _advance(width)
+
+    def compose(first: dict, summary) -> dict:
+        """Return the summary of two neighbouring runs of rows; where the first has one key throughout, the second's entries follow."""
+        ends = [
+            advance({"open": True, "key": key, "since": int(at), "count": int(count)}, summary)
+            for key, at, count in zip(first["end_key"], first["end_at"], first["end_count"], strict=True)
+        ]
+        until, reset = list(first["until"]), first["reset"]
+        if reset == first["rows"]:
+            same = summary.first_key == first["first_key"]
+            more = len(summary.until) if same else 1  # another key opens an interval at once, with its first row
+            reset += summary.reset if same else 0
+            until += list(summary.until[:more])
+            ends += [
+                {"key": key, "since": at, "count": count}
+                for key, at, count in zip(summary.end_key[:more], summary.end_at[:more], summary.end_count[:more], strict=True)
+            ]
+        return first | {
+            "rows": first["rows"] + summary.rows,
+            "reset": reset,
+            "until": until,
+            "end_key": [end["key"] for end in ends],
+            "end_at": [end["since"] for end in ends],
+            "end_count": [end["count"] for end in ends],
+        }
+
+    return compose
+
+
 def _mark(width: int):
     def mark(segment: pa.Table, states: pa.Table) -> pa.Table:
         segment, keys, at = _ordered(segment)

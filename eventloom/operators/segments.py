@@ -1,11 +1,15 @@
 """Ordered scans over hot groups, cut into bounded segments.
 
 A group (a sink, a gate) may hold a third of all rows, so no operator orders a
-whole group in one task. Rows are cut into segments of ``span`` consecutive
-sequence numbers; each segment is ordered on its own, and what a segment needs
-from the ones before it comes from a summary with one row per segment.
-``seq`` has to be a unique, increasing integer within the group, such as an
-offset, so that a segment holds at most ``span`` rows.
+whole group in one task. The rows are sorted by group and ``seq`` over all
+partitions, in ranges that Spark samples, and written once; a segment is at
+most ``span`` consecutive rows of one group in one such range, whatever the
+steps between their sequence numbers. Each segment is worked on by itself, and
+what it needs from the ones before it comes from a summary with one row per
+segment. The summaries of a range are put together first, so that what walks a
+group in order sees a row per range.
+
+``seq`` has to be unique within the group, such as an offset.
 """
 
 from __future__ import annotations
@@ -15,15 +19,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.scratch import keep
+
 SPAN = 500_000
 SEGMENT = "_segment"
+#: Bits of a segment's number that count within its range.
+WITHIN = 31
+
 
+def with_segment(rows: DataFrame, keys: Sequence[str], span: int = SPAN, seq: str = "seq") -> DataFrame:
+    """Sort and write the rows, and add the number of the segment that each falls into, unless an earlier scan left it there.
 
-def with_segment(rows: DataFrame, span: int = SPAN, seq: str = "seq") -> DataFrame:
-    """Add the number of the segment a row falls into, unless an earlier scan left it there."""
+    Numbers ascend with the order within a group. What is above the rows is
+    computed once; every scan that follows reads the written table.
+    """
     if SEGMENT in rows.columns:
         return rows
-    return rows.withColumn(SEGMENT, whole_quotient(F.col(seq).cast("bigint"), span))
+    in_order = rows.repartitionByRange(*keys, seq).sortWithinPartitions(*keys, seq)
+    # The number holds the partition in its upper bits and counts its rows, in their order, in the lower ones.
+    counted = in_order.withColumn(SEGMENT, F.monotonically_increasing_id())
+    part, at = F.shiftright(SEGMENT, 33), F.col(SEGMENT).bitwiseAND(F.lit((1 << 33) - 1))
+    return keep(counted.withColumn(SEGMENT, F.shiftleft(part, WITHIN) + whole_quotient(at, span)), "segments")
+
+
+def in_range(segment: Column | str = SEGMENT) -> Column:
+    """Return the number of the range that a segment lies in."""
+    return F.shiftright(segment, WITHIN)
 
 
 def whole_quotient(number: Column, divisor: int) -> Column:
@@ -48,7 +69,7 @@ def join_carry(segmented: DataFrame, carry: DataFrame, keys: Sequence[str]) -> D
 
 def with_position(rows: DataFrame, keys: Sequence[str], name: str, span: int = SPAN, seq: str = "seq") -> DataFrame:
     """Add the 0-based position of each row in its group's order."""
-    segmented = with_segment(rows, span, seq)
+    segmented = with_segment(rows, keys, span, seq)
     earlier = F.coalesce(F.sum("_rows").over(before(keys)), F.lit(0))
     carry = (
         segmented.groupBy(*keys, SEGMENT)

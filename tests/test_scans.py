@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import batching, sampling
 from eventloom.operators.batching import BatchLimits, pack_batches
-from eventloom.operators.segments import with_position
+from eventloom.operators.segments import in_range, with_position, with_segment
 
 EPOCH = utc(2024, 1, 1)
 
@@ -87,6 +87,38 @@ def test_batches_equal_a_sequential_packer(spark, limits, span, partitions):
     assert got == {name: model_batches(frames, limits) for name, frames in groups.items()}
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Leave the ranges of a sort as they are, so that a group spans several and their summaries are walked."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("span", [2, 9])
+@pytest.mark.parametrize(
+    "limits",
+    [
+        BatchLimits(max_events=5, max_bytes=90),
+        BatchLimits(max_events=0, max_bytes=2000, separator_bytes=1, fixed_bytes=2),  # a batch goes on over segments and ranges
+        BatchLimits(max_events=300, max_bytes=0, timeout=dt.timedelta(microseconds=150)),
+        BatchLimits(max_events=1000, max_bytes=100_000),  # one batch
+    ],
+)
+def test_batches_over_ranges(spark, many_ranges, limits, span):
+    choose = random.Random(span)
+    groups = {}
+    for name, count in (("hot", 300), ("b", 40)):
+        at, frames = 0, []
+        for _ in range(count):
+            at += choose.choice([0, 1, 5, 30])
+            frames.append((choose.choice([1, 5, 20, 60, 120]), at))
+        groups[name] = frames
+    frames = table(spark, groups)
+    assert with_segment(frames, ["sink"], span).select((in_range()).alias("r")).distinct().count() > 1
+    assert packed(frames, limits, span) == {name: model_batches(frames, limits) for name, frames in groups.items()}
+
+
 def test_batches_keep_columns_and_take_gaps_in_seq(spark):
     rows = [("s", 5 * i * i, 10, 0, f"payload-{i}") for i in range(20)]
     frames = spark.createDataFrame(rows, "sink string, seq long, size long, arrival_us long, frame string")
@@ -188,6 +220,16 @@ def model_suppressed(admitted):
 @pytest.mark.parametrize("width, threshold", [(50, 3), (200, 1), (0, 2), (7, 100)])
 @pytest.mark.parametrize("span", [5, 50])
 def test_samples_equal_a_sequential_gate(spark, width, threshold, span):
+    check_samples(spark, width, threshold, span)
+
+
+@pytest.mark.parametrize("width, threshold", [(50, 3), (3000, 2), (0, 2)])
+@pytest.mark.parametrize("step", [1, 1_000_000])
+def test_samples_over_ranges(spark, many_ranges, width, threshold, step):
+    check_samples(spark, width, threshold, 4, step)
+
+
+def check_samples(spark, width, threshold, span, step=1):
     choose = random.Random(width * 31 + span)
     rows, model = [], {}
     for gate, count, letters in (("hot", 200, "aaaaaaaaab"), ("one", 150, "a"), ("mixed", 80, "abc"), ("z", 1, "a")):
@@ -195,7 +237,7 @@ def test_samples_equal_a_sequential_gate(spark, width, threshold, span):
         for seq in range(count):
             at += choose.choice([0, 0, 1, 3, 20, 60])
             made.append((choose.choice(letters), at))
-            rows.append((gate, seq, EPOCH + dt.timedelta(microseconds=at), made[-1][0]))
+            rows.append((gate, (seq - 50) * step, EPOCH + dt.timedelta(microseconds=at), made[-1][0]))
         model[gate] = model_interval(made, width, threshold)
     choose.shuffle(rows)
     table = spark.createDataFrame(rows, "gate string, seq long, ts timestamp, key string").repartition(3)
@@ -206,3 +248,7 @@ def test_samples_equal_a_sequential_gate(spark, width, threshold, span):
     for gate, admitted in model.items():
         found = [r["suppressed"] for r in sorted(counted, key=lambda r: r["seq"]) if r["gate"] == gate]
         assert found == model_suppressed(admitted)
+    changed = sampling.on_change(table, span)
+    for gate in model:
+        keys = [row[3] for row in sorted(rows, key=lambda row: row[1]) if row[0] == gate]
+        assert flags(changed, gate) == "".join("T" if k == 0 or key != keys[k - 1] else "F" for k, key in enumerate(keys))
