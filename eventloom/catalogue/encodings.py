@@ -215,20 +215,26 @@ def drop_too_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bodies(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    events = canonical_events(spark, sf_dir).select("watch", "seq", to_canonical_json().alias("frame"))
-    return export.request_bodies(counted_batches(events), fmt)
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_events(spark, sf_dir).select("watch", "seq", to_canonical_json().alias("frame"))
 
 
 @query(
     f"""WITH {EV},{_COUNTED} SELECT batch_id, count(*) AS frames,
       md5('[' || string_agg({EVENT_JSON}, ',' ORDER BY seq) || ']') AS list_body,
-      md5(string_agg({EVENT_JSON}, chr(10) ORDER BY seq) || chr(10)) AS lines_body FROM cnt GROUP BY batch_id"""
+      md5(string_agg({EVENT_JSON}, chr(10) ORDER BY seq) || chr(10)) AS lines_body,
+      md5(string_agg({EVENT_JSON}, ';;' ORDER BY seq)) AS template_body FROM cnt GROUP BY batch_id"""
 )
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _bodies(spark, sf_dir, "json-list").select("batch_id", "frames", F.md5("body").alias("list_body"))
-    lines = _bodies(spark, sf_dir, "ndjson").select("batch_id", F.md5("body").alias("lines_body"))
-    return listed.join(lines, "batch_id")
+    """The bodies of three formats from one list of frames a batch."""
+    lists = export.batch_lists(counted_batches(_framed(spark, sf_dir)))
+    return lists.select(
+        "batch_id",
+        "frames",
+        F.md5(export.body("frame_list", "json-list")).alias("list_body"),
+        F.md5(export.body("frame_list", "ndjson")).alias("lines_body"),
+        F.md5(export.body("frame_list", "template", ";;")).alias("template_body"),
+    )
 
 
 def _pad(byte: int) -> str:
@@ -245,7 +251,8 @@ def _pad(byte: int) -> str:
     FROM msg"""
 )
 def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = export.sign_requests(_bodies(spark, sf_dir, "json-list"), SECRET, F.lit(1717200000))
+    requests = export.request_bodies(counted_batches(_framed(spark, sf_dir)), "json-list")
+    signed = export.sign_requests(requests, SECRET, F.lit(1717200000))
     return signed.select("webhook_id", "webhook_timestamp", "webhook_signature")
 
 

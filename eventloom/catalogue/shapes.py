@@ -25,6 +25,7 @@ from eventloom.functions.times import rfc3339_micro
 from eventloom.operators import enrich as enrichment
 from eventloom.operators.lift import lift
 from eventloom.operators.sanitize import SanitizeSpec, sanitize
+from eventloom.schema import OBJECT
 
 READ_AT = "2024-06-01 00:00:00"
 MICROS = "'%Y-%m-%dT%H:%M:%S.%fZ'"
@@ -232,3 +233,35 @@ def project_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latest_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.latest_objects(object_changes(spark, sf_dir)).select("name", "priority")
+
+
+@query(
+    f"""WITH {EV}, chg AS (SELECT 'customer-' || o_custkey AS c_name, 'team-' || (o_custkey % 5) AS c_namespace,
+      o_orderkey AS c_at, o_orderstatus, o_orderpriority, o_orderdate FROM orders),
+    lk AS (SELECT *, seq * 6 AS at, CASE WHEN r_kind = '' THEN 'skipped' WHEN r_kind = 'Order' THEN 'undeclared'
+      WHEN r_namespace <> namespace THEN 'cross_namespace' END AS barred FROM ev),
+    met AS (SELECT lk.*, chg.* FROM lk ASOF LEFT JOIN chg
+      ON chg.c_name = lk.r_name AND chg.c_namespace = lk.r_namespace AND lk.at >= chg.c_at)
+    SELECT uid, CASE WHEN barred IS NOT NULL THEN barred WHEN c_at IS NULL OR o_orderstatus = 'P' OR r_uid = 'stale'
+        THEN 'miss' ELSE 'hit' END AS enrich_result,
+      CASE WHEN barred IS NULL AND o_orderstatus <> 'P' AND r_uid <> 'stale' THEN o_orderpriority ELSE '' END AS priority,
+      CASE WHEN barred IS NULL AND o_orderstatus <> 'P' AND r_uid <> 'stale' THEN CAST(c_at AS VARCHAR) ELSE '' END AS version
+    FROM met"""
+)
+def enrich_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the state its customer had when it was read; segments of 1,000 rows, so that states cross borders."""
+    log = object_changes(spark, sf_dir).withColumns(
+        {
+            "at": F.col("seq"),
+            "labels": F.create_map(F.lit("priority"), "priority", F.lit("version"), F.col("seq").cast("string")),
+            "annotations": F.create_map().cast("map<string,string>"),
+            "deletionTimestamp": F.lit(None).cast("timestamp"),
+            "ownerReferences": F.array().cast(OBJECT["ownerReferences"].dataType),
+        }
+    )
+    projected = enrichment.project_objects(log, KINDS, carry=("at", "seq", "change"))
+    events = canonical_events(spark, sf_dir).withColumn("at", F.col("seq") * 6)
+    found = enrichment.enrich_as_of(events, projected, enrichment.declared_kinds(KINDS, DECLARED), event_id=("uid", "seq"), span=1000)
+    return found.select(
+        "uid", "enrich_result", field("regardingObject.labels.priority").alias("priority"), field("regardingObject.labels.version").alias("version")
+    )

@@ -7,14 +7,17 @@ shared one, and returns what was written.
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.catalogue.registry import query
 from eventloom.catalogue.sampling import INTERVAL_SQL
-from eventloom.catalogue.tables import DECLARED, FR, KINDS, failures_of, frames_of, objects, streamed
+from eventloom.catalogue.tables import DECLARED, EV, FR, KINDS, failures_of, frames_of, objects, streamed, table
+from eventloom.operators.batching import BatchLimits
 from eventloom.operators.enrich import declared_kinds
 from eventloom.operators.metrics import Metric
 from eventloom.plans.flow import EventPath
@@ -22,6 +25,7 @@ from eventloom.plans.spec import Flow
 from eventloom.session import shared_folder
 from eventloom.sinks.writers import counters_writer, lines_writer
 from eventloom.sources.events import Watch
+from eventloom.streaming.batches import STATE_STORE, stream_batches as open_batches
 from eventloom.streaming.run import load_positions, load_totals, per_interval_stream, run_stream
 
 _DELIVERED = f"""{FR}, ev AS (
@@ -104,3 +108,62 @@ def stream_per_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
         trigger={"availableNow": True},
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/admitted").select("gate", "seq", "key", "suppressed")
+
+
+def _until_read(stream: StreamingQuery, rows: int) -> None:
+    """Wait until a stream that never idles has taken in so many rows and written what they gave, then stop it."""
+    try:
+        while sum(progress["numInputRows"] for progress in stream.recentProgress) < rows:
+            if not stream.isActive:
+                raise stream.exception() or RuntimeError("the stream ended early")
+            time.sleep(0.1)
+    finally:
+        stream.stop()
+
+
+#: A packer of small batches, one event after the other.
+_STREAMED_LIMITS = BatchLimits(max_events=12, max_bytes=150, separator_bytes=1, fixed_bytes=2)
+
+
+@query(
+    f"""WITH RECURSIVE {EV}, frm AS (
+      SELECT instance, seq, strlen(note) AS size, row_number() OVER (PARTITION BY instance ORDER BY seq) AS rn FROM ev),
+    pack AS (
+      SELECT instance, rn, seq, size, 0 AS batch_no, 1 AS events, size AS payload FROM frm WHERE rn = 1
+      UNION ALL
+      SELECT instance, f.rn, f.seq, f.size, CASE WHEN events < 12 AND payload + 1 + f.size <= 148 THEN batch_no ELSE batch_no + 1 END,
+        CASE WHEN events < 12 AND payload + 1 + f.size <= 148 THEN events + 1 ELSE 1 END,
+        CASE WHEN events < 12 AND payload + 1 + f.size <= 148 THEN payload + 1 + f.size ELSE f.size END
+      FROM pack JOIN frm f USING (instance) WHERE f.rn = pack.rn + 1),
+    g AS (SELECT instance, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS frames, min(seq) AS first_seq, max(seq) AS last_seq
+      FROM pack GROUP BY ALL)
+    SELECT * FROM g QUALIFY batch_no < max(batch_no) OVER (PARTITION BY instance)"""
+)
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that stay open over four micro-batches and a restart; the last of each packer is still open at the end."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").selectExpr(
+        "concat('node-', user_id % 20) AS instance", "event_id AS seq", "bigint(octet_length(props)) AS size", "props AS frame"
+    )
+    quarters = events.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
+    parts = [events.where((F.col("seq") > low) & (F.col("seq") <= high)) for low, high in zip([float("-inf"), *quarters], [*quarters, float("inf")])]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        for some in (parts[:2], parts[2:]):  # the stream is stopped in between
+            rows = 0
+            for part in some:
+                part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+                rows += part.count()
+            arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            closed = open_batches(arriving, ["instance"], _STREAMED_LIMITS)
+            sink = closed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+            _until_read(sink.trigger(processingTime="100 milliseconds").start(), rows)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(f"{folder}/out").select(
+        "instance",
+        "batch_no",
+        F.size("frames").cast("bigint").alias("frames"),
+        F.array_min("frames.seq").alias("first_seq"),
+        F.array_max("frames.seq").alias("last_seq"),
+    )

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments, with_marks
-from eventloom.operators.segments import SEGMENT, SPAN, whole_quotient, with_position, with_segment
+from eventloom.operators.chains import Scan, last_openings, openings_from, range_marks, range_states, with_marks
+from eventloom.operators.segments import SEGMENT, SPAN, rejoin, whole_quotient, with_position, with_segment
+from eventloom.scratch import keep
 
 # Queue limit in bytes when none is given (fixed value).
 QUEUE_BYTES = 32 * 1024 * 1024
@@ -150,43 +151,33 @@ def pack_batches(
         return numbered.withColumn("batch_no", whole_quotient(F.col("batch_no"), limits.max_events))
 
     times = F.col(arrival) if limits.timeout is not None else F.lit(0).cast("bigint")
-    segmented = with_segment(frames, keys, span, seq)
-    narrow = segmented.select(
-        *keys, SEGMENT, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("size"), times.alias("arrival_us")
+    # Written once: sizes come from encoded frames, which nothing below encodes again.
+    written = keep(frames, "frames")
+    deciding = written.select(*keys, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("size"), times.alias("arrival_us"))
+    narrow = with_segment(deciding, keys, span)
+    scan = _scan(limits)
+    marks = range_marks(narrow, range_states(narrow, keys, scan), keys, scan)
+    mixed, so_far = with_marks(narrow.select(*keys, SEGMENT, "seq"), marks, keys)
+    numbered = mixed.withColumn("batch_no", F.last("batch_no", ignorenulls=True).over(so_far)).filter("_row = 1")
+    return rejoin(written, numbered.select(*keys, F.col("seq").alias(seq), "batch_no"), keys, seq)
+
+
+def _scan(limits: BatchLimits) -> Scan:
+    return Scan(
+        summarise=_summarise(limits),
+        compose=_compose(limits),
+        advance=_advance(limits),
+        mark=_mark(limits),
+        start={"batches": 0, "events": 0, "taken": 0, "opened_at": 0},
+        summary_schema="frames bigint, payload array<bigint>, times array<bigint>, end_events array<bigint>, "
+        "end_payload array<bigint>, end_time array<bigint>, opened array<bigint>",
+        state_schema="batches bigint, events bigint, taken bigint, opened_at bigint",
+        mark_schema="seq bigint, batch_no bigint",
     )
-    key_fields = ", ".join(f"`{name}` {narrow.schema[name].dataType.simpleString()}" for name in keys)
-    states = walk_segments(
-        narrow.groupBy(*keys, SEGMENT).applyInArrow(_summarise(keys, limits), f"{key_fields}, {_SUMMARY}"),
-        keys,
-        _no_batch,
-        _advance(limits),
-        _compose(limits),
-        _STATE,
-    )
-    marks = (
-        narrow.groupBy(*keys, SEGMENT)
-        .cogroup(states.groupBy(*keys, SEGMENT))
-        .applyInArrow(_mark(keys, limits), f"{key_fields}, `{SEGMENT}` bigint, seq bigint, batch_no bigint")
-    )
-    mixed, so_far = with_marks(segmented, marks.withColumnRenamed("seq", seq), keys, seq)
-    numbered = mixed.withColumn("batch_no", F.last("batch_no", ignorenulls=True).over(so_far))
-    return numbered.filter("_row = 1").drop("_row", SEGMENT)
-
-
-_SUMMARY = (
-    f"`{SEGMENT}` bigint, frames bigint, payload array<bigint>, times array<bigint>, "
-    "end_events array<bigint>, end_payload array<bigint>, end_time array<bigint>, opened array<bigint>"
-)
-_STATE = "batches bigint, events bigint, taken bigint, opened_at bigint"
-
 
-def _no_batch() -> dict:
-    return {"batches": 0, "events": 0, "taken": 0, "opened_at": 0}
 
-
-def _summarise(keys: list[str], limits: BatchLimits):
-    def summarise(segment: pa.Table) -> pa.Table:
-        segment = in_order(segment)
+def _summarise(limits: BatchLimits):
+    def summarise(segment: pa.Table) -> dict:
         times = segment["arrival_us"].to_numpy()
         count = len(times)
         following, payload = _next_openings(segment["size"].to_numpy(), times, limits)
@@ -195,92 +186,89 @@ def _summarise(keys: list[str], limits: BatchLimits):
         # than now, so it takes this many rows at most.
         reach = _first_unfit(1, 0, int(times[0]), payload, times, limits)
         entries = last[: reach + 1]
-        return pa.table(
-            {name: segment[name].slice(0, 1) for name in (*keys, SEGMENT)}
-            | {
-                "frames": [count],
-                "payload": [np.append(payload[1 : reach + 2], payload[count])],
-                "times": [times[: reach + 1]],
-                "end_events": [count - entries],
-                "end_payload": [payload[count] - payload[entries] - limits.separator_bytes],
-                "end_time": [times[entries]],
-                "opened": [opened[: reach + 1]],
-            }
-        )
+        return {
+            "frames": count,
+            "payload": np.append(payload[1 : reach + 2], payload[count]),
+            "times": times[: reach + 1],
+            "end_events": count - entries,
+            "end_payload": payload[count] - payload[entries] - limits.separator_bytes,
+            "end_time": times[entries],
+            "opened": opened[: reach + 1],
+        }
 
     return summarise
 
 
 def _advance(limits: BatchLimits):
-    def advance(state: dict, summary) -> dict:
-        times = np.asarray(summary.times, dtype=np.int64)
-        payload = np.asarray(summary.payload, dtype=np.int64)
-        if state["batches"] == 0:
-            first = 0
-        else:
-            # payload[k] is what rows 0..k take; the last entry is the whole segment.
-            first = _first_unfit(
-                state["events"], state["taken"], state["opened_at"], np.append(0, payload[:-1]), times, limits
-            )
-        if first >= summary.frames:
-            return state | {"events": state["events"] + summary.frames, "taken": state["taken"] + int(payload[-1])}
+    def advance(state: dict, run: dict) -> dict:
+        first = 0
+        if state["batches"]:
+            # payload[k] is what rows 0..k take; the last entry is the whole run.
+            payload = np.append(0, run["payload"][:-1])
+            first = _first_unfit(state["events"], state["taken"], state["opened_at"], payload, run["times"], limits)
+        if first >= run["frames"]:
+            return state | {"events": state["events"] + run["frames"], "taken": state["taken"] + int(run["payload"][-1])}
         return {
-            "batches": state["batches"] + int(summary.opened[first]),
-            "events": int(summary.end_events[first]),
-            "taken": int(summary.end_payload[first]),
-            "opened_at": int(summary.end_time[first]),
+            "batches": state["batches"] + int(run["opened"][first]),
+            "events": int(run["end_events"][first]),
+            "taken": int(run["end_payload"][first]),
+            "opened_at": int(run["end_time"][first]),
         }
 
     return advance
 
 
 def _compose(limits: BatchLimits):
-    def compose(first: dict, summary) -> dict:
-        """Return the summary of two neighbouring runs of rows; where the first's batch may go on, the second's entries follow."""
-        payload, total = np.asarray(first["payload"])[:-1], int(first["payload"][-1])
-        times, next_times = np.asarray(first["times"]), np.asarray(summary.times)
-        next_payload, next_total = np.asarray(summary.payload)[:-1], int(summary.payload[-1])
-        events, taken, at, opened = (np.asarray(first[name]) for name in ("end_events", "end_payload", "end_time", "opened"))
+    def compose(first: dict, second: dict) -> dict:
+        """Where a batch of the first run may go on in the second, the second's entries follow the first's."""
+        events, taken, at = first["end_events"], first["end_payload"], first["end_time"]
+        total, known = int(first["payload"][-1]), len(second["times"])
         # What each of the first's last batches does in the second.
-        unfit = np.full(len(events), len(next_times))
+        unfit = np.full(len(events), known)
         if limits.max_events:
             unfit = np.minimum(unfit, limits.max_events - events)
         if limits.max_bytes:
-            unfit = np.minimum(unfit, np.searchsorted(next_payload, limits.max_bytes - limits.fixed_bytes - taken, side="right"))
+            room = limits.max_bytes - limits.fixed_bytes - taken
+            unfit = np.minimum(unfit, np.searchsorted(second["payload"][:-1], room, side="right"))
         if limits.timeout is not None:
-            unfit = np.minimum(unfit, np.searchsorted(next_times, at + _micros(limits.timeout), side="right"))
-        goes_on = unfit >= summary.frames
-        entry = np.minimum(unfit, len(next_times) - 1)
+            unfit = np.minimum(unfit, np.searchsorted(second["times"], at + _micros(limits.timeout), side="right"))
+        goes_on, entry = unfit >= second["frames"], np.minimum(unfit, known - 1)
         after = {
-            "end_events": np.where(goes_on, events + summary.frames, np.asarray(summary.end_events)[entry]),
-            "end_payload": np.where(goes_on, taken + next_total, np.asarray(summary.end_payload)[entry]),
-            "end_time": np.where(goes_on, at, np.asarray(summary.end_time)[entry]),
-            "opened": opened + np.where(goes_on, 0, np.asarray(summary.opened)[entry]),
+            "end_events": np.where(goes_on, events + second["frames"], second["end_events"][entry]),
+            "end_payload": np.where(goes_on, taken + int(second["payload"][-1]), second["end_payload"][entry]),
+            "end_time": np.where(goes_on, at, second["end_time"][entry]),
+            "opened": first["opened"] + np.where(goes_on, 0, second["opened"][entry]),
         }
+        payload, times = first["payload"][:-1], first["times"]
         if len(times) == first["frames"]:
-            payload, times = np.append(payload, total + next_payload), np.append(times, next_times)
-            after = {name: np.append(values, getattr(summary, name)) for name, values in after.items()}
-        return first | {"frames": first["frames"] + summary.frames, "payload": np.append(payload, total + next_total), "times": times} | after
+            payload, times = np.append(payload, total + second["payload"][:-1]), np.append(times, second["times"])
+            after = {name: np.append(values, second[name]) for name, values in after.items()}
+        whole = {"frames": first["frames"] + second["frames"], "payload": np.append(payload, total + second["payload"][-1])}
+        return whole | {"times": times} | after
 
     return compose
 
 
-def _mark(keys: list[str], limits: BatchLimits):
-    def mark(segment: pa.Table, states: pa.Table) -> pa.Table:
-        segment = in_order(segment)
+def _mark(limits: BatchLimits):
+    def mark(segment: pa.Table, state: dict) -> tuple[dict, dict]:
         times = segment["arrival_us"].to_numpy()
+        count = len(times)
         following, payload = _next_openings(segment["size"].to_numpy(), times, limits)
-        state = states.to_pylist()[0]
         batches, first = state["batches"], 0
         if batches:
             first = _first_unfit(state["events"], state["taken"], state["opened_at"], payload, times, limits)
         opened = openings_from(following, first)
-        opening = segment.take(opened).select([*keys, SEGMENT, "seq"])
-        numbers = pa.array(batches + np.arange(len(opened)))
         # The batch that is open at the start has a mark of its own, before any row.
-        start = segment.slice(0, 1).select([*keys, SEGMENT]).append_column("seq", pa.array([None], pa.int64()))
-        return pa.concat_tables(
-            [start.append_column("batch_no", pa.array([batches - 1])), opening.append_column("batch_no", numbers)]
-        )
+        numbers = np.append(batches - 1, batches + np.arange(len(opened)))
+        marks = {"seq": [None, *segment["seq"].to_numpy()[opened].tolist()], "batch_no": numbers}
+        if not len(opened):
+            return marks, state | {"events": state["events"] + count, "taken": state["taken"] + int(payload[count])}
+        last = int(opened[-1])
+        return marks, {
+            "batches": batches + len(opened),
+            "events": count - last,
+            "taken": int(payload[count] - payload[last]) - limits.separator_bytes,
+            "opened_at": int(times[last]),
+        }
 
     return mark

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import valid_utf8
 from eventloom.operators.lift import clean_values
 from eventloom.operators.sanitize import SanitizeSpec, sanitize_metadata
+from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, rejoin, with_segment
 from eventloom.schema import REGARDING_OBJECT, STRING_MAP, reference
 
 OUTCOMES = ("hit", "miss", "undeclared", "cross_namespace", "skipped")
@@ -131,8 +132,9 @@ def project_objects(
     labels: Allowlist = Allowlist(),
     annotations: Allowlist = Allowlist(enabled=False),
     spec: SanitizeSpec = SanitizeSpec(),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Reduce objects to the metadata an event carries: keys plus one ``regardingObject`` struct."""
+    """Reduce objects to the metadata an event carries: keys plus one ``regardingObject`` struct, and the ``carry`` columns."""
     kept_labels = _allow(F.col("labels"), labels)
     kept_annotations = clean_values(_allow(F.col("annotations"), annotations))
     kept_labels, kept_annotations = sanitize_metadata(kept_labels, kept_annotations, spec)
@@ -149,6 +151,7 @@ def project_objects(
         "name",
         "uid",
         projected.cast(REGARDING_OBJECT).alias("regardingObject"),
+        *carry,
     )
 
 
@@ -173,6 +176,18 @@ def latest_objects(changes: DataFrame) -> DataFrame:
     )
 
 
+def _lookup(declared: Sequence[Kind]) -> tuple[Column, Column, Column]:
+    """Return why an event looks no object up (NULL if it does), and the group and namespace of the object it regards."""
+    group = api_group(F.col("regarding.apiVersion"))
+    namespaced = _scope(declared, group, F.col("regarding.kind"))
+    barred = (
+        F.when((F.col("regarding.kind") == "") | (F.col("regarding.name") == ""), F.lit("skipped"))
+        .when(namespaced.isNull(), F.lit("undeclared"))
+        .when(namespaced & (F.col("regarding.namespace") != F.col("namespace")), F.lit("cross_namespace"))
+    )
+    return barred, group, F.when(namespaced, F.col("regarding.namespace")).otherwise(F.lit(""))
+
+
 def enrich(
     events: DataFrame,
     objects: DataFrame,
@@ -191,13 +206,7 @@ def enrich(
     """
     if not declared:
         return events
-    group = api_group(F.col("regarding.apiVersion"))
-    namespaced = _scope(declared, group, F.col("regarding.kind"))
-    barred = (
-        F.when((F.col("regarding.kind") == "") | (F.col("regarding.name") == ""), F.lit("skipped"))
-        .when(namespaced.isNull(), F.lit("undeclared"))
-        .when(namespaced & (F.col("regarding.namespace") != F.col("namespace")), F.lit("cross_namespace"))
-    )
+    barred, group, namespace = _lookup(declared)
     spread = F.xxhash64("uid", "resourceVersion", "name")
     salt = F.when(barred.isNull(), F.pmod(spread, F.lit(hot_object_salts))).otherwise(
         F.lit(hot_object_salts) + F.pmod(spread, F.lit(_OFF_JOIN_SALTS))
@@ -207,7 +216,7 @@ def enrich(
             "_barred": barred,
             "_salt": salt.cast("int"),
             "_group": group,
-            "_namespace": F.when(namespaced, F.col("regarding.namespace")).otherwise(F.lit("")),
+            "_namespace": namespace,
         }
     )
     found = objects.select(
@@ -239,6 +248,64 @@ def enrich(
     )
 
 
+_OBJECT_KEY = ["group", "kind", "namespace", "name"]
+
+
+def enrich_as_of(
+    events: DataFrame,
+    changes: DataFrame,
+    declared: Sequence[Kind],
+    at: str = "at",
+    event_id: Sequence[str] = ("watch", "seq"),
+    span: int = SPAN,
+) -> DataFrame:
+    """Attach the metadata that the regarded object had when the event was read.
+
+    ``changes`` is a log of object states: ``at``, ``seq``, ``change``, the
+    object key and what :func:`project_objects` returns. An event meets the
+    last change of its object whose ``at`` is not after its own, among equal
+    ones that with the greatest ``seq``; a deletion leaves nothing to meet.
+    ``at`` is any ordered type, the same on both sides, and ``event_id`` names
+    columns that tell events apart, the last of them ordered.
+
+    Changes and look-ups are merged in one order and cut into segments, and the
+    last state is carried over their borders. So it is no range join, and an
+    object with a third of all events, or of all changes, spreads over as many
+    segments as it has rows for. Only the narrow look-ups are sorted; events
+    that look nothing up take no part.
+    """
+    barred, group, namespace = _lookup(declared)
+    *keys, seq = event_id
+    ids = [F.col(name).alias(f"_id_{name}") for name in event_id]
+    key = [F.col(name).alias(f"_{name}") for name in _OBJECT_KEY]
+    lookups = events.where(barred.isNull()).select(
+        group.alias("_group"),
+        F.col("regarding.kind").alias("_kind"),
+        namespace.alias("_namespace"),
+        F.col("regarding.name").alias("_name"),
+        F.struct(F.col(at).alias("at"), F.lit(1).alias("after"), F.col(seq).cast("bigint").alias("seq")).alias("_at"),
+        *ids,
+    )
+    state = F.struct((F.col("change") == "DELETED").alias("gone"), F.col("uid"), F.col("regardingObject").alias("object"))
+    states = changes.select(
+        *key, F.struct(F.col(at).alias("at"), F.lit(0).alias("after"), F.col("seq").cast("bigint").alias("seq")).alias("_at"), state.alias("_state")
+    )
+    names = [f"_{name}" for name in _OBJECT_KEY]
+    merged = with_segment(lookups.unionByName(states, allowMissingColumns=True), names, span, "_at")
+    window = in_segment(names, "_at")
+    latest = F.last("_state", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    running = merged.select("*", latest.alias("_latest"), F.lead("_at").over(window).isNull().alias("_ends"))
+    carry = running.where("_ends").select(*names, SEGMENT, F.last("_latest", ignorenulls=True).over(before(names)).alias("_carried"))
+    met = join_carry(running.where("_at.after = 1"), carry, names)
+    found = met.select(*(F.col(f"_id_{name}").alias(name) for name in event_id), F.coalesce("_latest", "_carried").alias("_met"))
+    joined = rejoin(events.drop("regardingObject"), found, keys, seq, "left")
+    same_uid = (F.col("regarding.uid") == "") | (F.col("regarding.uid") == F.col("_met.uid"))
+    hit = F.coalesce(barred.isNull() & ~F.col("_met.gone") & same_uid, F.lit(False))
+    result = F.coalesce(barred, F.when(hit, F.lit("hit")).otherwise(F.lit("miss")))
+    kept = [name for name in events.columns if name != "regardingObject"]
+    return joined.select(*kept, F.when(hit, F.col("_met.object")).alias("regardingObject"), result.alias("enrich_result"))
+
+
 def enrich_counts(enriched: DataFrame) -> DataFrame:
     """Count the events per enrichment outcome."""
     return enriched.groupBy("enrich_result").agg(F.count("*").alias("events"))

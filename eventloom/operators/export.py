@@ -20,24 +20,32 @@ _SECRET_PREFIX = "whsec_"
 _BLOCK_BYTES = 64
 
 
-def request_bodies(frames: DataFrame, fmt: str = "json-list", separator: str = "\n") -> DataFrame:
-    """Compose one body per batch from the rows ``batch_id, seq, frame``.
+def batch_lists(frames: DataFrame) -> DataFrame:
+    """Return ``(batch_id, frames, frame_list)`` of the rows ``batch_id, seq, frame``, the frames in ``seq`` order.
 
     A group is one batch, which the batch limits bound. Frames of a batch cannot
     be combined before they meet, so the rows are placed by batch first and no
     lists are built ahead of the shuffle.
     """
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "frame")))
+    return frames.repartition("batch_id").groupBy("batch_id").agg(
+        F.count("*").alias("frames"), F.transform(ordered, lambda entry: entry["frame"]).alias("frame_list")
+    )
+
+
+def body(frame_list: Column | str, fmt: str = "json-list", separator: str = "\n") -> Column:
+    """Compose the body of a batch from the list of its frames."""
     if fmt not in CONTENT_TYPES:
         raise ValueError(f"unknown body format {fmt!r}")
     joiner = {"ndjson": "\n", "template": separator}.get(fmt, ",")
     opening, closing = {"ndjson": ("", "\n"), "template": ("", "")}.get(fmt, ("[", "]"))
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "frame")))
-    joined = F.array_join(F.transform(ordered, lambda entry: entry["frame"]), joiner)
-    return frames.repartition("batch_id").groupBy("batch_id").agg(
-        F.count("*").alias("frames"),
-        F.concat(F.lit(opening), joined, F.lit(closing)).alias("body"),
-        F.lit(CONTENT_TYPES[fmt]).alias("content_type"),
-    )
+    return F.concat(F.lit(opening), F.array_join(frame_list, joiner), F.lit(closing))
+
+
+def request_bodies(frames: DataFrame, fmt: str = "json-list", separator: str = "\n") -> DataFrame:
+    """Compose one body per batch from the rows ``batch_id, seq, frame``."""
+    composed = body("frame_list", fmt, separator)
+    return batch_lists(frames).select("batch_id", "frames", composed.alias("body"), F.lit(CONTENT_TYPES[fmt]).alias("content_type"))
 
 
 def decode_secret(secret: str) -> bytes:

@@ -11,10 +11,10 @@ import datetime as dt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.chains import in_order, last_openings, openings_from, walk_segments, with_marks
+from eventloom.operators.chains import AFTER, RANGE, Scan, last_openings, openings_from, range_marks, range_states, with_marks
 from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, with_segment
 
 _GATE = ["gate"]
@@ -88,16 +88,6 @@ def with_suppressed(rows: DataFrame, span: int = SPAN, pending: DataFrame | None
     )
 
 
-_SUMMARY = (
-    f"`{SEGMENT}` bigint, rows bigint, first_key string, reset bigint, "
-    "until array<bigint>, end_key array<string>, end_at array<bigint>, end_count array<bigint>"
-)
-_STATE = "open boolean, key string, since bigint, count bigint"
-
-# Segment numbers before and after every real one.
-_FIRST, _LAST = -(1 << 62), 1 << 62
-
-
 def per_interval(
     rows: DataFrame, interval: dt.timedelta, threshold: int, span: int = SPAN, states: DataFrame | None = None
 ) -> DataFrame:
@@ -112,11 +102,8 @@ def per_interval(
     width = interval // dt.timedelta(microseconds=1)
     segmented = with_segment(rows, _GATE, span)
     narrow = _narrow(segmented)
-    marks = (
-        narrow.groupBy("gate", SEGMENT)
-        .cogroup(_walk(narrow, width, states).groupBy("gate", SEGMENT))
-        .applyInArrow(_mark(width), f"{_gate_field(rows)}, `{SEGMENT}` bigint, seq bigint, _carried bigint")
-    )
+    scan = _scan(width)
+    marks = range_marks(narrow, range_states(narrow, _GATE, scan, _given(states)), _GATE, scan)
     mixed, so_far = with_marks(segmented, marks, _GATE)
     # The rank of a row in its interval: rows up to it, less those before the opening.
     counted = mixed.withColumn("_rows", F.sum("_row").over(so_far))
@@ -133,50 +120,32 @@ def interval_states(
     """Return the interval open at each gate after the rows: ``gate, key, since, count``."""
     width = interval // dt.timedelta(microseconds=1)
     narrow = _narrow(with_segment(rows, _GATE, span))
-    gates = narrow.select("gate").distinct()
-    if states is not None:
-        gates = gates.union(states.select("gate")).distinct()
-    after = _walk(narrow, width, states, _constant(gates, F.lit(_LAST), F.lit(""), F.lit(0), F.lit(0)))
-    return after.filter(F.col(SEGMENT) == _LAST).select("gate", "key", "since", "count")
+    after = range_states(narrow, _GATE, _scan(width), _given(states)).filter(F.col(RANGE) == AFTER)
+    return after.select("gate", "key", "since", "count")
+
+
+def _given(states: DataFrame | None) -> DataFrame | None:
+    return None if states is None else states.withColumn("open", F.lit(True))
 
 
 def _narrow(segmented: DataFrame) -> DataFrame:
     return segmented.select("gate", SEGMENT, "seq", F.unix_micros("ts").alias("at"), "key")
 
 
-def _gate_field(rows: DataFrame) -> str:
-    return f"gate {rows.schema['gate'].dataType.simpleString()}"
-
-
-def _walk(narrow: DataFrame, width: int, states: DataFrame | None, *more: DataFrame) -> DataFrame:
-    """Return the interval open at the start of each segment."""
-    summaries = narrow.groupBy("gate", SEGMENT).applyInArrow(_summarise(width), f"{_gate_field(narrow)}, {_SUMMARY}")
-    if states is not None:
-        summaries = summaries.union(_constant(states, F.lit(_FIRST), F.col("key"), F.col("since"), F.col("count")))
-    for extra in more:
-        summaries = summaries.union(extra)
-    return walk_segments(summaries, _GATE, _closed, _advance(width), _compose(width), _STATE)
-
-
-def _constant(gates: DataFrame, segment: Column, key: Column, since: Column, count: Column) -> DataFrame:
-    """Return summaries of segments without rows that leave a fixed interval open."""
-    return gates.select(
-        "gate",
-        segment.cast("bigint").alias(SEGMENT),
-        F.lit(0).cast("bigint").alias("rows"),
-        F.lit(None).cast("string").alias("first_key"),
-        F.lit(0).cast("bigint").alias("reset"),
-        F.array(since.cast("bigint")).alias("until"),
-        F.array(key).alias("end_key"),
-        F.array(since.cast("bigint")).alias("end_at"),
-        F.array(count.cast("bigint")).alias("end_count"),
+def _scan(width: int) -> Scan:
+    return Scan(
+        summarise=_summarise(width),
+        compose=_compose(width),
+        advance=_advance(width),
+        mark=_mark(width),
+        start={"open": False, "key": "", "since": 0, "count": 0},
+        summary_schema="rows bigint, first_key string, reset bigint, until array<bigint>, end_key array<string>, "
+        "end_at array<bigint>, end_count array<bigint>",
+        state_schema="open boolean, key string, since bigint, count bigint",
+        mark_schema="seq bigint, _carried bigint",
     )
 
 
-def _closed() -> dict:
-    return {"open": False, "key": "", "since": 0, "count": 0}
-
-
 def _next_openings(keys: pa.Array, at: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     """Return, per row that opens an interval, the row that opens the next, and the first change of key."""
     count = len(at)
@@ -189,14 +158,13 @@ def _next_openings(keys: pa.Array, at: np.ndarray, width: int) -> tuple[np.ndarr
     return following, int(changes[0]) if len(changes) else count
 
 
-def _ordered(segment: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
-    segment = in_order(segment).combine_chunks()
-    return segment, segment["key"].combine_chunks(), segment["at"].to_numpy()
+def _columns(segment: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    return segment["key"].combine_chunks(), segment["at"].to_numpy()
 
 
 def _summarise(width: int):
-    def summarise(segment: pa.Table) -> pa.Table:
-        segment, keys, at = _ordered(segment)
+    def summarise(segment: pa.Table) -> dict:
+        keys, at = _columns(segment)
         count = len(at)
         following, reset = _next_openings(keys, at, width)
         last, _ = last_openings(following, count)
@@ -208,39 +176,35 @@ def _summarise(width: int):
             ends = np.flatnonzero(np.append(entries[1:] != entries[:-1], True))
         ends = np.unique(np.append(ends, 0))
         chosen = entries[ends]
-        return pa.table(
-            {
-                "gate": segment["gate"].slice(0, 1),
-                SEGMENT: segment[SEGMENT].slice(0, 1),
-                "rows": [count],
-                "first_key": keys.slice(0, 1),
-                "reset": [reset],
-                "until": [at[ends]],
-                "end_key": [keys.take(pa.array(chosen)).to_pylist()],
-                "end_at": [at[chosen]],
-                "end_count": [count - chosen],
-            }
-        )
+        return {
+            "rows": count,
+            "first_key": keys[0].as_py(),
+            "reset": reset,
+            "until": at[ends],
+            "end_key": np.array(keys.take(pa.array(chosen)).to_pylist(), object),
+            "end_at": at[chosen],
+            "end_count": count - chosen,
+        }
 
     return summarise
 
 
 def _advance(width: int):
-    def advance(state: dict, summary) -> dict:
-        until = np.asarray(summary.until, dtype=np.int64)
-        if not state["open"] or state["key"] != summary.first_key:
+    def advance(state: dict, run: dict) -> dict:
+        until = run["until"]
+        if not state["open"] or state["key"] != run["first_key"]:
             entry = 0
         elif width > 0 and (late := int(np.searchsorted(until, state["since"] + width, side="left"))) < len(until):
             entry = late
-        elif summary.reset < summary.rows:
+        elif run["reset"] < run["rows"]:
             entry = len(until) - 1
         else:
-            return state | {"count": state["count"] + summary.rows}
+            return state | {"count": state["count"] + run["rows"]}
         return {
             "open": True,
-            "key": summary.end_key[entry],
-            "since": int(summary.end_at[entry]),
-            "count": int(summary.end_count[entry]),
+            "key": run["end_key"][entry],
+            "since": int(run["end_at"][entry]),
+            "count": int(run["end_count"][entry]),
         }
 
     return advance
@@ -249,56 +213,45 @@ def _advance(width: int):
 def _compose(width: int):
     advance = _advance(width)
 
-    def compose(first: dict, summary) -> dict:
-        """Return the summary of two neighbouring runs of rows; where the first has one key throughout, the second's entries follow."""
-        ends = [
-            advance({"open": True, "key": key, "since": int(at), "count": int(count)}, summary)
-            for key, at, count in zip(first["end_key"], first["end_at"], first["end_count"], strict=True)
-        ]
-        until, reset = list(first["until"]), first["reset"]
+    def compose(first: dict, second: dict) -> dict:
+        """Where the first run has one key throughout, the second's entries follow the first's."""
+        states = zip(first["end_key"], first["end_at"], first["end_count"], strict=True)
+        ends = [advance({"open": True, "key": key, "since": int(at), "count": int(count)}, second) for key, at, count in states]
+        more, reset = 0, first["reset"]
         if reset == first["rows"]:
-            same = summary.first_key == first["first_key"]
-            more = len(summary.until) if same else 1  # another key opens an interval at once, with its first row
-            reset += summary.reset if same else 0
-            until += list(summary.until[:more])
-            ends += [
-                {"key": key, "since": at, "count": count}
-                for key, at, count in zip(summary.end_key[:more], summary.end_at[:more], summary.end_count[:more], strict=True)
-            ]
+            same = second["first_key"] == first["first_key"]
+            more = len(second["until"]) if same else 1  # another key opens an interval at once, with its first row
+            reset += second["reset"] if same else 0
         return first | {
-            "rows": first["rows"] + summary.rows,
+            "rows": first["rows"] + second["rows"],
             "reset": reset,
-            "until": until,
-            "end_key": [end["key"] for end in ends],
-            "end_at": [end["since"] for end in ends],
-            "end_count": [end["count"] for end in ends],
+            "until": np.append(first["until"], second["until"][:more]),
+            "end_key": np.array([end["key"] for end in ends] + list(second["end_key"][:more]), object),
+            "end_at": np.append([end["since"] for end in ends], second["end_at"][:more]).astype(np.int64),
+            "end_count": np.append([end["count"] for end in ends], second["end_count"][:more]).astype(np.int64),
         }
 
     return compose
 
 
 def _mark(width: int):
-    def mark(segment: pa.Table, states: pa.Table) -> pa.Table:
-        segment, keys, at = _ordered(segment)
-        state = states.to_pylist()[0]
-        first, carried = 0, 0
-        if len(at):
-            following, reset = _next_openings(keys, at, width)
-            if state["open"] and state["key"] == keys[0].as_py():
-                first, carried = reset, state["count"]
-                if width > 0:
-                    first = min(first, int(np.searchsorted(at, state["since"] + width, side="left")))
-            opening = segment.take(openings_from(following, first)).select(["gate", SEGMENT, "seq"])
-        else:
-            opening = segment.select(["gate", SEGMENT, "seq"])
+    def mark(segment: pa.Table, state: dict) -> tuple[dict, dict]:
+        keys, at = _columns(segment)
+        count, first, carried = len(at), 0, 0
+        following, reset = _next_openings(keys, at, width)
+        if state["open"] and state["key"] == keys[0].as_py():
+            first, carried = reset, state["count"]
+            if width > 0:
+                first = min(first, int(np.searchsorted(at, state["since"] + width, side="left")))
+        opened = openings_from(following, first)
         # The rows before the first opening go on with the interval that came in.
-        start = segment.slice(0, 1).select(["gate", SEGMENT])
-        start = start.append_column("seq", pa.nulls(len(start), pa.int64()))
-        return pa.concat_tables(
-            [
-                start.append_column("_carried", pa.array([carried] * len(start), pa.int64())),
-                opening.append_column("_carried", pa.nulls(len(opening), pa.int64())),
-            ]
-        )
+        marks = {
+            "seq": [None, *segment["seq"].to_numpy()[opened].tolist()],
+            "_carried": [carried, *[None] * len(opened)],
+        }
+        if not len(opened):
+            return marks, state | {"count": state["count"] + count}
+        last = int(opened[-1])
+        return marks, {"open": True, "key": keys[last].as_py(), "since": int(at[last]), "count": count - last}
 
     return mark

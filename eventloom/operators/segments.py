@@ -14,6 +14,8 @@ group in order sees a row per range.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +32,10 @@ WITHIN = 31
 def with_segment(rows: DataFrame, keys: Sequence[str], span: int = SPAN, seq: str = "seq") -> DataFrame:
     """Sort and write the rows, and add the number of the segment that each falls into, unless an earlier scan left it there.
 
-    Numbers ascend with the order within a group. What is above the rows is
-    computed once; every scan that follows reads the written table.
+    Numbers ascend with the order within a group. Every scan that follows reads
+    the written table. Sorting samples the rows and then shuffles them, so what
+    is above them is computed twice: hand in few columns of a written table
+    where that is dear.
     """
     if SEGMENT in rows.columns:
         return rows
@@ -67,19 +71,25 @@ def join_carry(segmented: DataFrame, carry: DataFrame, keys: Sequence[str]) -> D
     return segmented.join(carry, [*keys, SEGMENT], "left")
 
 
+def rejoin(rows: DataFrame, found: DataFrame, keys: Sequence[str], seq: str = "seq", how: str = "inner") -> DataFrame:
+    """Put what was found of narrow rows back to the whole rows; no group meets in one task."""
+    names = [*keys, seq]
+    renamed = found.withColumnsRenamed({name: f"_of_{name}" for name in names})
+    same = functools.reduce(operator.and_, (F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in names))
+    return rows.join(renamed, same, how).drop(*(f"_of_{name}" for name in names))
+
+
 def with_position(rows: DataFrame, keys: Sequence[str], name: str, span: int = SPAN, seq: str = "seq") -> DataFrame:
     """Add the 0-based position of each row in its group's order."""
-    segmented = with_segment(rows, keys, span, seq)
+    narrow = with_segment(rows.select(*keys, seq), keys, span, seq)
     earlier = F.coalesce(F.sum("_rows").over(before(keys)), F.lit(0))
     carry = (
-        segmented.groupBy(*keys, SEGMENT)
+        narrow.groupBy(*keys, SEGMENT)
         .agg(F.count("*").alias("_rows"))
-        .select(*keys, SEGMENT, earlier.alias("_offset"))
+        .select(*(F.col(key).alias(f"_of_{key}") for key in keys), F.col(SEGMENT).alias("_in"), earlier.alias("_offset"))
     )
     local: Column = F.row_number().over(in_segment(keys, seq)) - 1
-    numbered = segmented.withColumn("_local", local)
-    return (
-        join_carry(numbered, carry, keys)
-        .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_offset", "_local", SEGMENT)
-    )
+    same = functools.reduce(operator.and_, (F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys), F.col(SEGMENT) == F.col("_in"))
+    numbered = narrow.withColumn("_local", local).join(carry, same)
+    found = numbered.select(*keys, seq, (F.col("_offset") + F.col("_local")).alias(name))
+    return found if set(rows.columns) == {*keys, seq} else rejoin(rows, found, keys, seq)

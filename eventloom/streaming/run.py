@@ -10,7 +10,6 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +20,8 @@ from eventloom.operators.routing import route, route_write
 from eventloom.operators.sampling import interval_states, per_interval, with_suppressed
 from eventloom.plans.flow import EventPath
 from eventloom.plans.spec import Flow, accepted_flows
+from eventloom.operators.segments import with_segment
+from eventloom.scratch import keep, scratch
 from eventloom.session import shared_folder
 from eventloom.sources.replay import ReplayStates, positions_after, replay_states, replay_verdicts
 
@@ -71,8 +72,9 @@ def run_stream(
         states = replay_states(batch, stored, relisted if epoch == 0 else ()) if positions_folder else None
         keep = (lambda lifted: _newer(lifted, stored, states, started, max_age)) if states else None
         events = path.events(batch, F.lit(started), objects() if objects else None, keep)
-        routed = route(path.matched(events, current))
-        route_write(routed, {sink: _bound(write, epoch) for sink, write in writers.items()})
+        with scratch(spark):
+            routed = route(path.matched(events, current))
+            route_write(routed, {sink: _bound(write, epoch) for sink, write in writers.items()})
         if positions_folder:
             save_positions(spark, batch, positions_folder, epoch, states)
 
@@ -249,8 +251,9 @@ def per_interval_stream(
     def thin(batch: DataFrame, epoch: int) -> None:
         version = _latest_version(spark, folder, below=epoch)
         states = spark.read.schema(_INTERVALS).parquet(version) if version else None
-        flagged = per_interval(batch, interval, threshold, states=states).persist(StorageLevel.DISK_ONLY)
-        try:
+        with scratch(spark):
+            segmented = with_segment(batch, ["gate"])
+            flagged = keep(per_interval(segmented, interval, threshold, states=states), "flagged")
             reported = with_suppressed(flagged, pending=states)
             write(reported.drop("admitted"), epoch)
             tallied = [flagged.select("gate", F.when(F.col("admitted"), 0).otherwise(1).alias("pending"))]
@@ -258,11 +261,9 @@ def per_interval_stream(
             if states is not None:
                 tallied.append(states.select("gate", "pending"))
             pending = reduce(DataFrame.union, tallied).groupBy("gate").agg(F.sum("pending").alias("pending"))
-            after = interval_states(batch, interval, states=states).join(pending, "gate")
+            after = interval_states(segmented, interval, states=states).join(pending, "gate")
             after.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
             _prune(spark, folder, epoch)
-        finally:
-            flagged.unpersist()
 
     return (
         rows.withColumn("gate", F.col("gate").cast("string"))
