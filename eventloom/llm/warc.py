@@ -16,7 +16,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import keep, new_folder, query, table
 
 FILE_BYTES = 32 << 20
+#: Tasks of one read at most; each takes several files then.
+READERS = 20_000
 BLOCK_BYTES = 1 << 16
 #: Fixed texts of the format.
 VERSION = b"WARC/1.1"
@@ -39,10 +41,11 @@ def base32(digest: bytes) -> str:
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Return ``(id, refers_to)`` of the pages whose payload a page of larger id has too.
+    """Return ``(id, digest, size, refers_to)`` of the pages whose payload a page of larger id has too.
 
-    Only digests and sizes are shuffled. A page without an id neither refers
-    nor is referred to.
+    An id may come with several payloads; each refers on its own. Only digests
+    and sizes are shuffled. A page without an id neither refers nor is referred
+    to.
     """
     payload = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
     rows = pages.where(F.col(id_col).isNotNull()).select(
@@ -59,7 +62,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
         .drop("least"),
         "warc-shared",
     )
-    return rows.join(shared, ["digest", "size"]).where("id < refers_to").select("id", "refers_to").distinct()
+    return rows.join(shared, ["digest", "size"]).where("id < refers_to").select("id", "digest", "size", "refers_to").distinct()
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -103,7 +106,9 @@ def write_archives(
 
     A null payload is empty. A null url is left out of its record. Pages with
     a null id are written as responses with no id. Rows that share id and
-    payload are all written the same way. No rows: no files. Further columns
+    payload are all written the same way; rows that share an id alone are
+    judged each by its payload, and one may be a response and another a
+    revisit. No rows: no files. Further columns
     are ignored. ``folder`` must be one that all executors and the reader share.
     """
     rows = pages.select(
@@ -111,7 +116,10 @@ def write_archives(
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(payload_col, F.lit("")).alias("payload"),
     )
-    joined = rows.join(revisits(pages, id_col, payload_col, min_bytes), "id", "left")
+    # A page meets what is said of its own payload, whatever other payloads come with its id.
+    payload = F.encode("payload", "UTF-8")
+    named = rows.withColumns({"digest": F.unhex(F.sha1(payload)), "size": F.octet_length(payload)})
+    joined = named.join(revisits(pages, id_col, payload_col, min_bytes), ["id", "digest", "size"], "left").drop("digest", "size")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -234,7 +242,7 @@ def read_records(source: BinaryIO, with_payload: bool = False) -> Iterator[Recor
 
 
 def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Read the archives named by ``files(path)``, each from its start to its end by one task.
+    """Read the archives named by ``files(path)``, each from its start to its end by one task, which may take several.
 
     Returns ``(page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload)``; size and digest are those of the full payload, also
@@ -270,8 +278,8 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                             rows, held = [], 0
                 yield flush(rows)
 
-    one_each: Callable[[DataFrame], DataFrame] = lambda paths: paths.coalesce(1).repartition(max(1, paths.count()))
-    return one_each(files.select("path")).mapInArrow(read, schema)
+    tasks = max(1, min(READERS, files.count()))
+    return files.select("path").coalesce(1).repartition(tasks).mapInArrow(read, schema)
 
 
 @query()

@@ -175,6 +175,22 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(large).where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_ids_with_two_payloads(spark, monkeypatch):
+    """An id may come with two payloads, one shared and one of its own, or both shared; several files go to a task."""
+    monkeypatch.setattr(warc, "READERS", 2)
+    given = [(1, "A"), (1, "B"), (2, "A"), (3, "B"), (5, "only here"), (5, "A"), (6, "A"), (None, "A"), (6, "A")]
+    pages = spark.createDataFrame([(k, f"http://x/{k}", text, 1, "d") for k, text in given], PAGES).repartition(3)
+    files = warc.write_archives(pages, new_folder(spark, "warc-two"), file_bytes=1)
+    assert files.count() == len(given)
+    got = Counter((row.page_id, row.payload_digest, row.refers_to, row.payload and row.payload.decode()) for row in warc.read_archives(files, True).collect())
+    most = {"A": 6, "B": 3, "only here": 5}
+    expected = Counter()
+    for page, text in given:
+        refers = None if page in (None, most[text]) else most[text]
+        expected[page, base64.b32encode(hashlib.sha1(text.encode()).digest()).decode(), refers, None if refers else text] += 1
+    assert got == expected
+
+
 def test_warc_verifies():
     record = warc._record(1, "u", b"payload" * 9, None, "now")
     whole = zlib.compress(record, wbits=31)
