@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from eventloom.operators import batching, export
 from eventloom.operators.encode import Identity, cloudevents, gelf, json_lines, kafka_records, template, to_canonical_json
 from eventloom.operators.lift import lift
 from eventloom.operators.otlp import otlp_compact, otlp_groups, otlp_records
-from eventloom.operators.routing import match, route
+from eventloom.operators.routing import match, route, route_lines
 from eventloom.plans.spec import Flow
+from eventloom.session import shared_folder
 
 IDENTITY = Identity(cluster="prod", node="node-7", namespace="agents", pod="agent-0", version="1.2.3")
 SECRET = "whsec_MDEyMzQ1Njc4OWFiY2RlZjAxMjM0NTY3ODlhYmNkZWY="
@@ -358,3 +360,26 @@ def routed_frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sinks", batching.frame_bytes(to_canonical_json(), "jsonl").alias("size")
     )
     return route(framed).groupBy("sink").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"))
+
+
+@query(
+    f"""WITH {EV}, lines AS (
+      SELECT 'archive' AS sink, {EVENT_JSON} AS value FROM ev
+      UNION ALL SELECT 'alerts', uid || ' ' || reason FROM ev WHERE type = 'Warning'
+      UNION ALL SELECT 'pages', name FROM ev WHERE reason = 'view' AND label_k IS NOT NULL AND CAST(label_k AS INT) > 50)
+    SELECT sink, count(*) AS lines, CAST(sum(strlen(value)) AS BIGINT) AS bytes, md5(min(value)) AS first_line FROM lines GROUP BY sink"""
+)
+def routed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three sinks of different formats hold after one pass that writes all of them."""
+    flows = [
+        Flow("everything", sinks=("archive",)),
+        Flow("pages", sinks=("pages", "archive"), filters=("reason = 'view'", "int(labels['k']) > 50")),
+        Flow("warnings", sinks=("archive", "alerts"), filters=("type = 'Warning'",)),
+    ]
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    documents = {"archive": to_canonical_json(), "alerts": F.concat_ws(" ", "uid", "reason"), "pages": F.col("name")}
+    route_lines(match(canonical_events(spark, sf_dir), flows), documents, folder)
+    lines = spark.read.schema("value string, sink string").text(folder)
+    return lines.groupBy("sink").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("bytes"), F.md5(F.min("value")).alias("first_line")
+    )

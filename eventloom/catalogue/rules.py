@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.catalogue.registry import query
@@ -13,6 +13,7 @@ from eventloom.functions.fields import same_object, same_reference
 from eventloom.operators.filters import choose, exists_one, matches, verdict
 from eventloom.operators.guard import guarded
 from eventloom.operators.metrics import Metric, count_metrics, drop_counts, filter_drops
+from eventloom.operators.observe import counted, observe_outcomes, observe_verdicts
 from eventloom.operators.routing import match, route
 from eventloom.operators.routing import verdict_counts as count_verdicts
 from eventloom.operators.sanitize import SanitizeSpec, sanitize
@@ -257,6 +258,30 @@ def filter_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_counts(filter_drops(match(canonical_events(spark, sf_dir), FLOWS)))
 
 
+@query(
+    f"""{_VERDICTS} SELECT verdict AS name, flow AS subject, count(*) AS events FROM v
+    WHERE verdict IN ('matched', 'eval_error') GROUP BY 1, 2
+    UNION ALL SELECT 'routed', sink, count(DISTINCT uid) FROM (SELECT uid, unnest(CASE flow WHEN 'alerts' THEN ['webhook', 'archive']
+      WHEN 'busy' THEN ['archive', 'metrics'] WHEN 'east' THEN ['webhook', 'metrics'] ELSE ['archive'] END) AS sink
+      FROM v WHERE verdict = 'matched') GROUP BY sink"""
+)
+def observed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the rules, taken while the events are routed and counted by sink: one scan for both."""
+    observation = Observation("verdicts")
+    matched = observe_verdicts(match(canonical_events(spark, sf_dir), FLOWS), FLOWS, observation)
+    routed = route(matched).groupBy("sink").agg(F.count("*").alias("events")).collect()  # one row a sink
+    sinks = spark.createDataFrame([("routed", row["sink"], row["events"]) for row in routed], "name string, subject string, events bigint")
+    return counted(spark, observation.get).union(sinks)
+
+
+@query(f"WITH {ENR} SELECT enrich_result AS name, '' AS subject, count(*) AS events FROM enr GROUP BY 1")
+def observed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of the object look-up, counted while the enriched events are written."""
+    observation = Observation("outcomes")
+    observe_outcomes(enriched_events(spark, sf_dir), observation).write.format("noop").mode("overwrite").save()
+    return counted(spark, observation.get)
+
+
 # --- rule helpers ------------------------------------------------------------
 
 _NETS = """nets AS (

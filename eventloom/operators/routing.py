@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from eventloom.operators.filters import EVAL_ERROR, MATCHED, check_rules, verdict
 from eventloom.plans.spec import Flow
 from eventloom.schema import EVENT
+from eventloom.scratch import keep
 
 UNBOUND = "unbound"
 
@@ -60,11 +61,31 @@ def verdict_counts(matched: DataFrame) -> DataFrame:
 
 
 def route_write(routed: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]]) -> None:
-    """Hand each sink its own rows.
+    """Hand each sink its own rows; what is above them is computed once, for however many sinks.
 
-    Every writer reads the routed rows anew. Where the plan above them is
-    dear, hand in rows read from a written table, such as one partitioned by
-    ``sink``, of which each writer then reads its part only.
+    Rows for several writers are written once to the shared folder,
+    partitioned by sink, and each writer reads its partition only. Spark
+    commits that table as a whole, so that no writer sees rows of a task that
+    failed. Sinks that take lines of text can do without the table: see
+    :func:`route_lines`.
     """
+    if len(writers) > 1:
+        routed = keep(routed.filter(F.col("sink").isin(sorted(writers))), "routed", partition_by=["sink"])
     for sink, write in writers.items():
         write(routed.filter(F.col("sink") == sink).drop("sink"))
+
+
+def route_lines(matched: DataFrame, documents: Mapping[str, Column], folder: str, compression: str = "none") -> None:
+    """Write one line of text for each event and sink that it reached, all sinks in one pass.
+
+    ``documents`` holds each sink's encoding, so an event is encoded only for
+    the sinks that it reached. The lines of a sink are the text files of
+    ``folder/sink=<name>``. Spark commits the folder as a whole and replaces
+    what an earlier attempt left.
+    """
+    encoded = [
+        F.when(F.array_contains("sinks", F.lit(sink)), F.struct(F.lit(sink).alias("sink"), document.alias("value")))
+        for sink, document in sorted(documents.items())
+    ]
+    rows = matched.select(F.explode(F.array_compact(F.array(*encoded))).alias("row")).select("row.sink", "row.value")
+    rows.write.mode("overwrite").partitionBy("sink").text(folder, compression=compression)
