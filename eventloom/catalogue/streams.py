@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.catalogue.registry import query
 from eventloom.catalogue.sampling import INTERVAL_SQL
-from eventloom.catalogue.tables import DECLARED, EV, FR, KINDS, failures_of, frames_of, objects, streamed, table
+from eventloom.catalogue.tables import DECLARED, EV, FR, KINDS, failures_of, frames, frames_of, objects, streamed, table
 from eventloom.operators.batching import BatchLimits
 from eventloom.operators.enrich import declared_kinds
 from eventloom.operators.metrics import Metric
@@ -24,6 +24,7 @@ from eventloom.plans.flow import EventPath
 from eventloom.plans.spec import Flow
 from eventloom.session import shared_folder
 from eventloom.sinks.writers import counters_writer, lines_writer
+from eventloom.sources.archive import archive_frames, read_archive
 from eventloom.sources.events import Watch
 from eventloom.streaming.batches import STATE_STORE, stream_batches as open_batches
 from eventloom.streaming.run import load_positions, load_totals, per_interval_stream, run_stream
@@ -167,3 +168,21 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min("frames.seq").alias("first_seq"),
         F.array_max("frames.seq").alias("last_seq"),
     )
+
+
+@query(
+    f"""WITH {FR} SELECT watch, seq, frame_type, uid, rv AS resource_version FROM fr
+    WHERE watch <> 'team-0' OR seq > 2000"""
+)
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived frames as a stream that is stopped and goes on; one watch starts behind a position."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = frames(spark, sf_dir)
+    middle = rows.approxQuantile("seq", [0.5], 0.01)[0]
+    for some in (rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)):
+        archive_frames(some, f"{folder}/archive", file_rows=1500)
+        arriving = read_archive(spark, f"{folder}/archive", streaming=True, positions={"team-0": 2000})
+        narrow = arriving.select("watch", "seq", "frame_type", "object.uid", F.col("object.resourceVersion").alias("resource_version"))
+        sink = narrow.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
