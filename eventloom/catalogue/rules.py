@@ -13,6 +13,7 @@ from eventloom.functions.fields import same_object, same_reference
 from eventloom.operators.filters import choose, exists_one, matches, verdict
 from eventloom.operators.guard import guarded
 from eventloom.operators.metrics import Metric, count_metrics, drop_counts, filter_drops
+from eventloom.operators.networks import most_specific_network
 from eventloom.operators.observe import counted, observe_outcomes, observe_verdicts
 from eventloom.operators.routing import match, route
 from eventloom.operators.routing import verdict_counts as count_verdicts
@@ -311,6 +312,41 @@ def cidr_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fn.tag_cidr(events, "ip", networks).select("uid", "cidr", "tag")
 
 
+# Networks of every length of both families around the test addresses, as ranges of a number; IPv6 ones count their last 32 bits.
+_NESTED = """nested AS (
+  SELECT 4 AS family, lo, lo + (1::BIGINT << (32 - prefix)) - 1 AS hi, prefix, id AS tag FROM (
+    SELECT ((10 * 16777216 + s_suppkey % 150 * 65536 + s_nationkey * 256 + s_suppkey % 256) >> (32 - prefix)) << (32 - prefix) AS lo, prefix, id FROM (
+      SELECT s_suppkey, s_nationkey, 1 + s_suppkey % 32 AS prefix, 's-' || s_suppkey AS id FROM supplier))
+  UNION ALL
+  SELECT 6, lo, lo + (1::BIGINT << (128 - prefix)) - 1, prefix, id FROM (
+    SELECT ((s_suppkey % 150 * 65536 + s_nationkey * 256 + s_suppkey % 256) >> (128 - prefix)) << (128 - prefix) AS lo, prefix, id FROM (
+      SELECT s_suppkey, s_nationkey, 96 + s_suppkey % 33 AS prefix, 's-' || s_suppkey AS id FROM supplier)))"""
+
+
+@query(
+    f"""WITH {EV},{_NESTED}, asked AS (SELECT uid, CASE WHEN seq % 3 = 0 THEN 6 ELSE 4 END AS family,
+      CASE WHEN seq % 3 = 0 THEN 0 ELSE 10 * 16777216 END + user_id % 150 * 65536 + CAST(k AS INT) * 256 + seq % 256 AS address FROM ev),
+    held AS (SELECT uid, prefix, min(tag) AS tag FROM asked JOIN nested USING (family) WHERE address BETWEEN lo AND hi GROUP BY uid, prefix)
+    SELECT uid, coalesce(arg_max(held.tag, held.prefix), '') AS tag, coalesce(max(held.prefix), -1) AS prefix
+    FROM asked LEFT JOIN held USING (uid) GROUP BY uid"""
+)
+def cidr_most_specific(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most specific of nested networks of all lengths, IPv4 and IPv6."""
+    address = """concat(CASE WHEN event_id % 3 = 0 THEN '2001:db8::' ELSE '10.' END,
+      CASE WHEN event_id % 3 = 0 THEN concat(lower(hex(user_id % 150)), ':', lower(hex(int(get_json_object(props, '$.k')) * 256 + event_id % 256)))
+      ELSE concat(user_id % 150, '.', get_json_object(props, '$.k'), '.', event_id % 256) END)"""
+    asked = table(spark, sf_dir, "events").selectExpr("concat('ev-', event_id) AS uid", f"{address} AS ip")
+    suppliers = table(spark, sf_dir, "supplier")
+    four = suppliers.selectExpr("concat('10.', s_suppkey % 150, '.', s_nationkey, '.', s_suppkey % 256, '/', 1 + s_suppkey % 32) AS cidr", "concat('s-', s_suppkey) AS tag")
+    six = suppliers.selectExpr(
+        """concat('2001:db8::', lower(hex(s_suppkey % 150)), ':', lower(hex(s_nationkey * 256 + s_suppkey % 256)), '/', 96 + s_suppkey % 33) AS cidr""",
+        "concat('s-', s_suppkey) AS tag",
+    )
+    found = most_specific_network(asked, "ip", four.union(six), span=2000)
+    prefix = F.coalesce(F.substring_index("cidr", "/", -1).cast("int"), F.lit(-1))
+    return found.select("uid", F.coalesce("tag", F.lit("")).alias("tag"), prefix.alias("prefix"))
+
+
 @query(
     f"""WITH {EV} SELECT uid,
       CASE WHEN user_id % 3 <> 1 THEN CASE WHEN user_id % 3 < 1 THEN -1 ELSE 1 END
