@@ -11,6 +11,7 @@ from eventloom.catalogue.tables import ENR, EV, canonical_events, table
 from eventloom.functions import predicates as fn
 from eventloom.functions.fields import same_object, same_reference
 from eventloom.operators.filters import choose, exists_one, matches, verdict
+from eventloom.operators.flow_index import match_many
 from eventloom.operators.guard import guarded
 from eventloom.operators.metrics import Metric, count_metrics, drop_counts, filter_drops
 from eventloom.operators.networks import most_specific_network
@@ -243,6 +244,23 @@ def route_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route(match(canonical_events(spark, sf_dir), FLOWS)).select("uid", "sink")
 
 
+@query(
+    f"""WITH {EV}, flows AS (SELECT k, 'f' || k AS flow FROM range(3000) r(k)), v AS (
+      SELECT flow, CASE WHEN label_k IS NULL THEN 'eval_error' WHEN CAST(label_k AS INT) >= flows.k % 100 THEN 'matched' END AS verdict
+      FROM ev JOIN flows ON r_name = 'customer-' || flows.k WHERE flows.k % 3 <> 2 OR watch IN ('team-1', 'team-2')
+      UNION ALL SELECT 'any-' || kind, 'matched' FROM ev JOIN (VALUES ('click'), ('view')) kinds(kind) ON reason = kind)
+    SELECT flow, verdict, count(*) AS events FROM v WHERE verdict IS NOT NULL GROUP BY 1, 2"""
+)
+def many_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three thousand flows, each for one customer, found by their keys."""
+    flows = [
+        Flow(f"f{k}", (f"s{k % 7}",), (f"regarding.name = 'customer-{k}' AND int(labels['k']) >= {k % 100}",), ("team-1", "team-2") if k % 3 == 2 else None)
+        for k in range(3000)
+    ]
+    flows += [Flow(f"any-{kind}", ("kinds",), (f"reason = '{kind}'",)) for kind in ("click", "view")]
+    return count_verdicts(match_many(canonical_events(spark, sf_dir), flows))
+
+
 @query(
     f"""{_VERDICTS} SELECT flow, verdict, count(*) AS events FROM v
     WHERE verdict IN ('matched', 'eval_error') GROUP BY 1, 2"""
