@@ -186,24 +186,49 @@ _PACKED = f"""frm AS (
     FROM pack JOIN frm f USING (instance) WHERE f.rn = pack.rn + 1)"""
 
 
-@query(
-    f"""WITH RECURSIVE {EV},{_PACKED} SELECT instance, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS frames,
+_BYTES_SQL = f"""WITH RECURSIVE {EV},{_PACKED} SELECT instance, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS frames,
       CAST(sum(size) AS BIGINT) AS bytes, min(seq) AS first_seq FROM pack GROUP BY 1, 2"""
-)
-def batches_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack the JSON frames of each reporting instance by count, bytes and time at once."""
+
+
+def _packed_by_bytes(spark: SparkSession, sf_dir: str, **cut) -> DataFrame:
     frames = canonical_events(spark, sf_dir).select(
         F.col("reportingInstance").alias("instance"),
         "seq",
         batching.frame_bytes(to_canonical_json(), "json-list").alias("size"),
         F.unix_micros("eventTime").alias("arrival_us"),
     )
-    packed = batching.pack_batches(frames, ["instance"], _byte_limits())
+    packed = batching.pack_batches(frames, ["instance"], _byte_limits(), **cut)
     return packed.groupBy("instance", "batch_no").agg(
         F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.min("seq").alias("first_seq")
     )
 
 
+@query(_BYTES_SQL)
+def batches_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the JSON frames of each reporting instance by count, bytes and time at once."""
+    return _packed_by_bytes(spark, sf_dir)
+
+
+@query(_BYTES_SQL)
+def batches_over_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches from segments of 50 rows, so that they cross the borders."""
+    return _packed_by_bytes(spark, sf_dir, span=50)
+
+
+@query(
+    f"""WITH {EV},{_COUNTED} SELECT batch_id, count(*) AS frames, min(seq) AS first_seq, count(DISTINCT sha256(watch || chr(31) || 'e1' || chr(31) || split_part(batch_id, '-', 3))) AS ids,
+      min(sha256(watch || chr(31) || 'e1' || chr(31) || split_part(batch_id, '-', 3))) AS id FROM cnt GROUP BY batch_id"""
+)
+def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of batches, the same on every attempt; positions are counted over segments of 100 rows."""
+    rows = canonical_events(spark, sf_dir).select("watch", "seq")
+    packed = batching.pack_batches(rows, ["watch"], batching.BatchLimits(max_events=PER_BATCH, max_bytes=0), span=100)
+    named = packed.withColumn("id", batching.batch_id(["watch"], epoch="e1")).withColumn("batch_id", F.concat_ws("-", "watch", "batch_no"))
+    return named.groupBy("batch_id").agg(
+        F.count("*").alias("frames"), F.min("seq").alias("first_seq"), F.countDistinct("id").alias("ids"), F.min("id").alias("id")
+    )
+
+
 @query(
     """SELECT CASE WHEN strlen(text) = 0 THEN 'rejected' WHEN strlen(text) > 4000 THEN 'too_large'
       ELSE 'queued' END AS fate, count(*) AS frames, CAST(sum(strlen(text)) AS BIGINT) AS bytes

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.catalogue.registry import query
 from eventloom.catalogue.sampling import INTERVAL_SQL
-from eventloom.catalogue.tables import DECLARED, EV, FR, KINDS, failures_of, frames, frames_of, objects, streamed, table
+from eventloom.catalogue.tables import DECLARED, EV, FAIL, FR, KINDS, failures_of, frames, frames_of, objects, streamed, table
 from eventloom.operators.batching import BatchLimits
 from eventloom.operators.enrich import declared_kinds
 from eventloom.operators.metrics import Metric
@@ -27,7 +28,7 @@ from eventloom.sinks.writers import counters_writer, lines_writer
 from eventloom.sources.archive import archive_frames, read_archive
 from eventloom.sources.events import Watch
 from eventloom.streaming.batches import STATE_STORE, stream_batches as open_batches
-from eventloom.streaming.run import load_positions, load_totals, per_interval_stream, run_stream
+from eventloom.streaming.run import first_seen_stream, load_positions, load_totals, on_change_stream, per_interval_stream, run_stream
 
 _DELIVERED = f"""{FR}, ev AS (
   SELECT watch, seq, uid, event_type, user_id, event_id FROM fr JOIN events ON event_id = seq
@@ -91,26 +92,56 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.filter("resource_version <> ''").select("watch", "resource_version")
 
 
-@query(f"""{INTERVAL_SQL} SELECT gate, seq, key,
-      rn - coalesce(lag(rn) OVER (PARTITION BY gate ORDER BY seq), 0) - 1 AS suppressed FROM w WHERE admitted""")
-def stream_per_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _thinned(spark: SparkSession, sf_dir: str, start: Callable[..., StreamingQuery], *limits) -> DataFrame:
+    """Run a gate over the failures in four micro-batches, and return what it wrote."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    quarters = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([float("-inf"), *quarters], [*quarters, float("inf")]):
+        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
 
     def write(admitted: DataFrame, epoch: int) -> None:
         admitted.write.mode("overwrite").parquet(f"{folder}/admitted/epoch={epoch}")
 
-    per_interval_stream(
-        failures_of(streamed(spark, sf_dir, "events")),
-        dt.timedelta(hours=1),
-        2,
-        write,
-        folder=f"{folder}/gates",
-        checkpoint=f"{folder}/checkpoint",
-        trigger={"availableNow": True},
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    start(
+        failures_of(arriving), *limits, write, folder=f"{folder}/gates", checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True}
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/admitted").select("gate", "seq", "key", "suppressed")
 
 
+@query(
+    f"""{INTERVAL_SQL} SELECT gate, seq, key,
+      rn - coalesce(lag(rn) OVER (PARTITION BY gate ORDER BY seq), 0) - 1 AS suppressed FROM w WHERE admitted"""
+)
+def stream_per_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two records of a kind per hour and gate, over four micro-batches."""
+    return _thinned(spark, sf_dir, per_interval_stream, dt.timedelta(hours=1), 2)
+
+
+_NUMBERED = f"""WITH {FAIL}, n AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY seq) AS rn,
+  key IS DISTINCT FROM lag(key) OVER (PARTITION BY gate ORDER BY seq) AS changed,
+  row_number() OVER (PARTITION BY gate, key ORDER BY seq) = 1 AS first FROM fail)"""
+
+
+@query(
+    f"""{_NUMBERED} SELECT gate, seq, key, rn - coalesce(lag(rn) OVER (PARTITION BY gate ORDER BY seq), 0) - 1 AS suppressed
+    FROM n WHERE changed"""
+)
+def stream_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of key with what was withheld before them, over four micro-batches."""
+    return _thinned(spark, sf_dir, on_change_stream)
+
+
+@query(
+    f"""{_NUMBERED}, f AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY seq) AS place FROM n WHERE first)
+    SELECT gate, seq, key, rn - coalesce(lag(rn) OVER (PARTITION BY gate ORDER BY seq), 0) - 1 AS suppressed FROM f WHERE place <= 3"""
+)
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three kinds of each gate with what was withheld before them, over four micro-batches."""
+    return _thinned(spark, sf_dir, first_seen_stream, 3)
+
+
 def _until_read(stream: StreamingQuery, rows: int) -> None:
     """Wait until a stream that never idles has taken in so many rows and written what they gave, then stop it."""
     try:

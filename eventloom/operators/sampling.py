@@ -7,6 +7,7 @@ Gates may be hot, so every scan works on bounded segments (see
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,15 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.chains import AFTER, RANGE, Scan, last_openings, openings_from, range_marks, range_states, with_marks
 from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, with_segment
+from eventloom.scratch import keep
 
 _GATE = ["gate"]
 
 
-def on_change(rows: DataFrame, span: int = SPAN, keep_segment: bool = False) -> DataFrame:
+def on_change(rows: DataFrame, span: int = SPAN, keep_segment: bool = False, states: DataFrame | None = None) -> DataFrame:
     """Add ``admitted``: whether the key differs from the gate's previous one.
 
-    With ``keep_segment`` the rows stay cut as they are, so that
+    ``states`` holds ``gate, key``: the last key before these rows. With ``keep_segment`` the rows stay cut as they are, so that
     :func:`with_suppressed` on top needs no shuffle of its own.
     """
     segmented = with_segment(rows, _GATE, span)
@@ -32,22 +34,33 @@ def on_change(rows: DataFrame, span: int = SPAN, keep_segment: bool = False) ->
     last = segmented.select("gate", SEGMENT, "key", F.lead("seq").over(window).alias("_next")).where("_next is null")
     carry = last.select("gate", SEGMENT, F.last("key").over(before(_GATE)).alias("_carried"), F.lit(True).alias("_any"))
     joined = join_carry(numbered.withColumn("_first", F.row_number().over(window) == 1), carry, _GATE)
+    if states is not None:
+        earlier = states.select(F.col("gate").alias("_of"), F.col("key").alias("_earlier")).distinct()
+        joined = joined.join(earlier, F.col("gate").eqNullSafe(F.col("_of")), "left").drop("_of")
+        joined = joined.withColumn("_carried", F.coalesce("_carried", "_earlier")).drop("_earlier")
     previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_previous"))
     flagged = joined.withColumn("admitted", ~F.col("key").eqNullSafe(previous))
     return flagged.drop("_previous", "_carried", "_any", "_first", *([] if keep_segment else [SEGMENT]))
 
 
-def first_seen(rows: DataFrame, limit: int) -> DataFrame:
+def first_seen(rows: DataFrame, limit: int, states: DataFrame | None = None) -> DataFrame:
     """Add ``admitted``: the first row of each distinct key, for the gate's first ``limit`` keys.
 
     The keys' first rows come from one partial aggregation. Spark prunes the
-    ranking to ``limit`` per gate before shuffling it.
+    ranking to ``limit`` per gate before shuffling it. ``states`` holds ``gate,
+    key``: the keys that earlier rows were admitted with, at most ``limit`` a gate.
     """
     firsts = rows.groupBy("gate", "key").agg(F.min("seq").alias("seq"))
+    known = F.lit(0)
+    if states is not None:
+        seen = states.select("gate", "key").distinct()
+        firsts = firsts.join(seen, ["gate", "key"], "left_anti").join(seen.groupBy("gate").agg(F.count("*").alias("_known")), "gate", "left")
+        known = F.coalesce("_known", F.lit(0))
     rank = F.row_number().over(Window.partitionBy("gate").orderBy("seq"))
     admitted = (
         firsts.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= limit)
+        .filter(F.col("_rank") <= limit)  # what Spark prunes by
+        .filter(F.col("_rank") + known <= limit)
         .select("gate", "seq", F.lit(True).alias("_admitted"))
     )
     return (
@@ -88,6 +101,43 @@ def with_suppressed(rows: DataFrame, span: int = SPAN, pending: DataFrame | None
     )
 
 
+def with_runs(rows: DataFrame, span: int = SPAN, recovered: str = "recovered") -> DataFrame:
+    """Add ``run``: how often the gate had recovered before the row."""
+    segmented = with_segment(rows, _GATE, span)
+    ended = F.coalesce(F.col(recovered), F.lit(False)).cast("bigint")
+    window = in_segment(_GATE)
+    counted = segmented.withColumn("_run", F.coalesce(F.sum(ended).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = segmented.groupBy("gate", SEGMENT).agg(F.sum(ended).alias("_ended"))
+    carry = totals.select("gate", SEGMENT, F.coalesce(F.sum("_ended").over(before(_GATE)), F.lit(0)).alias("_runs"))
+    return join_carry(counted, carry, _GATE).withColumn("run", F.col("_run") + F.col("_runs")).drop("_run", "_runs", SEGMENT)
+
+
+def until_recovered(
+    rows: DataFrame, thin: Callable[[DataFrame], DataFrame], span: int = SPAN, recovered: str = "recovered"
+) -> DataFrame:
+    """Thin failures run by run, where rows with ``recovered`` end the runs.
+
+    A recovery starts the gate afresh: the next failure is admitted like a
+    first one, also with a key that a first-seen gate knows. It is reported
+    itself, with what was withheld since the last admission, unless nothing
+    had failed since the recovery before.
+
+    ``thin`` is one of this module's operators. Returns the admitted rows and
+    the reported recoveries, with ``run`` and ``suppressed``.
+    """
+    numbered = keep(with_runs(rows, span, recovered), "runs")
+    ends = F.coalesce(F.col(recovered), F.lit(False))
+    # Every run is a gate of its own.
+    gate = F.struct("gate", "run")
+    failures = numbered.where(~ends).withColumns({"_gate": F.col("gate"), "gate": F.concat_ws("\u001f", F.col("gate").cast("string"), F.col("run").cast("string"))})
+    flagged = keep(thin(failures), "thinned")
+    reported = with_suppressed(flagged, span).drop("gate", "admitted").withColumnRenamed("_gate", "gate")
+    tally = flagged.select(F.struct(F.col("_gate").alias("gate"), "run").alias("of"), F.when(F.col("admitted"), 0).otherwise(1).alias("pending"))
+    pending = tally.union(reported.select(gate, -F.col("suppressed"))).groupBy("of").agg(F.sum("pending").alias("suppressed"))
+    recoveries = numbered.where(ends).join(pending, F.struct("gate", "run").eqNullSafe(F.col("of"))).drop("of")
+    return reported.select(*recoveries.columns).union(recoveries)
+
+
 def per_interval(
     rows: DataFrame, interval: dt.timedelta, threshold: int, span: int = SPAN, states: DataFrame | None = None
 ) -> DataFrame:

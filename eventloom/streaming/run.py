@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom.operators.filters import check_rules
 from eventloom.operators.metrics import Metric, check_metrics, series, valid_values
 from eventloom.operators.routing import route, route_write
-from eventloom.operators.sampling import interval_states, per_interval, with_suppressed
+from eventloom.operators.sampling import first_seen, interval_states, on_change, per_interval, with_suppressed
 from eventloom.plans.flow import EventPath
 from eventloom.plans.spec import Flow, accepted_flows
 from eventloom.operators.segments import with_segment
@@ -227,48 +227,103 @@ def load_totals(spark: SparkSession, folder: str, below: int | None = None) -> D
 
 # --- rate-limited records ----------------------------------------------------
 
-_INTERVALS = "gate string, key string, since bigint, count bigint, pending bigint"
+_GATES = "gate string, key string, since bigint, count bigint, pending bigint"
 
+#: Thin a batch, given the states before it; and the states after it.
+Thin = Callable[[DataFrame, DataFrame | None], DataFrame]
 
-def per_interval_stream(
+
+def _gate_stream(
     rows: DataFrame,
-    interval: dt.timedelta,
-    threshold: int,
+    thin: Thin,
+    after: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame],
     write: Writer,
     folder: str,
     checkpoint: str,
-    trigger: Mapping[str, object] | None = None,
+    trigger: Mapping[str, object] | None,
 ) -> StreamingQuery:
     """Thin a stream of records ``gate, seq, ts, key`` and hand on the admitted ones with ``suppressed``.
 
     Each micro-batch runs the batch operators, so that a hot gate is spread
-    over tasks here too. What a gate carries on is one row of a state table in
-    ``folder``, with a version per epoch; an epoch run again starts from the
+    over tasks here too. What a gate carries on are a few rows of a state table
+    in ``folder``, with a version per epoch; an epoch run again starts from the
     same earlier version.
     """
     spark = rows.sparkSession
 
-    def thin(batch: DataFrame, epoch: int) -> None:
+    def step(batch: DataFrame, epoch: int) -> None:
         version = _latest_version(spark, folder, below=epoch)
-        states = spark.read.schema(_INTERVALS).parquet(version) if version else None
+        states = spark.read.schema(_GATES).parquet(version) if version else None
         with scratch(spark):
             segmented = with_segment(batch, ["gate"])
-            flagged = keep(per_interval(segmented, interval, threshold, states=states), "flagged")
-            reported = with_suppressed(flagged, pending=states)
+            flagged = keep(thin(segmented, states), "flagged")
+            waiting = None if states is None else states.select("gate", "pending").distinct()
+            reported = with_suppressed(flagged, pending=waiting)
             write(reported.drop("admitted"), epoch)
             tallied = [flagged.select("gate", F.when(F.col("admitted"), 0).otherwise(1).alias("pending"))]
             tallied.append(reported.select("gate", -F.col("suppressed")))
-            if states is not None:
-                tallied.append(states.select("gate", "pending"))
+            if waiting is not None:
+                tallied.append(waiting)
             pending = reduce(DataFrame.union, tallied).groupBy("gate").agg(F.sum("pending").alias("pending"))
-            after = interval_states(segmented, interval, states=states).join(pending, "gate")
-            after.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+            found = after(segmented, flagged, states).join(pending, "gate")
+            found.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
             _prune(spark, folder, epoch)
 
     return (
         rows.withColumn("gate", F.col("gate").cast("string"))
-        .writeStream.foreachBatch(thin)
+        .writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()
     )
+
+
+def per_interval_stream(
+    rows: DataFrame,
+    interval: dt.timedelta,
+    threshold: int,
+    write: Writer,
+    folder: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] | None = None,
+) -> StreamingQuery:
+    """Admit up to ``threshold`` rows of a key per interval, on a stream; see :func:`per_interval`."""
+
+    def after(batch: DataFrame, _: DataFrame, states: DataFrame | None) -> DataFrame:
+        return interval_states(batch, interval, states=states)
+
+    return _gate_stream(
+        rows, lambda batch, states: per_interval(batch, interval, threshold, states=states), after, write, folder, checkpoint, trigger
+    )
+
+
+def _key_states(rows: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return rows.select("gate", "key", zero.alias("since"), zero.alias("count"))
+
+
+def on_change_stream(
+    rows: DataFrame, write: Writer, folder: str, checkpoint: str, trigger: Mapping[str, object] | None = None
+) -> StreamingQuery:
+    """Admit the rows whose key differs from the gate's previous one, on a stream; a gate carries its last key on."""
+
+    def after(batch: DataFrame, _: DataFrame, states: DataFrame | None) -> DataFrame:
+        last = batch.groupBy("gate").agg(F.max("seq").alias("seq"))
+        newest = batch.join(last, ["gate", "seq"])
+        if states is not None:
+            newest = newest.select("gate", "key").union(states.join(last, "gate", "left_anti").select("gate", "key"))
+        return _key_states(newest)
+
+    return _gate_stream(rows, lambda batch, states: on_change(batch, states=states), after, write, folder, checkpoint, trigger)
+
+
+def first_seen_stream(
+    rows: DataFrame, limit: int, write: Writer, folder: str, checkpoint: str, trigger: Mapping[str, object] | None = None
+) -> StreamingQuery:
+    """Admit the first row of each gate's first ``limit`` distinct keys, on a stream; a gate carries on which those are."""
+
+    def after(_: DataFrame, flagged: DataFrame, states: DataFrame | None) -> DataFrame:
+        seen = flagged.where("admitted").select("gate", "key")
+        return _key_states(seen if states is None else seen.union(states.select("gate", "key")))
+
+    return _gate_stream(rows, lambda batch, states: first_seen(batch, limit, states), after, write, folder, checkpoint, trigger)
