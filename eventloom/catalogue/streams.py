@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.catalogue.registry import query
 from eventloom.catalogue.sampling import INTERVAL_SQL
-from eventloom.catalogue.tables import DECLARED, EV, FAIL, FR, KINDS, failures_of, frames, frames_of, objects, streamed, table
+from eventloom.catalogue.tables import DECLARED, EV, FAIL, FR, KINDS, canonical_events, failures_of, frames, frames_of, objects, streamed, table
 from eventloom.operators.batching import BatchLimits
 from eventloom.operators.enrich import declared_kinds
 from eventloom.operators.metrics import Metric
@@ -28,6 +28,7 @@ from eventloom.sinks.writers import counters_writer, lines_writer
 from eventloom.sources.archive import archive_frames, read_archive
 from eventloom.sources.events import Watch
 from eventloom.streaming.batches import STATE_STORE, stream_batches as open_batches
+from eventloom.streaming.counters import last_totals, running_totals
 from eventloom.streaming.run import first_seen_stream, load_positions, load_totals, on_change_stream, per_interval_stream, run_stream
 
 _DELIVERED = f"""{FR}, ev AS (
@@ -217,3 +218,34 @@ def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         sink = narrow.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
         sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    f"""WITH {EV}, occ AS (
+      SELECT seq, 0 AS metric, [namespace, reason] AS labels FROM ev UNION ALL SELECT seq, 1, [r_kind] FROM ev),
+    ser AS (SELECT metric, labels, count(*) AS value, min(seq) AS first_seq FROM occ GROUP BY ALL),
+    adm AS (SELECT *, row_number() OVER (ORDER BY first_seq, metric) <= 14 AS admitted FROM ser)
+    SELECT metric, array_to_string(labels, '/') AS labels, value, false AS refused FROM adm WHERE admitted
+    UNION ALL SELECT metric, '', CAST(sum(value) AS BIGINT), true FROM adm WHERE NOT admitted GROUP BY metric"""
+)
+def stream_counters_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the first 14 series over four micro-batches, and what was refused of each metric."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = canonical_events(spark, sf_dir)
+    quarters = events.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([float("-inf"), *quarters], [*quarters, float("inf")]):
+        events.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    metrics = [Metric("reasons", labels={"a_namespace": "namespace", "b_reason": "reason"}), Metric("kinds", labels={"kind": "regarding.kind"})]
+
+    def write(totals: DataFrame, epoch: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        stream = running_totals(arriving, metrics, 14).writeStream.outputMode("update").foreachBatch(write)
+        stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    totals = last_totals(spark.read.parquet(f"{folder}/out"))
+    return totals.select(F.col("metric_index").alias("metric"), F.array_join("label_values", "/").alias("labels"), "value", "refused")
