@@ -265,3 +265,25 @@ def enrich_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "uid", "enrich_result", field("regardingObject.labels.priority").alias("priority"), field("regardingObject.labels.version").alias("version")
     )
+
+
+@query(
+    f"""WITH {EV},{OBJ}, hot AS (SELECT uid, seq % 10 < 3 AS is_hot, CASE WHEN seq % 10 < 3 THEN 'team-1' ELSE namespace END AS ns,
+        CASE WHEN seq % 10 < 3 THEN 'Customer' ELSE r_kind END AS kind, CASE WHEN seq % 10 < 3 THEN 'team-1' ELSE r_namespace END AS r_ns,
+        CASE WHEN seq % 10 < 3 THEN 'customer-1' ELSE r_name END AS name, CASE WHEN seq % 10 < 3 THEN '' ELSE r_uid END AS r_uid FROM ev)
+    SELECT uid, CASE WHEN kind = '' THEN 'skipped' WHEN kind = 'Order' THEN 'undeclared' WHEN r_ns <> ns THEN 'cross_namespace'
+        WHEN o_uid IS NULL OR (r_uid <> '' AND o_uid <> r_uid) THEN 'miss' ELSE 'hit' END AS enrich_result,
+      CASE WHEN kind NOT IN ('', 'Order') AND r_ns = ns AND (r_uid = '' OR o_uid = r_uid) THEN coalesce(segment, '') ELSE '' END AS segment
+    FROM hot LEFT JOIN obj ON o_namespace = r_ns AND o_name = name"""
+)
+def enrich_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tenths of the events regard one customer, which is found and spread."""
+    hot = F.col("seq") % 10 < 3
+    regarding = F.col("regarding").withField("kind", F.lit("Customer")).withField("namespace", F.lit("team-1"))
+    regarding = regarding.withField("name", F.lit("customer-1")).withField("uid", F.lit(""))
+    events = canonical_events(spark, sf_dir).withColumns(
+        {"namespace": F.when(hot, F.lit("team-1")).otherwise(F.col("namespace")), "regarding": F.when(hot, regarding).otherwise(F.col("regarding"))}
+    )
+    projected = enrichment.unique_objects(enrichment.project_objects(objects(spark, sf_dir), KINDS))
+    found = enrichment.enrich_spread(events, projected, enrichment.declared_kinds(KINDS, DECLARED))
+    return found.select("uid", "enrich_result", field("regardingObject.labels.segment").alias("segment"))

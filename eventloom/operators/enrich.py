@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,10 @@ OUTCOMES = ("hit", "miss", "undeclared", "cross_namespace", "skipped")
 
 _OFF_JOIN_SALTS = 1024
 
+_OBJECT_KEY = ["group", "kind", "namespace", "name"]
+#: Objects that are spread at most; any other has less than its inverse of all look-ups.
+MOST_HOT = 10_000
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -192,7 +197,7 @@ def enrich(
     events: DataFrame,
     objects: DataFrame,
     declared: Sequence[Kind],
-    hot_object_salts: int = 1,
+    hot_object_salts: int | Mapping[int, int] = 1,
 ) -> DataFrame:
     """Attach ``regardingObject`` and ``enrich_result`` to each event.
 
@@ -201,32 +206,39 @@ def enrich(
     join: Spark broadcasts the objects when their measured size allows, and
     shuffles both sides otherwise. Events that look nothing up never share a
     key with an object and are spread over salts of their own. With
-    ``hot_object_salts`` above one the objects are replicated that often, and
-    the events of a much-regarded object spread over as many tasks.
+    ``hot_object_salts`` above one all objects are replicated that often, and
+    the events of a much-regarded object spread over as many tasks; a mapping
+    of :func:`object_salts` does so for the objects that need it only, see
+    :func:`enrich_spread`.
     """
     if not declared:
         return events
     barred, group, namespace = _lookup(declared)
     spread = F.xxhash64("uid", "resourceVersion", "name")
-    salt = F.when(barred.isNull(), F.pmod(spread, F.lit(hot_object_salts))).otherwise(
-        F.lit(hot_object_salts) + F.pmod(spread, F.lit(_OFF_JOIN_SALTS))
-    )
-    keyed = events.drop("regardingObject").withColumns(
-        {
-            "_barred": barred,
-            "_salt": salt.cast("int"),
-            "_group": group,
-            "_namespace": namespace,
-        }
-    )
-    found = objects.select(
+    keyed = events.drop("regardingObject").withColumns({"_barred": barred, "_group": group, "_namespace": namespace})
+    salted = objects
+    if isinstance(hot_object_salts, Mapping):
+        # At most MOST_HOT rows, see object_salts.
+        rows = list(hot_object_salts.items()) or [(0, 1)]
+        salts = F.broadcast(events.sparkSession.createDataFrame(rows, "_object bigint, _salts int"))
+        named = _object_hash(F.col("_group"), F.col("regarding.kind"), F.col("_namespace"), F.col("regarding.name"))
+        keyed = keyed.withColumn("_object", named).join(salts, "_object", "left").drop("_object")
+        named = _object_hash(*(F.col(name) for name in _OBJECT_KEY))
+        salted = objects.withColumn("_object", named).join(salts, "_object", "left").drop("_object")
+        many = F.coalesce("_salts", F.lit(1))
+    else:
+        many = F.lit(hot_object_salts)
+    off_join = F.lit(1 << 20) + F.pmod(spread, F.lit(_OFF_JOIN_SALTS))
+    salt = F.when(F.col("_barred").isNull(), F.pmod(spread, many)).otherwise(off_join)
+    keyed = keyed.withColumn("_salt", salt.cast("int"))
+    found = salted.select(
         F.col("group").alias("_group"),
         F.col("kind").alias("_kind"),
         F.col("namespace").alias("_namespace"),
         F.col("name").alias("_name"),
         F.col("uid").alias("_uid"),
         F.col("regardingObject").alias("_found"),
-        F.explode(F.sequence(F.lit(0), F.lit(hot_object_salts - 1))).alias("_salt"),
+        F.explode(F.sequence(F.lit(0), many - 1)).alias("_salt"),
     )
     joined = keyed.join(
         found,
@@ -240,7 +252,7 @@ def enrich(
     same_uid = (F.col("regarding.uid") == "") | (F.col("regarding.uid") == F.col("_uid"))
     hit = F.col("_barred").isNull() & F.col("_found").isNotNull() & same_uid
     result = F.coalesce(F.col("_barred"), F.when(hit, F.lit("hit")).otherwise(F.lit("miss")))
-    kept = [events[name] for name in events.columns if name != "regardingObject"]
+    kept = [keyed[name] for name in events.columns if name != "regardingObject"]
     return joined.select(
         *kept,
         F.when(hit, F.col("_found")).alias("regardingObject"),
@@ -248,7 +260,39 @@ def enrich(
     )
 
 
-_OBJECT_KEY = ["group", "kind", "namespace", "name"]
+def _object_hash(group: Column, kind: Column, namespace: Column, name: Column) -> Column:
+    return F.xxhash64(group, kind, namespace, name)
+
+
+def object_salts(events: DataFrame, declared: Sequence[Kind], tasks: int | None = None) -> dict[int, int]:
+    """Find the objects that many events regard, and over how many tasks each has to spread.
+
+    One pass keeps a summary of frequent look-ups, of bounded size and merged
+    over tasks by Spark; it reads nothing of an event but what names its
+    object. An object with more than half of what one of ``tasks`` (by default
+    the shuffle partitions) takes on average is spread so that each part has
+    less. At most ``MOST_HOT`` objects come to the driver.
+    """
+    spark = events.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    barred, group, namespace = _lookup(declared)
+    looked_up = events.where(barred.isNull()).select(
+        _object_hash(group, F.col("regarding.kind"), namespace, F.col("regarding.name")).alias("object")
+    )
+    most = min(MOST_HOT, 2 * tasks)
+    found = looked_up.agg(F.expr(f"approx_top_k(object, {most}, {10 * most})").alias("top"), F.count("*").alias("all")).first()
+    part = max(found["all"] / tasks / 2, 1)
+    return {row["item"]: math.ceil(row["count"] / part) for row in found["top"] or [] if row["count"] > part}
+
+
+def enrich_spread(events: DataFrame, objects: DataFrame, declared: Sequence[Kind]) -> DataFrame:
+    """Attach objects like :func:`enrich`, with the events of much-regarded objects spread over tasks.
+
+    For objects too large to broadcast. Which objects are hot is found in a
+    pass of its own over the events, so hand in a written table where what is
+    above them is dear.
+    """
+    return enrich(events, objects, declared, object_salts(events, declared)) if declared else events
 
 
 def enrich_as_of(

@@ -67,3 +67,45 @@ def test_no_changes_and_no_events(spark, events):
     one = events(event(uid="1", namespace="a", regarding=ref(kind="Pod", namespace="a", name="p", apiVersion="v1"))).withColumns({"at": F.lit(1), "seq": F.lit(1), "watch": F.lit("w")})
     assert [row.enrich_result for row in enrichment.enrich_as_of(one, none, declared).collect()] == ["miss"]
     assert enrichment.enrich_as_of(one.limit(0), none, declared).count() == 0
+
+
+def test_hot_objects_are_found_and_spread(spark, events):
+    """Three tenths of the events on one object: no task has three times what the median one has."""
+    declared = enrichment.declared_kinds(KINDS, ["pods"])
+    made = spark.range(20_000).select(
+        F.concat(F.lit("e"), "id").alias("uid"),
+        F.lit("").alias("resourceVersion"),
+        F.col("id").cast("string").alias("name"),
+        F.lit("a").alias("namespace"),
+        F.struct(
+            F.lit("Pod").alias("kind"),
+            F.lit("a").alias("namespace"),
+            F.when(F.col("id") % 10 < 3, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 3000)).alias("name"),
+            F.lit("").alias("uid"),
+            F.lit("v1").alias("apiVersion"),
+        ).alias("regarding"),
+        F.lit(None).cast(EVENT["regardingObject"].dataType).alias("regardingObject"),
+    )
+    names = [("ADDED", "hot")] + [("ADDED", f"p{k}") for k in range(0, 3000, 2)]
+    objects = log(spark, [(0, k, change, name, f"u{k}", f"v{k}") for k, (change, name) in enumerate(names)]).drop("at", "seq", "change")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        salts = enrichment.object_salts(made, declared)
+        assert len(salts) < 10 and max(salts.values()) >= 8
+        found = enrichment.enrich_spread(made, objects, declared)
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        sizes = sorted(row["count"] for row in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+        plain = enrichment.enrich(made, objects, declared)
+        columns = ["uid", "enrich_result", F.col("regardingObject.labels")["version"].alias("v")]
+        assert {tuple(r) for r in found.select(*columns).collect()} == {tuple(r) for r in plain.select(*columns).collect()}
+        assert found.count() == 20_000
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    none = enrichment.enrich_spread(made.limit(0), objects, declared)
+    assert none.count() == 0
