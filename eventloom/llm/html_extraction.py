@@ -45,6 +45,8 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words from either end of a block within which a hint stands at that end.
+EDGE = 6
 HINTS = re.compile(
     r"\b(cookies?|subscribe|newsletter|advertisement|sponsored|advert|comments?|reply|replies|share|follow|log in|sign up|sign in|"
     r"register|privacy|terms|copyright|all rights reserved|related|read more|menu|search|submit|e-?mail)\b|©",
@@ -168,8 +170,24 @@ def _text_features(block: Block) -> list[str]:
     words = text.count(" ") + 1
     out = [f"words:{min(6, words.bit_length())}", f"links:{round(2 * block.links)}"]
     out.append("ends:sentence" if text[-1] in ".!?…\"'”’)" else "ends:open")
-    out.extend({f"hint:{m[0].lower()}" for m in HINTS.finditer(text[:400])})
-    return out
+    # A word that hints at clutter says less the more words stand around it, and most at an end of its block.
+    around = min(3, (words // 16).bit_length())
+    head, tail = len(text), -1
+    if words > EDGE:
+        head = tail = 0
+        for _ in range(EDGE):
+            head = text.find(" ", head) + 1
+        tail = len(text)
+        for _ in range(EDGE):
+            tail = text.rfind(" ", 0, tail)
+    for m in HINTS.finditer(text):
+        hint = m[0].lower()
+        out.append(f"hint:{around}:{hint}")
+        if m.start() < head:
+            out.append(f"first:{hint}")
+        if m.end() > tail:
+            out.append(f"last:{hint}")
+    return sorted(set(out))
 
 
 class Field:

@@ -23,13 +23,13 @@ CLUTTER = {
     "share": ("share social follow tags meta toolbar".split(), ["div", "ul"]),
 }
 LINES = {
-    "advert": ["Advertisement", "Sponsored", "{s}", "{s} {s}"],
+    "advert": ["Advertisement", "Sponsored", "{s}", "{s} {s}", "Advertisement {p}", "{p} Sponsored"],
     "menu": ["{w}", "{w} {w}", "{w}"],
     "header": ["{w} {w}", "{s}", "{w}"],
     "footer": ["© {w}", "© {w}. All rights reserved.", "Privacy Terms {w}", "© {w} · {s}", "{s}", "{s} {s}"],
     "sidebar": ["Related", "{w} {w} {w}", "{s}", "Read more"],
-    "notice": ["We use cookies. {s}", "Subscribe to our newsletter", "{s}", "{s} {s}"],
-    "comments": ["Comments", "{w} {w}", "{s}", "{s} {s}", "Reply"],
+    "notice": ["We use cookies. {s}", "Subscribe to our newsletter", "{s}", "{s} {s}", "{p} Subscribe to our newsletter.", "We use cookies. {p}"],
+    "comments": ["Comments", "{w} {w}", "{s}", "{s} {s}", "Reply", "{p} Reply", "{p} Reply to this comment.", "{p} Share"],
     "form": ["E-mail", "Search", "Submit", "{w}", "{s}"],
     "share": ["Share", "Follow {w}", "{w}", "{w}"],
 }
@@ -48,6 +48,16 @@ class _Page:
         words = [self.word() for _ in range(self.random.randint(least, most))]
         return " ".join(words).capitalize() + self.random.choice("....!?")
 
+    def paragraph(self, least: int = 2, most: int = 20) -> str:
+        """Several sentences, as long as those of an article."""
+        return " ".join(self.sentence(4, 14) for _ in range(self.random.randint(least, most)))
+
+    def hinting(self) -> str:
+        """An article's paragraph that has a word of clutter somewhere inside."""
+        word = self.random.choice(["reply", "comment", "share", "subscribe", "cookie", "follow", "search", "terms", "privacy", "related", "menu"])
+        middle = f"{self.word().capitalize()} {self.word()} {word} {self.word()} {self.word()}."
+        return f"{self.paragraph(1, 8)} {middle} {self.paragraph(1, 8)}"
+
     def fresh(self, make) -> str:
         """A text that this page does not have yet, so that it can be told by its words."""
         while (text := make()) in self.used:
@@ -61,8 +71,10 @@ class _Page:
                 lambda: " ".join(self.sentence() for _ in range(self.random.randint(2, 8))),
                 lambda: self.sentence(),
                 lambda: " ".join(f"{self.word()}{self.random.choice(['###', ' |', '$', '!!'])}" for _ in range(self.random.randint(3, 60))),
+                lambda: self.paragraph(8, 30),
+                lambda: self.hinting(),
             ],
-            [8, 4, 1],
+            [8, 4, 1, 1, 1],
         )[0]
         text = self.fresh(make)
         self.main.add(text)
@@ -77,7 +89,7 @@ class _Page:
         inner = []
         for _ in range(1 if tag == "p" else r.randint(1, 6)):
             line = r.choice(LINES[kind])
-            text = self.fresh(lambda: line.replace("{w}", self.word().capitalize(), 1).replace("{w}", self.word()).replace("{s}", self.sentence(1, 20), 1).replace("{s}", self.sentence()) + (f" {self.word()}" if "{" not in line else ""))
+            text = self.fresh(lambda: line.replace("{w}", self.word().capitalize(), 1).replace("{w}", self.word()).replace("{s}", self.sentence(1, 20), 1).replace("{s}", self.sentence()).replace("{p}", self.paragraph()) + (f" {self.word()}" if "{" not in line else ""))
             linked = kind in ("menu", "sidebar", "share") or r.random() < 0.15
             text = f'<a href="/{self.word()}">{text}</a>' if linked else text
             if tag in ("ul", "ol") or kind == "menu" and r.random() < 0.6:

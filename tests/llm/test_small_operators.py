@@ -6,6 +6,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,3 +289,22 @@ def test_embedded_elements_keep_their_text():
         assert kept[-2:] == texts, tag
     hidden = html_extraction.leaf_blocks("<p>one<script>var a = '<p>';</script><style>p {}</style><textarea><p>x</textarea> two</p>")
     assert [b.text for b in hidden] == ["one two"]
+
+
+def test_extraction_reads_whole_blocks():
+    """What a block says at its end counts, however much stands before it; a long block costs no more by the hint."""
+    model = html_extraction.trained()
+    r = random.Random(1)
+    prose = " ".join(" ".join(r.choices("lo men no or pa qui re sa ti un vo wa".split(), k=9)).capitalize() + "." for _ in range(40))
+    page = "<html><body><article><h1>A title of it</h1><p>Some words of an article that go on for a while, and then end.</p></article><section>{}</section></body></html>"
+    for before in (0, 100, 700, 1400):
+        blocks = html_extraction.leaf_blocks(page.format(f"{prose[:before]} Reply to this comment."))
+        assert model.label(blocks) == [1, 1, 0], before
+    assert model.label(html_extraction.leaf_blocks(page.format(prose))) == [1, 1, 1]
+    inside = f"{prose[:700]} Re sa reply un vo wa. {prose[:700]}"
+    assert model.label(html_extraction.leaf_blocks(page.format(inside))) == [1, 1, 1]
+    long = "share reply " * 100_000
+    start = time.perf_counter()
+    html_extraction.leaf_blocks(page.format(long))
+    model.label(html_extraction.leaf_blocks(page.format(long)))
+    assert time.perf_counter() - start < 20
