@@ -170,7 +170,8 @@ def _text_features(block: Block) -> list[str]:
     words = text.count(" ") + 1
     out = [f"words:{min(6, words.bit_length())}", f"links:{round(2 * block.links)}"]
     out.append("ends:sentence" if text[-1] in ".!?…\"'”’)" else "ends:open")
-    # A word that hints at clutter says less the more words stand around it, and most at an end of its block.
+    # A word that hints at clutter says less the more words stand around it, and most at an end of its block. Within a
+    # long block only their share counts.
     around = min(3, (words // 16).bit_length())
     head, tail = len(text), -1
     if words > EDGE:
@@ -180,13 +181,16 @@ def _text_features(block: Block) -> list[str]:
         tail = len(text)
         for _ in range(EDGE):
             tail = text.rfind(" ", 0, tail)
+    many = 0
     for m in HINTS.finditer(text):
-        hint = m[0].lower()
-        out.append(f"hint:{around}:{hint}")
+        hint, many = m[0].lower(), many + 1
+        if around < 3:
+            out.append(f"hint:{around}:{hint}")
         if m.start() < head:
             out.append(f"first:{hint}")
         if m.end() > tail:
             out.append(f"last:{hint}")
+    out.append(f"hints:{min(3, 16 * many // words)}")
     return sorted(set(out))
 
 
