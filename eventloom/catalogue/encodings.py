@@ -15,7 +15,9 @@ from eventloom.operators import batching, export
 from eventloom.operators.encode import Identity, cloudevents, gelf, json_lines, kafka_records, template, to_canonical_json
 from eventloom.operators.lift import lift
 from eventloom.operators.otlp import otlp_compact, otlp_groups, otlp_records
+from eventloom.operators.metrics import drop_counts
 from eventloom.operators.routing import match, route, route_lines
+from eventloom.plans.export import export_drops
 from eventloom.plans.spec import Flow
 from eventloom.session import shared_folder
 
@@ -408,3 +410,13 @@ def routed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("sink").agg(
         F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("bytes"), F.md5(F.min("value")).alias("first_line")
     )
+
+
+@query(
+    f"""WITH {EV}, sized AS (SELECT CASE WHEN strlen(note) > 8 THEN 'too_large' WHEN reason = 'view' THEN 'rejected' END AS reason FROM ev)
+    SELECT CASE reason WHEN 'too_large' THEN 'queue' ELSE 'sink' END AS stage, reason, '' AS flow, 'webhook' AS sink, count(*) AS events FROM sized WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def queue_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that no queue takes: the empty ones, and those larger than a whole queue."""
+    frame = F.when((F.col("reason") == "view") & (F.octet_length("note") <= 8), F.lit("")).otherwise(F.col("note"))
+    return drop_counts(export_drops(canonical_events(spark, sf_dir), frame, "json-list", "webhook", queue_bytes=8))

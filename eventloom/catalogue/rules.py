@@ -416,6 +416,41 @@ def rule_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {EV}, p AS (SELECT *, seq % 40 AS place, seq % 7 AS low, seq % 11 AS high FROM ev) SELECT uid,
+      CASE WHEN place <= length(note) THEN substring(note, place + 1, 1) ELSE 'outside' END AS character,
+      CASE WHEN low <= high AND high <= length(note) THEN substring(note, low + 1, high - low) ELSE 'outside' END AS part,
+      CASE WHEN low <= length(reason) THEN substring(reason, low + 1) ELSE 'outside' END AS tail,
+      '"' || replace(note, '"', chr(92) || '"') || '"' AS quoted, replace(note, '"', '') AS plain,
+      concat_ws('+', reason, type) AS joined, array_to_string(regexp_extract_all(note, '[0-9]'), ',') AS digits,
+      list_contains(['click', 'view'], reason) AND list_has_all(['click', 'view', type], [reason, type]) AS held,
+      list_has_all([reason, type], [type, reason, reason]) AS same,
+      CAST(day(event_time) - 1 AS INT) AS day, CAST(minute(event_time) AS INT) AS minute, CAST(second(event_time) AS INT) AS second
+    FROM p"""
+)
+def rule_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String, list and time helpers whose positions and sets are columns."""
+    events, note = canonical_events(spark, sf_dir), F.col("note")
+    reason, kind, time = F.col("reason"), F.col("type"), F.col("eventTime")
+    at, low, high = F.col("seq") % 40, F.col("seq") % 7, F.col("seq") % 11
+    outside = F.lit("outside")
+    return events.select(
+        "uid",
+        F.coalesce(fn.char_at(note, at), outside).alias("character"),
+        F.coalesce(fn.sub_string(note, low, high), outside).alias("part"),
+        F.coalesce(fn.sub_string(reason, low), outside).alias("tail"),
+        fn.quote(note).alias("quoted"),
+        F.replace(note, F.lit('"'), F.lit("")).alias("plain"),
+        F.concat_ws("+", reason, kind).alias("joined"),
+        F.array_join(fn.find_all(note, "[0-9]"), ",").alias("digits"),
+        (F.array_contains(F.array(F.lit("click"), F.lit("view")), reason) & fn.set_contains(F.array(F.lit("click"), F.lit("view"), kind), F.array(reason, kind))).alias("held"),
+        fn.set_equivalent(F.array(reason, kind), F.array(kind, reason, reason)).alias("same"),
+        fn.day_of_month(time).alias("day"),
+        F.minute(time).alias("minute"),
+        F.second(time).alias("second"),
+    )
+
+
 @query(
     f"""WITH {EV} SELECT CAST(CASE WHEN user_id % 2 = 0 THEN 4 ELSE 6 END AS INT) AS family,
       CASE WHEN user_id % 2 = 0 THEN user_id % 150 = 126 ELSE CAST(k AS INT) < 10 END AS loopback,

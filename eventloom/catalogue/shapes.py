@@ -11,6 +11,7 @@ from eventloom.catalogue.tables import (
     DOC,
     ENR,
     EV,
+    GROUP,
     KINDS,
     OBJ,
     canonical_events,
@@ -287,3 +288,38 @@ def enrich_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     projected = enrichment.unique_objects(enrichment.project_objects(objects(spark, sf_dir), KINDS))
     found = enrichment.enrich_spread(events, projected, enrichment.declared_kinds(KINDS, DECLARED))
     return found.select("uid", "enrich_result", field("regardingObject.labels.segment").alias("segment"))
+
+
+@query(
+    f"""WITH {ENR}, l AS (SELECT enrich_result AS outcome, seq,
+        CASE WHEN enrich_result = 'undeclared' THEN '{GROUP}' ELSE namespace END AS subject,
+        CASE WHEN enrich_result = 'undeclared' THEN r_kind ELSE r_namespace END AS detail,
+        row_number() OVER (PARTITION BY enrich_result ORDER BY seq) AS n
+      FROM enr WHERE enrich_result IN ('undeclared', 'cross_namespace')),
+    f AS (SELECT outcome, subject, detail, min(seq) AS seq, min(n) AS n FROM l GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY seq) AS place FROM f)
+    SELECT outcome, subject, detail, seq, n - coalesce(lag(n) OVER (PARTITION BY outcome ORDER BY seq), 0) - 1 AS suppressed
+    FROM r WHERE place <= 3"""
+)
+def lookup_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three uncovered look-ups of each outcome, and how many came between them."""
+    return enrichment.lookup_reports(enriched_events(spark, sf_dir), limit=3)
+
+
+@query(
+    """SELECT 'nation-' || n_regionkey AS name, CASE WHEN n_regionkey = 2 THEN '' ELSE 'shop.example.com' END AS "group",
+      'Nation' || n_regionkey AS kind, n_regionkey % 2 = 0 AS namespaced
+    FROM nation WHERE n_regionkey IN (0, 2, 3) GROUP BY n_regionkey"""
+)
+def declared_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds that resource names stand for, read from a discovery table; one name stands for nothing."""
+    discovered = table(spark, sf_dir, "nation").selectExpr(
+        "concat('nation-', n_regionkey) AS resource",
+        "CASE WHEN n_regionkey = 2 THEN '' ELSE 'shop.example.com' END AS group",
+        "concat('Nation', n_regionkey) AS kind",
+        "n_regionkey % 2 = 0 AS namespaced",
+    )
+    names = ["nation-0.shop.example.com", "nation-2", "nation-3.shop.example.com", "nation-9"]
+    kinds = enrichment.declared_kinds(enrichment.load_kinds(discovered, names), names)
+    rows = [(kind.resource, kind.group, kind.kind, kind.namespaced) for kind in kinds]
+    return spark.createDataFrame(rows, "name string, group string, kind string, namespaced boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from eventloom.catalogue.tables import EV, FR, POS, canonical_events, frames, st
 from eventloom.functions.times import occurrence_time, rfc3339_micro
 from eventloom.operators.lift import lift
 from eventloom.operators.metrics import read_counts
+from eventloom.session import shared_folder
 from eventloom.sources import events as source
 from eventloom.sources import replay
 
@@ -148,3 +150,38 @@ def read_counts_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = source.frame_events(source.deliverable_frames(frames(spark, sf_dir)))
     events = lift(raw, "2024-06-01 00:00:00", carry=("watch", "seq"))
     return read_counts(replay.resume(events, stored_positions(spark, sf_dir)))
+
+
+def _written(rows: DataFrame, fmt: str) -> str:
+    """Write rows as JSON lines to a new folder of the shared one."""
+    folder = f"{shared_folder(rows.sparkSession)}/{fmt}-{uuid.uuid4().hex}"
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    return folder
+
+
+@query(
+    f"""WITH {EV} SELECT watch, uid, reason, note, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%fZ') AS event_time FROM ev
+    WHERE (namespace = 'team-0' AND type = 'Warning') OR (namespace = 'team-1' AND reason IN ('click', 'view') AND label_k IS NOT NULL)
+       OR namespace = 'team-2'"""
+)
+def read_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events read from JSON files with their schema, and bound to the watches that select them."""
+    folder = _written(canonical_events(spark, sf_dir).drop("watch", "seq", "regardingObject"), "events")
+    read = lift(source.read_events(spark, folder, "json", WATCHES), START.strftime("%Y-%m-%d %H:%M:%S"), carry=("watch",))
+    return read.select("watch", "uid", "reason", "note", rfc3339_micro(F.col("eventTime")).alias("event_time"))
+
+
+@query(f"WITH {FR} SELECT watch, seq, frame_type, uid, rv AS resource_version FROM fr")
+def read_json_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watch frames read from JSON files."""
+    read = source.read_frames(spark, _written(frames(spark, sf_dir), "frames"))
+    return read.select("watch", "seq", "frame_type", "object.uid", F.col("object.resourceVersion").alias("resource_version"))
+
+
+@query(f"WITH {EV} SELECT uid, namespace, note, label_k IS NOT NULL AS has_k FROM ev WHERE seq % 5 <> 2")
+def parse_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events parsed from binary values, as of a topic; a fifth of them is no object and left out."""
+    event = F.to_json(F.struct(*[F.col(name) for name in ("uid", "namespace", "note", "labels")]))
+    value = F.when(F.col("seq") % 5 == 2, F.lit("no object")).otherwise(event).cast("binary")
+    parsed = source.parse_events(canonical_events(spark, sf_dir).select(value.alias("value")))
+    return parsed.select("uid", "namespace", "note", F.map_contains_key("labels", F.lit("k")).alias("has_k"))

@@ -16,10 +16,15 @@ from eventloom.functions.text import ascii_lower, ascii_upper  # noqa: F401
 # --- strings -----------------------------------------------------------------
 
 
-def char_at(text: Column, index: int) -> Column:
+def _number(value: Column | int) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def char_at(text: Column, index: Column | int) -> Column:
     """Return the character at a 0-based index, '' at the end, NULL beyond it."""
-    at = F.substring(text, F.lit(index + 1), F.lit(1))
-    return F.when(F.lit(index >= 0) & (F.length(text) >= index), at)
+    index = _number(index)
+    at = F.substring(text, (index + 1).cast("int"), F.lit(1))
+    return F.when((index >= 0) & (F.length(text) >= index), at)
 
 
 def index_of(text: Column, part: Column) -> Column:
@@ -33,11 +38,11 @@ def last_index_of(text: Column, part: Column) -> Column:
     return F.when(found == 0, F.lit(-1)).otherwise(F.length(text) - F.length(part) - found + 1)
 
 
-def sub_string(text: Column, start: int, end: int | None = None) -> Column:
+def sub_string(text: Column, start: Column | int, end: Column | int | None = None) -> Column:
     """Return the characters from ``start`` up to ``end``, NULL outside the text."""
-    stop = F.length(text) if end is None else F.lit(end)
-    inside = F.lit(start >= 0) & (F.lit(start) <= stop) & (stop <= F.length(text))
-    return F.when(inside, F.substring(text, F.lit(start + 1), stop - start))
+    start, stop = _number(start), F.length(text) if end is None else _number(end)
+    inside = (start >= 0) & (start <= stop) & (stop <= F.length(text))
+    return F.when(inside, F.substring(text, (start + 1).cast("int"), (stop - start).cast("int")))
 
 
 def split_literal(text: Column, separator: str) -> Column:

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import valid_utf8
+from eventloom.functions.text import truncate_bytes, valid_utf8
 from eventloom.operators.lift import clean_values
+from eventloom.operators.sampling import first_seen, with_suppressed
 from eventloom.operators.sanitize import SanitizeSpec, sanitize_metadata
 from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, rejoin, with_segment
 from eventloom.schema import REGARDING_OBJECT, STRING_MAP, reference
+from eventloom.scratch import keep
 
 OUTCOMES = ("hit", "miss", "undeclared", "cross_namespace", "skipped")
 
@@ -353,3 +355,32 @@ def enrich_as_of(
 def enrich_counts(enriched: DataFrame) -> DataFrame:
     """Count the events per enrichment outcome."""
     return enriched.groupBy("enrich_result").agg(F.count("*").alias("events"))
+
+
+#: Bytes of a name that a report keys by at most.
+REPORT_BYTES = 253
+
+
+def lookup_reports(enriched: DataFrame, limit: int = 64) -> DataFrame:
+    """Return what a run reports of look-ups that its declarations do not cover, each once.
+
+    The rows are ``outcome, subject, detail, seq, suppressed``: of
+    ``undeclared`` events the group and kind that no declaration covers, of
+    ``cross_namespace`` ones the namespaces of the event and of the object it
+    regards; ``seq`` of the event that showed it first, for the first ``limit``
+    of each outcome; and how many such events came since the report before.
+    Names are cut to ``REPORT_BYTES`` bytes. The parts are those of a
+    first-seen gate with the outcome as its gate.
+    """
+    def cut(value: Column) -> Column:
+        return truncate_bytes(value, REPORT_BYTES)
+
+    outcome = F.col("enrich_result")
+    undeclared = outcome == "undeclared"
+    key = F.struct(
+        F.when(undeclared, cut(api_group(F.col("regarding.apiVersion")))).otherwise(cut(F.col("namespace"))).alias("subject"),
+        F.when(undeclared, cut(F.col("regarding.kind"))).otherwise(cut(F.col("regarding.namespace"))).alias("detail"),
+    )
+    rows = enriched.where(outcome.isin("undeclared", "cross_namespace")).select(outcome.alias("gate"), "seq", key.alias("key"))
+    reported = with_suppressed(first_seen(keep(rows, "lookups"), limit))
+    return reported.select(F.col("gate").alias("outcome"), "key.subject", "key.detail", "seq", "suppressed")

@@ -31,6 +31,10 @@ SELECTABLE_FIELDS = (
 )
 
 
+#: Where a value that is no object is put, so that it can be told from an empty one.
+_CORRUPT = "_corrupt"
+
+
 class SelectorError(ValueError):
     """A selector cannot be parsed or names a field that cannot be selected on."""
 
@@ -84,8 +88,10 @@ def parse_events(values: DataFrame, column: str = "value", keep: Sequence[str] =
 
     A binary value is read as it is, so that invalid bytes reach the repair of the lift.
     """
-    parsed = F.from_json(F.col(column).cast("string"), RAW_EVENT)
-    return values.select(*keep, parsed.alias("_event")).filter(F.col("_event").isNotNull()).select(*keep, "_event.*")
+    schema = T.StructType(list(RAW_EVENT.fields)).add(_CORRUPT, T.StringType())
+    parsed = F.from_json(F.col(column).cast("string"), schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    whole = values.select(*keep, parsed.alias("_event")).filter(F.col("_event").isNotNull() & F.col(f"_event.{_CORRUPT}").isNull())
+    return whole.select(*keep, *(F.col(f"_event.{name}").alias(name) for name in RAW_EVENT.names))
 
 
 def read_frames(spark: SparkSession, path: str, fmt: str = "json", streaming: bool = False, **options: str) -> DataFrame:

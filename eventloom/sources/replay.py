@@ -161,18 +161,17 @@ def positions(
     A watch without a previous position that is not named in ``live``, or one
     named in ``replaying``, moves only from the bookmark that ends its replay on. The last version overall
     counts exactly when it is not before that bookmark, so one partial
-    aggregation per watch is enough.
+    aggregation of numbers per watch is enough; the versions of the few last
+    frames are looked up then.
     """
     version = F.col("object.resourceVersion")
-    last = (
-        frames.filter(F.col("frame_type").isin("ADDED", "MODIFIED", "DELETED", "BOOKMARK"))
-        .groupBy("watch")
-        .agg(
-            F.max_by(F.when(version != "", version), F.when(version != "", F.col("seq"))).alias("last_version"),
-            F.max(F.when(version != "", F.col("seq"))).alias("last_seq"),
-            F.min(F.when(ends_replay(), F.col("seq"))).alias("end_seq"),
-        )
+    moving = frames.filter(F.col("frame_type").isin("ADDED", "MODIFIED", "DELETED", "BOOKMARK"))
+    bounds = moving.groupBy("watch").agg(
+        F.max(F.when(version != "", F.col("seq"))).alias("last_seq"),
+        F.min(F.when(ends_replay(), F.col("seq"))).alias("end_seq"),
     )
+    versions = moving.filter(version != "").select(F.col("watch").alias("_of"), F.col("seq").alias("_at"), version.alias("last_version"))
+    last = bounds.join(versions, F.col("watch").eqNullSafe(F.col("_of")) & (F.col("last_seq") == F.col("_at")), "left").drop("_of", "_at")
     ended = F.col("last_seq") >= F.col("end_seq")
     if previous is None:
         return last.filter(ended).select("watch", F.col("last_version").alias("resource_version"))

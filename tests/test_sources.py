@@ -180,3 +180,9 @@ def test_field_selector_reaches_the_scan(spark):
     plan = rows.filter(source.field_selector("reason=BUILDING")).select(F.col("reason"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in text
+
+
+def test_parse_events_leaves_out_what_is_no_object(spark):
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(["{}", "", "no", "[1]", "null", '{"uid": "u"', '{"uid": "u"}', None])], "k long, value string")
+    got = {row.k: row.uid for row in source.parse_events(rows, keep=["k"]).collect()}
+    assert got == {0: None, 6: "u"}
