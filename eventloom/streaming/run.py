@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators.filters import check_rules
+from eventloom.operators.filters import RuleError, check_rules
 from eventloom.operators.metrics import Metric, check_metrics, series, valid_values
 from eventloom.operators.routing import route, route_write
 from eventloom.operators.sampling import first_seen, interval_states, on_change, per_interval, with_suppressed
@@ -44,7 +44,7 @@ def run_stream(
 
     ``objects`` and ``flows`` are read at the start of every micro-batch, so a
     batch sees one snapshot of the objects and one set of rules; where a new
-    rule is refused, the rules before it stay. Watch
+    rule is refused, the rules before it stay, and :func:`load_refused` tells. Watch
     positions are written after the sinks, only when some position moved.
     With a ``positions_folder``, a watch that replays delivers only what is newer than its position, or, where it
     never had one, no older than ``max_age``; ``relisted`` names watches whose input starts with a replay although
@@ -59,14 +59,16 @@ def run_stream(
     if checkpoint is None:
         checkpoint = f"{shared_folder(spark)}/events-{'-'.join(sorted(writers))}"
 
-    rules = {"current": list(path.flows), "refused": 0}
+    rules = {"current": list(path.flows)}
 
     def deliver(batch: DataFrame, epoch: int) -> None:
         current = path.flows
         if flows:
-            current, accepted = accepted_flows(spark, rules["current"], flows())
+            offered = flows()
+            current, accepted = accepted_flows(spark, rules["current"], offered)
             rules["current"] = current
-            rules["refused"] += not accepted
+            if not accepted:
+                save_refused(spark, f"{checkpoint}-refused", epoch, offered)
         started = read_time(spark, f"{checkpoint}-read-times", epoch)
         stored = load_positions(spark, positions_folder, below=epoch) if positions_folder else None
         states = replay_states(batch, stored, relisted if epoch == 0 else ()) if positions_folder else None
@@ -101,6 +103,33 @@ def _bound(write: Writer, epoch: int) -> Callable[[DataFrame], None]:
     return lambda rows: write(rows, epoch)
 
 
+# --- refused rules -----------------------------------------------------------
+
+_REFUSED = "epoch bigint, flow string, rules array<string>, refused boolean"
+
+
+def save_refused(spark: SparkSession, folder: str, epoch: int, flows: Sequence[Flow]) -> None:
+    """Write down a set of rules that a micro-batch refused, and which of its flows were at fault."""
+    rows = []
+    for flow in flows:
+        try:
+            check_rules(spark, flow.filters)
+            refused = False
+        except RuleError:
+            refused = True
+        rows.append((epoch, flow.name, [str(rule) for rule in flow.filters], refused))
+    spark.createDataFrame(rows, _REFUSED).coalesce(1).write.mode("overwrite").parquet(f"{folder}/part={epoch}")
+
+
+def load_refused(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Return the refused rule sets of a stream: ``epoch, flow, rules, refused``; no rows while none was."""
+    folder = f"{checkpoint}-refused"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(folder)):
+        return spark.createDataFrame([], _REFUSED)
+    return spark.read.schema(_REFUSED).option("recursiveFileLookup", "true").parquet(folder)
+
+
 # --- versioned state tables --------------------------------------------------
 
 

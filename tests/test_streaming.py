@@ -20,7 +20,7 @@ from eventloom.plans.spec import Flow
 from eventloom.session import shared_folder
 from eventloom.sources.events import Watch, read_frames
 from eventloom.sources.replay import positions
-from eventloom.streaming.run import count_limited, load_positions, per_interval_stream, run_stream, running_counts, save_positions
+from eventloom.streaming.run import count_limited, load_positions, load_refused, per_interval_stream, run_stream, running_counts, save_positions
 
 SF_DIR = "/root/testdata/sf0.001"
 READ = "2024-06-01 00:00:00"
@@ -106,6 +106,21 @@ def test_rules_swap_between_batches(spark, folder, tmp_path):
     assert len(seen) == 4
     assert [count > 0 for _, count, _ in seen] == [True, False, True, False]
     assert all(count == warnings for _, count, warnings in seen)
+    assert load_refused(spark, str(tmp_path / "checkpoint")).count() == 0
+
+
+def test_refused_rules_are_told(spark, folder, tmp_path):
+    """The second and the fourth set are refused; the rules before them stay."""
+    seen, checkpoint = [], str(tmp_path / "checkpoint")
+    rules = iter([("type = 'Warning'",), ("unknown = 'x'",), ("type = 'Nothing'",), ("type",)])
+    path = EventPath([Watch(f"team-{i}") for i in range(5)], [Flow("a", ("x",), ("true",))], ["x"])
+    query = run_stream(
+        stream(spark, folder), path, {"x": lambda rows, epoch: seen.append(rows.count())}, checkpoint, {"availableNow": True}, flows=lambda: [Flow("a", ("x",), next(rules))]
+    )
+    query.awaitTermination()
+    assert [count > 0 for count in seen] == [True, True, False, False]
+    told = sorted(tuple(row) for row in load_refused(spark, checkpoint).collect())
+    assert told == [(1, "a", ["unknown = 'x'"], True), (3, "a", ["type"], True)]
 
 
 def test_positions_are_written_only_when_they_move(spark, tmp_path):
