@@ -334,9 +334,10 @@ _OTLP = f"""{ENR}, rec AS (
 
 def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = F.lit("2024-06-01 00:00:00").cast("timestamp")
-    # Batches by count do not depend on the objects, so the rows are numbered before the join.
-    batches = counted_batches(canonical_events(spark, sf_dir))
-    return otlp_records(with_objects(batches, spark, sf_dir), observed, IDENTITY, carry=("batch_id", "seq"))
+    # Batches by count depend on neither the objects nor the records: narrow rows are numbered, and meet the records by place.
+    batches = counted_batches(canonical_events(spark, sf_dir).select("watch", "seq")).select("watch", "seq", "batch_id")
+    records = otlp_records(enriched_events(spark, sf_dir), observed, IDENTITY, carry=("watch", "seq"))
+    return records.join(batches, ["watch", "seq"]).drop("watch")
 
 
 @query(f"WITH {_OTLP} SELECT uid, md5(resource) AS resource, record FROM rec")

@@ -214,9 +214,9 @@ def bench_five(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bench_all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule over every one of a hundred labels."""
-    labels = """map_from_entries(transform(sequence(0, 99),
-        i -> named_struct('key', concat('k', i), 'value', concat(reason, '-', note, '-', i))))"""
-    events = canonical_events(spark, sf_dir).withColumn("labels", F.expr(labels))
+    prefix = F.concat("reason", F.lit("-"), "note", F.lit("-"))
+    keys, values = [F.lit(f"k{i}") for i in range(100)], [F.concat(prefix, F.lit(str(i))) for i in range(100)]
+    events = canonical_events(spark, sf_dir).withColumn("labels", F.map_from_arrays(F.array(*keys), F.array(*values)))
     rule = "forall(map_values(labels), v -> NOT contains(v, '77}-'))"
     return events.groupBy(verdict([rule]).alias("verdict")).agg(F.count("*").alias("events"))
 

@@ -8,14 +8,14 @@ zero, an overflow, an index beyond the end): see :mod:`eventloom.operators.guard
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.operators.guard import Rule, as_column, guarded
+from eventloom.operators.guard import Rule, as_column, dear, guarded, once
 from eventloom.schema import EVENT
 
 MATCHED = "matched"
@@ -48,10 +48,15 @@ def verdict(rules: Sequence[Rule], schema: T.StructType = EVENT) -> Column:
     """
     decided = F.lit(MATCHED)
     for held in reversed(guarded(rules, schema)):
-        decided = F.when(held.isNull(), F.lit(EVAL_ERROR)).when(~held, F.lit(UNMATCHED)).otherwise(decided)
+        decided = once(held, _judge(decided)) if dear(held) else _judge(decided)(held)
     return decided
 
 
+def _judge(decided: Column) -> Callable[[Column], Column]:
+    """Return what a rule makes of a verdict that the rules after it reach."""
+    return lambda held: F.when(held.isNull(), F.lit(EVAL_ERROR)).when(~held, F.lit(UNMATCHED)).otherwise(decided)
+
+
 def matches(rules: Sequence[Rule], schema: T.StructType = EVENT) -> Column:
     """Return whether every rule holds, so that plain predicates reach the scan.
 

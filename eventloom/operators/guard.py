@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, SparkSession
@@ -193,6 +193,16 @@ def list_of(jvm, items: Sequence):
     return found
 
 
+def once(condition: Column, then: Callable[[Column], Column]) -> Column:
+    """Use a condition several times in an expression and evaluate it once."""
+    return F.transform(F.array(condition), lambda held: then(held)).getItem(0)
+
+
+def dear(condition: Column) -> bool:
+    """Return whether a condition goes through the elements of a list, or is evaluated by itself."""
+    return "lambda" in str(SparkSession.active()._jsparkSession.expression(condition._jc).toString())
+
+
 def guarded(rules: Sequence[Rule], schema: T.StructType) -> list[Column]:
     """Return the rules as conditions that are NULL where their evaluation fails."""
     trees = _Trees(SparkSession.active(), schema)
