@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from decimal import Decimal
@@ -208,20 +209,16 @@ def template(text: str, identity: Identity = Identity()) -> Column:
 
 # --- GELF --------------------------------------------------------------------
 
-_GELF_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+#: A name that a field may be given: no leading underscore, not "id", and none but these characters.
+_GELF_NAME = re.compile(r"(?!_|id\Z)[a-z0-9_.\-/]+", re.IGNORECASE)
 
 
 def _gelf_name(name: str, prefix: str) -> str:
-    plain = name.replace("/", "_")
-    if not name or name.startswith("_"):
-        raise ValueError(f"field name {name!r} is empty or starts with an underscore")
-    if plain.lower() == "id":
-        raise ValueError(f"field name {name!r} is reserved")
-    if plain.startswith(prefix):
-        raise ValueError(f"field name {name!r} uses the reserved prefix {prefix!r}")
-    if not set(plain) <= _GELF_NAME:
-        raise ValueError(f"field name {name!r} has characters other than letters, digits, '_', '.' and '-'")
-    return plain
+    """Return a field name as it is written, with underscores for slashes."""
+    written = name.replace("/", "_")
+    if written.startswith(prefix) or not _GELF_NAME.fullmatch(name):
+        raise ValueError(f"{name!r} does not fit {_GELF_NAME.pattern!r}, or begins like the fields under {prefix!r}")
+    return written
 
 
 def _gelf_map(prefix: str, entries: Column) -> Column:
