@@ -93,21 +93,31 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.filter("resource_version <> ''").select("watch", "resource_version")
 
 
+def _quarters(rows: DataFrame, seq: str) -> list[DataFrame]:
+    """Cut rows into four about equal parts that follow each other."""
+    borders = rows.approxQuantile(seq, [0.25, 0.5, 0.75], 0.01)
+    return [rows.where((F.col(seq) > low) & (F.col(seq) <= high)) for low, high in zip([float("-inf"), *borders], [*borders, float("inf")])]
+
+
+def _in_quarters(rows: DataFrame, seq: str, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let rows arrive in four micro-batches, each of the files that all tasks write; the stream goes on from its checkpoint."""
+    for part in _quarters(rows, seq):
+        part.write.mode("append").parquet(folder)
+        start(rows.sparkSession.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+
+
 def _thinned(spark: SparkSession, sf_dir: str, start: Callable[..., StreamingQuery], *limits) -> DataFrame:
     """Run a gate over the failures in four micro-batches, and return what it wrote."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events")
-    quarters = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.01)
-    for low, high in zip([float("-inf"), *quarters], [*quarters, float("inf")]):
-        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
 
     def write(admitted: DataFrame, epoch: int) -> None:
         admitted.write.mode("overwrite").parquet(f"{folder}/admitted/epoch={epoch}")
 
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    start(
-        failures_of(arriving), *limits, write, folder=f"{folder}/gates", checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True}
-    ).awaitTermination()
+    def thin(arriving: DataFrame) -> StreamingQuery:
+        places = {"folder": f"{folder}/gates", "checkpoint": f"{folder}/checkpoint"}
+        return start(failures_of(arriving), *limits, write, **places, trigger={"availableNow": True})
+
+    _in_quarters(table(spark, sf_dir, "events"), "event_id", f"{folder}/in", thin)
     return spark.read.parquet(f"{folder}/admitted").select("gate", "seq", "key", "suppressed")
 
 
@@ -231,20 +241,19 @@ def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_counters_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the first 14 series over four micro-batches, and what was refused of each metric."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = canonical_events(spark, sf_dir)
-    quarters = events.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
-    for low, high in zip([float("-inf"), *quarters], [*quarters, float("inf")]):
-        events.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    events = canonical_events(spark, sf_dir).select("seq", "namespace", "reason", "regarding")
     metrics = [Metric("reasons", labels={"a_namespace": "namespace", "b_reason": "reason"}), Metric("kinds", labels={"kind": "regarding.kind"})]
 
     def write(totals: DataFrame, epoch: int) -> None:
         totals.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
+    def count(arriving: DataFrame) -> StreamingQuery:
+        stream = running_totals(arriving, metrics, 14).writeStream.outputMode("update").foreachBatch(write)
+        return stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
-        stream = running_totals(arriving, metrics, 14).writeStream.outputMode("update").foreachBatch(write)
-        stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        _in_quarters(events, "seq", f"{folder}/in", count)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     totals = last_totals(spark.read.parquet(f"{folder}/out"))

@@ -25,26 +25,33 @@ from eventloom.streaming.batches import STATE_STORE
 
 #: Keys that unlimited counters spread over; a limit is one order of admission, so limited ones share a key.
 SHARDS = 64
-_PARTIAL = "shard int, metric_index int, label_values array<string>, value bigint, first_seq bigint"
+_SERIES = ["shard", "metric_index", "series"]
+_PARTIAL = "shard int, metric_index int, series string, value bigint, first_seq bigint"
+#: Rows that a task holds before it adds them up.
+HELD = 1 << 19
 _TOTALS = "metric_index int, label_values array<string>, value bigint, refused boolean"
 
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add a task's rows up by series."""
-    counts: Counter = Counter()
-    first: dict[tuple, int] = {}
+    """Add a task's rows up by series, a column at a time."""
+
+    names = [*_SERIES, "value", "first_seq"]
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(parts).group_by(_SERIES, use_threads=False).aggregate([("value", "sum"), ("first_seq", "min")])
+        return sums.select([*_SERIES, "value_sum", "first_seq_min"]).rename_columns(names)
+
+    held: list[pa.Table] = []
+    size, most = 0, HELD
     for batch in batches:
-        for shard, index, values, seq in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            key = (shard, index, tuple(values))
-            counts[key] += 1
-            first[key] = min(seq, first.get(key, seq))
-    columns = [list(column) for column in zip(*counts, strict=True)] if counts else [[], [], []]
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64()]
-    columns += [list(counts.values()), [first[key] for key in counts]]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([list(v) for v in c] if k == 2 else c, kind) for k, (c, kind) in enumerate(zip(columns, kinds, strict=True))],
-        names=[part.split()[0] for part in _PARTIAL.split(", ")],
-    )
+        held.append(pa.Table.from_arrays(batch.columns, names=names))  # columns that may be null, as those of sums are
+        size += batch.num_rows
+        if size >= most:
+            held = [added(held)]
+            size = held[0].num_rows
+            most = max(HELD, 2 * size)
+    if held:
+        yield from added(held).to_batches()
 
 
 class Totals(StatefulProcessor):
@@ -106,8 +113,12 @@ def running_totals(events: DataFrame, metrics: Sequence[Metric], max_series: int
     )
     rows = events.select(F.col(seq).cast("bigint").alias("seq"), F.inline(entries))
     shard = F.lit(0) if max_series else F.pmod(F.xxhash64("metric_index", "label_values"), F.lit(SHARDS))
-    keyed = rows.select(shard.cast("int").alias("shard"), "metric_index", "label_values", "seq")
-    added = keyed.mapInArrow(_added_up, _PARTIAL)
+    # The labels travel as one text, by which Arrow can group.
+    series = F.to_json("label_values").alias("series")
+    keyed = rows.select(shard.cast("int").alias("shard"), "metric_index", series, F.lit(1).cast("bigint").alias("value"), F.col("seq").alias("first_seq"))
+    parts = keyed.mapInArrow(_added_up, _PARTIAL)
+    labels = F.from_json("series", "array<string>").alias("label_values")
+    added = parts.select("shard", "metric_index", labels, "value", "first_seq")
     return added.groupBy("shard").transformWithStateInPandas(Totals(max_series), _TOTALS, "Update", "None")
 
 
