@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -30,8 +31,10 @@ from eventloom.schema import RAW_EVENT
 FORMAT = "frame_archive"
 #: Frames of a file at most.
 FILE_ROWS = 500_000
+#: Frames that one task of a reader takes from small files.
+READ_ROWS = 200_000
 _SCHEMA = "watch string, seq long, frame_type string, object string"
-_INDEX = "path string, watch string, first long, last long"
+_INDEX = "path string, watch string, first long, last long, frames long"
 
 
 def archive_frames(frames: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> None:
@@ -52,11 +55,11 @@ def archive_frames(frames: DataFrame, folder: str, file_rows: int = FILE_ROWS) -
 
         def close() -> None:
             open_file["writer"].close()
-            done.append((open_file["name"], open_file["watch"], open_file["first"], open_file["last"]))
+            done.append((open_file["name"], open_file["watch"], open_file["first"], open_file["last"], open_file["rows"]))
 
         for batch in batches:
             watches = batch.column("watch").dictionary_encode().indices.to_numpy()
-            borders = [0, *(k + 1 for k in range(batch.num_rows - 1) if watches[k] != watches[k + 1]), batch.num_rows]
+            borders = [0, *(np.flatnonzero(watches[1:] != watches[:-1]) + 1).tolist(), batch.num_rows]
             for at, stop in zip(borders, borders[1:]):
                 watch = batch.column("watch")[at].as_py() if stop > at else None
                 while at < stop:
@@ -75,8 +78,8 @@ def archive_frames(frames: DataFrame, folder: str, file_rows: int = FILE_ROWS) -
                     at += part.num_rows
         if open_file:
             close()
-        names, kinds = ["path", "watch", "first", "last"], [pa.string(), pa.string(), pa.int64(), pa.int64()]
-        columns = [list(column) for column in zip(*done)] or [[]] * 4
+        names, kinds = ["path", "watch", "first", "last", "frames"], [pa.string(), pa.string(), *[pa.int64()] * 3]
+        columns = [list(column) for column in zip(*done)] or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     checked = F.when(F.col("watch").isNull() | F.col("seq").isNull(), F.raise_error(F.lit("a frame without watch or seq has no position")))
@@ -84,14 +87,15 @@ def archive_frames(frames: DataFrame, folder: str, file_rows: int = FILE_ROWS) -
         F.coalesce("watch", checked.cast("string")).alias("watch"),
         F.coalesce(F.col("seq").cast("bigint"), checked.cast("bigint")).alias("seq"),
         "frame_type",
-        F.to_json("object").alias("object"),
+        "object",
     )
-    in_order = lines.repartitionByRange("watch", "seq").sortWithinPartitions("watch", "seq")
+    # Sorting samples the rows first, so their text is made behind it, once.
+    in_order = lines.repartitionByRange("watch", "seq").sortWithinPartitions("watch", "seq").withColumn("object", F.to_json("object"))
     in_order.mapInArrow(write, _INDEX).write.json(f"{folder}/index/{uuid.uuid4().hex}")
 
 
 @dataclass
-class FilePart(InputPartition):
+class FilePart:
     """The frames of a file after one position and up to another."""
 
     path: str
@@ -100,6 +104,30 @@ class FilePart(InputPartition):
     until: int | None
 
 
+@dataclass
+class FileParts(InputPartition):
+    """What one task reads, file by file."""
+
+    parts: list[FilePart]
+
+
+def _grouped(found: list[tuple[int, FilePart]]) -> list[FileParts]:
+    """Put small files together, so that the tasks grow with the frames and not with the files."""
+    groups: list[FileParts] = []
+    room = 0
+    for rows, part in found:
+        if not groups or rows > room:
+            groups.append(FileParts([]))
+            room = READ_ROWS
+        groups[-1].parts.append(part)
+        room -= rows
+    return groups
+
+
+def _frames(file: dict) -> int:
+    return file.get("frames", READ_ROWS)  # an older index does not say
+
+
 class _Index:
     """The files of an archive, read append by append as they come."""
 
@@ -121,28 +149,29 @@ class _Index:
         return [row for rows in self.known.values() for row in rows]
 
 
-def _read(options: dict, part: FilePart) -> Iterator[pa.RecordBatch]:
+def _read(options: dict, partition: FileParts) -> Iterator[pa.RecordBatch]:
     index = _Index(options["path"])
-    with index.system.open_input_file(f"{index.base}/frames/{part.path}") as source:
-        for batch in pq.ParquetFile(source).iter_batches():
-            keep = pa.array([True] * batch.num_rows)
-            if part.after is not None:
-                keep = pc.and_(keep, pc.greater(batch["seq"], part.after))
-            if part.until is not None:
-                keep = pc.and_(keep, pc.less_equal(batch["seq"], part.until))
-            kept = batch.filter(keep)
-            watch = pa.array([part.watch] * kept.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([watch, *kept.columns], names=["watch", *kept.schema.names])
+    for part in partition.parts:
+        with index.system.open_input_file(f"{index.base}/frames/{part.path}") as source:
+            for batch in pq.ParquetFile(source).iter_batches():
+                keep = pa.array([True] * batch.num_rows)
+                if part.after is not None:
+                    keep = pc.and_(keep, pc.greater(batch["seq"], part.after))
+                if part.until is not None:
+                    keep = pc.and_(keep, pc.less_equal(batch["seq"], part.until))
+                kept = batch.filter(keep)
+                watch = pa.array([part.watch] * kept.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([watch, *kept.columns], names=["watch", *kept.schema.names])
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def partitions(self) -> list[FilePart]:
-        return [FilePart(f["path"], f["watch"], None, None) for f in _Index(self.options["path"]).files()]
+    def partitions(self) -> list[FileParts]:
+        return _grouped([(_frames(f), FilePart(f["path"], f["watch"], None, None)) for f in _Index(self.options["path"]).files()])
 
-    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileParts | None) -> Iterator[pa.RecordBatch]:
         return iter(()) if partition is None else _read(self.options, partition)
 
 
@@ -161,14 +190,15 @@ class ArchiveStreamReader(DataSourceStreamReader):
             positions[file["watch"]] = max(file["last"], positions.get(file["watch"], file["last"]))
         return positions
 
-    def partitions(self, start: dict, end: dict) -> list[FilePart]:
-        return [
-            FilePart(f["path"], f["watch"], start.get(f["watch"]), end[f["watch"]])
+    def partitions(self, start: dict, end: dict) -> list[FileParts]:
+        found = [
+            (_frames(f), FilePart(f["path"], f["watch"], start.get(f["watch"]), end[f["watch"]]))
             for f in self.index.files()
             if f["watch"] in end and f["first"] <= end[f["watch"]] and f["last"] > start.get(f["watch"], f["last"] - 1)
         ]
+        return _grouped(found)
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileParts) -> Iterator[pa.RecordBatch]:
         return _read(self.options, partition)
 
     def commit(self, end: dict) -> None:

@@ -35,6 +35,16 @@ def test_a_table_of_frames(spark, tmp_path):
     assert got.select("object.note").distinct().collect()[0][0] == 'é\n"x"'
 
 
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    pairs = [(watch, k) for watch in "ab" for k in range(60)]
+    archive_frames(frames(spark, *pairs), f"{tmp_path}/archive", file_rows=2)
+    assert len(glob.glob(f"{tmp_path}/archive/frames/*.parquet")) >= 60
+    got = read_archive(spark, f"{tmp_path}/archive")
+    assert got.rdd.getNumPartitions() == 1
+    assert sorted((row.watch, row.seq) for row in got.collect()) == pairs
+    assert stream(spark, str(tmp_path), positions={"a": 50}) == pairs[51:]
+
+
 def test_a_stream_goes_on_from_its_positions(spark, tmp_path):
     folder = str(tmp_path)
     archive_frames(frames(spark, ("a", 1), ("a", 2), ("b", 10)), f"{folder}/archive")
