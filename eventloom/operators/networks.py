@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.predicates import _bits, _hex_address, cidr_facts, ip_key
+from eventloom.functions.predicates import _bits, _hex_address, _key, _let, cidr_facts
 from eventloom.operators.segments import SEGMENT, SPAN, before, in_segment, join_carry, with_segment
 from eventloom.scratch import keep
 
@@ -69,9 +69,11 @@ def most_specific_network(rows: DataFrame, ip: str, networks: DataFrame, span: i
     # Of several that end together, the outermost comes last.
     outer = F.struct(F.col("outer_cidr").alias("cidr"), F.col("outer_tag").alias("tag"))
     ends = nested.select("_family", at("hi", _ENDS, -F.col("prefix")).alias("_at"), outer.alias("_net"))
+    # Reading an address is dear, and the sort samples its rows: each distinct one is read once, and written.
     asked = rows.select(F.col(ip).alias("_ip")).distinct()
-    located = asked.select("_ip", F.length(_hex_address(F.col("_ip"))).alias("_family"), ip_key(F.col("_ip")).alias("_key")).where("_key is not null")
-    looks = located.select("_family", at("_key", _LOOKS, F.lit(0)).alias("_at"), "_ip")
+    place = _let(_hex_address(F.col("_ip")), lambda digits: F.struct(F.length(digits).alias("family"), _key(digits).alias("key")))
+    located = keep(asked.select("_ip", place.alias("_place")), "addresses").select("_ip", F.col("_place.family").alias("_family"), F.col("_place.key").alias("_key"))
+    looks = located.where("_key is not null").select("_family", at("_key", _LOOKS, F.lit(0)).alias("_at"), "_ip")
     merged = with_segment(
         begins.unionByName(ends).unionByName(looks, allowMissingColumns=True), _FAMILY, span, "_at"
     )

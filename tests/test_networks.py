@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from eventloom.operators import networks
 from eventloom.operators.networks import most_specific_network
 
 
@@ -46,3 +47,18 @@ def test_no_networks_and_no_rows(spark):
     none = spark.createDataFrame([], "cidr string, tag string")
     assert [tuple(row) for row in most_specific_network(rows, "ip", none).collect()] == [("1.2.3.4", None, None)]
     assert most_specific_network(rows.limit(0), "ip", spark.createDataFrame([("1.0.0.0/8", "a")], "cidr string, tag string")).count() == 0
+
+
+def test_each_distinct_address_is_read_once(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = networks.keep_as_is(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(networks, "keep_as_is", networks.keep, raising=False)
+    monkeypatch.setattr(networks, "keep", keep)
+    rows = spark.createDataFrame([("10.0.0.1",)] * 5 + [("::1",), ("nowhere",)], "ip string")
+    found = networks.most_specific_network(rows, "ip", spark.createDataFrame([("10.0.0.0/8", "ten")], "cidr string, tag string"))
+    assert [row.tag for row in found.collect()].count("ten") == 5
+    assert kept["addresses"].count() == 3
