@@ -89,6 +89,13 @@ class _Trees:
         as_seq = self.jvm.scala.jdk.javaapi.CollectionConverters.asScala(list_of(self.jvm, children)).toSeq()
         return tree.withNewChildren(as_seq)
 
+    def is_list(self, tree) -> bool:
+        """Return whether an expression over the schema is a list."""
+        try:
+            return isinstance(self.empty.select(self.column(tree)).schema[0].dataType, T.ArrayType)
+        except AnalysisException:
+            return False
+
     def call(self, name: str, *children):
         """Return an unresolved call of a function."""
         made = self.parse(F.expr(f"{name}({', '.join('null' for _ in children)})"))
@@ -108,6 +115,9 @@ class _Trees:
         elements, the NULL would not be known for a failure any more.
         """
         kind, name = self.kind(tree), self.function(tree)
+        if kind == "UnresolvedExtractValue":
+            held, place = self.children(tree)
+            return self.call("get", self.tried(held), self.tried(place)) if self.is_list(held) else tree
         if kind not in STRICT and kind not in ARITHMETIC and name not in CASTS and name not in TRIED:
             return tree
         old = self.children(tree)
@@ -156,7 +166,8 @@ class _Trees:
     def element(self, tree):
         if self.kind(tree) in ("And", "Or", "Not"):
             return self.with_children(tree, [self.element(child) for child in self.children(tree)])
-        return self.catalyst.TryEval(self.inner(tree))
+        # A form that yields NULL costs far less than one that fails, element by element.
+        return self.catalyst.TryEval(self.inner(self.tried(tree)))
 
     # What can fail
 

@@ -103,3 +103,8 @@ def test_plain_operands_still_reach_the_scan(spark, events, tmp_path):
     kept = spark.read.parquet(path).filter(matches(["type = 'Warning' AND int(labels['k']) > 3"]))
     assert "EqualTo(type,Warning)" in kept._jdf.queryExecution().executedPlan().toString()
     assert kept.count() == 0
+
+
+def test_a_place_in_a_list_is_asked_for_in_a_form_that_does_not_fail(spark):
+    rule = guarded(["split(note, 'x')[1] = '7'"], EVENT)[0]
+    assert "get(" in spark._jsparkSession.expression(rule._jc).toString()
