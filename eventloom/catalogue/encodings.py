@@ -248,6 +248,10 @@ def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_events(spark, sf_dir).select("watch", "seq", to_canonical_json().alias("frame"))
 
 
+def _batch_parts(spark: SparkSession, sf_dir: str) -> int:
+    return batching.parts_for(table(spark, sf_dir, "events"))
+
+
 @query(
     f"""WITH {EV},{_COUNTED} SELECT batch_id, count(*) AS frames,
       md5('[' || string_agg({EVENT_JSON}, ',' ORDER BY seq) || ']') AS list_body,
@@ -256,7 +260,7 @@ def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bodies of three formats from one list of frames a batch."""
-    lists = export.batch_lists(counted_batches(_framed(spark, sf_dir)))
+    lists = export.batch_lists(counted_batches(_framed(spark, sf_dir)), _batch_parts(spark, sf_dir))
     return lists.select(
         "batch_id",
         "frames",
@@ -280,7 +284,7 @@ def _pad(byte: int) -> str:
     FROM msg"""
 )
 def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = export.request_bodies(counted_batches(_framed(spark, sf_dir)), "json-list")
+    requests = export.request_bodies(counted_batches(_framed(spark, sf_dir)), "json-list", parts=_batch_parts(spark, sf_dir))
     signed = export.sign_requests(requests, SECRET, F.lit(1717200000))
     return signed.select("webhook_id", "webhook_timestamp", "webhook_signature")
 
@@ -334,10 +338,12 @@ _OTLP = f"""{ENR}, rec AS (
 
 def _otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = F.lit("2024-06-01 00:00:00").cast("timestamp")
-    # Batches by count depend on neither the objects nor the records: narrow rows are numbered, and meet the records by place.
-    batches = counted_batches(canonical_events(spark, sf_dir).select("watch", "seq")).select("watch", "seq", "batch_id")
-    records = otlp_records(enriched_events(spark, sf_dir), observed, IDENTITY, carry=("watch", "seq"))
-    return records.join(batches, ["watch", "seq"]).drop("watch")
+    # Batches by count depend on neither the objects nor the records: narrow rows are numbered, and meet the events by place,
+    # so that the texts, several times as wide, are shuffled once only.
+    events = canonical_events(spark, sf_dir)
+    batches = counted_batches(events.select("watch", "seq")).select("watch", "seq", "batch_id")
+    batched = events.join(batches, ["watch", "seq"])
+    return otlp_records(with_objects(batched, spark, sf_dir), observed, IDENTITY, carry=("batch_id", "seq"))
 
 
 @query(f"WITH {_OTLP} SELECT uid, md5(resource) AS resource, record FROM rec")
@@ -352,7 +358,7 @@ def otlp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM grp"""
 )
 def otlp_resource_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return otlp_groups(_otlp(spark, sf_dir)).select(
+    return otlp_groups(_otlp(spark, sf_dir), _batch_parts(spark, sf_dir)).select(
         "batch_id",
         F.md5("resource").alias("resource"),
         "first_seq",
@@ -368,7 +374,7 @@ def otlp_resource_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',' ORDER BY first_seq) || ']}}') AS body FROM grp GROUP BY batch_id"""
 )
 def otlp_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = otlp_compact(_otlp(spark, sf_dir), scope_version="1.2.3")
+    requests = otlp_compact(_otlp(spark, sf_dir), scope_version="1.2.3", parts=_batch_parts(spark, sf_dir))
     return requests.select("batch_id", "records", F.md5("body").alias("body"))
 
 

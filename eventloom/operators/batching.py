@@ -18,6 +18,9 @@ from eventloom.scratch import keep
 # Queue limit in bytes when none is given (fixed value).
 QUEUE_BYTES = 32 * 1024 * 1024
 
+#: Whole frames that one task sorts at most on average when they are placed by batch.
+PART_FRAMES = 50_000
+
 # Separator and wrapping bytes around the frames of a request (fixed values).
 FRAMING = {
     "json-list": (1, 2),
@@ -90,6 +93,16 @@ def batch_id(keys: Sequence[str], epoch: str = "", batch_no: str = "batch_no") -
     return F.sha2(F.concat_ws("\u001f", *parts, F.lit(epoch), F.col(batch_no).cast("string")), 256)
 
 
+def parts_for(frames: DataFrame, part_frames: int = PART_FRAMES) -> int:
+    """Return over how many partitions frames are to be placed by batch, by their number.
+
+    Counts the rows, so hand in a table that is cheap to count, such as the one
+    the frames are made of. Never fewer than Spark's shuffle partitions.
+    """
+    least = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-frames.count() // part_frames))
+
+
 def _next_openings(sizes: np.ndarray, times: np.ndarray, limits: BatchLimits) -> tuple[np.ndarray, np.ndarray]:
     """Return, per row that opens a batch, the row that opens the next, and the running payload."""
     count = len(sizes)

@@ -20,15 +20,18 @@ _SECRET_PREFIX = "whsec_"
 _BLOCK_BYTES = 64
 
 
-def batch_lists(frames: DataFrame) -> DataFrame:
+def batch_lists(frames: DataFrame, parts: int | None = None) -> DataFrame:
     """Return ``(batch_id, frames, frame_list)`` of the rows ``batch_id, seq, frame``, the frames in ``seq`` order.
 
     A group is one batch, which the batch limits bound. Frames of a batch cannot
     be combined before they meet, so the rows are placed by batch first and no
-    lists are built ahead of the shuffle.
+    lists are built ahead of the shuffle. A partition's frames are sorted: with
+    ``parts`` from :func:`eventloom.operators.batching.parts_for` they stay in
+    memory however many there are.
     """
     ordered = F.sort_array(F.collect_list(F.struct("seq", "frame")))
-    return frames.repartition("batch_id").groupBy("batch_id").agg(
+    placed = frames.repartition("batch_id") if parts is None else frames.repartition(parts, "batch_id")
+    return placed.groupBy("batch_id").agg(
         F.count("*").alias("frames"), F.transform(ordered, lambda entry: entry["frame"]).alias("frame_list")
     )
 
@@ -42,10 +45,10 @@ def body(frame_list: Column | str, fmt: str = "json-list", separator: str = "\n"
     return F.concat(F.lit(opening), F.array_join(frame_list, joiner), F.lit(closing))
 
 
-def request_bodies(frames: DataFrame, fmt: str = "json-list", separator: str = "\n") -> DataFrame:
-    """Compose one body per batch from the rows ``batch_id, seq, frame``."""
+def request_bodies(frames: DataFrame, fmt: str = "json-list", separator: str = "\n", parts: int | None = None) -> DataFrame:
+    """Compose one body per batch from the rows ``batch_id, seq, frame``. ``parts`` as for :func:`batch_lists`."""
     composed = body("frame_list", fmt, separator)
-    return batch_lists(frames).select("batch_id", "frames", composed.alias("body"), F.lit(CONTENT_TYPES[fmt]).alias("content_type"))
+    return batch_lists(frames, parts).select("batch_id", "frames", composed.alias("body"), F.lit(CONTENT_TYPES[fmt]).alias("content_type"))
 
 
 def decode_secret(secret: str) -> bytes:

@@ -161,23 +161,29 @@ def otlp_records(
     )
 
 
-def otlp_groups(records: DataFrame) -> DataFrame:
+def otlp_groups(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Group the records ``batch_id, seq, resource, record`` of each batch by resource.
 
     Records keep their order in a group. A group holds at most one batch, which
     the batch limits bound. The rows are placed by batch once, which serves this
-    grouping and the one in :func:`otlp_compact` without another shuffle.
+    grouping and the one in :func:`otlp_compact` without another shuffle. Both
+    sort the texts of a partition: with ``parts`` from
+    :func:`eventloom.operators.batching.parts_for` these stay in memory however
+    many records there are; without it Spark's shuffle partitions hold them all.
     """
     ordered = F.sort_array(F.collect_list(F.struct("seq", "record")))
-    return records.repartition("batch_id").groupBy("batch_id", "resource").agg(
+    placed = records.repartition("batch_id") if parts is None else records.repartition(parts, "batch_id")
+    return placed.groupBy("batch_id", "resource").agg(
         F.min("seq").alias("first_seq"),
         F.count("*").alias("records"),
         F.transform(ordered, lambda entry: entry["record"]).alias("log_records"),
     )
 
 
-def otlp_compact(records: DataFrame, scope_name: str = "eventloom.otlp", scope_version: str = "") -> DataFrame:
-    """Return one OTLP/JSON export request per batch; groups follow their first record."""
+def otlp_compact(
+    records: DataFrame, scope_name: str = "eventloom.otlp", scope_version: str = "", parts: int | None = None
+) -> DataFrame:
+    """Return one OTLP/JSON export request per batch; groups follow their first record. ``parts`` as for :func:`otlp_groups`."""
     version = f',"version":{_quoted(scope_version)}' if scope_version else ""
     scope = f'"scope":{{"name":{_quoted(scope_name)}{version}}}'
     group = F.concat(
@@ -189,7 +195,7 @@ def otlp_compact(records: DataFrame, scope_name: str = "eventloom.otlp", scope_v
     )
     ordered = F.sort_array(F.collect_list(F.struct("first_seq", group.alias("body"))))
     return (
-        otlp_groups(records)
+        otlp_groups(records, parts)
         .groupBy("batch_id")
         .agg(ordered.alias("groups"), F.sum("records").alias("records"))
         .select(

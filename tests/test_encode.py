@@ -9,7 +9,8 @@ import pytest
 from conftest import event, ref, utc
 from pyspark.sql import functions as F
 
-from eventloom.operators import export
+from eventloom.catalogue import QUERIES
+from eventloom.operators import batching, export
 from eventloom.operators.encode import Identity, TemplateError, cloudevents, gelf, kafka_records, template, to_canonical_json
 from eventloom.operators.otlp import otlp_compact, otlp_groups, otlp_records, severity_number
 
@@ -161,6 +162,33 @@ def test_otlp_groups_keep_arrival_order(spark):
     assert bodies["b1"]["resourceLogs"][1]["scopeLogs"] == [{"scope": {"name": "scope", "version": "1"}, "logRecords": ["b", "e"]}]
 
 
+def test_many_records_are_placed_over_more_partitions(spark):
+    """What a task sorts of the texts of batches has a bound, whatever the number of shuffle partitions."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert batching.parts_for(spark.range(10)) == least
+    assert batching.parts_for(spark.range(0)) == least
+    parts = batching.parts_for(spark.range(10 * least + 1), 10)
+    assert parts == least + 1
+    rows = spark.range(2000).selectExpr(
+        "string(id div 4) AS batch_id", "id AS seq", "string(id % 2) AS resource", "string(id) AS record", "string(id) AS frame"
+    )
+    placed = F.spark_partition_id().alias("part")
+    for grouped in (otlp_groups(rows, parts), export.batch_lists(rows, parts)):
+        assert grouped.select(placed).distinct().count() == parts
+    assert sorted(otlp_groups(rows, parts).collect()) == sorted(otlp_groups(rows).collect())
+    assert sorted(otlp_compact(rows, parts=parts).collect()) == sorted(otlp_compact(rows).collect())
+    assert sorted(export.request_bodies(rows, parts=parts).collect()) == sorted(export.request_bodies(rows).collect())
+
+
+def test_otlp_queries_place_by_number_of_events(spark, tmp_path, monkeypatch):
+    """The queries hand the bound on: with a low one, their batches lie in more partitions than Spark shuffles into."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(batching.parts_for, "__defaults__", (20,))
+    for name in ("otlp_resource_groups", "otlp_requests", "request_bodies", "signed_requests"):
+        parts = QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("part")).distinct().count()
+        assert parts > least, name
+
+
 def test_request_bodies(spark):
     frames = spark.createDataFrame([("b", 2, "{2}"), ("b", 1, "{1}"), ("c", 10, "{10}"), ("c", 9, "{9}")], "batch_id string, seq long, frame string").repartition(3)
 
