@@ -13,8 +13,8 @@ on earlier rows only through the block open at its start. So:
 3. each range, in parallel, names the rows that open its blocks, given the
    block it starts with.
 
-Python sees the few narrow columns that decide, as a stream that holds one
-segment at a time, and gives back these marks only. The rows themselves meet
+Python sees the few narrow columns that decide, as a stream that holds at most
+``PIECE`` rows of one segment at a time, and gives back these marks only. The rows themselves meet
 the marks in a window over their segment.
 """
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from eventloom.operators.segments import SEGMENT, in_range
 
 RANGE = "_range"
+#: Rows of a segment that Python holds at once; summaries compose, so a segment may come in pieces.
+PIECE = 50_000
 #: The range of a state from before all rows, and of the state after all rows.
 BEFORE, AFTER = -1, 1 << 40
 
@@ -42,7 +44,8 @@ class Scan:
     ``summarise(segment)`` returns a summary; ``compose(first, second)`` that
     of two neighbouring runs of rows; ``advance(state, summary)`` the state
     after a run; ``mark(segment, state)`` the marks of a segment and the state
-    after it. ``start`` is the state before any row.
+    after it, of which the first is that of the block that is open at its
+    start. ``start`` is the state before any row.
     """
 
     summarise: Callable[[pa.Table], dict]
@@ -85,9 +88,9 @@ def openings_from(following: np.ndarray, first: int) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, int, pa.Table]]:
-    """Cut sorted batches into ``(keys, range, rows)`` of one segment each."""
+    """Cut sorted batches into ``(keys, range, rows)`` of one segment each, a long one in pieces that follow each other."""
     held: list[pa.RecordBatch] = []
-    open_at = None
+    open_at, size = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -98,11 +101,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
         borders = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
         for at, stop in zip(borders, borders[1:]):
             here = tuple(batch.column(name)[at].as_py() for name in (*keys, RANGE, SEGMENT))
-            if here != open_at and held:
-                yield open_at[:-2], open_at[-2], pa.Table.from_batches(held).combine_chunks()
-                held = []
-            open_at = here
-            held.append(batch.slice(at, stop - at))
+            while at < stop:
+                if held and (here != open_at or size >= PIECE):
+                    yield open_at[:-2], open_at[-2], pa.Table.from_batches(held).combine_chunks()
+                    held, size = [], 0
+                open_at = here
+                held.append(batch.slice(at, min(stop - at, PIECE - size)))
+                size += held[-1].num_rows
+                at += held[-1].num_rows
     if held:
         yield open_at[:-2], open_at[-2], pa.Table.from_batches(held).combine_chunks()
 
@@ -185,13 +191,16 @@ def range_marks(narrow: DataFrame, states: DataFrame, keys: Sequence[str], scan:
     out = {name: _KINDS[kind] for name, kind in key_kinds.items()} | {SEGMENT: pa.int64()} | _fields(scan.mark_schema)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = scan.start
+        state, last = scan.start, None
         for key, _, segment in _pieces(batches, keys):
             number = segment[SEGMENT][0].as_py()
             if number is None:
                 state = {name: segment[f"from_{name}"][0].as_py() for name in scan.start}
                 continue
             marks, state = scan.mark(segment, state)
+            if (key, number) == last:  # a further piece goes on with what the one before has open
+                marks = {name: values[1:] for name, values in marks.items()}
+            last = key, number
             count = len(next(iter(marks.values())))
             same = {name: [value] * count for name, value in zip((*keys, SEGMENT), (*key, number))}
             yield pa.RecordBatch.from_arrays([pa.array((same | marks)[name], kind) for name, kind in out.items()], names=list(out))

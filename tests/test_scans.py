@@ -3,13 +3,15 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import utc
 from pyspark.sql import functions as F
 
-from eventloom.operators import batching, sampling
+from eventloom.operators import batching, chains, sampling
 from eventloom.operators.batching import BatchLimits, pack_batches
-from eventloom.operators.segments import in_range, with_position, with_segment
+from eventloom.operators.segments import SEGMENT, in_range, with_position, with_segment
 
 EPOCH = utc(2024, 1, 1)
 
@@ -252,3 +254,46 @@ def check_samples(spark, width, threshold, span, step=1):
     for gate in model:
         keys = [row[3] for row in sorted(rows, key=lambda row: row[1]) if row[0] == gate]
         assert flags(changed, gate) == "".join("T" if k == 0 or key != keys[k - 1] else "F" for k, key in enumerate(keys))
+
+
+def test_long_segments_come_in_pieces():
+    """Python holds at most PIECE rows of a segment, and all of its rows come in order."""
+    rows = 3 * chains.PIECE + 7
+    seq = np.arange(rows + 5)
+    whole = pa.table(
+        {
+            "gate": pa.array(["a"] * rows + ["b"] * 5),
+            chains.RANGE: pa.array(np.zeros(rows + 5, np.int64)),
+            SEGMENT: pa.array(np.r_[np.zeros(rows, np.int64), np.ones(5, np.int64)]),
+            "seq": pa.array(seq),
+        }
+    )
+    pieces = list(chains._pieces(iter(whole.to_batches(max_chunksize=9_999)), ["gate"]))
+    assert [piece.num_rows for _, _, piece in pieces] == [chains.PIECE] * 3 + [7, 5]
+    assert [key for key, _, _ in pieces] == [("a",)] * 4 + [("b",)]
+    assert np.array_equal(np.concatenate([piece["seq"].to_numpy() for _, _, piece in pieces]), seq)
+
+
+def test_scans_in_pieces_equal_sequential_ones(spark):
+    """Intervals and batches that go on over the pieces of long segments, of which a task has several."""
+    count = 260_000
+    assert count // 4 > chains.PIECE
+    rows = spark.range(count).selectExpr(
+        "'g' AS gate", "'s' AS sink", "id AS seq", "timestamp_millis(id) AS ts", "if(id % 70001 = 0, 'b', 'a') AS key",
+        "1 + id % 7 AS size", "id AS arrival_us",
+    )
+    keys = [("b" if i % 70001 == 0 else "a", i * 1000) for i in range(count)]
+    for width, threshold in ((30_000_000, 2), (0, 3)):
+        thinned = sampling.per_interval(rows.select("gate", "seq", "ts", "key"), dt.timedelta(microseconds=width), threshold)
+        admitted = [r["seq"] for r in thinned.where("admitted").orderBy("seq").collect()]
+        assert admitted == [i for i, taken in enumerate(model_interval(keys, width, threshold)) if taken]
+        assert thinned.count() == count
+    frames = [(1 + i % 7, i) for i in range(count)]
+    for limits in (BatchLimits(max_events=0, max_bytes=300_000), BatchLimits(max_events=0, max_bytes=10**9, timeout=dt.timedelta(microseconds=61_000))):
+        numbers = pack_batches(rows.select("sink", "seq", "size", "arrival_us"), ["sink"], limits).groupBy("batch_no")
+        got = {r["batch_no"]: (r["low"], r["high"], r["n"]) for r in numbers.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n")).collect()}
+        want = {}
+        for i, number in enumerate(model_batches(frames, limits)):
+            low, _, n = want.get(number, (i, i, 0))
+            want[number] = (low, i, n + 1)
+        assert got == want and len(want) > 2
