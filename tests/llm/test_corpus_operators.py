@@ -466,3 +466,16 @@ def test_no_stage_crosses_all_pairs(spark):
     found = jaccard_join.near_duplicates(docs)
     assert not re.search("CartesianProduct|NestedLoop", found._jdf.queryExecution().executedPlan().toString())
     assert found.where(F.col("component_id") != F.col("doc_id")).count() == 0
+
+
+def test_equal_texts_merge_before_their_ngrams(spark):
+    """Equal texts meet as texts: no n-gram is shuffled to find that another text is the same one."""
+    rows = quality_rules._with_key(
+        spark.createDataFrame([(1, "x", "a b a b"), (2, "x", "a b a b"), (None, "x", "a b a b"), (3, "y", "a b a b"), (4, "x", "")], "doc_id long, lang string, text string")
+    )
+    grams = quality_rules.word_ngrams(rows, quality_rules.fit_models(rows))
+    plan = grams._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    found = grams.collect()
+    assert len(found) == len({(r["key"], r["a"], r["b"], r["c"]) for r in found}) == 8  # four in each of two languages' texts
+    assert sum(r["own"] for r in found) == 8
