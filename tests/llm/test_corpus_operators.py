@@ -479,3 +479,25 @@ def test_equal_texts_merge_before_their_ngrams(spark):
     found = grams.collect()
     assert len(found) == len({(r["key"], r["a"], r["b"], r["c"]) for r in found}) == 8  # four in each of two languages' texts
     assert sum(r["own"] for r in found) == 8
+
+
+def test_no_ngram_of_words_is_a_row(spark, monkeypatch):
+    """Texts meet the counts of their n-grams as arrays: what is written has far fewer rows than there are n-grams."""
+    r = random.Random(7)
+    docs = spark.createDataFrame([(k, " ".join(r.choices(WORDS, k=200)), "xx") for k in range(60)], "doc_id long, text string, lang string").repartition(2)
+    written, keep = [], quality_rules.keep
+    monkeypatch.setattr(quality_rules, "keep", lambda df, name: written.append(keep(df, name)) or written[-1])
+    assert quality_rules.judge(docs).count() == 60
+    assert len(written) > 2 and sum(df.count() for df in written) < 60 * 200 / 10
+
+
+def test_common_words_are_dealt_out(spark, monkeypatch):
+    """The scores are the same when the n-grams around a common word go to several shards."""
+    r = random.Random(8)
+    texts = [" ".join(w for k in range(r.randint(1, 60)) for w in ("the", r.choice(WORDS))) for _ in range(50)]
+    rows = quality_rules._with_key(spark.createDataFrame([(k, "xy"[k % 2], t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")).repartition(3)
+    grams = quality_rules.word_ngrams(rows, quality_rules.fit_models(rows)).cache()
+    whole = dict(quality_rules.word_scores(grams).collect())
+    monkeypatch.setattr(quality_rules, "HOT_ROWS", 40)
+    monkeypatch.setattr(quality_rules, "SHARD_ROWS", 200)
+    assert dict(quality_rules.word_scores(grams).collect()) == pytest.approx(whole) and len(whole) == len(set(texts))
