@@ -85,3 +85,21 @@ def test_jobs_one_after_the_other_change_no_score(spark, monkeypatch):
     for name, value in {"PACK_ROWS": 300, "SHARD_ROWS": 150, "HOT_ROWS": 60, "SCORED": 50, "SENT": 200, "GROUP": 400}.items():
         monkeypatch.setattr(quality_rules, name, value)
     assert {row.doc_id: row.word_score for row in quality_rules.judge(docs).collect()} == pytest.approx(whole)
+
+
+def test_packs_are_scored_some_at_a_time(spark, monkeypatch):
+    """No job moves all the packs: what one has shuffled is gone before the next."""
+    r = random.Random(10)
+    words = [a + b for a in "bcdfgh" for b in "aeiou"]
+    docs = spark.createDataFrame([(k, " ".join(r.choices(words, k=60)), "x") for k in range(120)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(quality_rules, "PACK_ROWS", 100)
+    monkeypatch.setattr(quality_rules, "SHARD_ROWS", 400)
+    moved, delivered = [], quality_rules._delivered
+
+    def told(messages, places):
+        moved.append(messages.where(f"kind = {quality_rules.TEXTS}").count())
+        return delivered(messages, places)
+
+    monkeypatch.setattr(quality_rules, "_delivered", told)
+    assert quality_rules.judge(docs).where("word_score is null").count() == 0
+    assert 0 < max(moved) < 0.6 * sum(moved), moved
